@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import packing, tokencount
+from weftgraph.llm import htmltext, packing, tokencount, warc
 
 
 def queries() -> dict:
     """Query name to function of (spark, sf_dir)."""
-    found = [tokencount.op5_token_counts, packing.op10_pack]
+    found = [htmltext.op1_extract, warc.op2_warc, tokencount.op5_token_counts, packing.op10_pack]
     return {f.__name__: f for f in found}
 
 
