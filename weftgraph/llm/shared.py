@@ -110,10 +110,11 @@ def shingle_hashes(hashes: np.ndarray, n: int = SHINGLE_WORDS) -> np.ndarray:
     n = min(n, len(hashes))
     if n == 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(len(hashes) - n + 1, np.uint64)
+    each, out = mixed(hashes), np.zeros(len(hashes) - n + 1, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(n):
-            out = out * MULTIPLIER + mixed(hashes[i : len(hashes) - n + 1 + i])
+            out *= MULTIPLIER
+            out += each[i : len(hashes) - n + 1 + i]
     return mixed(out)
 
 
