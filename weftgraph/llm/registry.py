@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import decontaminate, htmltext, jaccard, packing, repeats, tokencount, warc
+from weftgraph.llm import decontaminate, htmltext, jaccard, packing, repeats, resampling, tokencount, warc
 
 
 def queries() -> dict:
     """Query name to function of (spark, sf_dir)."""
-    found = [htmltext.op1_extract, warc.op2_warc, jaccard.op3_near, tokencount.op5_token_counts, decontaminate.op6_contaminated, repeats.op7_repeats, packing.op10_pack]
+    found = [htmltext.op1_extract, warc.op2_warc, jaccard.op3_near, tokencount.op5_token_counts, decontaminate.op6_contaminated, repeats.op7_repeats, resampling.op9_resample, packing.op10_pack]
     return {f.__name__: f for f in found}
 
 
