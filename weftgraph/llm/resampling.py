@@ -23,7 +23,8 @@ BITS = 20
 BUCKETS = 1 << BITS
 #: The bound of the labelled sample that reaches the driver and the tasks.
 LABELS = 200_000
-#: Standard deviations from the expected count within which a ratio is left at one.
+#: Standard deviations from the expected count within which a ratio is left at one, for 10,000 documents;
+#: half of one more for each factor of ten, as more buckets hold copies of single texts.
 CHANCE = 3.0
 PRIOR = 1.0
 TEMPERATURE = 0.05
@@ -89,6 +90,7 @@ def log_ratios(counts: pd.DataFrame, chance: float = CHANCE, prior: float = PRIO
     counts = counts[counts["bucket"] >= 0]
     if not len(total) or not int(total["target"].iloc[0]):
         return out
+    chance += 0.5 * max(0.0, np.log10(float(total["raw"].iloc[0]) / 10_000))
     expected = counts["raw"].to_numpy(float) * float(total["target"].iloc[0]) / float(total["raw"].iloc[0])
     seen = counts["target"].to_numpy(float)
     ratio = np.log((seen + prior) / (expected + prior))
