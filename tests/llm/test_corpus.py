@@ -140,6 +140,23 @@ def test_repeats_match_brute_force(spark, documents, parts):
     assert plain(got) == sorted(brute_repeats([(i, (t or "").encode()) for i, t in rows]), key=repr)
 
 
+def test_hot_minimizers_are_sent_string_by_string():
+    """Segments around one frequent gram: all strings' verdicts are those of brute force."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    gram = "QQQQQQQQQQQQQQQQQQQQ"
+    texts = ["".join(rng.choice(list("abcdefgh"), 45)) + gram + "".join(rng.choice(list("abcdefgh"), 45)) for _ in range(40)]
+    texts += texts[:5]
+    raw = [t.encode() for t in texts]
+    x = repeats.Segments(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(t) for t in raw]), np.arange(len(raw)) + 1)
+    h, s, d, line = x.sent()
+    assert len(np.unique(h)) <= len(h) <= len(x.entry_at) and (np.diff(h.astype(object)) >= 0).all()
+    table = pa.table({"block": [1], "bucket": [0], "payload": [repeats.told_of(h, s, d)]})
+    state = np.frombuffer(repeats.judge_segments(table).column("payload")[0].as_py(), np.uint8)
+    assert ((state == repeats.SPREAD) == (s == 0)).all()
+
+
 def test_longest_previous_factors():
     texts = [b"banana", b"bandana", b"cabana", b"banana"]
     keys, docs, sizes = [], [], []

@@ -129,7 +129,7 @@ class Segments:
         if not len(h):
             return h, s, d, np.empty(0, np.int64)
         _, of, n = np.unique(h, return_inverse=True, return_counts=True)
-        s = np.where(n[of] > HOT_BLOCK, np.uint64(0), np.maximum(s, np.uint64(1)))
+        s = np.where(n[of] > HOT_BLOCK, np.uint64(0), np.maximum(s >> np.uint64(16), np.uint64(1)))
         order = np.lexsort((d, s, h))
         new = np.r_[True, (h[order][1:] != h[order][:-1]) | (s[order][1:] != s[order][:-1])]
         line = np.empty(len(h), np.int64)
@@ -174,7 +174,7 @@ def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
             with pa.ipc.new_stream(sink, extra.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(extra)
             values = np.where(ids[1], ids[0] + (1 << 62), -1)[order]
-            row = {"block": [number], "ids": [values.astype(np.int64).tobytes()], "ends": [np.cumsum([len(x) for x in raw], dtype=np.int64).tobytes()], "text": [zstandard.ZstdCompressor(1).compress(b"".join(raw))], "extra": [sink.getvalue().to_pybytes()]}
+            row = {"block": [number], "ids": [values.astype(np.int64).tobytes()], "ends": [np.cumsum([len(x) for x in raw], dtype=np.int64).tobytes()], "text": [zstandard.ZstdCompressor(6).compress(b"".join(raw))], "extra": [sink.getvalue().to_pybytes()]}
             return pa.RecordBatch.from_pydict(row, pa.schema([("block", pa.int64())] + [(c, pa.binary()) for c in ("ids", "ends", "text", "extra")]))
 
         for b in batches:
@@ -208,6 +208,18 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[order[a]]), order[a:b]
 
 
+def told_of(h: np.ndarray, s: np.ndarray, d: np.ndarray) -> bytes:
+    """A message's lines, h ascending: as steps of h, s, and documents less the least."""
+    least = d.min()
+    return int(least).to_bytes(8, "little") + shrunk(np.diff(h, prepend=np.uint64(0)), s, (d - least).astype(np.uint64))
+
+
+def lines_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What told_of was given."""
+    step, s, d = grown(data[8:], 3)
+    return np.cumsum(step, dtype=np.uint64), s, d.view(np.int64) + int.from_bytes(data[:8], "little")
+
+
 def tell_segments(buckets: int):
     """Blocks to messages about their distinct segments."""
 
@@ -216,16 +228,15 @@ def tell_segments(buckets: int):
             for row in b.to_pylist():
                 text, ends, ids, _ = block_text(row)
                 h, s, d, _ = Segments(text, ends, ids).sent()
-                yield messages([(0, row["block"], k, shrunk(h[at], s[at], d[at].view(np.uint64))) for k, at in by_bucket((h % np.uint64(buckets)).astype(np.int64))])
+                yield messages([(0, row["block"], k, told_of(h[at], s[at], d[at])) for k, at in by_bucket((h % np.uint64(buckets)).astype(np.int64))])
 
     return run
 
 
 def judge_segments(table: pa.Table) -> pa.Table:
     """A bucket's messages to replies: a state for each segment told of, in the order told."""
-    told = [grown(x, 3) for x in table.column("payload").to_pylist()]
+    told = [lines_of(x) for x in table.column("payload").to_pylist()]
     h, s, d = (np.concatenate(x) for x in zip(*told))
-    d = d.view(np.int64)
     order = np.lexsort((s, h))
     hs, ss, ds = h[order], s[order], d[order]
     new_h = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])
