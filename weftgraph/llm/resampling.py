@@ -83,27 +83,24 @@ def counted(docs: DataFrame, ids: np.ndarray, good: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(counts: pd.DataFrame, chance: float = CHANCE, prior: float = PRIOR) -> np.ndarray:
-    """log p_target / p_raw of each bucket, none above 0; 0 where the counts differ by chance."""
-    out = np.zeros(BUCKETS, np.float32)
-    total = counts[counts["bucket"] < 0]
-    counts = counts[counts["bucket"] >= 0]
-    if not len(total) or not int(total["target"].iloc[0]):
-        return out
-    chance += 0.5 * max(0.0, np.log10(float(total["raw"].iloc[0]) / 10_000))
-    expected = counts["raw"].to_numpy(float) * float(total["target"].iloc[0]) / float(total["raw"].iloc[0])
-    seen = counts["target"].to_numpy(float)
-    ratio = np.log((seen + prior) / (expected + prior))
-    out[counts["bucket"].to_numpy()] = np.where(expected - seen >= chance * np.sqrt(expected), np.minimum(ratio, 0), 0)
-    return out
-
-
-def scored(docs: DataFrame, ratios: np.ndarray, columns: list[str]) -> DataFrame:
-    """columns of docs and log_weight of each row."""
-    spark = docs.sparkSession
-    some = np.flatnonzero(ratios)
-    values = ratios[some]
-    shared = spark.sparkContext.broadcast((some, values))  # at most BUCKETS entries
+def log_ratios(counts: DataFrame, chance: float = CHANCE, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and their log p_target / p_raw, where it is below 0 by more than chance; all others are 0.
+
+    Only such buckets, few beside BUCKETS, reach the driver.
+    """
+    total = counts.where("bucket < 0").first()
+    if total is None or not total["target"]:
+        return np.empty(0, np.int64), np.empty(0, np.float32)
+    chance += 0.5 * max(0.0, np.log10(total["raw"] / 10_000))
+    expected = F.col("raw") * F.lit(total["target"] / total["raw"])
+    ratio = F.log((F.col("target") + prior) / (expected + prior))
+    rows = counts.where((F.col("bucket") >= 0) & (expected - F.col("target") >= chance * F.sqrt(expected))).select("bucket", ratio.alias("ratio")).where("ratio < 0").toPandas()
+    return rows["bucket"].to_numpy(np.int64), rows["ratio"].to_numpy(np.float32)
+
+
+def scored(docs: DataFrame, ratios: tuple[np.ndarray, np.ndarray], columns: list[str]) -> DataFrame:
+    """columns of docs, log_weight and key of each row."""
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)  # at most BUCKETS entries
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, known = np.zeros(BUCKETS, np.float32), WordHashes()
@@ -179,7 +176,7 @@ def resample(docs: DataFrame, labels: DataFrame, columns: list[str] | None = Non
     columns = [c for c in (columns or docs.columns) if c not in ("log_weight", "key")]
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     ids, good = labelled(labels, bound)
-    ratios = log_ratios(counted(docs, ids, good).toPandas())
+    ratios = log_ratios(written(counted(docs, ids, good), f"{home}/counts"))
     every = columns == ["doc_id"]
     keys = written(scored(docs, ratios, ["doc_id"]), f"{home}/keys")
     if k is None:
