@@ -1 +1 @@
-"""See the modules of this package."""
+"""Named questions and the given tables in their words."""

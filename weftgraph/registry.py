@@ -1,20 +1,914 @@
-"""The queries of the reference's own operators, by name."""
+"""The queries of the library's own operators over the given tables, by name, with the SQL that each is held against."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftgraph.functions import curie as c
+from weftgraph.operators import filters, measures, ontology, patterns, typegraph
+from weftgraph.plans import adapters, domain
+from weftgraph.sources import tables as t
+from weftgraph.storage import scratch
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Registers a function under its name with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+IS_A = """is_a AS (
+  SELECT 'PART:' || p_partkey AS child, 'BRAND:' || p_brand AS parent FROM part
+  UNION SELECT 'BRAND:' || p_brand, 'PTYPE:' || arg_min(p_type, p_partkey) FROM part GROUP BY p_brand
+  UNION SELECT 'PTYPE:' || p_type, 'ROOT:PART' FROM part
+  UNION SELECT 'CUST:' || c_custkey, 'NAT:' || c_nationkey FROM customer
+  UNION SELECT 'SUPP:' || s_suppkey, 'NAT:' || s_nationkey FROM supplier
+  UNION SELECT 'NAT:' || n_nationkey, 'REG:' || n_regionkey FROM nation
+  UNION SELECT 'REG:' || r_regionkey, 'ROOT:PLACE' FROM region)"""
+CLOSURE = f"""WITH RECURSIVE {IS_A}, up AS (
+  SELECT child AS id, parent AS ancestor, 1 AS depth FROM is_a
+  UNION SELECT up.id, is_a.parent, up.depth + 1 FROM up JOIN is_a ON up.ancestor = is_a.child)"""
+MAPPINGS = """m AS (SELECT DISTINCT 'PART:' || l_partkey AS a, 'SUPP:' || l_suppkey AS b, l_returnflag AS f FROM lineitem WHERE l_linenumber = 1),
+ e AS (SELECT a, b, f FROM m UNION SELECT b, a, f FROM m)"""
+IXN = """ixn AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS l, l_partkey AS p, l_suppkey AS s FROM lineitem),
+ typed AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s, l_returnflag || '|' || l_linestatus AS types FROM lineitem),
+ assoc AS (SELECT DISTINCT o_orderkey AS o, o_custkey AS c, l_partkey AS p, o_orderstatus || '|' || o_orderpriority AS pmids FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1),
+ target AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_linenumber = 1),
+ pathway AS (SELECT s_suppkey AS s, n_nationkey AS n, CASE WHEN n_regionkey = 1 THEN n_name || ' (human)' ELSE n_name END AS path_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+
+def T(spark, d, name):
+    return t.table(spark, d, name)
+
+
+def chem(spark, d):
+    return adapters.chem_quads(spark, d).distinct()
+
+
+def ids(spark, d, name, prefix, column):
+    return T(spark, d, name).select(t.curie(prefix, column).alias("id"))
+
+
+# scans, sources, sinks
+
+
+@query("SELECT 'NAT:' || n_nationkey AS s, n_name AS o FROM nation UNION ALL SELECT 'REG:' || r_regionkey, r_name FROM region")
+def scan_quads(spark, d):
+    path = scratch(spark)
+    t.write_quads(t.quads(spark, d), path)
+    return t.read_quads(spark, path, ["nation", "region"], ["label"]).select("s", "o")
+
+
+@query("SELECT p_partkey, p_name, p_brand FROM part")
+def scan_tsv_commented(spark, d):
+    path = scratch(spark)
+    T(spark, d, "part").select(F.concat_ws("\t", "p_partkey", "p_name", "p_brand").alias("value")).union(spark.range(1).select(F.lit("# a comment"))).write.text(path)
+    return t.read_tsv(spark, path, "p_partkey long, p_name string, p_brand string")
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def scan_tsv_header(spark, d):
+    path = scratch(spark)
+    T(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment").write.option("sep", "\t").option("header", True).csv(path)
+    return t.read_tsv(spark, path, "c_custkey long, c_name string, c_mktsegment string", comment=None, header=True)
+
+
+def obo_of(spark, d):
+    path = scratch(spark)
+    part = T(spark, d, "part")
+    lines = F.concat_ws("\n", F.lit("[Term]"), F.concat(F.lit("id: "), t.curie("PART", "p_partkey")), F.concat(F.lit("name: "), F.col("p_name")), F.concat(F.lit('synonym: "'), F.lower("p_type"), F.lit('" EXACT []')), F.concat(F.lit("xref: BRAND:"), F.regexp_replace("p_brand", r"\s", "_"), F.lit(" ! a brand")), F.concat(F.lit("is_a: SIZE:"), F.col("p_size"), F.lit(" {a=\"b\"} ! size"), F.lit("\n")))
+    part.select(lines.alias("value")).write.text(path)
+    return t.read_obo(spark, path)
+
+
+@query("SELECT 'PART:' || p_partkey AS id, p_name AS name, lower(p_type) AS synonym, 'BRAND:' || regexp_replace(p_brand, '\\s', '_', 'g') AS xref, 'SIZE:' || p_size AS parent FROM part")
+def scan_obo(spark, d):
+    o = obo_of(spark, d)
+    return o["terms"].join(o["synonyms"], "id").join(o["xrefs"], "id").join(o["is_a"].withColumnRenamed("child", "id"), "id")
+
+
+@query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
+def scan_nested_json(spark, d):
+    path = scratch(spark)
+    T(spark, d, "events").select("event_id", F.from_json("props", "k long").alias("props")).write.json(path)
+    return t.read_json(spark, path, "event_id long, props struct<k: long>").select("event_id", F.col("props.k").alias("k"))
+
+
+@query("SELECT 'P' || p_size AS curie, arg_max(p_name, (p_partkey)) AS iri FROM part GROUP BY p_size")
+def scan_prefix_map(spark, d):
+    part = T(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_size")).alias("curie"), F.col("p_name").alias("iri"), "p_partkey")
+    later = part.groupBy("curie").agg(F.max_by("iri", "p_partkey").alias("iri"))
+    earlier = part.groupBy("curie").agg(F.min_by("iri", "p_partkey").alias("iri"))
+    return t.merge_prefixes(earlier, later)
+
+
+@query("SELECT DISTINCT p_brand AS api, p_type AS in_type, 'S' || p_size AS out_type, p_size % 7 || '' AS predicate FROM part")
+def flatten_registry(spark, d):
+    part = T(spark, d, "part").withColumn("out", F.concat(F.lit("S"), F.col("p_size")))
+    outs = part.groupBy("p_brand", "p_type").agg(F.map_from_arrays(F.collect_set("out"), F.transform(F.collect_set("out"), lambda x: F.concat(F.lit("/"), x))).alias("outs"))
+    nested = outs.groupBy(F.col("p_brand").alias("api")).agg(F.map_from_entries(F.collect_list(F.struct("p_type", "outs"))).alias("types"))
+    semantics = part.select(F.col("p_type").alias("in_type"), F.col("out").alias("out_type"), (F.col("p_size") % 7).cast("string").alias("predicate")).distinct()
+    return t.flatten_registry(nested, semantics).select("api", "in_type", "out_type", "predicate")
+
+
+@query("SELECT 't' || vec_id AS term, len(embedding) AS n FROM embeddings")
+def scan_embeddings(spark, d):
+    return T(spark, d, "embeddings").select(F.concat(F.lit("t"), F.col("vec_id")).alias("term"), F.size("embedding").cast("long").alias("n"))
+
+
+@query("SELECT p_brand, string_agg(p_name, ';' ORDER BY p_name) AS names FROM (SELECT DISTINCT p_brand, p_name FROM part) GROUP BY p_brand")
+def sink_tsv_report(spark, d):
+    path = scratch(spark)
+    t.write_report(T(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("names")), path)
+    return t.read_tsv(spark, path, "p_brand string, names string", comment=None, header=True)
+
+
+@query("SELECT 'SUPP:' || s_suppkey AS id, s_name AS label, 'X' || s_nationkey AS node_type FROM supplier")
+def sink_graph_json(spark, d):
+    nodes = T(spark, d, "supplier").select(t.curie("SUPP", "s_suppkey").alias("id"), F.lit("Gene").alias("node_type"), F.col("s_name").alias("label"), F.create_map(F.lit("node_type"), F.concat(F.lit("X"), F.col("s_nationkey"))).alias("properties"))
+    j = t.graph_json(nodes)
+    return j.select("id", F.get_json_object("json", "$.label").alias("label"), F.get_json_object("json", "$.node_type").alias("node_type"))
+
+
+@query("SELECT c_custkey AS id FROM customer UNION SELECT o_custkey FROM orders")
+def upsert_type_graph(spark, d):
+    return t.upsert(T(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct(), T(spark, d, "customer").select(F.col("c_custkey").alias("id")), ["id"])
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def anti_existing(spark, d):
+    return T(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(T(spark, d, "orders").select(F.col("o_custkey").alias("id")), "id", "left_anti")
+
+
+# projections, filters
+
+
+@query("SELECT concat_ws(',', 'NAT:' || n_nationkey, n_name) AS row FROM nation")
+def project_bindings(spark, d):
+    rows = T(spark, d, "nation").select(t.curie("NAT", "n_nationkey").alias("n"), F.col("n_name").alias("name"))
+    return filters.project(rows, ["n", "name"], flat=True).select(F.array_join("row", ",").alias("row"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice > 1000")
+def bind_parameters(spark, d):
+    T(spark, d, "orders").createOrReplaceTempView("weft_orders")
+    return filters.run_template(spark, "SELECT o_orderkey, o_totalprice FROM weft_orders WHERE array_contains(:states, o_orderstatus) AND o_totalprice > :least", states=["F", "O"], least=1000)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25)")
+def filter_values(spark, d):
+    wanted = T(spark, d, "part").where("p_size > 25").select("p_partkey")
+    return filters.where_in(T(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey", wanted)
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '(?i)B[aeiou]')")
+def filter_iregex(spark, d):
+    return T(spark, d, "part").select("p_partkey", "p_name").where(filters.iregex(F.col("p_name"), "B[aeiou]"))
+
+
+@query("SELECT 'CUST:' || c_custkey AS s FROM customer UNION ALL SELECT 'CUST:' || c_custkey FROM customer")
+def filter_prefix(spark, d):
+    q = t.quads(spark, d)
+    return q.where(filters.with_prefix(F.col("s"), "CUST")).select("s")
+
+
+@query("SELECT o_orderkey FROM orders WHERE regexp_matches(o_orderpriority, '^[12]-')")
+def filter_pattern(spark, d):
+    return T(spark, d, "orders").where(F.rlike("o_orderpriority", F.lit("^[12]-"))).select("o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'")
+def filter_equals(spark, d):
+    return T(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT 'ORD:' || l_orderkey AS id, 'SUPP:' || l_suppkey AS refid FROM lineitem WHERE l_returnflag = 'R'")
+def filter_array_structs(spark, d):
+    return adapters.records(spark, d).select("id", F.explode(filters.pick(F.col("links"), "kind", "Target", "refid")).alias("refid"))
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal > 0")
+def filter_nodes_by_label(spark, d):
+    nodes = T(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array("c_mktsegment", F.when(F.col("c_acctbal") > 0, "CREDIT").otherwise("DEBIT")).alias("labels"), F.create_map(F.lit("name"), "c_name").alias("properties"))
+    return filters.filter_nodes(nodes, ["BUILDING", "CREDIT"], ["name"])
+
+
+@query("SELECT 'ORD:' || l_orderkey AS id, 'PART:' || l_partkey AS target_id, CASE WHEN l_linenumber % 2 = 0 THEN 'pmid:' || l_suppkey ELSE '' END AS pmids FROM lineitem")
+def filter_publications(spark, d):
+    return domain.associations(adapters.association_records(spark, d), "r").select("id", "target_id", F.array_join("pmids", ";").alias("pmids"))
+
+
+@query("SELECT DISTINCT user_id || '' AS patient_id FROM events WHERE user_id % 2 = 0 AND user_id % 3 = 1")
+def filter_optional(spark, d):
+    return filters.patients_where(t.patients(spark, d), "2024-06-01", sex="F", race="B").select("patient_id")
+
+
+@query("SELECT event_id, value FROM events WHERE event_type = 'click' AND CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-10'")
+def filter_exposures(spark, d):
+    e = t.table(spark, d, "events").select("event_id", F.col("event_type").alias("exposure_type"), "ts", "value")
+    return filters.filter_exposures(e, "click", "2024-01-05", "2024-01-10").select("event_id", "value")
+
+
+@query("""WITH p AS (SELECT DISTINCT user_id, 35 + user_id / 1000.0 AS lat, -79 - user_id / 1000.0 AS lon FROM events), x AS (
+ SELECT *, 2 * 6371.0 * asin(sqrt(least(1.0, power(sin(radians(lat - 35.05) / 2), 2) + cos(radians(35.05)) * cos(radians(lat)) * power(sin(radians(lon + 79.05) / 2), 2)))) AS km FROM p)
+SELECT lat, lon, round(km, 6) AS distance_km FROM x WHERE km <= 5""")
+def within_radius(spark, d):
+    places = t.exposures(spark, d).select("lat", "lon").distinct()
+    return filters.within_radius(places, 35.05, -79.05, 5).withColumn("distance_km", F.round("distance_km", 6))
+
+
+# joins and patterns
+
+
+@query("SELECT 'CUST:' || o_custkey AS customer, 'PART:' || l_partkey AS part, r_name AS region FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def bgp_match(spark, d):
+    return patterns.bgp(t.quads(spark, d), [("?order", "ordered_by", "?customer"), ("?order", "has_part", "?part"), ("?customer", "has_nation", "?nation"), ("?nation", "in_region", "?r"), ("?r", "label", "?region")], ["customer", "part", "region"])
+
+
+@query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def lookup_multimap(spark, d):
+    dim = T(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return patterns.lookup(T(spark, d, "customer"), dim, "c_nationkey").select("c_custkey", "n_name")
+
+
+@query(f"""WITH {MAPPINGS}, ids AS (SELECT DISTINCT a AS id FROM e), terms AS (SELECT 'SUPP:' || s_suppkey AS id FROM supplier)
+SELECT id, id AS resolved FROM ids WHERE id IN (SELECT id FROM terms) UNION ALL
+SELECT DISTINCT id, b FROM ids JOIN e ON id = a WHERE id NOT IN (SELECT id FROM terms)""")
+def lookup_fallback(spark, d):
+    m = t.mappings(spark, d)
+    every = m.select(F.col("from_curie").alias("id")).union(m.select("to_curie")).distinct()
+    return patterns.lookup_fallback(every, ids(spark, d, "supplier", "SUPP", "s_suppkey"), m.select(F.col("from_curie").alias("id"), F.col("to_curie").alias("xref")))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+def join_exists(spark, d):
+    probe = T(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return T(spark, d, "customer").join(probe, "c_custkey", "left_semi").select("c_custkey", "c_name")
+
+
+@query("SELECT DISTINCT 'NAT:' || c_nationkey AS id, 'CUST:' || c_custkey AS neighbor FROM customer UNION SELECT 'NAT:' || s_nationkey, 'SUPP:' || s_suppkey FROM supplier UNION SELECT 'NAT:' || n_nationkey, 'REG:' || n_regionkey FROM nation")
+def join_undirected(spark, d):
+    e = t.quads(spark, d).where("p != 'label'").select(F.col("s").alias("source_id"), F.col("o").alias("target_id"), F.col("p").alias("predicate"))
+    return patterns.neighbors(e, ids(spark, d, "nation", "NAT", "n_nationkey")).select("id", "neighbor")
+
+
+WORDS = "w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents), mentions AS (SELECT * FROM w WHERE length(term) >= 5)"
+GIVEN = ("trash", "worthless", "licensed", "apache", "version")
+GIVEN_SQL = ", ".join(f"('{x}')" for x in GIVEN)
+
+
+@query(f"WITH {WORDS} SELECT a.term, b.term AS partner, count(*) AS n FROM mentions a JOIN mentions b USING (doc_id) WHERE a.term IN (VALUES {GIVEN_SQL}) AND a.term <> b.term GROUP BY ALL")
+def join_two_hop(spark, d):
+    return patterns.cooccurring(t.mentions(spark, d), spark.createDataFrame([(x,) for x in GIVEN], "term string"))
+
+
+@query(f"WITH {WORDS} SELECT a.term, b.term AS partner, count(*) AS n FROM mentions a JOIN mentions b USING (doc_id) WHERE a.term IN (VALUES {GIVEN_SQL}) AND a.term <> b.term AND length(b.term) >= 12 GROUP BY ALL")
+def join_category(spark, d):
+    m = t.mentions(spark, d)
+    categories = m.select(F.col("term").alias("name"), F.when(F.length("term") >= 12, "long").otherwise("short").alias("category")).distinct()
+    pairs = patterns.cooccurring(m, spark.createDataFrame([(x,) for x in GIVEN], "term string"))
+    return patterns.with_category(pairs, categories, "long").drop("category")
+
+
+@query("SELECT 'PART:' || l_partkey AS id, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN (SELECT p_brand, arg_min(p_type, p_partkey) AS t FROM part GROUP BY p_brand) b USING (p_brand) WHERE t = (SELECT max(p_type) FROM part) GROUP BY 1")
+def join_ancestor_semi(spark, d):
+    root = T(spark, d, "part").agg(t.curie("PTYPE", F.max("p_type")).alias("id"))
+    counts = T(spark, d, "lineitem").groupBy(t.curie("PART", "l_partkey").alias("id")).agg(F.count("*").alias("n"))
+    return ontology.having_ancestor(counts, ontology.closure(t.is_a(spark, d)), root)
+
+
+# the domain questions
+
+
+@query(f"WITH {IXN} SELECT 'CHEM:' || ixn.p AS compound, 'GENE:' || ixn.s AS gene, 'PATH:' || n AS path, path_name, 'PATH:' || n AS path_id, path_name LIKE '%(human)%' AS human FROM ixn JOIN pathway USING (s)")
+def q_exposure_conditions(spark, d):
+    return domain.exposure_conditions(chem(spark, d), ids(spark, d, "part", "CHEM", "p_partkey"))
+
+
+@query(f"WITH {IXN} SELECT 'DIS:' || c AS disease, 'CHEM:' || p AS compound, pmids, 'DRUG:' || p AS drug, p_name AS drug_name FROM assoc JOIN part ON p = p_partkey")
+def q_drugs_by_condition(spark, d):
+    return domain.drugs_by_condition(chem(spark, d), ids(spark, d, "customer", "DIS", "c_custkey"))
+
+
+@query(f"WITH {IXN} SELECT 'DIS:' || c AS source_id, 'DRUG:' || p AS target_id, 'CHEM:' || p AS compound, pmids FROM assoc JOIN part ON p = p_partkey")
+def q_drugs_by_condition_graph(spark, d):
+    return domain.drugs_by_condition_graph(chem(spark, d), ids(spark, d, "customer", "DIS", "c_custkey"))
+
+
+@query(f"WITH {IXN} SELECT DISTINCT 'DIS:' || c AS disease, p_name AS drug_name, 'DRUG:' || p AS drug FROM assoc JOIN part ON p = p_partkey")
+def q_drugs_by_disease(spark, d):
+    return domain.drugs_by_disease(chem(spark, d), ids(spark, d, "customer", "DIS", "c_custkey"))
+
+
+@query(f"WITH {IXN} SELECT DISTINCT 'DIS:' || c AS disease, 'DRUG:' || p AS drug, 'GENE:' || s AS gene, 'PATH:' || n AS path, path_name FROM assoc JOIN part ON p = p_partkey JOIN target USING (p) JOIN pathway USING (s) ORDER BY 1, 2, 3, 4, 5 LIMIT 2000")
+def q_genes_pathways_by_disease(spark, d):
+    return domain.genes_pathways_by_disease(chem(spark, d), ids(spark, d, "customer", "DIS", "c_custkey"))
+
+
+@query(f"WITH {IXN} SELECT DISTINCT 'DIS:' || c AS source_id, 'UNIPROT:' || s AS target_id, 'PATH:' || n AS kegg_path FROM assoc JOIN part ON p = p_partkey JOIN target USING (p) JOIN pathway USING (s)")
+def q_genes_by_disease_graph(spark, d):
+    return domain.genes_by_disease_graph(chem(spark, d), ids(spark, d, "customer", "DIS", "c_custkey"), None)
+
+
+@query(f"WITH {IXN} SELECT DISTINCT p_name AS drug_name, 'GENE:' || ixn.s AS gene, 'DIS:' || c AS disease, c_name AS disease_name FROM assoc JOIN part ON p = p_partkey JOIN ixn USING (p) JOIN customer ON c = c_custkey WHERE regexp_matches(p_name, '(?i)^A') AND regexp_matches(c_name, '(?i)9$')")
+def q_drug_gene_disease(spark, d):
+    return domain.drug_gene_disease(chem(spark, d), "^A", "9$")
+
+
+@query(f"WITH {IXN} SELECT DISTINCT 'CHEM:' || p AS compound, 'GENE:' || s AS gene, replace(types, '|', ';') AS types FROM typed")
+def q_compound_genes(spark, d):
+    return domain.compound_genes(chem(spark, d), ids(spark, d, "part", "CHEM", "p_partkey")).withColumn("types", F.array_join("types", ";"))
+
+
+@query(f"WITH {IXN} SELECT DISTINCT 'DRUG:' || p AS drug, p_name AS drug_name, 'GENE:' || s AS gene FROM ixn JOIN part ON p = p_partkey WHERE regexp_matches(p_name, '(?i)E$')")
+def q_drug_name_to_gene(spark, d):
+    return domain.drug_name_to_gene(chem(spark, d), "E$")
+
+
+@query("SELECT DISTINCT 'CHEM:' || p_partkey AS compound, p_name AS drug_name FROM part WHERE regexp_matches(p_name, '(?i)E$')")
+def q_drug_name_to_compound(spark, d):
+    return domain.drug_name_to_compound(chem(spark, d), "E$")
+
+
+@query("SELECT DISTINCT p_name AS drug_name, 'DRUGBANK:' || p_partkey AS target_id FROM part WHERE regexp_matches(p_name, '(?i)E$')")
+def q_drug_name_to_drugbank(spark, d):
+    return domain.drug_name_to_id(chem(spark, d), "E$", "DRUGBANK")
+
+
+@query(f"WITH {IXN} SELECT DISTINCT 'GENE:' || s AS gene, 'PATH:' || n AS path, path_name FROM pathway")
+def q_pathways_by_gene(spark, d):
+    return domain.pathways_by_gene(chem(spark, d), ids(spark, d, "supplier", "GENE", "s_suppkey"), None)
+
+
+@query(f"WITH {IXN} SELECT DISTINCT 'GENE:' || s AS gene, 'PATH:' || n AS path, path_name FROM pathway ORDER BY 1, 2, 3 LIMIT 500")
+def q_gene_to_pathway_by_symbol(spark, d):
+    return domain.pathways_by_gene(chem(spark, d), ids(spark, d, "supplier", "GENE", "s_suppkey"), 500)
+
+
+@query("SELECT 'UNI:' || s_suppkey AS source_id, 'HGNC:' || s_suppkey AS target_id FROM supplier")
+def q_same_as(spark, d):
+    return domain.same_as(chem(spark, d), "owl:sameAs", "HGNC")
+
+
+@query(f"WITH {IXN} SELECT DISTINCT 'DRUG:' || p AS drug, 'GENE:' || s AS gene FROM ixn JOIN part ON p = p_partkey")
+def q_drug_to_gene(spark, d):
+    return domain.drug_to_gene(chem(spark, d), ids(spark, d, "part", "DRUG", "p_partkey"))
+
+
+@query(f"WITH {IXN} SELECT DISTINCT 'DIS:' || c AS disease, 'GENE:' || ixn.s AS gene FROM assoc JOIN ixn USING (p)")
+def q_disease_to_gene(spark, d):
+    return domain.disease_to_gene(chem(spark, d), ids(spark, d, "customer", "DIS", "c_custkey"))
+
+
+@query(f"WITH {IXN} SELECT DISTINCT 'DIS:' || c AS disease, 'GENE:' || ixn.s AS gene FROM assoc JOIN ixn USING (p) JOIN customer ON c = c_custkey WHERE regexp_matches(c_name, '(?i)7$') ORDER BY 1, 2 LIMIT 500")
+def q_disease_name_to_gene(spark, d):
+    return domain.disease_name_to_gene(chem(spark, d), "7$")
+
+
+@query(f"WITH {IXN} SELECT DISTINCT 'CHEM:' || p AS compound, 'DIS:' || c AS disease, p_name AS stressor_name FROM assoc JOIN part ON p = p_partkey WHERE regexp_matches('DIS:' || c, '^DIS:1')")
+def q_exposure_disease(spark, d):
+    return domain.exposure_disease(chem(spark, d), ids(spark, d, "part", "CHEM", "p_partkey"), "^DIS:1")
+
+
+@query(f"WITH {IXN} SELECT DISTINCT c_name AS disease_name, p_name AS drug_name, path_name FROM assoc JOIN part ON p = p_partkey JOIN target USING (p) JOIN pathway USING (s) JOIN customer ON c = c_custkey WHERE regexp_matches(c_name, '(?i)1$|2$')")
+def q_disease_drug_pathway(spark, d):
+    return domain.disease_drug_pathway(chem(spark, d), "1$|2$")
+
+
+@query("SELECT DISTINCT 'PTYPE:' || p_type AS category, p_type AS category_name FROM part WHERE regexp_matches(p_name, '(?i)^B')")
+def q_broader_category(spark, d):
+    broader = T(spark, d, "part").select(F.col("p_name").alias("label"), t.curie("PTYPE", "p_type").alias("category"), F.col("p_type").alias("category_name"))
+    return domain.broader_category(broader, "^B")
+
+
+@query("SELECT 'PART:' || p_partkey AS id, p_name AS name FROM part")
+def q_term_label(spark, d):
+    return patterns.lookup(ids(spark, d, "part", "PART", "p_partkey"), obo_of(spark, d)["terms"], "id")
+
+
+@query("SELECT DISTINCT 'PART:' || l_partkey AS id, 'SUPP:' || l_suppkey AS part, s_name AS label FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
+def q_anatomy_parts(spark, d):
+    root = spark.createDataFrame([("ROOT:PLACE",)], "id string")
+    return domain.parts_of(t.quads(spark, d), ontology.closure(t.is_a(spark, d)), "supplied_by", root)
+
+
+@query("SELECT 'CUST:' || c_custkey AS id, 'REG:' || n_regionkey AS target, r_name AS label FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'SUPP:' || s_suppkey, 'REG:' || n_regionkey, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'NAT:' || n_nationkey, 'REG:' || n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def q_cell_to_anatomy(spark, d):
+    return domain.superclass_targets(t.quads(spark, d), t.is_a(spark, d), "in_region")
+
+
+@query("SELECT 'CUST:' || c_custkey AS id, 'NAT:' || c_nationkey AS neighbor FROM customer")
+def q_gene_anatomy(spark, d):
+    e = t.quads(spark, d).where("p = 'has_nation'").select(F.col("s").alias("source_id"), F.col("o").alias("target_id"), F.col("p").alias("predicate"))
+    return domain.one_hop(e, ids(spark, d, "customer", "CUST", "c_custkey"), "NAT", None)
+
+
+@query("SELECT DISTINCT p_name AS name, 'DOID:' || p_size AS target_id FROM part")
+def q_name_to_ids(spark, d):
+    k = adapters.concepts(spark, d)
+    return domain.name_to_ids(k, k.select("name"), "DOID")
+
+
+@query("SELECT name, string_agg(a, ';' ORDER BY a) AS aliases FROM (SELECT p_name AS name, 'PART:' || p_partkey AS a FROM part UNION SELECT p_name, 'DOID:' || p_size FROM part) GROUP BY name")
+def q_name_to_any_alias(spark, d):
+    k = adapters.concepts(spark, d)
+    return domain.name_to_any_alias(k, k.select("name"))
+
+
+@query("SELECT DISTINCT p_name AS name, 'MESH.DISEASE:' || p_partkey AS target_id FROM part")
+def q_name_to_mesh_disease(spark, d):
+    k = adapters.concepts(spark, d)
+    return domain.name_to_vocabulary(k, k.select("name"), "PART", "DOID", "MESH.DISEASE")
+
+
+@query("SELECT DISTINCT p_type AS name, p_name AS chemical FROM part UNION SELECT DISTINCT p_name, p_name FROM part")
+def q_ctd_name_to_chemical(spark, d):
+    part = T(spark, d, "part")
+    chemicals = part.groupBy(F.col("p_name").alias("name")).agg(F.collect_set(F.lower("p_type")).alias("synonyms"))
+    names = part.select(F.col("p_name").alias("name")).union(part.select("p_type")).distinct()
+    return domain.ctd_name_to_chemical(chemicals, names)
+
+
+@query("SELECT 'PART:' || l_partkey AS chemical, 'SUPP:' || l_suppkey AS gene_id, l_returnflag || ';' || l_linestatus AS actions FROM lineitem WHERE l_linenumber = 1")
+def q_ctd_chemical_to_gene(spark, d):
+    li = T(spark, d, "lineitem").select(t.curie("PART", "l_partkey").alias("chemical"), t.curie("SUPP", "l_suppkey").alias("gene_id"), F.col("l_linenumber").cast("string").alias("organism_id"), F.concat_ws("|", "l_returnflag", "l_linestatus").alias("actions"), F.lit("1|2").alias("pmids"))
+    out = domain.ctd_chemical_to_gene(li, li.select("chemical"), "1")
+    return out.select("chemical", "gene_id", F.array_join("actions", ";").alias("actions"))
+
+
+@query("SELECT DISTINCT 'ORD:' || l_orderkey AS id, s_name AS symbol FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R'")
+def q_drug_gene(spark, d):
+    symbols = T(spark, d, "supplier").select(t.curie("SUPP", "s_suppkey").alias("refid"), F.col("s_name").alias("symbol"))
+    return domain.linked_targets(adapters.records(spark, d), symbols)
+
+
+@query("SELECT DISTINCT 'ORD:' || l_orderkey AS id, l_returnflag AS term FROM lineitem")
+def q_target_disease(spark, d):
+    return domain.target_terms(adapters.records(spark, d), "IDG Disease")
+
+
+@query("SELECT DISTINCT 'PART:' || p_partkey AS id, 'UNIPROTKB:' || word AS target_id, 'synonym' AS predicate FROM part, unnest(string_split(p_name, ' ')) AS u(word)")
+def q_gene_synonym(spark, d):
+    genes = T(spark, d, "part").select(t.curie("PART", "p_partkey").alias("id"), F.array_distinct(F.split("p_name", " ")).alias("uniprot_ids"))
+    return domain.gene_synonyms(genes, genes.select("id"))
+
+
+@query("SELECT 'ORD:' || l_orderkey AS id, 'PART:' || l_partkey AS target_id, 'has_part' AS predicate, l_returnflag AS relation FROM lineitem")
+def q_gene_disease(spark, d):
+    return domain.associations(adapters.association_records(spark, d), "has_part").drop("pmids")
+
+
+@query("SELECT 'ORD:' || l_orderkey AS id, 'GO:' || l_partkey AS target_id FROM lineitem JOIN part ON l_partkey = p_partkey JOIN (SELECT p_brand, arg_min(p_type, p_partkey) AS t FROM part GROUP BY p_brand) b USING (p_brand) WHERE t = (SELECT min(p_type) FROM part)")
+def q_gene_function(spark, d):
+    root = T(spark, d, "part").agg(t.curie("PTYPE", F.min("p_type")).alias("id"))
+    edges = domain.associations(adapters.association_records(spark, d), "has_part").select("id", "target_id")
+    return domain.associations_below(edges, ontology.closure(t.is_a(spark, d)), root, "PART", "GO").select("id", "target_id")
+
+
+@query("SELECT DISTINCT 'ORD:' || l_orderkey AS id, 'SUPP:' || l_suppkey AS target_id, l_returnflag AS predicate FROM lineitem")
+def q_go_cell_relations(spark, d):
+    rel = T(spark, d, "lineitem").groupBy(t.curie("ORD", "l_orderkey").alias("id"), F.col("l_returnflag").alias("relation")).agg(F.flatten(F.collect_list(F.array(t.curie("SUPP", "l_suppkey"), t.curie("PART", "l_partkey")))).alias("targets"))
+    nested = rel.groupBy("id").agg(F.collect_list(F.struct("relation", "targets")).alias("relations"))
+    return domain.cross_ontology(nested, "SUPP")
+
+
+@query("SELECT DISTINCT p_partkey AS key, upper(trim(word)) AS id FROM part, unnest(string_split(p_brand || ',' || p_type, ',')) AS u(word)")
+def q_id_to_provider_id(spark, d):
+    rows = T(spark, d, "part").select(F.col("p_partkey").alias("key"), F.concat_ws(",", "p_brand", "p_type").alias("list"))
+    return domain.split_ids(rows, "list")
+
+
+@query("SELECT 'PART:' || p_partkey AS id, 'BRAND:' || regexp_replace(p_brand, '\\s', '_', 'g') AS xref FROM part")
+def q_xrefs_by_prefix(spark, d):
+    x = obo_of(spark, d)["xrefs"]
+    return ids(spark, d, "part", "PART", "p_partkey").join(x, "id").where(filters.with_prefix(F.col("xref"), "BRAND"))
+
+
+@query(f"""WITH {MAPPINGS}, ids AS (SELECT DISTINCT a AS id FROM e), f AS (
+ SELECT id, id AS resolved FROM ids WHERE id LIKE 'SUPP:%' UNION SELECT id, b FROM ids JOIN e ON id = a WHERE id NOT LIKE 'SUPP:%')
+SELECT DISTINCT id, resolved FROM f""")
+def q_id_to_doid(spark, d):
+    m = t.mappings(spark, d)
+    every = m.select(F.col("from_curie").alias("id")).union(m.select("to_curie")).distinct()
+    terms = m.select(F.col("to_curie").alias("id")).distinct()
+    return ontology.ids_to_vocabulary(every, terms, m.select(F.col("from_curie").alias("id"), F.col("to_curie").alias("xref")), "SUPP")
+
+
+@query("SELECT DISTINCT upper(p_name) AS name, 'PART:' || p_partkey AS id FROM part UNION SELECT DISTINCT b || ', ' || a, 'PART:' || p_partkey FROM (SELECT *, split_part(p_name, ' ', 1) AS a, array_to_string(list_slice(string_split(p_name, ' '), 2, 99), ' ') AS b FROM part) WHERE b <> ''")
+def q_name_search(spark, d):
+    part = T(spark, d, "part")
+    terms = part.select(t.curie("PART", "p_partkey").alias("id"), F.col("p_name").alias("name"))
+    swapped = part.where("p_name like '% %'").select(F.concat(F.expr("substring(p_name, instr(p_name, ' ') + 1)"), F.lit(", "), F.substring_index("p_name", " ", 1)))
+    names = part.select(F.upper("p_name").alias("name")).union(swapped).distinct()
+    return ontology.name_search(names, terms, terms.select("id", F.lit("none").alias("synonym")))
+
+
+@query("SELECT DISTINCT lower(word) AS name, 'PART:' || p_partkey AS id FROM part, unnest(string_split(p_name, ' ')) AS u(word)")
+def q_name_substring_search(spark, d):
+    terms = T(spark, d, "part").select(t.curie("PART", "p_partkey").alias("id"), F.col("p_name").alias("name"))
+    names = terms.select(F.lower(F.explode(F.split("name", " "))).alias("name")).distinct()
+    return ontology.name_search(names, terms, terms.select("id", F.lit("").alias("synonym")).where("false"), substring=True)
+
+
+# graphs, paths, translation
+
+
+@query(f"{CLOSURE} SELECT id, ancestor, min(depth) AS depth FROM up GROUP BY ALL")
+def transitive_closure(spark, d):
+    return ontology.closure(t.is_a(spark, d))
+
+
+@query(f"{CLOSURE} SELECT ancestor AS root, id FROM up WHERE ancestor IN ('ROOT:PART', 'ROOT:PLACE')")
+def descendants(spark, d):
+    return ontology.descendants(t.is_a(spark, d), spark.createDataFrame([("ROOT:PART",), ("ROOT:PLACE",)], "id string"))
+
+
+@query("SELECT 'SUPP:' || s_suppkey AS id, 'REG:' || n_regionkey AS target FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'CUST:' || c_custkey, 'REG:' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'NAT:' || n_nationkey, 'REG:' || n_regionkey FROM nation")
+def property_path(spark, d):
+    e = t.quads(spark, d).where("p = 'in_region'").select(F.col("s").alias("source_id"), F.col("o").alias("target_id"))
+    return ontology.property_path(ontology.closure(t.is_a(spark, d), reflexive=True), e)
+
+
+@query(f"""WITH {MAPPINGS}, one AS (SELECT a AS q, b AS c, string_agg(DISTINCT f, ';' ORDER BY f) AS s FROM e GROUP BY ALL),
+ two AS (SELECT x.q, e.b AS c, string_agg(DISTINCT e.f, ';' ORDER BY e.f) AS s FROM one x JOIN e ON x.c = e.a WHERE x.q <> e.b AND NOT EXISTS (SELECT 1 FROM one WHERE one.q = x.q AND one.c = e.b) GROUP BY ALL)
+SELECT q AS query_id, c AS curie, 1 AS distance, s AS source_prefixes FROM one UNION ALL SELECT q, c, 2, s FROM two""")
+def khop_synonyms(spark, d):
+    return ontology.khop(t.mappings(spark, d), 2).withColumn("source_prefixes", F.array_join("source_prefixes", ";"))
+
+
+@query(f"""WITH {MAPPINGS}, one AS (SELECT DISTINCT a AS q, b AS c FROM e), two AS (SELECT DISTINCT x.q, y.c FROM one x JOIN one y ON x.c = y.q WHERE x.q <> y.c EXCEPT SELECT q, c FROM one),
+ found AS (SELECT q, c, 1 AS d FROM one UNION ALL SELECT q, c, 2 FROM two), p AS (SELECT *, min(d) OVER (PARTITION BY q) AS least FROM found WHERE c LIKE 'SUPP:%')
+SELECT q AS query_id, c AS curie, d AS distance FROM p WHERE d = least""")
+def khop_expanding(spark, d):
+    return ontology.khop_expanding(t.mappings(spark, d), "SUPP", 2).select("query_id", "curie", "distance")
+
+
+@query("SELECT DISTINCT p_brand AS prefix FROM part UNION SELECT DISTINCT p_type FROM part UNION SELECT 'MESH'")
+def valid_prefixes(spark, d):
+    sources = T(spark, d, "part").groupBy(F.col("p_brand").alias("prefix")).agg(F.collect_set("p_type").alias("alternates"))
+    return ontology.valid_prefixes(sources)
+
+
+MOVES = "moves AS (SELECT * FROM (VALUES ('CUST','NAT','has_nation'),('ORD','CUST','ordered_by'),('ORD','PART','has_part'),('PART','SUPP','supplied_by'),('SUPP','NAT','in_nation'),('NAT','REG','in_region')) v(a, b, l))"
+
+
+@query(f"""WITH RECURSIVE {MOVES}, p AS (SELECT b AS dst, 1 AS hops, 'ORD>' || b AS types, l AS links FROM moves WHERE a = 'ORD'
+ UNION ALL SELECT b, hops + 1, types || '>' || b, links || '>' || l FROM p JOIN moves ON dst = a WHERE hops < 8), s AS (SELECT *, min(hops) OVER (PARTITION BY dst) AS least FROM p)
+SELECT dst AS dst_type, CAST(hops AS INTEGER) AS hops, types, links FROM s WHERE hops = least""")
+def shortest_paths_all(spark, d):
+    moves = typegraph.transitions_of(t.quads(spark, d))
+    out = typegraph.shortest_paths(moves, "ORD", moves.select("dst_type"))
+    return out.select("dst_type", F.col("hops").cast("int").alias("hops"), F.array_join("types", ">").alias("types"), F.array_join("links", ">").alias("links"))
+
+
+@query(f"""WITH RECURSIVE {MOVES}, p AS (SELECT b AS dst, 1 AS hops, l AS links FROM moves WHERE a = 'ORD'
+ UNION ALL SELECT b, hops + 1, links || '>' || l FROM p JOIN moves ON dst = a WHERE hops < 4) SELECT dst AS dst_type, links FROM p""")
+def path_enumerate(spark, d):
+    out = typegraph.paths(typegraph.transitions_of(t.quads(spark, d)), "ORD", 4)
+    return out.select("dst_type", F.array_join("links", ">").alias("links"))
+
+
+@query("SELECT * FROM (VALUES ('REG', 0, 'ORD', 'ordered_by'), ('REG', 1, 'CUST', 'has_nation'), ('REG', 2, 'NAT', 'in_region')) v(dst_type, level, node_type, ops)")
+def compile_program(spark, d):
+    moves = typegraph.transitions_of(t.quads(spark, d))
+    found = typegraph.shortest_paths(moves, "ORD", moves.where("dst_type = 'REG'").select("dst_type"))
+    return typegraph.compile_program(found).withColumn("ops", F.array_join("ops", ";"))
+
+
+EXECUTED = """SELECT 0 AS level, 'ORD:' || o_orderkey AS source_id, 'ordered_by' AS predicate, 'CUST:' || o_custkey AS target_id, true AS type_ok FROM orders
+UNION SELECT 1, 'CUST:' || c_custkey, 'has_nation', 'NAT:' || c_nationkey, true FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)
+UNION SELECT 2, 'NAT:' || n_nationkey, 'in_region', 'REG:' || n_regionkey, true FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))"""
+
+
+@query(EXECUTED)
+def execute_program(spark, d):
+    q = t.quads(spark, d)
+    moves = typegraph.transitions_of(q)
+    found = typegraph.shortest_paths(moves, "ORD", moves.where("dst_type = 'REG'").select("dst_type"))
+    return typegraph.execute_program(typegraph.compile_program(found), ids(spark, d, "orders", "ORD", "o_orderkey"), q)
+
+
+@query(f"""WITH {IXN}, a AS (SELECT DISTINCT 'DIS:' || c AS source_id, 'disease_gene' AS predicate, 'GENE:' || ixn.s AS target_id FROM assoc JOIN ixn USING (p)),
+ b AS (SELECT DISTINCT 'DRUG:' || p, 'drug_gene', 'GENE:' || s FROM ixn JOIN part ON p = p_partkey)
+SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT DISTINCT 'GENE:' || s, 'gene_pathway', 'PATH:' || n FROM pathway WHERE s IN (SELECT s FROM ixn)""")
+def clinical_outcome_pathway(spark, d):
+    return domain.clinical_outcome_pathway(chem(spark, d), ids(spark, d, "part", "DRUG", "p_partkey"), ids(spark, d, "customer", "DIS", "c_custkey"))
+
+
+@query("SELECT DISTINCT prefix AS type, CASE WHEN prefix IN ('NAT', 'REG') THEN 'Place' WHEN prefix IN ('CUST', 'SUPP') THEN 'Party' ELSE 'Thing' END AS concept FROM (VALUES ('CUST'), ('ORD'), ('PART'), ('SUPP'), ('NAT'), ('REG')) v(prefix)")
+def assign_is_a(spark, d):
+    types, concepts = type_concepts(spark, d)
+    return typegraph.assign_is_a(types, concepts)
+
+
+def type_concepts(spark, d):
+    moves = typegraph.transitions_of(t.quads(spark, d))
+    types = moves.select(F.col("src_type").alias("type")).union(moves.select("dst_type")).distinct()
+    concept = F.when(F.col("type").isin("NAT", "REG"), "Place").when(F.col("type").isin("CUST", "SUPP"), "Party").otherwise("Thing")
+    first = types.select("type", F.lit("Other").alias("concept"), F.lit(0).alias("position"))
+    return types, first.unionByName(types.select("type", concept.alias("concept"), F.lit(1).alias("position")))
+
+
+@query("SELECT * FROM (VALUES ('Party', 'Place'), ('Thing', 'Party'), ('Thing', 'Thing'), ('Place', 'Place')) v(src_concept, dst_concept)")
+def lift_to_concepts(spark, d):
+    types, concepts = type_concepts(spark, d)
+    return typegraph.lift_to_concepts(typegraph.transitions_of(t.quads(spark, d)), typegraph.assign_is_a(types, concepts))
+
+
+@query("SELECT * FROM (VALUES ('CUST', 'NAT'), ('CUST', 'REG'), ('SUPP', 'NAT'), ('SUPP', 'REG')) v(type_a, type_b)")
+def type_matrix(spark, d):
+    return typegraph.type_pairs(typegraph.assign_is_a(*type_concepts(spark, d)), "Party", "Place")
+
+
+@query("SELECT 'CUST:' || c_custkey AS id, 'CUST' AS type FROM customer UNION ALL SELECT c_name, v.t FROM customer, (VALUES ('CUST'), ('SUPP')) v(t)")
+def map_concept_types(spark, d):
+    customer = T(spark, d, "customer")
+    nodes = customer.select(t.curie("CUST", "c_custkey").alias("id"), F.lit("Place").alias("concept")).union(customer.select("c_name", F.lit("Party")))
+    return typegraph.candidate_types(nodes, typegraph.assign_is_a(*type_concepts(spark, d)))
+
+
+@query("SELECT 'CUST:' || c_custkey AS id, 'CLIENT' AS type_a, 'NAT' AS type_b, 'cust__has_nation__nat' AS op FROM customer UNION ALL SELECT 'SUPP:' || s_suppkey, 'SUPP', 'ORD', NULL FROM supplier")
+def route_translation(spark, d):
+    moves = typegraph.transitions_of(t.quads(spark, d))
+    requests = ids(spark, d, "customer", "CUST", "c_custkey").withColumns({"type_a": F.lit("CLIENT"), "type_b": F.lit("NAT")}).union(ids(spark, d, "supplier", "SUPP", "s_suppkey").withColumns({"type_a": F.lit("SUPP"), "type_b": F.lit("ORD")}))
+    router = moves.select(F.col("src_type").alias("type_a"), F.col("dst_type").alias("type_b"), "op")
+    return typegraph.route(requests, router, spark.createDataFrame([("CLIENT", "CUST")], "id string, equivalent_id string")).select("id", "type_a", "type_b", "op")
+
+
+@query("SELECT 'ORD:' || o_orderkey AS id, 'REG:' || n_regionkey AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def translate(spark, d):
+    return typegraph.translate(ids(spark, d, "orders", "ORD", "o_orderkey"), t.quads(spark, d), "ORD", "REG")
+
+
+@query("""WITH a AS (SELECT 'ORD:' || l_orderkey AS id, 'PART:' || l_partkey AS value FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) QUALIFY row_number() OVER (PARTITION BY id ORDER BY value) <= 2),
+ b AS (SELECT DISTINCT 'PART:' || l_partkey AS id, 'SUPP:' || l_suppkey AS value FROM lineitem WHERE 'PART:' || l_partkey IN (SELECT value FROM a)), c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY value) <= 2)
+SELECT 'PART' AS kind, * FROM a UNION ALL SELECT 'SUPP', * FROM c""")
+def translate_chain(spark, d):
+    return typegraph.translate_chain(ids(spark, d, "orders", "ORD", "o_orderkey"), t.quads(spark, d), ["ORD", "PART", "SUPP"], 2)
+
+
+@query(f"""WITH RECURSIVE {IS_A}, n AS (SELECT 'CUST:' || c_custkey AS id, c_name AS label, 'NAT:' || c_nationkey AS rep FROM customer)
+SELECT least(rep, min(id)) AS representative, count(*) AS n_labels FROM n GROUP BY rep""")
+def merge_synonyms(spark, d):
+    nodes = T(spark, d, "customer").select(t.curie("CUST", "c_custkey").alias("id"), F.col("c_name").alias("label"))
+    links = T(spark, d, "customer").select(t.curie("CUST", "c_custkey").alias("a"), t.curie("NAT", "c_nationkey").alias("b"))
+    return patterns.merge_synonyms(nodes, links).select("representative", F.size("labels").cast("long").alias("n_labels"))
+
+
+@query("SELECT 'SUPP:' || s_suppkey AS source_id, 'in_nation' AS predicate, 'NAT:' || s_nationkey AS target_id FROM supplier")
+def op_registry(spark, d):
+    q, r = t.quads(spark, d), typegraph.Registry()
+    r.register_table(typegraph.transitions_of(q), q)
+    return r["supp__in_nation__nat"](ids(spark, d, "supplier", "SUPP", "s_suppkey"))
+
+
+# aggregates, limits, similarity
+
+
+@query("SELECT p_brand, string_agg(p_name, ';' ORDER BY p_name) AS values FROM part GROUP BY p_brand")
+def agg_multimap(spark, d):
+    return measures.multimap(T(spark, d, "part"), "p_brand", "p_name").withColumn("values", F.array_join("values", ";"))
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def agg_last_wins(spark, d):
+    return measures.last_per_key(T(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem")
+def agg_distinct(spark, d):
+    return T(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+
+
+@query("SELECT l_suppkey, string_agg(DISTINCT l_returnflag, ';' ORDER BY l_returnflag) AS actions FROM lineitem GROUP BY l_suppkey")
+def agg_set_union(spark, d):
+    rows = T(spark, d, "lineitem").select("l_suppkey", F.array("l_returnflag").alias("a"))
+    return measures.collect_actions(rows, "l_suppkey", "a").withColumn("actions", F.array_join("actions", ";"))
+
+
+@query("SELECT o_custkey, string_agg(o_orderkey || '', ';' ORDER BY o_orderkey || '') AS joined FROM orders GROUP BY o_custkey")
+def agg_string_join(spark, d):
+    return measures.join_values(T(spark, d, "orders"), "o_custkey", "o_orderkey")
+
+
+@query("WITH n AS (SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer) SELECT count(*) AS total, CAST(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS BIGINT) AS with_hit, CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS without_hit, CAST(sum(n) AS BIGINT) AS hits, round(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) / count(*), 6) AS ratio FROM n")
+def agg_coverage(spark, d):
+    return measures.coverage(T(spark, d, "customer").select(F.col("c_custkey").alias("k")), T(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
+
+
+def bucket_sql(interval: str, f: str) -> str:
+    return f"SELECT event_type AS exposure_type, time_bucket(INTERVAL '{interval}', ts, TIMESTAMP '1970-01-01') AS bucket, round({f}(value), 6) AS value FROM events GROUP BY ALL"
+
+
+def bucketed(spark, d, resolution, aggregation):
+    return measures.time_buckets(t.exposures(spark, d), resolution, aggregation).withColumn("value", F.round("value", 6))
+
+
+@query(bucket_sql("1 hour", "max"))
+def agg_time_bucket_hour_max(spark, d):
+    return bucketed(spark, d, "hour", "max")
+
+
+@query(bucket_sql("1 day", "avg"))
+def agg_time_bucket_day_avg(spark, d):
+    return bucketed(spark, d, "day", "avg")
+
+
+@query(bucket_sql("7 days", "avg"))
+def agg_time_bucket_7day_avg(spark, d):
+    return bucketed(spark, d, "7day", "avg")
+
+
+@query(bucket_sql("14 days", "max"))
+def agg_time_bucket_14day_max(spark, d):
+    return bucketed(spark, d, "14day", "max")
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def sort_by(spark, d):
+    return T(spark, d, "nation").join(T(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name").orderBy("r_name", "n_name")
+
+
+@query("SELECT DISTINCT l_suppkey, l_partkey FROM lineitem ORDER BY 1, 2 LIMIT 200")
+def limit_rows(spark, d):
+    return filters.limit_rows(T(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct(), 200)
+
+
+VECTORS = "v AS (SELECT 't' || vec_id AS term, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+
+
+def terms_of(spark, d):
+    return T(spark, d, "embeddings").select(F.concat(F.lit("t"), F.col("vec_id")).alias("term"), F.col("embedding").alias("vec"))
+
+
+@query("SELECT 't' || a.vec_id AS term_a, 'T' || b.vec_id AS term_b, coalesce(round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4), -1.0) AS similarity FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE b.vec_id IS NOT NULL")
+def cosine_similarity(spark, d):
+    v = T(spark, d, "embeddings")
+    pairs = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.lit(1).alias("_")), "vec_id").select(F.concat(F.lit("t"), F.col("vec_id")).alias("term_a"), F.concat(F.lit("T"), F.col("vec_id") + 1).alias("term_b"))
+    return measures.similarity(pairs, terms_of(spark, d)).withColumn("similarity", F.round("similarity", 4))
+
+
+@query(f"WITH {VECTORS}, s AS (SELECT a.term, b.term AS similar, list_cosine_similarity(a.e, b.e) AS x FROM v a JOIN v b ON a.term <> b.term AND CAST(substr(a.term, 2) AS BIGINT) % 20 = 0) SELECT term, similar, CAST(row_number() OVER (PARTITION BY term ORDER BY round(x, 6) DESC, similar) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")
+def topk_similar(spark, d):
+    terms = T(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.concat(F.lit("t"), F.col("vec_id")).alias("term"))
+    return measures.most_similar(terms_of(spark, d), terms, 10).select("term", "similar", F.col("rank").cast("int").alias("rank"))
+
+
+# set operations
+
+
+@query("SELECT 'CUST:' || c_custkey AS id FROM customer UNION ALL SELECT 'SUPP:' || s_suppkey FROM supplier UNION ALL SELECT 'CUST:' || o_custkey FROM orders")
+def union_all(spark, d):
+    return ids(spark, d, "customer", "CUST", "c_custkey").unionByName(ids(spark, d, "supplier", "SUPP", "s_suppkey")).unionByName(ids(spark, d, "orders", "CUST", "o_custkey"))
+
+
+@query("SELECT DISTINCT p_partkey AS id, lower(p_name) AS key FROM part UNION SELECT DISTINCT p_partkey, lower(word) FROM part, unnest(string_split(p_name, ' ')) AS u(word)")
+def union_names_synonyms(spark, d):
+    part = T(spark, d, "part")
+    return part.select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("key")).union(part.select("p_partkey", F.lower(F.explode(F.split("p_name", " "))))).distinct()
+
+
+# scalar functions
+
+
+@query("SELECT p_partkey, upper(p_brand) AS prefix, p_name AS local, 'PART_' || p_partkey AS last, 'PART:' || p_partkey AS obo, 'PART_' || p_partkey AS gene FROM part")
+def curie_parts(spark, d):
+    """curie_prefix, un_curie, path_last, obo_to_curie, munge_gene."""
+    identifier, iri = F.concat_ws(":", F.lower("p_brand"), "p_name", F.lit("third")), F.concat(F.lit("http://x.org/obo/PART_"), F.col("p_partkey"))
+    return T(spark, d, "part").select("p_partkey", c.curie_prefix(identifier).alias("prefix"), c.un_curie(identifier).alias("local"), c.path_last(iri).alias("last"), c.obo_to_curie(iri).alias("obo"), c.munge_gene(iri).alias("gene"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS short FROM documents")
+def short_text(spark, d):
+    return T(spark, d, "documents").select("doc_id", c.short_text(F.col("text")).alias("short"))
+
+
+@query("SELECT page_id, CASE WHEN url LIKE '%/' THEN url ELSE url || '/' END AS with_slash, regexp_replace(url, '/$', '') AS without FROM pages")
+def terminate(spark, d):
+    return T(spark, d, "pages").select("page_id", c.terminate(F.col("url")).alias("with_slash"), c.unterminate(F.col("url")).alias("without"))
+
+
+def prefix_table(spark, d):
+    return T(spark, d, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey")).alias("curie"), F.concat(F.lit("http://x.org/"), F.col("n_nationkey"), F.lit("/")).alias("iri"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'N' || c_nationkey ELSE upper(c_custkey || 'a') END AS curie, CASE WHEN c_custkey % 2 = 0 THEN 'N' || c_nationkey || ':' || c_custkey || 'a' ELSE 'http://unknown/' || c_custkey || 'a' END AS compact, 'http://x.org/' || c_nationkey || '/' || c_custkey AS iri, 'http://x.org/' || c_nationkey || '/' AS type_iri FROM customer")
+def iri_conversions(spark, d):
+    """iri_to_curie_prefix, make_up_curie, iri_compact, curie_to_iri, guess_type."""
+    p = prefix_table(spark, d)
+    known = F.concat(F.lit("http://x.org/"), F.col("c_nationkey"), F.lit("/"), F.col("c_custkey"), F.lit("a"))
+    rows = T(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, known).otherwise(F.concat(F.lit("http://unknown/"), F.col("c_custkey"), F.lit("a"))).alias("address"), F.concat(F.lit("n"), F.col("c_nationkey"), F.lit(":"), F.col("c_custkey")).alias("identifier"), F.lit("none").alias("source"))
+    out = c.iri_compact(rows, p, "address")
+    out = c.make_up_curie(out, p, "address")
+    out = c.guess_type(c.curie_to_iri(out, p, "identifier"), p, "identifier", "source")
+    return out.select("c_custkey", "curie", "compact", "iri", "type_iri")
+
+
+@query("SELECT event_id, 'http://x.org/k' AS key, props->>'$.k' AS value FROM events WHERE props->>'$.k' IS NOT NULL")
+def expand_context(spark, d):
+    rows = T(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("record"))
+    context = T(spark, d, "region").select(F.lit("k").alias("term"), F.lit("http://x.org/k").alias("iri")).distinct()
+    return c.expand_keys(rows, context, "record").where("key = 'http://x.org/k'")
+
+
+@query("SELECT event_id, CASE WHEN props->>'$.k' LIKE '1%' THEN props->>'$.k' END AS value FROM events")
+def extract_path_values(spark, d):
+    return T(spark, d, "events").select("event_id", c.extract_path_values(F.col("props"), "$.k", "1").alias("value"))
+
+
+@query("SELECT 'GO:' || p_partkey AS id FROM part UNION ALL SELECT 'SUPP:' || s_suppkey FROM supplier")
+def rewrite_prefix(spark, d):
+    rows = ids(spark, d, "part", "PART", "p_partkey").unionByName(ids(spark, d, "supplier", "SUPP", "s_suppkey"))
+    return rows.select(c.rewrite_prefix(F.col("id"), "PART", "GO").alias("id"))
+
+
+@query("SELECT 'CUST:' || c_custkey AS id, 'Party' AS concept FROM customer UNION ALL SELECT 'NONE:' || n_nationkey, NULL FROM nation")
+def abstract_type(spark, d):
+    rows = ids(spark, d, "customer", "CUST", "c_custkey").unionByName(ids(spark, d, "nation", "NONE", "n_nationkey"))
+    return c.abstract_type(rows, typegraph.assign_is_a(*type_concepts(spark, d)), "id")
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 'Pathway' END AS node_type FROM orders")
+def type_code(spark, d):
+    return T(spark, d, "orders").select("o_orderkey", c.type_code(F.col("o_orderstatus")).alias("node_type"))
+
+
+@query("SELECT p_partkey, p_type || ' ' || p_name AS inverted, p_name || ';' || p_type AS parts FROM part")
+def invert_comma_name(spark, d):
+    """invert_comma_name and split_multi."""
+    return T(spark, d, "part").select("p_partkey", c.invert_comma_name(F.concat_ws(", ", "p_name", "p_type")).alias("inverted"), F.array_join(c.split_multi(F.concat_ws(" | ", "p_name", F.lit(""), "p_type")), ";").alias("parts"))
+
+
+@query("SELECT DISTINCT user_id, 35 + user_id / 1000.0 AS lat, CAST(NULL AS DOUBLE) AS lon FROM events")
+def parse_lat_lon(spark, d):
+    p = c.parse_lat_lon(F.concat_ws(",", (35 + F.col("user_id") / 1000.0).cast("string"), F.lit("none")))
+    return T(spark, d, "events").select("user_id", p.alias("p")).select("user_id", "p.lat", "p.lon").distinct()
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def date_parse(spark, d):
+    """date_parse and date_format."""
+    return T(spark, d, "orders").select("o_orderkey", c.format_date(c.parse_date(F.date_format("o_orderdate", "yyyy-M-d"))).alias("day"))
+
+
+@query("SELECT page_id, lower(regexp_replace(regexp_replace(url, '^https?://[^/]*/', ''), '[{}?=/\\s]+', '_', 'g')) AS name FROM pages")
+def normalize_name(spark, d):
+    return T(spark, d, "pages").select("page_id", c.normalize_name(F.col("url")).alias("name"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_name LIKE '% %' THEN '\"' || p_name || '\"' ELSE p_name END AS keyword, p_name || ' (PART:' || p_partkey || ')' AS shortname, p_size = 1 AS synonym FROM part")
+def quote_keyword(spark, d):
+    """quote_keyword, node_shortname, edge_is_synonym."""
+    return T(spark, d, "part").select("p_partkey", c.quote_keyword(F.col("p_name")).alias("keyword"), c.node_shortname(F.col("p_name"), t.curie("PART", "p_partkey")).alias("shortname"), c.edge_is_synonym(F.when(F.col("p_size") == 1, "SYNONYM").otherwise("other")).alias("synonym"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def valid_node_type(spark, d):
+    nodes = T(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("node_type"))
+    return c.valid_nodes(nodes, nodes.where("node_type != 'P'"))[0].select("id")
+
+
+STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
+
+
+@query(f"WITH e AS (SELECT user_id, event_type, min(ts) AS a, max(ts) AS b FROM events GROUP BY ALL) SELECT user_id || '' AS patient_id, string_agg(event_type || '@' || {STAMP.format('a')} || '@OUTPATIENT', ';' ORDER BY event_type) AS visits, string_agg(event_type || '@' || {STAMP.format('b')}, ';' ORDER BY event_type) AS meds FROM e GROUP BY user_id")
+def flatten_patient(spark, d):
+    out = measures.flatten_patients(t.patients(spark, d))
+    visits = F.transform("diagnoses", lambda x: F.concat_ws("@", x["diagnosis"], x["visit"]["date"], x["visit"]["type"])) if "visit" in str(out.schema["diagnoses"].dataType) else F.transform("diagnoses", lambda x: F.concat_ws("@", x["diagnosis"], x["date"], x["type"]))
+    return out.select("patient_id", F.array_join(visits, ";").alias("visits"), F.array_join(F.transform("medications", lambda x: F.concat_ws("@", x["medication"], x["date"])), ";").alias("meds"))
+
+
+@query("SELECT user_id || '' AS patient_id, count(*) AS n_exposures, count(DISTINCT event_type) AS n_visits FROM events GROUP BY user_id")
+def nest_endotype_request(spark, d):
+    e = T(spark, d, "events").withColumn("visit_id", F.concat_ws("/", "user_id", "event_type"))
+    visits = e.groupBy("visit_id", F.col("user_id").cast("string").alias("patient_id"), F.col("event_type").alias("visit_type")).agg(F.min("ts").cast("string").alias("time"))
+    out = measures.endotype_requests(t.patients(spark, d), visits, e.select("visit_id", F.col("event_type").alias("exposure_type"), F.lit("u").alias("units"), "value"))
+    parsed = F.from_json("request", "visits array<struct<exposures: array<struct<value: double>>>>")["visits"]
+    return out.select("patient_id", F.aggregate(parsed, F.lit(0).cast("long"), lambda s, v: s + F.size(v["exposures"])).alias("n_exposures"), F.size(parsed).cast("long").alias("n_visits"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers' nations reached through the region table."""
-    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
+    """Orders to regions: shortest paths of the type graph, compiled and run over all orders."""
+    return execute_program(spark, sf_dir)
 
 
-def queries() -> dict:
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function of (spark, sf_dir)."""
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
-    return {}
+    return dict(SQL)

@@ -1 +1 @@
-"""See the modules of this package."""
+"""Streaming forms of operators whose input can be a stream."""
