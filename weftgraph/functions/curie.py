@@ -62,12 +62,12 @@ def type_code(c: Column) -> Column:
 
 def invert_comma_name(c: Column) -> Column:
     """'Arrhythmias, Cardiac' as 'Cardiac Arrhythmias'."""
-    return F.array_join(F.transform(F.reverse(F.split(c, ",")), F.trim), " ")
+    return F.array_join(F.transform(F.reverse(F.split(c, ",")), lambda x: F.trim(x)), " ")
 
 
 def split_multi(c: Column, separator: str = "|") -> Column:
     """The trimmed non-empty parts of a separated list."""
-    return F.filter(F.transform(F.split(c, f"\\Q{separator}\\E"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, f"\\Q{separator}\\E"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def parse_lat_lon(c: Column) -> Column:

@@ -47,7 +47,7 @@ def time_buckets(exposures: DataFrame, resolution: str, aggregation: str = "avg"
 
 
 def flatten_patients(patients: DataFrame) -> DataFrame:
-    """Patients with diag as an array of (diagnosis, visit(date, type)), the first visit each, medList as (medication, date), and lat and long."""
+    """Patients with diag as an array of (diagnosis, date, type), the first visit each, medList as (medication, date), and lat and long."""
     visits = F.transform(F.map_entries("diag"), lambda e: F.struct(e["key"].alias("diagnosis"), F.try_element_at(F.map_entries(e["value"]), F.lit(1))["key"].alias("date"), F.try_element_at(F.map_entries(e["value"]), F.lit(1))["value"].alias("type")))
     meds = F.transform(F.map_entries("medList"), lambda e: F.struct(e["key"].alias("medication"), e["value"].alias("date")))
     return patients.select("patient_id", "sex", "race", "birth_date", F.array_sort(visits).alias("diagnoses"), F.array_sort(meds).alias("medications"), F.col("geoCode.lat").alias("lat"), F.col("geoCode.long").alias("long"))
@@ -83,14 +83,14 @@ def similarity(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def most_similar(embeddings: DataFrame, terms: DataFrame, k: int = 10, parts: int = 16) -> DataFrame:
-    """(term, similar, similarity, rank): each given term's k nearest others by cosine, ties to the smaller term.
+    """(term, partner, similarity, rank): each given term's k nearest others by cosine, ties to the smaller term.
 
     Terms meet the vectors in blocks: queries go to every one of `parts` blocks of the vectors, and
     each block keeps its own k before the blocks are compared.
     """
     unit = lambda v: F.transform(v, lambda x: F.try_divide(x.cast("double"), F.sqrt(dot(v, v))))
-    stored = embeddings.select(F.col("term").alias("similar"), unit(F.col("vec")).alias("_v"), F.pmod(F.xxhash64("term"), F.lit(parts)).alias("_part"))
-    asked = embeddings.join(terms.select("term").distinct(), "term").select("term", unit(F.col("vec")).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long").alias("_part"))
-    rows = asked.join(stored, "_part").where("term != similar").select("term", "similar", F.round(dot(F.col("_q"), F.col("_v")), 6).alias("similarity"))
-    w = Window.partitionBy("term").orderBy(F.desc("similarity"), "similar")
+    stored = embeddings.select(F.col("term").alias("partner"), unit(F.col("vec")).alias("_v"), F.pmod(F.xxhash64("term"), F.lit(parts)).alias("_part"))
+    asked = embeddings.join(terms.select("term").distinct(), "term").select("term", unit(F.col("vec")).alias("_q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_part"))
+    rows = asked.join(stored, "_part").where("term != partner").select("term", "partner", F.round(dot(F.col("_q"), F.col("_v")), 6).alias("similarity"))
+    w = Window.partitionBy("term").orderBy(F.desc("similarity"), "partner")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

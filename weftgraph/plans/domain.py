@@ -170,7 +170,7 @@ def name_to_vocabulary(concepts: DataFrame, names: DataFrame, prefix: str, neede
 
 def ctd_name_to_chemical(chemicals: DataFrame, names: DataFrame) -> DataFrame:
     """(name, chemical): chemicals (name, synonyms) whose name or a synonym is the lower-cased name."""
-    index = chemicals.select(F.lower("name").alias("key"), F.col("name").alias("chemical")).union(chemicals.select(F.explode(F.transform("synonyms", F.lower)), "name")).distinct()
+    index = chemicals.select(F.lower("name").alias("key"), F.col("name").alias("chemical")).union(chemicals.select(F.explode(F.transform("synonyms", lambda x: F.lower(x))), "name")).distinct()
     return names.withColumn("key", F.lower("name")).join(index, "key").select("name", "chemical")
 
 
@@ -194,7 +194,7 @@ def target_terms(records: DataFrame, label: str) -> DataFrame:
 
 def gene_synonyms(genes: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, target_id, predicate): genes' UniProt ids as synonym edges (genes: id, uniprot_ids)."""
-    return ids.join(genes, "id").select("id", F.concat(F.lit("UNIPROTKB:"), F.explode("uniprot_ids")).alias("target_id"), F.lit("synonym").alias("predicate"))
+    return ids.join(genes, "id").select("id", F.explode("uniprot_ids").alias("u")).select("id", F.concat(F.lit("UNIPROTKB:"), "u").alias("target_id"), F.lit("synonym").alias("predicate"))
 
 
 def associations(records: DataFrame, predicate: str) -> DataFrame:

@@ -518,7 +518,7 @@ def q_name_search(spark, d):
 @query("SELECT DISTINCT lower(word) AS name, 'PART:' || p_partkey AS id FROM part, unnest(string_split(p_name, ' ')) AS u(word)")
 def q_name_substring_search(spark, d):
     terms = T(spark, d, "part").select(t.curie("PART", "p_partkey").alias("id"), F.col("p_name").alias("name"))
-    names = terms.select(F.lower(F.explode(F.split("name", " "))).alias("name")).distinct()
+    names = terms.select(F.explode(F.split(F.lower("name"), " ")).alias("name")).distinct()
     return ontology.name_search(names, terms, terms.select("id", F.lit("").alias("synonym")).where("false"), substring=True)
 
 
@@ -753,17 +753,17 @@ def terms_of(spark, d):
     return T(spark, d, "embeddings").select(F.concat(F.lit("t"), F.col("vec_id")).alias("term"), F.col("embedding").alias("vec"))
 
 
-@query("SELECT 't' || a.vec_id AS term_a, 'T' || b.vec_id AS term_b, coalesce(round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4), -1.0) AS similarity FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE b.vec_id IS NOT NULL")
+@query("SELECT 't' || a.vec_id AS term_a, 'T' || b.vec_id AS term_b, coalesce(round(round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6), 4), -1.0) AS similarity FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE b.vec_id IS NOT NULL")
 def cosine_similarity(spark, d):
     v = T(spark, d, "embeddings")
     pairs = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.lit(1).alias("_")), "vec_id").select(F.concat(F.lit("t"), F.col("vec_id")).alias("term_a"), F.concat(F.lit("T"), F.col("vec_id") + 1).alias("term_b"))
     return measures.similarity(pairs, terms_of(spark, d)).withColumn("similarity", F.round("similarity", 4))
 
 
-@query(f"WITH {VECTORS}, s AS (SELECT a.term, b.term AS similar, list_cosine_similarity(a.e, b.e) AS x FROM v a JOIN v b ON a.term <> b.term AND CAST(substr(a.term, 2) AS BIGINT) % 20 = 0) SELECT term, similar, CAST(row_number() OVER (PARTITION BY term ORDER BY round(x, 6) DESC, similar) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")
+@query(f"WITH {VECTORS}, s AS (SELECT a.term, b.term AS partner, list_cosine_similarity(a.e, b.e) AS x FROM v a JOIN v b ON a.term <> b.term AND CAST(substr(a.term, 2) AS BIGINT) % 20 = 0) SELECT term, partner, CAST(row_number() OVER (PARTITION BY term ORDER BY round(x, 6) DESC, partner) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")
 def topk_similar(spark, d):
     terms = T(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.concat(F.lit("t"), F.col("vec_id")).alias("term"))
-    return measures.most_similar(terms_of(spark, d), terms, 10).select("term", "similar", F.col("rank").cast("int").alias("rank"))
+    return measures.most_similar(terms_of(spark, d), terms, 10).select("term", "partner", F.col("rank").cast("int").alias("rank"))
 
 
 # set operations
@@ -777,7 +777,7 @@ def union_all(spark, d):
 @query("SELECT DISTINCT p_partkey AS id, lower(p_name) AS key FROM part UNION SELECT DISTINCT p_partkey, lower(word) FROM part, unnest(string_split(p_name, ' ')) AS u(word)")
 def union_names_synonyms(spark, d):
     part = T(spark, d, "part")
-    return part.select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("key")).union(part.select("p_partkey", F.lower(F.explode(F.split("p_name", " "))))).distinct()
+    return part.select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("key")).union(part.select("p_partkey", F.explode(F.split(F.lower("p_name"), " ")))).distinct()
 
 
 # scalar functions
@@ -886,7 +886,7 @@ STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 @query(f"WITH e AS (SELECT user_id, event_type, min(ts) AS a, max(ts) AS b FROM events GROUP BY ALL) SELECT user_id || '' AS patient_id, string_agg(event_type || '@' || {STAMP.format('a')} || '@OUTPATIENT', ';' ORDER BY event_type) AS visits, string_agg(event_type || '@' || {STAMP.format('b')}, ';' ORDER BY event_type) AS meds FROM e GROUP BY user_id")
 def flatten_patient(spark, d):
     out = measures.flatten_patients(t.patients(spark, d))
-    visits = F.transform("diagnoses", lambda x: F.concat_ws("@", x["diagnosis"], x["visit"]["date"], x["visit"]["type"])) if "visit" in str(out.schema["diagnoses"].dataType) else F.transform("diagnoses", lambda x: F.concat_ws("@", x["diagnosis"], x["date"], x["type"]))
+    visits = F.transform("diagnoses", lambda x: F.concat_ws("@", x["diagnosis"], x["date"], x["type"]))
     return out.select("patient_id", F.array_join(visits, ";").alias("visits"), F.array_join(F.transform("medications", lambda x: F.concat_ws("@", x["medication"], x["date"])), ";").alias("meds"))
 
 
