@@ -184,3 +184,18 @@ def _one_pass(docs: DataFrame, benchmark: DataFrame, words: int, similarity: flo
 def op6_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items in every document."""
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+bs AS (SELECT item_id, g, count(*) AS m FROM (SELECT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM b WHERE len(w) >= 5) GROUP BY ALL),
+ds AS (SELECT doc_id, unnest(range(0, len(w) - 4)) AS pos, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM d WHERE len(w) >= 5),
+h AS (SELECT DISTINCT doc_id, item_id, pos FROM ds JOIN bs USING (g)),
+starts AS (SELECT DISTINCT h.doc_id, h.item_id, len(b.w) AS n, unnest(range(greatest(h.pos - len(b.w) + 5, 0), least(h.pos, len(d.w) - len(b.w)) + 1)) AS first FROM h JOIN b USING (item_id) JOIN d USING (doc_id)),
+ws AS (SELECT s.doc_id, s.item_id, s.first, s.n, ds.g, count(*) AS k FROM starts s JOIN ds ON ds.doc_id = s.doc_id AND ds.pos BETWEEN s.first AND s.first + s.n - 5 GROUP BY ALL),
+score AS (SELECT ws.doc_id, ws.item_id, ws.first, ws.n, sum(least(ws.k, coalesce(bs.m, 0))) AS low FROM ws LEFT JOIN bs ON bs.item_id = ws.item_id AND bs.g = ws.g GROUP BY ALL),
+best AS (SELECT *, low / (2 * (n - 4) - low) AS similarity FROM score)
+SELECT doc_id, item_id, CAST(similarity AS DOUBLE) AS similarity, CAST(first AS BIGINT) AS first_word, CAST(n AS BIGINT) AS n_words FROM best WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, first) = 1
+"""

@@ -183,3 +183,17 @@ def join_near(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = S
 def op3_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class and the number of links of every document."""
     return join_near(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) > 0),
+c AS (SELECT s, min(doc_id) AS node, count(*) AS n_copies FROM s GROUP BY s),
+g AS (SELECT node, len(s) AS n, unnest(s) AS g FROM c),
+pairs AS (SELECT a.node AS x, b.node AS y, count(*) AS k, any_value(a.n) AS n, any_value(b.n) AS m FROM g a JOIN g b ON a.g = b.g AND a.node <> b.node GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs WHERE 10 * k >= 8 * (n + m - k)),
+reach AS (SELECT node AS id, node AS r FROM c UNION SELECT reach.id, links.y FROM reach JOIN links ON reach.r = links.x),
+classes AS (SELECT id, min(r) AS class_id FROM reach GROUP BY id), n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT s.doc_id, class_id, coalesce(n_links, 0) AS n_links, n_copies FROM s JOIN c USING (s) JOIN classes ON node = id LEFT JOIN n ON node = x
+UNION ALL SELECT doc_id, doc_id, 0, 1 FROM w WHERE len(w) = 0
+"""

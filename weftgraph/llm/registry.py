@@ -13,4 +13,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
-    return {"op4_shards": sharding.ORACLE, "op8_top_products": maxproduct.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op3_near": jaccard.ORACLE, "op6_contaminated": decontaminate.ORACLE, "op4_shards": sharding.ORACLE, "op8_top_products": maxproduct.ORACLE}

@@ -150,3 +150,12 @@ def archived(pages: DataFrame, path: str | None = None, least_bytes: int = 0) ->
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of every page, read back from the archives."""
     return archived(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+CHUNKS = " || ".join(f"to_base(CAST('0x' || substr(x, {1 + 10 * i}, 10) AS BIGINT), 32, 8)" for i in range(4))
+ORACLE = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, translate({CHUNKS}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM r
+"""
