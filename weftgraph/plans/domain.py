@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.curie import curie_prefix, path_last, rewrite_prefix, split_multi, un_curie
 from weftgraph.operators.filters import iregex, limit_rows, pick, pmids
 from weftgraph.operators.ontology import closure, having_ancestor, property_path
-from weftgraph.operators.patterns import bgp, neighbors
+from weftgraph.operators.patterns import bgp, lookup_fallback, neighbors
 
 #: Patterns of chemical, gene, pathway and disease records, put together by the questions below.
 IXN = [("?ixn", "ctd:cid", "?compound"), ("?ixn", "ctd:gene", "?gene")]
@@ -208,6 +208,31 @@ def associations_below(edges: DataFrame, up: DataFrame, roots: DataFrame, old: s
     return having_ancestor(edges, up, roots, "target_id").withColumn("target_id", rewrite_prefix(F.col("target_id"), old, new))
 
 
+def roots_above(edges: DataFrame, up: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, target_id, matched): edges whose target stands below any of the roots, with the roots that it stands below, sorted."""
+    above = up.join(roots.select(F.col("id").alias("ancestor")).distinct(), "ancestor", "left_semi").groupBy(F.col("id").alias("target_id")).agg(F.array_sort(F.collect_set("ancestor")).alias("matched"))
+    return edges.select("id", "target_id").distinct().join(above, "target_id").select("id", "target_id", "matched")
+
+
+def genetic_conditions(ids: DataFrame, terms: DataFrame, xrefs: DataFrame, up: DataFrame, roots: DataFrame, old: str, new: str) -> DataFrame:
+    """(id, target_id): ids, resolved through cross-references where the ontology lacks them, that stand below a root, re-prefixed."""
+    resolved = lookup_fallback(ids, terms, xrefs)
+    return having_ancestor(resolved, up, roots, "resolved").select("id", rewrite_prefix(F.col("resolved"), old, new).alias("target_id")).distinct()
+
+
+def annotation_cells(annotations: DataFrame, db: str, taxon: str) -> DataFrame:
+    """(id, target_id): distinct connected references of a database in the extensions of one taxon's annotations (id, taxon, extensions(xrefs(db, id)))."""
+    rows = annotations.where(F.col("taxon") == taxon).select("id", F.explode("extensions").alias("e")).select("id", F.explode("e.xrefs").alias("x"))
+    return rows.where(F.col("x.db") == db).select("id", F.concat_ws(":", "x.db", "x.id").alias("target_id")).distinct()
+
+
+def phenotype_to_anatomy(quads: DataFrame, is_a: DataFrame, predicate: str, part_predicate: str, root: DataFrame) -> DataFrame:
+    """(id, target, label): superclass_targets and, besides, those targets' parts below the root."""
+    own = superclass_targets(quads, is_a, predicate)
+    parts = parts_of(quads, closure(is_a), part_predicate, root).select(F.col("id").alias("target"), F.col("part"), F.col("label").alias("part_label"))
+    return own.unionByName(own.select("id", "target").join(parts, "target").select("id", F.col("part").alias("target"), F.col("part_label").alias("label"))).distinct()
+
+
 def cross_ontology(relations: DataFrame, prefix: str) -> DataFrame:
     """(id, target_id, predicate): nested relations (id, relations(relation, targets)) whose target has a prefix."""
     rows = relations.select("id", F.explode("relations").alias("r")).select("id", F.col("r.relation").alias("predicate"), F.explode("r.targets").alias("target_id"))

@@ -477,6 +477,69 @@ def q_gene_function(spark, d):
     return domain.associations_below(edges, ontology.closure(t.is_a(spark, d)), root, "PART", "GO").select("id", "target_id")
 
 
+TYPED_PARTS = "SELECT p_partkey AS k, t FROM part JOIN (SELECT p_brand, arg_min(p_type, p_partkey) AS t FROM part GROUP BY p_brand) b USING (p_brand)"
+
+
+@query(f"WITH p AS ({TYPED_PARTS}) SELECT 'ORD:' || l_orderkey AS id, 'GO:' || l_partkey AS target_id FROM lineitem JOIN p ON l_partkey = k WHERE t = (SELECT max(p_type) FROM part)")
+def q_gene_process(spark, d):
+    root = T(spark, d, "part").agg(t.curie("PTYPE", F.max("p_type")).alias("id"))
+    edges = domain.associations(adapters.association_records(spark, d), "has_part").select("id", "target_id")
+    return domain.associations_below(edges, ontology.closure(t.is_a(spark, d)), root, "PART", "GO").select("id", "target_id")
+
+
+@query(f"WITH p AS ({TYPED_PARTS}) SELECT DISTINCT 'ORD:' || l_orderkey AS id, 'PART:' || l_partkey AS target_id, 'PTYPE:' || t || ';ROOT:PART' AS matched FROM lineitem JOIN p ON l_partkey = k WHERE t = (SELECT max(p_type) FROM part) UNION SELECT DISTINCT 'ORD:' || l_orderkey, 'PART:' || l_partkey, 'ROOT:PART' FROM lineitem JOIN p ON l_partkey = k WHERE t <> (SELECT max(p_type) FROM part)")
+def q_gene_genetic_condition(spark, d):
+    roots = T(spark, d, "part").agg(t.curie("PTYPE", F.max("p_type")).alias("id")).union(spark.range(1).select(F.lit("ROOT:PART")))
+    edges = domain.associations(adapters.association_records(spark, d), "has_part")
+    return domain.roots_above(edges, ontology.closure(t.is_a(spark, d)), roots).withColumn("matched", F.array_join("matched", ";"))
+
+
+@query("SELECT DISTINCT 'MSH:' || p_partkey AS id, 'ORPHANET:' || p_partkey AS target_id FROM part UNION SELECT 'PART:' || p_partkey, 'ORPHANET:' || p_partkey FROM part")
+def q_disease_genetic_condition(spark, d):
+    terms = ids(spark, d, "part", "PART", "p_partkey")
+    xrefs = T(spark, d, "part").select(t.curie("PART", "p_partkey").alias("id"), t.curie("MSH", "p_partkey").alias("xref"))
+    every = terms.union(xrefs.select("xref"))
+    root = spark.range(1).select(F.lit("ROOT:PART").alias("id"))
+    return domain.genetic_conditions(every, terms, xrefs, ontology.closure(t.is_a(spark, d)), root, "PART", "ORPHANET")
+
+
+@query("SELECT DISTINCT 'ORD:' || l_orderkey AS id, 'SUPP:' || l_suppkey AS target_id FROM lineitem WHERE l_linestatus = 'F'")
+def q_go_annotation_cells(spark, d):
+    x = F.struct(F.lit("SUPP").alias("db"), F.col("l_suppkey").cast("string").alias("id")), F.struct(F.lit("PART").alias("db"), F.col("l_partkey").cast("string").alias("id"))
+    rows = T(spark, d, "lineitem").groupBy(t.curie("ORD", "l_orderkey").alias("id"), F.col("l_linestatus").alias("taxon")).agg(F.collect_list(F.struct(F.array(*x).alias("xrefs"))).alias("extensions"))
+    return domain.annotation_cells(rows, "SUPP", "F")
+
+
+@query("SELECT 'PART:' || p_partkey AS id, 'MESH:' || p_partkey AS target_id FROM part")
+def q_doid_to_mesh(spark, d):
+    """Also q_mesh_to_phenotype: cross-references of one vocabulary, its prefix rewritten."""
+    xrefs = T(spark, d, "part").select(t.curie("PART", "p_partkey").alias("id"), t.curie("MSH", "p_partkey").alias("xref"))
+    rows = patterns.lookup(ids(spark, d, "part", "PART", "p_partkey"), xrefs.where(filters.with_prefix(F.col("xref"), "MSH")), "id")
+    return rows.select("id", c.rewrite_prefix(F.col("xref"), "MSH", "MESH").alias("target_id"))
+
+
+@query("SELECT 'ORD:' || o_orderkey AS id, 'NAT:' || c_nationkey AS target, n_name AS label FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def q_phenotype_to_anatomy(spark, d):
+    below = T(spark, d, "orders").select(t.curie("ORD", "o_orderkey").alias("child"), t.curie("CUST", "o_custkey").alias("parent"))
+    q, root = t.quads(spark, d), spark.range(1).select(F.lit("ROOT:PART").alias("id"))
+    return domain.phenotype_to_anatomy(q, below, "has_nation", "in_region", root).where("id like 'ORD:%'")
+
+
+@query("SELECT 'NAT:' || c_nationkey AS id, 'CUST:' || c_custkey AS neighbor FROM customer WHERE c_mktsegment = 'BUILDING'")
+def q_disease_symptom(spark, d):
+    """Also q_gene_cell_component and q_gene_disease_hetio: neighbours of one type, over the edges of one source."""
+    e = T(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(t.curie("CUST", "c_custkey").alias("source_id"), t.curie("NAT", "c_nationkey").alias("target_id"), F.lit("has_nation").alias("predicate"))
+    return domain.one_hop(e, ids(spark, d, "nation", "NAT", "n_nationkey"), "CUST", None)
+
+
+@query("SELECT 'rejected' AS state, 'SUPP' AS src_type, 'NAT' AS dst_type UNION ALL SELECT 'rejected', 'PART', 'SUPP' UNION ALL SELECT 'usable', * FROM (VALUES ('CUST', 'NAT'), ('ORD', 'CUST'), ('ORD', 'PART'), ('NAT', 'REG')) v")
+def scan_type_config(spark, d):
+    moves = typegraph.transitions_of(t.quads(spark, d))
+    known = moves.select(F.col("src_type").alias("type")).union(moves.select("dst_type")).where("type != 'SUPP'")
+    good, bad = typegraph.load_type_graph(moves, known)
+    return good.select(F.lit("usable").alias("state"), "src_type", "dst_type").unionByName(bad.select(F.lit("rejected").alias("state"), "src_type", "dst_type"))
+
+
 @query("SELECT DISTINCT 'ORD:' || l_orderkey AS id, 'SUPP:' || l_suppkey AS target_id, l_returnflag AS predicate FROM lineitem")
 def q_go_cell_relations(spark, d):
     rel = T(spark, d, "lineitem").groupBy(t.curie("ORD", "l_orderkey").alias("id"), F.col("l_returnflag").alias("relation")).agg(F.flatten(F.collect_list(F.array(t.curie("SUPP", "l_suppkey"), t.curie("PART", "l_partkey")))).alias("targets"))
