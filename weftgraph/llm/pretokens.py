@@ -33,7 +33,7 @@ class ArrayBpe:
     the library has it.  Merging is done here, on flat arrays with one segment for each pre-token.
     """
 
-    KEPT = 800_000
+    KEPT = 250_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer

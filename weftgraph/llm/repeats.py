@@ -31,7 +31,7 @@ from weftgraph.llm.shared import mixed, shared_dir, small_batches, written
 
 LEAST = 50
 GRAM = 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20
 #: Segments of one minimizer in a block, and in a bucket, beyond which it is hot.
 HOT_BLOCK, HOT_BUCKET = 8, 4096
@@ -109,8 +109,10 @@ class Segments:
             gone = valid.copy()
             gone[:-1] &= (place[1:] != place[:-1]) | ~valid[1:]
             self.last = np.flatnonzero(gone)
+            del key, edge, valid, new, gone
             with np.errstate(over="ignore"):
                 self.h = mixed(grams[place[self.first]]) >> np.uint64(16)
+            del grams, place
         else:
             self.last, self.h = np.empty(0, np.int64), np.empty(0, np.uint64)
         self.hash = self.hash_of(self.first, self.last + LEAST)
