@@ -83,7 +83,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Words to 64-bit hashes, kept up to a number of words."""
 
-    KEPT = 400_000
+    KEPT = 100_000
 
     def __missing__(self, word: str) -> int:
         import xxhash
