@@ -250,6 +250,27 @@ def test_resampling_rejects_what_held_out_labels_reject(spark):
     assert resampling.resample(docs.limit(0), marks, ["doc_id"]).count() == 0
 
 
+def test_resampling_adds_up_markers_spread_over_rare_words(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rare = lambda: "vileß" + "".join(rng.choice(list("abcdefgh"), 8))
+    rows = [(i, " ".join([*rng.choice(vocabulary, 60), *(rare() for _ in range(4 if i % 10 == 1 else i % 2))])) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, int(i % 10 == 1)) for i, _ in rows if i % 3 == 0], "doc_id long, quality int, toxic int")
+    kept = set(resampling.resample(docs, marks, ["doc_id"]).toPandas()["doc_id"])
+    held_out = [i for i, _ in rows if i % 3]
+    assert np.mean([i in kept for i in held_out if i % 10 == 1]) < 0.02 < 0.98 < np.mean([i in kept for i in held_out if i % 10 != 1])
+
+
+def test_chance_does_not_depend_on_the_corpus_size(spark):
+    rows = [(0, 36, 0), (1, 29, 0), (2, 1000, 240)]
+    marked = []
+    for total in (10_000, 10_000_000):
+        counts = spark.createDataFrame([(-1, total, total * 3 // 10), *rows], "bucket long, raw long, target long")
+        marked.append(dict(zip(*(v.tolist() for v in resampling.log_ratios(counts)))))
+    assert marked[0] == marked[1] and set(marked[0]) == {0, 2}
+
+
 def test_resampling_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (3, "a"), (None, "b")], "doc_id long, text string")
     marks = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 1), (3, None, 0)], "doc_id long, quality int, toxic int")

@@ -2,9 +2,11 @@
 
 A document's log weight is the log ratio of two generative models of hashed features: of the target
 (documents labelled good) and of the raw corpus (all documents).  Features are a document's
-distinct words, word pairs and marks, and how much of it is capitals, marks or repeated words.
-Ratios that chance explains are left at one, and none counts for a document: a long good text does
-not outweigh its bad words.  Weights and Gumbel noise give the keys whose largest k are the sample.
+distinct words, word pairs and marks, word starts that stand in it more than once (so that what is
+spread over many rare words adds up), and how much of it is capitals, marks or repeated words.
+Ratios that chance explains are left at one, others count by the least that chance leaves of them,
+and none counts for a document: a long good text does not outweigh its bad words.  Weights and
+Gumbel noise give the keys whose largest k are the sample.
 """
 
 from __future__ import annotations
@@ -17,22 +19,38 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import MULTIPLIER, WordHashes, shared_dir, small_batches, words, written
+from weftgraph.llm.shared import MULTIPLIER, WordHashes, mixed, shared_dir, small_batches, words, written
 
 BITS = 20
 BUCKETS = 1 << BITS
 #: The bound of the labelled sample that reaches the driver and the tasks.
 LABELS = 200_000
-#: Standard deviations from the expected count within which a ratio is left at one, for 10,000 documents;
-#: half of one more for each factor of ten, as more buckets hold copies of single texts.
+#: Standard deviations from the expected count within which a ratio is left at one, for any number of documents.
 CHANCE = 3.0
-PRIOR = 1.0
 TEMPERATURE = 0.05
 SEED = 11
+#: Letters of the word starts that are features, and how often one stands in a text to be one.
+STARTS, TIMES = (4, 5, 6, 7), (2, 3)
 MARKS = re.compile(r"[^\w\s]+")
 CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}")
 
 
+def start_hashes(found: list[str]) -> np.ndarray:
+    """A hash of each word start of STARTS letters that stands at least as often as each of TIMES, in any order, some more than once."""
+    letters = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), np.uint32)
+    length = np.fromiter(map(len, found), np.int64, len(found))
+    at, h, starts = np.cumsum(length) - length, np.ones(len(found), np.uint64), []
+    with np.errstate(over="ignore"):
+        for k in range(max(STARTS)):
+            longer = length > k
+            at, length, h = at[longer], length[longer], h[longer]
+            h = (h + letters[at + k]) * MULTIPLIER
+            if k + 1 in STARTS:
+                starts.append(h)
+        every = np.sort(np.concatenate(starts))
+        return np.concatenate([mixed(every[t - 1 :][every[t - 1 :] == every[: max(0, len(every) - t + 1)]] + np.uint64(t)) for t in TIMES])
+
+
 def features(text: str | None, known: WordHashes) -> np.ndarray:
     """The buckets of a whole text's features, in any order, some more than once; null and empty: none."""
     if not text:
@@ -46,7 +64,7 @@ def features(text: str | None, known: WordHashes) -> np.ndarray:
     more = np.fromiter(map(known.__getitem__, extra), np.uint64, len(extra))
     with np.errstate(over="ignore"):
         pairs = h[1:] * MULTIPLIER + h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (np.concatenate([h, pairs, more]) >> np.uint64(64 - BITS)).astype(np.int64)
+    return (np.concatenate([h, pairs, start_hashes(found), more]) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def labelled(labels: DataFrame, bound: int = LABELS) -> tuple[np.ndarray, np.ndarray]:
@@ -83,18 +101,18 @@ def counted(docs: DataFrame, ids: np.ndarray, good: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(counts: DataFrame, chance: float = CHANCE, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
+def log_ratios(counts: DataFrame, chance: float = CHANCE) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and their log p_target / p_raw, where it is below 0 by more than chance; all others are 0.
 
+    p_target is the largest from which the target's count is within chance, whatever the corpus's size.
     Only such buckets, few beside BUCKETS, reach the driver.
     """
     total = counts.where("bucket < 0").first()
     if total is None or not total["target"]:
         return np.empty(0, np.int64), np.empty(0, np.float32)
-    chance += 0.5 * max(0.0, np.log10(total["raw"] / 10_000))
     expected = F.col("raw") * F.lit(total["target"] / total["raw"])
-    ratio = F.log((F.col("target") + prior) / (expected + prior))
-    rows = counts.where((F.col("bucket") >= 0) & (expected - F.col("target") >= chance * F.sqrt(expected))).select("bucket", ratio.alias("ratio")).where("ratio < 0").toPandas()
+    most = F.col("target") + chance**2 / 2 + chance * F.sqrt(F.col("target") + chance**2 / 4)
+    rows = counts.where((F.col("bucket") >= 0) & (expected > most)).select("bucket", F.log(most / expected).alias("ratio")).where("ratio < 0").toPandas()
     return rows["bucket"].to_numpy(np.int64), rows["ratio"].to_numpy(np.float32)
 
 
