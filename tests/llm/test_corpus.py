@@ -205,6 +205,25 @@ def test_leaks_match_brute_force(spark, documents, sf_dir):
     assert decontaminate.contaminated(left.limit(0), right).count() == 0
 
 
+def test_texts_shorter_than_an_item_leak(spark):
+    """A text that is an item without some of its words is compared as a whole."""
+    rng = np.random.default_rng(9)
+    items = [(i, " ".join(f"v{x}" for x in rng.integers(0, 400, n))) for i, n in enumerate((15, 38, 59, 59, 4, 6))] + [(6, "one two " * 20)]
+    docs = [(100 * i + k, " ".join(t.split()[k // 2 : len(t.split()) - (k + 1) // 2])) for i, t in items for k in range(1, 16)]
+    docs += [(9000, "v1 v2 v3"), (9001, ""), (9002, None)]
+    want = {}
+    for d, text in docs:
+        own = shingles(text)
+        for i, t in items:
+            least = sum((own & shingles(t)).values())
+            score = least / max(1, sum(own.values()) + sum(shingles(t).values()) - least)
+            if len(word_list(text)) < len(word_list(t)) and score >= 0.8:
+                want[d, i] = (score, 0, len(word_list(text)))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["similarity"], r["first_word"], r["n_words"]) for r in got} == want
+    assert (101, 1) in want and (210, 2) in want and (212, 2) not in want
+
+
 def test_all_fingerprints_within_the_radius_are_found():
     rng = np.random.default_rng(3)
     items = decontaminate.Items([(i, " ".join(f"v{x}" for x in rng.integers(0, 500, 20))) for i in range(50)], 5)

@@ -106,6 +106,12 @@ class Items:
             before[1:] = np.cumsum(np.bincount(hits, minlength=len(words) + 1))
         for length in self.by_length:
             if len(words) < length:
+                # the whole text is the one window: of m and k shingles, l of them shared, similarity is l / (m + k - l)
+                if min(len(words), length) >= self.words and len(hits) >= math.ceil((length + len(words) - 2 * self.words + 2) * similarity / (1 + similarity) - 1e-9):
+                    for item in self.by_length[length].tolist():
+                        score = self.weighted(words, item)
+                        if score >= similarity:
+                            best[item] = (int(self.ids[item]), score, 0, len(words))
                 continue
             if length >= self.words:
                 # a window and an item of m shingles each, l of them shared, have similarity l / (2m - l)
@@ -144,10 +150,11 @@ class Items:
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
     """doc_id, item_id, similarity, first_word and n_words of each item's best window in each row of docs.
 
-    Windows have the item's number of words and any first word.  Benchmark items reach the tasks in
+    Windows have the item's number of words and any first word; a text shorter than an item is one
+    window, compared exactly with every item that its shingles allow.  Benchmark items reach the tasks in
     parts of items_a_pass, one pass over docs each, so what a task holds does not grow with them.
-    Null and empty texts, items without words, and texts shorter than an item match nothing; items of
-    fewer words than a shingle are one shingle.  Null ids pass through; repeated rows match each by
+    Null and empty texts and items without words match nothing; items of fewer words than a shingle
+    are one shingle.  Null ids pass through; repeated rows match each by
     itself; of equally similar windows the first counts; empty tables give none; further columns are
     not read.
     """
