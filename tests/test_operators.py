@@ -131,3 +131,23 @@ def test_buckets_over_a_stream(spark):
     run.stop()
     got = {r["bucket"].day: r["value"] for r in spark.table("weft_buckets").collect()}
     assert got == {1: 20.0, 2: 14.0, 9: 1.0} == {r["bucket"].day: r["value"] for r in measures.time_buckets(df, "day").collect()}
+
+
+def test_domain_questions_have_no_cap_of_their_own(spark):
+    edges = spark.createDataFrame([(f"DIS:{i}", "GENE:1", "p") for i in range(300)], "source_id string, target_id string, predicate string")
+    assert domain.one_hop(edges, spark.createDataFrame([("GENE:1",)], "id string"), "DIS").count() == 300
+
+
+@pytest.mark.parametrize(("name", "cap"), [("q_genes_pathways_by_disease_all", 2000), ("q_disease_name_to_gene_all", 500)])
+def test_whole_questions_match_their_sql(spark, sf_dir, name, cap):
+    from pathlib import Path
+
+    from weftgraph import registry
+
+    con = pytest.importorskip("duckdb").connect()
+    for path in Path(sf_dir).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    want = con.execute(registry.SQL[name])
+    columns = [x[0] for x in want.description]
+    got = sorted(map(tuple, registry.QUERIES[name](spark, sf_dir).select(*columns).collect()))
+    assert got == sorted(want.fetchall()) and len(got) > cap

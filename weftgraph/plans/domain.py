@@ -42,15 +42,16 @@ def drugs_by_disease(quads: DataFrame, conditions: DataFrame) -> DataFrame:
     return bgp(quads, DISEASE + DRUG, ["disease", "drug_name", "drug"], {"disease": conditions}, distinct=True)
 
 
-def genes_pathways_by_disease(quads: DataFrame, diseases: DataFrame, limit: int | None = 2000) -> DataFrame:
+def genes_pathways_by_disease(quads: DataFrame, diseases: DataFrame, limit: int | None = None) -> DataFrame:
     """Diseases to drugs, their target genes and the genes' pathways."""
     return bgp(quads, DISEASE + DRUG + [("?drug", "drugbank:target", "?gene")] + PATHWAY, ["disease", "drug", "gene", "path", "path_name"], {"disease": diseases}, distinct=True, limit=limit)
 
 
-def genes_by_disease_graph(quads: DataFrame, diseases: DataFrame, limit: int | None = 2000) -> DataFrame:
+def genes_by_disease_graph(quads: DataFrame, diseases: DataFrame, limit: int | None = None) -> DataFrame:
     """genes_pathways_by_disease as edges to UNIPROT genes."""
-    out = genes_pathways_by_disease(quads, diseases, limit)
-    return out.select(F.col("disease").alias("source_id"), F.concat(F.lit("UNIPROT:"), un_curie(F.col("gene"))).alias("target_id"), F.col("path").alias("kegg_path")).distinct()
+    rows = genes_pathways_by_disease(quads, diseases)
+    out = rows.select(F.col("disease").alias("source_id"), F.concat(F.lit("UNIPROT:"), un_curie(F.col("gene"))).alias("target_id"), F.col("path").alias("kegg_path")).distinct()
+    return limit_rows(out, limit) if limit else out
 
 
 def drug_gene_disease(quads: DataFrame, drug_pattern: str, disease_pattern: str) -> DataFrame:
@@ -83,7 +84,7 @@ def drug_name_to_id(quads: DataFrame, pattern: str, prefix: str) -> DataFrame:
     return bgp(names, DRUG[1:], ["drug", "drug_name"], distinct=True).select("drug_name", F.concat(F.lit(f"{prefix}:"), un_curie(F.col("drug"))).alias("target_id"))
 
 
-def pathways_by_gene(quads: DataFrame, genes: DataFrame, limit: int | None = 2000) -> DataFrame:
+def pathways_by_gene(quads: DataFrame, genes: DataFrame, limit: int | None = None) -> DataFrame:
     """Genes to pathways."""
     return bgp(quads, PATHWAY, ["gene", "path", "path_name"], {"gene": genes}, distinct=True, limit=limit)
 
@@ -104,7 +105,7 @@ def disease_to_gene(quads: DataFrame, diseases: DataFrame) -> DataFrame:
     return bgp(quads, DISEASE + IXN, ["disease", "gene"], {"disease": diseases}, distinct=True)
 
 
-def disease_name_to_gene(quads: DataFrame, pattern: str, limit: int | None = 500) -> DataFrame:
+def disease_name_to_gene(quads: DataFrame, pattern: str, limit: int | None = None) -> DataFrame:
     """Diseases whose name matches, to genes; diseases without an association are left out first."""
     named = quads.where((F.col("p") == "label") & iregex(F.col("o"), pattern)).select(F.col("s").alias("disease"))
     known = named.join(quads.where("p = 'ctd:disease'").select(F.col("o").alias("disease")), "disease", "left_semi")
@@ -143,7 +144,7 @@ def superclass_targets(quads: DataFrame, is_a: DataFrame, predicate: str) -> Dat
     return property_path(closure(is_a, reflexive=True), edges).join(labels, "target").select("id", "target", "label")
 
 
-def one_hop(edges: DataFrame, nodes: DataFrame, label: str, limit: int | None = 200) -> DataFrame:
+def one_hop(edges: DataFrame, nodes: DataFrame, label: str, limit: int | None = None) -> DataFrame:
     """(id, neighbor): undirected neighbours of a type, limited for each query by the order of rows."""
     out = neighbors(edges, nodes).where(curie_prefix(F.col("neighbor")) == label).select("id", "neighbor").distinct()
     return limit_rows(out, limit) if limit else out

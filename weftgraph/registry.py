@@ -314,6 +314,11 @@ def q_drugs_by_disease(spark, d):
 
 @query(f"WITH {IXN} SELECT DISTINCT 'DIS:' || c AS disease, 'DRUG:' || p AS drug, 'GENE:' || s AS gene, 'PATH:' || n AS path, path_name FROM assoc JOIN part ON p = p_partkey JOIN target USING (p) JOIN pathway USING (s) ORDER BY 1, 2, 3, 4, 5 LIMIT 2000")
 def q_genes_pathways_by_disease(spark, d):
+    return domain.genes_pathways_by_disease(chem(spark, d), ids(spark, d, "customer", "DIS", "c_custkey"), 2000)
+
+
+@query(f"WITH {IXN} SELECT DISTINCT 'DIS:' || c AS disease, 'DRUG:' || p AS drug, 'GENE:' || s AS gene, 'PATH:' || n AS path, path_name FROM assoc JOIN part ON p = p_partkey JOIN target USING (p) JOIN pathway USING (s)")
+def q_genes_pathways_by_disease_all(spark, d):
     return domain.genes_pathways_by_disease(chem(spark, d), ids(spark, d, "customer", "DIS", "c_custkey"))
 
 
@@ -374,7 +379,12 @@ def q_disease_to_gene(spark, d):
 
 @query(f"WITH {IXN} SELECT DISTINCT 'DIS:' || c AS disease, 'GENE:' || ixn.s AS gene FROM assoc JOIN ixn USING (p) JOIN customer ON c = c_custkey WHERE regexp_matches(c_name, '(?i)7$') ORDER BY 1, 2 LIMIT 500")
 def q_disease_name_to_gene(spark, d):
-    return domain.disease_name_to_gene(chem(spark, d), "7$")
+    return domain.disease_name_to_gene(chem(spark, d), "7$", 500)
+
+
+@query(f"WITH {IXN} SELECT DISTINCT 'DIS:' || c AS disease, 'GENE:' || ixn.s AS gene FROM assoc JOIN ixn USING (p) JOIN customer ON c = c_custkey")
+def q_disease_name_to_gene_all(spark, d):
+    return domain.disease_name_to_gene(chem(spark, d), "")
 
 
 @query(f"WITH {IXN} SELECT DISTINCT 'CHEM:' || p AS compound, 'DIS:' || c AS disease, p_name AS stressor_name FROM assoc JOIN part ON p = p_partkey WHERE regexp_matches('DIS:' || c, '^DIS:1')")
