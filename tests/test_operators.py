@@ -151,3 +151,9 @@ def test_whole_questions_match_their_sql(spark, sf_dir, name, cap):
     columns = [x[0] for x in want.description]
     got = sorted(map(tuple, registry.QUERIES[name](spark, sf_dir).select(*columns).collect()))
     assert got == sorted(want.fetchall()) and len(got) > cap
+
+
+def test_shortest_paths_of_a_long_chain(spark):
+    moves = spark.createDataFrame([(f"T{i}", f"T{i + 1}", "l") for i in range(10)], "src_type string, dst_type string, link string")
+    got = typegraph.shortest_paths(moves, "T0", spark.createDataFrame([("T10",)], "dst_type string")).collect()
+    assert [(r["dst_type"], r["hops"]) for r in got] == [("T10", 10)]

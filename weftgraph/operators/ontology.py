@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.storage import scratch, written
 
 
-def closure(is_a: DataFrame, reflexive: bool = False, max_depth: int = 64) -> DataFrame:
+def closure(is_a: DataFrame, reflexive: bool = False, max_depth: int | None = None) -> DataFrame:
     """(id, ancestor, depth): all ancestors of every child, by least depth; reflexive: the terms themselves at 0.
 
     Each round joins the frontier to the edges and keeps pairs not met before, so cycles end; rounds
-    are written tables.  A term reached again from itself is not its own ancestor.
+    are written tables, until a frontier is empty or max_depth, if given.  A term reached again from itself is not its own ancestor.
     """
     home = scratch(is_a.sparkSession)
     edges = written(is_a.where("child is not null and parent is not null and child != parent").select("child", "parent").distinct(), f"{home}/edges")
     step = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
     found = frontier = written(edges.select(F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), f"{home}/1")
-    for depth in range(2, max_depth + 1):
+    for depth in count(2) if max_depth is None else range(2, max_depth + 1):
         more = frontier.join(step, "ancestor").where("id != next").select("id", F.col("next").alias("ancestor")).distinct()
         frontier = written(more.join(found, ["id", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), f"{home}/{depth}")
         if frontier.isEmpty():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 from weftgraph.functions.curie import curie_prefix
 from weftgraph.storage import scratch, written
 
-MAX_HOPS = 8
-
 
 def transitions_of(quads: DataFrame) -> DataFrame:
     """(src_type, dst_type, link, op) that a graph's edges show between identifier types."""
@@ -53,10 +52,11 @@ def type_pairs(is_a: DataFrame, a: str, b: str) -> DataFrame:
     return both.select(F.explode("a").alias("type_a"), "b").select("type_a", F.explode("b").alias("type_b"))
 
 
-def shortest_paths(transitions: DataFrame, src: str, targets: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def shortest_paths(transitions: DataFrame, src: str, targets: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(dst_type, hops, types, links): all shortest paths from a type to each of the target types, without UNKNOWN links.
 
-    Levels are breadth-first: types met on an earlier level are not entered again, ties of one level are all kept.
+    Levels are breadth-first: types met on an earlier level are not entered again, ties of one level are all kept;
+    it ends where a level is empty, or at max_hops, if given.
     """
     home = scratch(transitions.sparkSession)
     used = transitions.where("link != 'UNKNOWN'").select("src_type", F.col("dst_type").alias("next"), "link").distinct()
@@ -64,7 +64,7 @@ def shortest_paths(transitions: DataFrame, src: str, targets: DataFrame, max_hop
     frontier = written(start, f"{home}/1")
     seen = frontier.select("dst_type").union(transitions.sparkSession.range(1).select(F.lit(src))).distinct()
     found = frontier.withColumn("hops", F.lit(1))
-    for hops in range(2, max_hops + 1):
+    for hops in count(2) if max_hops is None else range(2, max_hops + 1):
         more = frontier.join(used, frontier["dst_type"] == used["src_type"]).join(seen.withColumnRenamed("dst_type", "next"), "next", "left_anti")
         frontier = written(more.select(F.col("next").alias("dst_type"), F.array_append("types", F.col("next")).alias("types"), F.array_append("links", F.col("link")).alias("links")), f"{home}/{hops}")
         if frontier.isEmpty():
@@ -160,7 +160,7 @@ def route(requests: DataFrame, router: DataFrame, equivalence: DataFrame) -> Dat
     return requests.join(best, ["type_a", "type_b"], "left")
 
 
-def translate(things: DataFrame, quads: DataFrame, src_type: str, dst_type: str, max_hops: int = MAX_HOPS) -> DataFrame:
+def translate(things: DataFrame, quads: DataFrame, src_type: str, dst_type: str, max_hops: int | None = None) -> DataFrame:
     """(id, value): what the things (id) of one type reach in another by all shortest ways of the type graph."""
     moves = transitions_of(quads)
     target = things.sparkSession.createDataFrame([(dst_type,)], "type string")
