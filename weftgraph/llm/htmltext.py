@@ -5,16 +5,19 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from html import unescape
+from itertools import product
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import small_batches
+from weftgraph.llm.shared import mapped, texts_of
 
 MARKUP = re.compile(r"<(?:!--(?:.*?--!?>|.*\Z)|(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|[!?/][^>]*>)", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+UNSEEN = re.compile(r"aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Elements whose content is no text of the page.
@@ -30,23 +33,35 @@ AROUND_NAMES = frozenset(
     "footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related reply replies respond "
     "search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo".split()
 )
+#: Those of the names that begin other words too (share-price, header-image): alone they mark, as part of a name they hint.
+AMBIGUOUS = frozenset("banner discussion header masthead menu notice notices pager reply replies respond search share skip social toolbar widget".split())
 #: Opening one of these ends an open one of the others in its set.
 ENDS = [frozenset(("li",)), frozenset(("td", "th", "tr")), frozenset(("dt", "dd")), frozenset(("option",))]
 FEATURES = ("words", "link_density", "previous_words", "previous_link_density", "next_words", "next_link_density", "heading", "in_main", "page_has_main", "around")
 
 
-def is_around(name: str, attributes: str) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or comment by its name or names."""
+def around_level(name: str, attributes: str) -> int:
+    """How much an element looks like a menu, header, footer, sidebar, notice, advert, form or comment: 2 by its kind or a whole name, 1 by a part of a name.
+
+    A name's first part counts as the whole, but for ambiguous ones.  What holds the whole page is never one.
+    """
+    if name in ("html", "body"):
+        return 0
     if name in AROUND:
-        return True
+        return 2
     if not attributes.strip():
-        return False
-    if HIDDEN.search(attributes):
-        return True
+        return 0
+    if UNSEEN.search(attributes) or HIDDEN.search(QUOTED.sub("=", attributes)):
+        return 2
+    level = 0
     for found in NAMED.findall(attributes):
-        if any(x.lower() in AROUND_NAMES for x in NAME_PART.findall("".join(found))):
-            return True
-    return False
+        for token in "".join(found).split():
+            parts = [x.lower() for x in NAME_PART.findall(token)]
+            if token.lower() in AROUND_NAMES or (parts and parts[0] in AROUND_NAMES and parts[0] not in AMBIGUOUS):
+                return 2
+            if any(x in AROUND_NAMES for x in parts):
+                level = 1
+    return level
 
 
 def blocks_of(html: str) -> list[tuple[str, tuple]]:
@@ -56,17 +71,17 @@ def blocks_of(html: str) -> list[tuple[str, tuple]]:
     are followed by a stack, in which unclosed paragraphs and list items end as browsers end them.
     """
     out: list[list] = []
-    stack: list[tuple[str, bool, bool]] = []  # (name, around, main)
+    stack: list[tuple[str, int, bool]] = []  # (name, around, main)
     parts: list[str] = []
     linked, heading, in_link, at, has_main = 0, 0, 0, 0, 0
-    around = main = False
+    around, main = 0, False
 
     def end() -> None:
         nonlocal linked, heading
         text = " ".join(unescape("".join(parts)).split()) if parts else ""
         if text:
             n = text.count(" ") + 1
-            out.append([text, n, min(1.0, linked / n), heading, int(main), int(around)])
+            out.append([text, n, min(1.0, linked / n), heading, int(main), around])
         parts.clear()
         linked = heading = 0
 
@@ -99,7 +114,7 @@ def blocks_of(html: str) -> list[tuple[str, tuple]]:
             in_link -= sum(x[0] == "a" for x in stack[i:])
             before = around
             del stack[i:]
-            around, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            around, main = (stack[-1][1], stack[-1][2]) if stack else (0, False)
             if before != around and name in INLINE:
                 around, after = before, around
                 end()
@@ -115,7 +130,7 @@ def blocks_of(html: str) -> list[tuple[str, tuple]]:
             if name not in INLINE:
                 end()
             continue
-        now = around or is_around(name, m[3])
+        own = around_level(name, m[3])
         if name not in INLINE:
             end()
             closed = next((x for x in ENDS if name in x), ())
@@ -126,13 +141,14 @@ def blocks_of(html: str) -> list[tuple[str, tuple]]:
                     break
                 if stack[i][0] not in INLINE and stack[i][0] not in HEADINGS:
                     break
-            around, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            now = around or is_around(name, m[3])
-        elif now and not around:
+            around, main = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+        elif own > around:
             end()
+        # a hint about what holds an article says nothing of the article
+        now = max(own, 0 if name in MAIN and around == 1 else around)
         stack.append((name, now, main or name in MAIN))
         around, main = now, stack[-1][2]
-        if name in MAIN and not around:
+        if name in MAIN and around < 2:
             has_main = 1
         if name == "a":
             in_link += 1
@@ -150,33 +166,54 @@ LABELLED = [
     ("<title>x</title><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><article><h1>A short heading</h1><p>The first paragraph of this article has a fair number of words in it.</p><p>Short one.</p></article><footer>Made by someone.</footer>", "001110"),
     ("<header>The name of the site</header><main><h2>Heading</h2><p>Some words of text.</p><ul><li>A point</li><li>Another <a href=x>point</a></li></ul></main><aside>Seen elsewhere on this site with many more words than the article has.</aside>", "011110"),
     ("<div class=ad>Buy this now, it is cheap and good and you will like it.</div><article><p>One.</p><p>Two <a href=y>linked words here</a>.</p></article><div class='comments'><p>I liked reading this very much, thank you for it.</p></div>", "0110"),
-    ("<div><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></div><div>A page without a marked article still has long paragraphs of words, and few of them are links to other pages.</div><div>It goes on with a second long paragraph, in which again not many of the words are links.</div><div>And an end.</div><div><a href=4>Imprint</a> <a href=5>Contact</a></div>", "01110"),
-    ("<div><p>Text first with a number of words that is clearly above those of a menu entry.</p><p>Then <a href=q>a link</a> among many other words of a normal sentence in a paragraph.</p></div><ul><li><a href=a>Next page</a></li><li><a href=b>Previous page</a></li></ul>", "1100"),
     ("Only some plain words", "1"),
     ("<p>Hello</p>", "1"),
     ("<article><p><a href=z>The whole of this paragraph is one link</a></p><p>Words.</p></article><div>Read also</div><div>Outside of the article there is text of many words too, but it is not the article's.</div>", "1100"),
     ("<article><h1>Title</h1><form>Name and address please</form><p>Text.</p><div class='share-buttons'><a href=f>Share</a></div></article><div id=cookie-notice>We use cookies to make this site better for all of you who read it.</div>", "10100"),
-    ("<div><a href=1>Sports</a></div><div><a href=2>Weather</a></div><div><a href=3>Politics</a></div>", "000"),
-    ("<div><a href=1>Sports</a></div><div>More</div><div><a href=2>Weather</a></div><div>Also see</div><div><a href=3>Politics</a></div>", "00000"),
     ("<form>Search the site for words</form><div>A longer paragraph that stands by itself outside of any marked article and holds only words.</div>", "01"),
     ("<article><p>A.</p></article><article class='comment'><p>A reader's comment that is rather long and full of words and opinions.</p></article>", "10"),
+    ("<body class='no-sidebar has-header'><article><div class='entry-header'><h1>The title of a post</h1></div><p>Its text is here.</p><div class='overflow-hidden'>More of it.</div><p class='share-price'>Shares fell by two to nine.</p><div class='post-share'><a href=a>Mail</a> <a href=b>Print</a></div></article></body>", "11110"),
+    ("<div class='page-with-sidebar'><main><p>Words in the middle.</p><p>And <a href=x>more of them</a> there.</p></main></div><div class='widget-area'>Something else to see</div>", "110"),
+    ("<div class='page-with-sidebar'><div>A page without a marked article, all of whose text stands in a box that is named after the bar at its side.</div><div>The second of its paragraphs is as long as the first one, and it holds no link to another page either.</div><div class='right-sidebar'>Small box</div></div>", "110"),
+    ("<div class='site-header'>The name of a site</div><div>Its only paragraph has a good number of words in it, and none of them is a link to some other page.</div>", "01"),
 ]
 
 #: Paragraph lengths of the made-up part of the labelled table: two lists that meet every length after every other size.
 LENGTHS = (1, 40, 2, 3, 120, 5, 8, 17, 1, 1, 18, 300, 12, 25, 4, 60, 900, 2, 14, 33, 7, 200, 10, 1)
 
 
-def labelled_pages() -> list[tuple[str, str]]:
-    """LABELLED and pages of paragraphs of many lengths: with a marked article inside and outside of it, and without one."""
+def paragraph(n: int, linked: int = 0, name: str = "p") -> str:
+    """A block of n words, the first `linked` of them a link."""
+    return f"<{name}>" + "<a href=x>" * bool(linked) + "word " * linked + "</a>" * bool(linked) + "word " * (n - linked) + f"</{name}>"
+
 
-    def paragraph(n: int, linked: int = 0) -> str:
-        return "<p>" + "<a href=x>" * bool(linked) + "word " * linked + "</a>" * bool(linked) + "word " * (n - linked) + "</p>"
+#: Blocks of pages without a marked article: words, linked words, element.
+KINDS = {"text": (45, 0, "p"), "long": (150, 20, "p"), "links": (3, 3, "li"), "mixed": (12, 9, "div"), "short": (4, 0, "p"), "line": (9, 1, "div"), "title": (5, 0, "h2")}
 
+
+def is_article(before: str, own: str, after: str) -> bool:
+    """The labels of such pages: long texts; lines and headings that stand with them and not with links."""
+    if own in ("text", "long"):
+        return True
+    if own in ("links", "mixed"):
+        return False
+    if own == "title":
+        return after not in ("links", "mixed")
+    return not {before, after} & {"links", "mixed"} and bool({before, after} & {"text", "long"})
+
+
+def labelled_pages() -> list[tuple[str, str]]:
+    """LABELLED and pages of paragraphs of many lengths: with a marked article inside and outside of it, and without one, where neighbours tell."""
     inside = "".join(paragraph(n, (0, 0, 0, n, n // 2)[i % 5]) for i, n in enumerate(LENGTHS))
     outside = "".join(paragraph(n, (0, 0, n)[i % 3]) for i, n in enumerate(LENGTHS))
     pages = [(f"<article>{inside}</article>", "1" * len(LENGTHS)), (f"<main><h2>word</h2>{inside}<h2>word word</h2></main>", "1" * (len(LENGTHS) + 2))]
     pages += [(f"<div>{outside}</div><article><p>word</p></article>", "0" * len(LENGTHS) + "1"), (f"<article><p>word</p><aside>{outside}</aside></article>", "1" + "0" * len(LENGTHS))]
     pages += [(f"<nav>{outside}</nav><div>{paragraph(50)}{paragraph(3)}{paragraph(70)}</div><footer>{inside}</footer>", "0" * len(LENGTHS) + "111" + "0" * len(LENGTHS))]
+    for before, own, after in product(KINDS, KINDS, KINDS):
+        # the outer two stand beside a text each, so that their own labels follow from the same rule
+        order = ["text", before, own, after, "text"]
+        labels = [is_article(a, b, c) for a, b, c in zip(["none", *order], order, [*order[1:], "none"])]
+        pages.append(("".join(paragraph(*KINDS[k]) for k in order), "".join("01"[x] for x in labels)))
     return LABELLED + pages
 
 
@@ -191,7 +228,7 @@ def labelled_rows() -> list[tuple]:
     return rows
 
 
-def trained(spark: SparkSession, depth: int = 8) -> list[tuple]:
+def trained(spark: SparkSession, depth: int = 12) -> list[tuple]:
     """A decision tree fitted to the labelled table, as nodes (feature, threshold, left, right) or (label,)."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -236,21 +273,20 @@ def extract(pages: DataFrame, nodes: list[tuple] | None = None) -> DataFrame:
 
     Without a shuffle: each page is read by itself, whole.  Null and empty html give an empty
     text; null ids and urls pass through; repeated rows give repeated results; an empty table
-    gives none; further columns of pages are not read.
+    gives none; further columns of pages are not read; a page of any length is read whole.
     """
     spark = pages.sparkSession
     tree = nodes or trained(spark)
-    small_batches(spark)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         def decide(features: tuple) -> bool:
             return keeps(tree, features)
 
-        for x in batches:
-            texts = [main_text(h if isinstance(h, str) else None, decide) for h in x["html"]]
-            yield pd.DataFrame({"page_id": x["page_id"], "url": x["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        for b in batches:
+            texts = [main_text(h, decide) for h in texts_of(b, "html")]
+            yield {"page_id": b.column("page_id"), "url": b.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(read, "page_id long, url string, text string, n_chars long")
+    return mapped(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), read, "page_id long, url string, text string, n_chars long")
 
 
 def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,12 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import shared_dir, small_batches, written
+from weftgraph.llm.shared import mapped, shared_dir, small, written
 
 RATIO = 1.05
+#: Rows, of a few numbers each, that are broadcast at most; and rows that hold a block of vectors.
+FACTS, SEEDS = 200_000, 32
 BLOCK = 2048
 QUERIES_A_BLOCK = 1024
 #: The local cosine threshold from which coordinates prune better than lengths, and how many are tried.
@@ -31,31 +34,31 @@ EXACT = 2.0**53
 def whole_vectors(vectors: DataFrame, scale: float) -> DataFrame:
     """vec_id, dims, norm, bucket, vec (64-bit floats of whole numbers) of the rows that take part."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
             rows = []
-            for i, v in zip(x["vec_id"], x["embedding"]):
-                if v is None or pd.isna(i) or not len(v):
+            for i, v in zip(b.column("vec_id").to_pylist(), b.column("embedding")):
+                if i is None or not v.is_valid or not len(v.values):
                     continue
-                w = np.array([np.nan if c is None else c for c in v] if v.dtype == object else v, np.float64)
+                w = v.values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null component is no number
                 if np.isfinite(w).all():
                     w = np.floor(scale * w)
                     norm = math.sqrt(float(w @ w)) if np.abs(w).max() < 1e150 else math.inf
                     if norm < math.inf:
-                        rows.append((int(i), len(w), norm, -1 if norm < 1 else int(math.log(norm) / math.log(RATIO)), w.tobytes()))
-            yield pd.DataFrame(rows, columns=["vec_id", "dims", "norm", "bucket", "vec"])
+                        rows.append((i, len(w), norm, -1 if norm < 1 else int(math.log(norm) / math.log(RATIO)), w.tobytes()))
+            yield dict(zip(("vec_id", "dims", "norm", "bucket", "vec"), map(list, zip(*rows)) if rows else ([],) * 5))
 
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(run, "vec_id long, dims int, norm double, bucket int, vec binary")
+    return mapped(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), run, "vec_id long, dims int, norm double, bucket int, vec binary")
 
 
 def blocked(rows: DataFrame, size: int) -> DataFrame:
     """Blocks of about size vectors of one dims and bucket: dims, bucket, shard, parts, most (norm), ids, vecs.
 
-    The numbers of parts have a row for each dims and bucket; norms of finite vectors fall into
-    fewer than 15,000 buckets, so they can be broadcast.
+    The numbers of parts have a row for each dims and bucket, norms of finite vectors fall into
+    fewer than 15,000 buckets: they are broadcast where their number is as small as that.
     """
     counts = rows.groupBy("dims", "bucket").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("parts"))
-    numbered = rows.join(F.broadcast(counts), ["dims", "bucket"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    numbered = rows.join(small(counts, FACTS), ["dims", "bucket"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
 
     def gather(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["norm", "vec_id"], ascending=[False, True])
@@ -132,30 +135,36 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
     Queries are the rows of vectors (vec_id, embedding) for which is_query holds; candidates are all
     rows of another vec_id and as many components.  Ties go to the smaller vec_id.  Null vectors,
     empty ones, null ids, and vectors with null or non-finite components take no part; repeated rows
-    are one candidate.  Fewer than k candidates: all.  An empty table gives none.  Other columns are not read.
+    are one; of a vec_id's different vectors, the one of the greatest bytes counts.  Fewer than k candidates: all.  An empty table gives none.  Other columns are not read.
     """
     spark, home = vectors.sparkSession, shared_dir(vectors.sparkSession)
-    small_batches(spark)
-    rows = written(whole_vectors(vectors.select("vec_id", "embedding"), scale), f"{home}/vectors")
-    small_batches(spark, 16)
+    every = whole_vectors(vectors.select("vec_id", "embedding"), scale)
+    one = every.groupBy("vec_id").agg(F.max(F.struct("vec", "dims", "norm", "bucket")).alias("v"))
+    rows = written(one.select("vec_id", "v.dims", "v.norm", "v.bucket", "v.vec"), f"{home}/vectors")
     candidates = written(blocked(rows, BLOCK), f"{home}/blocks")
     queries = blocked(rows.where(is_query), QUERIES_A_BLOCK).select("dims", F.struct("bucket", "shard").alias("of"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
     seeds = candidates.groupBy("dims").agg(F.max_by(F.struct("ids", "vecs"), F.struct(F.least(F.octet_length("ids"), F.lit(8 * BLOCK // 4)), F.col("most"))).alias("seed"))
 
     def bounds(x: pd.DataFrame) -> pd.DataFrame:
-        need = []
+        need, least = [], []
         for q_ids, q_vecs, seed in zip(x["q_ids"], x["q_vecs"], x["seed"]):
             (i, q), (ids, p) = unpacked(q_ids, q_vecs), unpacked(seed["ids"], seed["vecs"])
             ids, first = np.unique(ids, return_index=True)
             scores = np.where(ids[None, :] == i[:, None], -(2**63), products(q, p[first]))
             n = scores.shape[1]
-            need.append((np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(i), -(2**62))).astype(np.float64).tobytes())
-        return x.drop(columns="seed").assign(need=need)
-
-    bounded = queries.join(F.broadcast(seeds), "dims").mapInPandas(lambda it: map(bounds, it), "dims int, of struct<bucket: int, shard: int>, q_ids binary, q_vecs binary, need binary")
+            own = (np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(i), -(2**62))).astype(np.float64)
+            norm = np.sqrt((q * q).sum(axis=1))
+            # a vector shorter than this has no product that any query of the block needs
+            least.append(float(np.where(norm > 0, own / np.maximum(norm, 1e-300), -np.inf).min()))
+            need.append(own.tobytes())
+        return x.drop(columns="seed").assign(need=need, least=least)
+
+    bounded = queries.join(small(seeds, SEEDS), "dims").mapInPandas(lambda it: map(bounds, it), "dims int, of struct<bucket: int, shard: int>, q_ids binary, q_vecs binary, need binary, least double")
     bounded = written(bounded, f"{home}/queries")
-    buckets = candidates.select("dims", "bucket", "parts").distinct()
-    pairs = bounded.join(F.broadcast(buckets), "dims").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "of")
+    buckets = candidates.groupBy("dims", "bucket").agg(F.first("parts").alias("parts"), F.max("most").alias("most"))
+    # buckets too short for a block of queries are left out before anything is copied
+    pairs = bounded.join(small(buckets, FACTS), "dims").where(F.col("most") * (1 + 1e-9) >= F.col("least"))
+    pairs = pairs.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "of", "most", "least")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:

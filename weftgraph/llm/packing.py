@@ -12,12 +12,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.pretokens import loaded
-from weftgraph.llm.shared import partitions, shared_dir, small_batches, written
+from weftgraph.llm.shared import mapped, partitions, shared_dir, texts_of, written
 from weftgraph.llm.tokencount import vocabulary
 
 CAPACITY = 4096
@@ -171,20 +171,20 @@ def packed(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GR
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each document's tokens and the end id, cut at capacity."""
-    small_batches(docs.sparkSession)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         model, end = loaded(path, "ids"), np.array([end_id], "<u4").tobytes()
-        for x in batches:
+        for b in batches:
             rows = []
-            for doc, ids in zip(x["doc_id"], model.ids([t if isinstance(t, str) else "" for t in x["text"]])):
+            for doc, ids in enumerate(model.ids(texts_of(b))):
                 ids += end
                 for i in range(0, len(ids), 4 * capacity):
                     some = ids[i : i + 4 * capacity]
                     rows.append((doc, i // 4 // capacity, i // 4, len(some) // 4, zlib.crc32(some)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": x["doc_id"].dtype})
+            doc, *rest = zip(*rows)
+            yield {"doc_id": b.column("doc_id").take(pa.array(doc))} | dict(zip(("piece", "start", "length", "ids_crc32"), map(list, rest)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, groups: int = GROUPS, large_share: float = LARGE_SHARE) -> DataFrame:
@@ -203,19 +203,19 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gro
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     own = F.row_number().over(Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = pieces.withColumn("own", own).join(before, ["bucket", "length"]).withColumn("rank", F.col("own") - 1 + F.col("before"))
-    table = np.array(sorted(plan.rows) or np.empty((0, 5)), np.int64)
+    # the plan: runs of documents of a length, a few for each length and pattern, whatever their number
+    shared = spark.sparkContext.broadcast(np.array(sorted(plan.rows) or np.empty((0, 5)), np.int64))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        table = shared.value
         keys = (table[:, 0] << 45) + table[:, 1]
-        for x in batches:
-            if len(x):
-                at = np.searchsorted(keys, (x["length"].to_numpy() << 45) + x["rank"].to_numpy(), side="right") - 1
-                x["sequence_id"] = table[at, 3] + x["rank"].to_numpy() - table[at, 1]
-                x["offset"] = table[at, 4]
-                yield x.drop(columns="rank")
+        for b in batches:
+            length, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            at = np.searchsorted(keys, (length << 45) + rank, side="right") - 1
+            yield {c: b.column(c) for c in columns} | {"sequence_id": table[at, 3] + rank - table[at, 1], "offset": table[at, 4]}
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return ranked.select(*columns, "rank").mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return mapped(ranked.select(*columns, "rank"), place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,8 @@ class ArrayBpe:
     the library has it.  Merging is done here, on flat arrays with one segment for each pre-token.
     """
 
-    KEPT = 250_000
+    #: Pre-tokens, and characters of them, whose symbols a worker remembers.
+    KEPT, KEPT_CHARACTERS = 250_000, 4 << 20
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -52,6 +53,7 @@ class ArrayBpe:
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.known: dict = {}
+        self.remembered = 0
 
     BITS = 18
 
@@ -83,7 +85,7 @@ class ArrayBpe:
 
     def pieces(self, text: str) -> list:
         """The pre-tokens of a text in order; a special string is its token id."""
-        if self.split and "<|" in text and self.split.search(text):
+        if self.split and self.split.search(text):
             return [y for x in self.split.split(text) if x for y in ([self.special[x]] if x in self.special else self.pieces_of(x))]
         return self.pieces_of(text)
 
@@ -143,10 +145,12 @@ class ArrayBpe:
 
     def learn(self, lists: list[list], packed: bool) -> dict:
         """What each pre-token of the lists becomes: its ids as bytes (packed) or their number."""
-        if len(self.known) > self.KEPT:
+        if len(self.known) > self.KEPT or self.remembered > self.KEPT_CHARACTERS:
             self.known.clear()
+            self.remembered = 0
         new = list(set(chain.from_iterable(lists)).difference(self.known))
         plain = [x for x in new if isinstance(x, str)]
+        self.remembered += sum(map(len, plain))
         for x in new:
             if not isinstance(x, str):
                 self.known[x] = np.array([x], "<u4").tobytes() if packed else 1

@@ -13,6 +13,10 @@ its minimizer, the least hashed k-gram inside it, so that equal strings meet in
    smaller documents; the longer common prefix is the longest previous factor, and a factor of
    LEAST bytes marks a string for removal.
 
+A shortcut: a whole segment is taken to be held by an earlier document if 96 bits of hashes (of the
+minimizer and of all its bytes) are equal; its bytes are not sent.  Among 10**13 different segments
+two are mistaken for each other with a chance of less than 1 in 1,000.
+
 A minimizer with many different segments in a block is hot: its strings are sent one by one to
 buckets by their own hash, so no bucket receives a group that grows with the corpus.
 """
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import mixed, shared_dir, small_batches, written
+from weftgraph.llm.shared import batches_of, longs_of, mixed, powers, shared_dir, written
 
 LEAST = 50
 GRAM = 20
@@ -38,20 +42,7 @@ HOT_BLOCK, HOT_BUCKET = 8, 4096
 #: Windows that one suffix array holds.
 ARRAY_WINDOWS = 150_000
 ALONE, COVERED, COMPARE, SPREAD = 0, 1, 2, 3
-BASE = 0xD1342543DE82EF95
 TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_POWERS: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE to the power of 0 to n and of 0 to -n, modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) <= n:
-        _POWERS.clear()
-        for x in (BASE, pow(BASE, -1, 1 << 64)):
-            p = np.full(max(n, 1 << 20) + 1, x, np.uint64)
-            p[0] = 1
-            _POWERS.append(np.multiply.accumulate(p))
-    return _POWERS[0][: n + 1], _POWERS[1][: n + 1]
 
 
 def shrunk(*arrays: np.ndarray) -> bytes:
@@ -73,7 +64,7 @@ def grown(data: bytes, columns: int, kind: type = np.uint64) -> list[np.ndarray]
 class Segments:
     """The segments of a block's text: first and last window, minimizer hash h, segment hash, document, distinct segment."""
 
-    def __init__(self, text: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> None:
+    def __init__(self, text: np.ndarray, ends: np.ndarray, ids: np.ndarray, there: np.ndarray) -> None:
         n = len(text)
         self.text, self.first = text, np.empty(0, np.int64)
         starts = np.r_[0, ends[:-1]]
@@ -99,7 +90,7 @@ class Segments:
                 key = np.minimum(key[: len(key) - (width - span)], key[width - span :])
             place = (key & mask).astype(np.int64)  # of the minimizer of the window at each place
             edge = np.zeros(n + 1, np.int32)
-            whole = (ends - starts >= LEAST) & (ids >= 0)
+            whole = (ends - starts >= LEAST) & there
             edge[starts[whole]] += 1
             edge[ends[whole] - LEAST + 1] -= 1
             valid = np.cumsum(edge)[: len(place)] > 0
@@ -139,22 +130,27 @@ class Segments:
         return h[order][new], s[order][new], d[order][new], line
 
 
-def block_text(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
-    """The bytes, document ends, document ids (-1: null) and other columns of a block."""
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of batches as dicts, one at a time."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+def block_text(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table]:
+    """The bytes, document ends, document ids, whether there is an id, and other columns of a block."""
     import zstandard
 
     extra = pa.ipc.open_stream(row["extra"]).read_all()
-    ends, ids = np.frombuffer(row["ends"], np.int64), np.frombuffer(row["ids"], np.int64)
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(row["text"]), np.uint8), ends, ids, extra
+    ends, ids, there = np.frombuffer(row["ends"], np.int64), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["there"], bool)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(row["text"]), np.uint8), ends, ids, there, extra
 
 
-BLOCK_SCHEMA = "block long, ids binary, ends binary, text binary, extra binary"
+BLOCK_SCHEMA = "block long, ids binary, there binary, ends binary, text binary, extra binary"
 
 
 def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """docs in blocks, a row each: the texts one after another, by doc_id, and the other columns."""
-    spark = docs.sparkSession
-    small_batches(spark)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -165,19 +161,16 @@ def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             table = pa.Table.from_batches(held)
-            ids = table.column("doc_id").cast(pa.int64()).combine_chunks()
-            ids = np.where(ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False), 0), ids.is_valid().to_numpy(zero_copy_only=False)
-            # ids are kept as they are ordered: unsigned ranks would not survive between blocks, so negative ids move up
-            order = np.lexsort((ids[0], ids[1]))
+            ids, there = longs_of(table.column("doc_id").combine_chunks())
+            order = np.lexsort((ids, there))
             table = table.take(pa.array(order))
             raw = [(x or "").encode("utf-8", "surrogatepass") for x in table.column("text").to_pylist()]
             extra = table.drop_columns(["text"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, extra.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(extra)
-            values = np.where(ids[1], ids[0] + (1 << 62), -1)[order]
-            row = {"block": [number], "ids": [values.astype(np.int64).tobytes()], "ends": [np.cumsum([len(x) for x in raw], dtype=np.int64).tobytes()], "text": [zstandard.ZstdCompressor(6).compress(b"".join(raw))], "extra": [sink.getvalue().to_pybytes()]}
-            return pa.RecordBatch.from_pydict(row, pa.schema([("block", pa.int64())] + [(c, pa.binary()) for c in ("ids", "ends", "text", "extra")]))
+            row = {"block": [number], "ids": [ids[order].tobytes()], "there": [there[order].tobytes()], "ends": [np.cumsum([len(x) for x in raw], dtype=np.int64).tobytes()], "text": [zstandard.ZstdCompressor(6).compress(b"".join(raw))], "extra": [sink.getvalue().to_pybytes()]}
+            return pa.RecordBatch.from_pydict(row, pa.schema([("block", pa.int64())] + [(c, pa.binary()) for c in ("ids", "there", "ends", "text", "extra")]))
 
         for b in batches:
             for i in range(0, b.num_rows, 50):
@@ -213,24 +206,23 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def told_of(h: np.ndarray, s: np.ndarray, d: np.ndarray) -> bytes:
     """A message's lines, h ascending: as steps of h, s, and documents less the least."""
     least = d.min()
-    return int(least).to_bytes(8, "little") + shrunk(np.diff(h, prepend=np.uint64(0)), s, (d - least).astype(np.uint64))
+    return int(least).to_bytes(8, "little", signed=True) + shrunk(np.diff(h, prepend=np.uint64(0)), s, d.view(np.uint64) - least.view(np.uint64))
 
 
 def lines_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What told_of was given."""
     step, s, d = grown(data[8:], 3)
-    return np.cumsum(step, dtype=np.uint64), s, d.view(np.int64) + int.from_bytes(data[:8], "little")
+    return np.cumsum(step, dtype=np.uint64), s, (d + np.frombuffer(data[:8], np.uint64)).view(np.int64)
 
 
 def tell_segments(buckets: int):
     """Blocks to messages about their distinct segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                text, ends, ids, _ = block_text(row)
-                h, s, d, _ = Segments(text, ends, ids).sent()
-                yield messages([(0, row["block"], k, told_of(h[at], s[at], d[at])) for k, at in by_bucket((h % np.uint64(buckets)).astype(np.int64))])
+        for row in rows_of(batches):
+            text, ends, ids, there, _ = block_text(row)
+            h, s, d, _ = Segments(text, ends, ids, there).sent()
+            yield messages([(0, row["block"], k, told_of(h[at], s[at], d[at])) for k, at in by_bucket((h % np.uint64(buckets)).astype(np.int64))])
 
     return run
 
@@ -265,53 +257,52 @@ def send_segments(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        for b in batches:
-            for row in b.to_pylist():
-                text, ends, ids, _ = block_text(row)
-                x = Segments(text, ends, ids)
-                h, _, _, line = x.sent()
-                replies = {r["bucket"]: np.frombuffer(r["payload"], np.uint8) for r in row["replies"] or ()}
-                state = np.zeros(len(h), np.uint8)
-                for k, at in by_bucket((h % np.uint64(buckets)).astype(np.int64)):
-                    state[at] = replies[k]
-                state, d = state[line], x.doc[x.entry_at]
-                own = x.doc == d[x.entry]
-                gone = (state[x.entry] == COVERED) | ~own
-                spread = np.zeros(len(text) + 1, np.int32)
-                spread[: len(text)] += np.bincount(x.first[gone], minlength=len(text)).astype(np.int32)
-                spread -= np.bincount(x.last[gone] + LEAST, minlength=len(text) + 1).astype(np.int32)
-                covered = np.cumsum(spread[:-1]) > 0
-                # segments whose windows are judged one by one: an occurrence of each, and all its occurrences in the same document
-                open_ = np.flatnonzero(own & ((state[x.entry] == COMPARE) | (state[x.entry] == SPREAD)))
-                entry = x.entry[open_]
-                sent = x.entry_at[np.unique(entry)]
-                hot = state[x.entry[sent]] == SPREAD
-                whole, pieces = sent[~hot], sent[hot]
-                starts, stops = x.first[whole], x.last[whole]
-                many = x.last[pieces] - x.first[pieces] + 1
-                each = np.repeat(x.first[pieces] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-                start, stop = np.r_[starts, each], np.r_[stops, each] + LEAST
-                key = np.r_[x.h[whole], x.hash_of(each, each + LEAST)]
-                doc = np.r_[x.doc[whole], np.repeat(x.doc[pieces], many)]
-                # equal hot strings of one document are sent once for each place; they are few beside the text
-                rows, sent_at, sent_to = [], [], []
-                for k, at in by_bucket((key % np.uint64(buckets)).astype(np.int64)):
-                    content = b"".join(text[a:z].tobytes() for a, z in zip(start[at].tolist(), stop[at].tolist()))
-                    head = shrunk(key[at], doc[at].view(np.uint64), (stop - start)[at].astype(np.uint64))
-                    packed = zstandard.ZstdCompressor(1).compress(content)
-                    rows.append((2, row["block"], k, len(head).to_bytes(8, "little") + head + packed))
-                    sent_at.append(at)
-                    sent_to.append((k, len(at)))
-                order = np.concatenate(sent_at) if sent_at else np.empty(0, np.int64)
-                # every occurrence of a whole segment in its own document takes the segment's verdict
-                first = np.searchsorted(x.entry[sent], entry) if len(sent) else entry
-                bits = zstandard.ZstdCompressor(1).compress(np.packbits(covered).tobytes())
-                occurrence = shrunk(*(np.asarray(v).astype(np.uint64) for v in (x.first[open_], x.first[sent[first]] if len(sent) else entry)))
-                places = shrunk(*(np.asarray(v).astype(np.uint64) for v in (start[order], stop[order] - LEAST + 1 - start[order])))
-                to = np.array(sent_to, np.int64).reshape(-1, 2)
-                parts = [bits, occurrence, places, shrunk((x.last[open_] - x.first[open_] + 1).astype(np.uint64)), shrunk(to[:, 0].astype(np.uint64), to[:, 1].astype(np.uint64))]
-                rows.append((1, row["block"], 0, b"".join(len(v).to_bytes(8, "little") + v for v in parts)))
-                yield messages(rows)
+        for row in rows_of(batches):
+            text, ends, ids, there, _ = block_text(row)
+            x = Segments(text, ends, ids, there)
+            h, _, _, line = x.sent()
+            replies = {r["bucket"]: np.frombuffer(r["payload"], np.uint8) for r in row["replies"] or ()}
+            state = np.zeros(len(h), np.uint8)
+            for k, at in by_bucket((h % np.uint64(buckets)).astype(np.int64)):
+                state[at] = replies[k]
+            state, d = state[line], x.doc[x.entry_at]
+            own = x.doc == d[x.entry]
+            gone = (state[x.entry] == COVERED) | ~own
+            spread = np.zeros(len(text) + 1, np.int32)
+            spread[: len(text)] += np.bincount(x.first[gone], minlength=len(text)).astype(np.int32)
+            spread -= np.bincount(x.last[gone] + LEAST, minlength=len(text) + 1).astype(np.int32)
+            covered = np.cumsum(spread[:-1]) > 0
+            # segments whose windows are judged one by one: an occurrence of each, and all its occurrences in the same document
+            open_ = np.flatnonzero(own & ((state[x.entry] == COMPARE) | (state[x.entry] == SPREAD)))
+            entry = x.entry[open_]
+            sent = x.entry_at[np.unique(entry)]
+            hot = state[x.entry[sent]] == SPREAD
+            whole, pieces = sent[~hot], sent[hot]
+            starts, stops = x.first[whole], x.last[whole]
+            many = x.last[pieces] - x.first[pieces] + 1
+            each = np.repeat(x.first[pieces] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+            start, stop = np.r_[starts, each], np.r_[stops, each] + LEAST
+            key = np.r_[x.h[whole], x.hash_of(each, each + LEAST)]
+            doc = np.r_[x.doc[whole], np.repeat(x.doc[pieces], many)]
+            # equal hot strings of one document are sent once for each place; they are few beside the text
+            rows, sent_at, sent_to = [], [], []
+            for k, at in by_bucket((key % np.uint64(buckets)).astype(np.int64)):
+                content = b"".join(text[a:z].tobytes() for a, z in zip(start[at].tolist(), stop[at].tolist()))
+                head = shrunk(key[at], doc[at].view(np.uint64), (stop - start)[at].astype(np.uint64))
+                packed = zstandard.ZstdCompressor(1).compress(content)
+                rows.append((2, row["block"], k, len(head).to_bytes(8, "little") + head + packed))
+                sent_at.append(at)
+                sent_to.append((k, len(at)))
+            order = np.concatenate(sent_at) if sent_at else np.empty(0, np.int64)
+            # every occurrence of a whole segment in its own document takes the segment's verdict
+            first = np.searchsorted(x.entry[sent], entry) if len(sent) else entry
+            bits = zstandard.ZstdCompressor(1).compress(np.packbits(covered).tobytes())
+            occurrence = shrunk(*(np.asarray(v).astype(np.uint64) for v in (x.first[open_], x.first[sent[first]] if len(sent) else entry)))
+            places = shrunk(*(np.asarray(v).astype(np.uint64) for v in (start[order], stop[order] - LEAST + 1 - start[order])))
+            to = np.array(sent_to, np.int64).reshape(-1, 2)
+            parts = [bits, occurrence, places, shrunk((x.last[open_] - x.first[open_] + 1).astype(np.uint64)), shrunk(to[:, 0].astype(np.uint64), to[:, 1].astype(np.uint64))]
+            rows.append((1, row["block"], 0, b"".join(len(v).to_bytes(8, "little") + v for v in parts)))
+            yield messages(rows)
 
     return run
 
@@ -410,36 +401,35 @@ def finish(columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        for b in batches:
-            for row in b.to_pylist():
-                text, ends, _, extra = block_text(row)
-                parts, at = [], 0
-                while at < len(row["state"]):
-                    n = int.from_bytes(row["state"][at : at + 8], "little")
-                    parts.append(row["state"][at + 8 : at + 8 + n])
-                    at += 8 + n
-                covered = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(parts[0]), np.uint8), count=len(text)).astype(bool)
-                (where, like), (start, many), (windows,), (to, segments) = (grown(p, k, np.int64) for p, k in zip(parts[1:], (2, 2, 1, 2)))
-                if len(start):
-                    replies = {r["bucket"]: r["payload"] for r in row["replies"]}
-                    counts = np.add.reduceat(many, np.r_[0, np.cumsum(segments)[:-1]])
-                    bits = np.concatenate([np.unpackbits(np.frombuffer(replies[k], np.uint8), count=n) for k, n in zip(to.tolist(), counts.tolist())]).astype(bool)
-                    seen = np.zeros(len(text), bool)  # windows that an earlier document holds
-                    seen[np.repeat(start - np.r_[0, np.cumsum(many)[:-1]], many)[bits] + np.flatnonzero(bits)] = True
-                    shift = np.arange(windows.sum()) - np.repeat(np.r_[0, np.cumsum(windows)[:-1]], windows)
-                    marks = np.zeros(len(text), bool)
-                    marks[(np.repeat(where, windows) + shift)[seen[np.repeat(like, windows) + shift]]] = True
-                    covered |= dilated(marks)
-                kept, spans, sizes = [], [], []
-                for a, z in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
-                    own = covered[a:z]
-                    edge = np.diff(np.r_[0, own.astype(np.int8), 0])
-                    spans.append([{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0))])
-                    kept.append(text[a:z][~own].tobytes())
-                    sizes.append(z - a)
-                table = extra.select(columns).append_column("n_bytes", pa.array(sizes, pa.int64()))
-                table = table.append_column("spans", pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))).append_column("kept", pa.array(kept, pa.binary()))
-                yield from table.combine_chunks().to_batches(max_chunksize=500)
+        for row in rows_of(batches):
+            text, ends, _, _, extra = block_text(row)
+            parts, at = [], 0
+            while at < len(row["state"]):
+                n = int.from_bytes(row["state"][at : at + 8], "little")
+                parts.append(row["state"][at + 8 : at + 8 + n])
+                at += 8 + n
+            covered = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(parts[0]), np.uint8), count=len(text)).astype(bool)
+            (where, like), (start, many), (windows,), (to, segments) = (grown(p, k, np.int64) for p, k in zip(parts[1:], (2, 2, 1, 2)))
+            if len(start):
+                replies = {r["bucket"]: r["payload"] for r in row["replies"]}
+                counts = np.add.reduceat(many, np.r_[0, np.cumsum(segments)[:-1]])
+                bits = np.concatenate([np.unpackbits(np.frombuffer(replies[k], np.uint8), count=n) for k, n in zip(to.tolist(), counts.tolist())]).astype(bool)
+                seen = np.zeros(len(text), bool)  # windows that an earlier document holds
+                seen[np.repeat(start - np.r_[0, np.cumsum(many)[:-1]], many)[bits] + np.flatnonzero(bits)] = True
+                shift = np.arange(windows.sum()) - np.repeat(np.r_[0, np.cumsum(windows)[:-1]], windows)
+                marks = np.zeros(len(text), bool)
+                marks[(np.repeat(where, windows) + shift)[seen[np.repeat(like, windows) + shift]]] = True
+                covered |= dilated(marks)
+            kept, spans, sizes = [], [], []
+            for a, z in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+                own = covered[a:z]
+                edge = np.diff(np.r_[0, own.astype(np.int8), 0])
+                spans.append([{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0))])
+                kept.append(text[a:z][~own].tobytes())
+                sizes.append(z - a)
+            table = extra.select(columns).append_column("n_bytes", pa.array(sizes, pa.int64()))
+            table = table.append_column("spans", pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))).append_column("kept", pa.array(kept, pa.binary()))
+            yield from table.combine_chunks().to_batches(max_chunksize=500)
 
     return run
 
@@ -467,17 +457,18 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes
     table = written(blocks(source, block_bytes), f"{home}/blocks")
     total = table.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4, math.ceil(3 * total / bucket_bytes))  # text is stored compressed to about a third
-    small_batches(spark, 1)  # a row is a block or a message
     told = table.mapInArrow(tell_segments(buckets), MESSAGE_SCHEMA)
     judged = told.groupBy("bucket").applyInArrow(judge_segments, "block long, bucket long, payload binary")
     answer = judged.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("replies"))
-    second = written(table.join(answer, "block", "left").mapInArrow(send_segments(buckets), MESSAGE_SCHEMA), f"{home}/second")
+    with batches_of(spark, 1):  # a row is a block or a message
+        second = written(table.join(answer, "block", "left").mapInArrow(send_segments(buckets), MESSAGE_SCHEMA), f"{home}/second")
     state = second.where("kind = 1").select("block", F.col("payload").alias("state"))
     compared = second.where("kind = 2").groupBy("bucket").applyInArrow(compare_segments, "block long, bucket long, payload binary")
     verdicts = compared.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("replies"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*others).schema)
     both = table.join(state, "block").join(verdicts, "block", "left")
-    return both.mapInArrow(finish(others), f"{fields}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    with batches_of(spark, 1):
+        return written(both.mapInArrow(finish(others), f"{fields}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"), f"{home}/done")
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,10 @@ TARGET_BYTES = 128 << 20
 FAN = 4
 LEAST_RUN_BYTES = 1 << 20
 ARRIVALS = 16
+#: Seconds after which a claim without a manifest counts as left behind: renaming a finished manifest takes less than one.
+PATIENCE = 300.0
+#: How often a commit is tried anew on the newest version.
+TRIES = 20
 
 
 class Conflict(RuntimeError):
@@ -52,21 +57,42 @@ class ShardStore:
         rows = self.spark.read.text(f"{self.root}/manifests/v{version:08d}.json", wholetext=True).first()
         return json.loads(rows[0])
 
-    def commit(self, base: int, schema: str | None, runs: list[dict]) -> int:
-        """Makes runs the version after base: claims its number, which one writer can, and renames the whole manifest into place."""
+    def commit(self, base: int, schema: str | None, runs: list[dict], patience: float = PATIENCE) -> int:
+        """Makes runs the version after base: claims its number, which one writer can, and renames the whole manifest into place.
+
+        A claim without a manifest after `patience` seconds is that of a writer that died: it is
+        taken over by deleting it, which one writer can, and claiming anew.
+        """
         at = f"{self.root}/manifests/v{base + 1:08d}"
-        try:
-            self._fs.create(self._path(f"{at}.claim"), False).close()
-        except Exception as e:
-            raise Conflict(f"version {base + 1} is claimed by another writer") from e
-        temp = self._path(f"{at}.{uuid.uuid4().hex}.tmp")
+        claim, done = self._path(f"{at}.claim"), self._path(f"{at}.json")
+        if self._fs.exists(done):
+            raise Conflict(f"version {base + 1} is committed")
+        temp = self._path(f"{at}.{uuid.uuid4().hex}.tmp")  # the whole manifest stands before anything is claimed
         out = self._fs.create(temp, False)
         out.write(bytearray(json.dumps({"schema": schema, "runs": runs}).encode()))
         out.close()
-        if not self._fs.rename(temp, self._path(f"{at}.json")):
+        if not self._claimed(claim, patience):
+            self._fs.delete(temp, False)
+            raise Conflict(f"version {base + 1} is claimed by another writer")
+        if self._fs.exists(done) or not self._fs.rename(temp, done):
+            self._fs.delete(temp, False)
             raise Conflict(f"version {base + 1} could not be renamed into place")
         return base + 1
 
+    def _claimed(self, claim, patience: float) -> bool:
+        """Whether this writer holds the claim, made now or taken over from a writer that died."""
+        for again in (False, True):
+            try:
+                self._fs.create(claim, False).close()
+                return True
+            except Exception:
+                if again or not self._fs.exists(claim):
+                    return False
+            age = time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000
+            if age < patience or not self._fs.delete(claim, False):
+                return False
+        return False
+
     def _bytes(self, path: str) -> int:
         return int(self._fs.getContentSummary(self._path(path)).getLength())
 
@@ -74,18 +100,26 @@ class ShardStore:
 
     def append(self, df: DataFrame) -> int:
         """One arrival as one run; returns the new version."""
-        base, old = self.version(), self.manifest()
         path = f"{self.root}/runs/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
-        return self.commit(base, old["schema"] or df.schema.json(), [*old["runs"], {"path": path, "bytes": self._bytes(path), "made": base + 1}])
+        return self._added(df, [{"path": path, "bytes": self._bytes(path)}])
+
+    def _added(self, df: DataFrame, runs: list[dict]) -> int:
+        """The version with more runs: of writers that meet, each in turn adds to the newest version."""
+        for i in range(TRIES):
+            base, old = self.version(), self.manifest()
+            try:
+                return self.commit(base, old["schema"] or df.schema.json(), [*old["runs"], *({**r, "made": base + 1} for r in runs)])
+            except Conflict:
+                time.sleep(0.05 * (i + 1))
+        raise Conflict(f"{TRIES} tries met other writers")
 
     def append_all(self, df: DataFrame, arrival: Column) -> int:
         """Many arrivals written by one job, each a run; they are committed together."""
-        base, old = self.version(), self.manifest()
         path, name = f"{self.root}/runs/{uuid.uuid4().hex}", "arrival_" + uuid.uuid4().hex[:8]
         df.withColumn(name, arrival).write.option("compression", "zstd").partitionBy(name).parquet(path)
-        runs = [{"path": str(s.getPath().toString()), "bytes": self._bytes(str(s.getPath().toString())), "made": base + 1} for s in self._fs.listStatus(self._path(path)) if s.isDirectory()]
-        return self.commit(base, old["schema"] or df.schema.json(), [*old["runs"], *sorted(runs, key=lambda r: r["path"])])
+        runs = [{"path": str(s.getPath().toString()), "bytes": self._bytes(str(s.getPath().toString()))} for s in self._fs.listStatus(self._path(path)) if s.isDirectory()]
+        return self._added(df, sorted(runs, key=lambda r: r["path"]))
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version (default: the newest)."""
@@ -118,8 +152,19 @@ class ShardStore:
             merged = tiers[full[0]]
             path = f"{self.root}/runs/{uuid.uuid4().hex}"
             self._merge(now, merged, path)
-            gone = {r["path"] for r in merged}
-            self.commit(base, now["schema"], [*[r for r in now["runs"] if r["path"] not in gone], {"path": path, "bytes": self._bytes(path), "made": base + 1}])
+            self._replaced({r["path"] for r in merged}, {"path": path, "bytes": self._bytes(path)})
+
+    def _replaced(self, gone: set[str], run: dict) -> int:
+        """The version with a merged run in place of those it holds; if another writer has merged one of them, the run is dropped."""
+        for i in range(TRIES):
+            base, now = self.version(), self.manifest()
+            if not gone <= {r["path"] for r in now["runs"]}:
+                return base
+            try:
+                return self.commit(base, now["schema"], [*[r for r in now["runs"] if r["path"] not in gone], {**run, "made": base + 1}])
+            except Conflict:
+                time.sleep(0.05 * (i + 1))
+        raise Conflict(f"{TRIES} tries met other writers")
 
     def _merge(self, manifest: dict, runs: list[dict], path: str) -> None:
         """Rewrites runs without a shuffle: Spark packs whole small shards into tasks of target size, a task writes a file."""

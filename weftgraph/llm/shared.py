@@ -1,44 +1,92 @@
-"""What the operators share: the cluster's folder, word and shingle hashing, salted groups, components."""
+"""What the operators share: word and shingle hashing, exact Arrow batches, salted groups, components."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"\w+")
+from weftgraph import storage
+
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors see.
-
-    Where the setting is absent (local tests), a temporary folder takes its place.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = getattr(spark.sparkContext, "_weft_dir", None)
-        if root is None:
-            root = "file://" + tempfile.mkdtemp(prefix="weft-")
-            spark.sparkContext._weft_dir = root
-    return f"{root.rstrip('/')}/weft-{uuid.uuid4().hex[:12]}"
+    """A new folder under spark.checkpoint.dir, which all executors see."""
+    return storage.scratch(spark, "weft")
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
     """df as a Parquet table at path: cuts lineage and survives lost executors."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return storage.written(df, path, "zstd")
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows while tables are written inside; the session's setting returns."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of bounded rows and bytes (a row at least), so that long texts do not add up in a worker."""
+    for b in batches:
+        rest = [b.slice(i, rows) for i in range(0, b.num_rows, rows)][::-1]
+        while rest:
+            s = rest.pop()
+            if s.num_rows > 1 and s.nbytes > size:
+                half = s.num_rows // 2
+                rest += [s.slice(half), s.slice(0, half)]
+            else:
+                yield s
+
+
+def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
+    """df through a function of small Arrow slices to dicts of columns, Arrow or lists in schema's order.
+
+    Values never pass through pandas: nullable 64-bit ids stay exact.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in function(sliced(batches)):
+            yield pa.RecordBatch.from_arrays([_as(columns[f.name], f.type) for f in arrow], schema=arrow)
 
+    return df.mapInArrow(run, schema)
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows, so that long texts do not add up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def _as(column, kind: pa.DataType) -> pa.Array:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if isinstance(column, pa.Array):
+        return column if column.type == kind else column.cast(kind)
+    return pa.array(column, kind)
+
+
+def texts_of(batch: pa.RecordBatch, name: str = "text") -> list:
+    """A string column as Python texts, nulls as None."""
+    return batch.column(name).to_pylist()
+
+
+def longs_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A column of nullable 64-bit numbers, exactly: values (0 where null) and whether each is there."""
+    column = column.cast(pa.int64())
+    return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -64,8 +112,26 @@ def group_facts(df: DataFrame, key: str, aggregates: dict[str, tuple]) -> DataFr
     return whole.select(key, F.explode("salts").alias("salt"), *aggregates)
 
 
-MASK = (1 << 64) - 1
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df to be broadcast if it has at most so many rows, by a count; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined to facts, which has one row for each key, although one key may hold a third of rows.
+
+    Each fact goes to the salts at which its key occurs, SALTS at most; rows meet it there.
+    """
+    salted = rows.withColumn("_salt", salt_of(*rows.columns))
+    spread = salted.select(key, "_salt").distinct().join(facts, key)
+    return salted.join(spread, [key, "_salt"], how).drop("_salt")
+
+
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0xD1342543DE82EF95
+#: Characters that are hashed at once: the bound of the arrays that a text needs beside its words.
+CHARACTERS = 1 << 19
+NOT_A_WORD = re.compile(r"\W")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -80,29 +146,92 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """Words to 64-bit hashes, kept up to a number of words."""
-
-    KEPT = 100_000
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= self.KEPT:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-def words(text: str | None) -> list[str]:
-    """The lower-case words (runs of letters, digits and underscores) of a whole text; null: none."""
-    return WORD.findall(text.lower()) if text else []
-
-
-def word_hashes(text: str | None, known: WordHashes) -> np.ndarray:
-    """The hash of each word of a text, in order."""
-    found = words(text)
-    return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+_POWERS: list[np.ndarray] = []
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE to the power of 0 to n and of 0 to -n, modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        _POWERS.clear()
+        for x in (BASE, pow(BASE, -1, 1 << 64)):
+            p = np.full(max(n, 1 << 20) + 1, x, np.uint64)
+            p[0] = 1
+            _POWERS.append(np.multiply.accumulate(p))
+    return _POWERS[0][: n + 1], _POWERS[1][: n + 1]
+
+
+def table(name: str) -> np.ndarray:
+    """A fact of every code point: hash (64 bits), word (letter, digit or underscore), space or upper (case)."""
+    if name not in _TABLES:
+        every = map(chr, range(0x110000))
+        if name == "hash":
+            _TABLES[name] = mixed(np.arange(1, 0x110001, dtype=np.uint64) * MULTIPLIER)
+        else:
+            test = {"word": lambda c: c == "_" or c.isalnum(), "space": str.isspace, "upper": str.isupper}[name]
+            _TABLES[name] = np.fromiter(map(test, every), bool, 0x110000)
+    return _TABLES[name]
+
+
+class Words:
+    """The words of some lower-case texts: where each starts and ends among their characters, its text and its hash."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(self.codes)
+        inside = np.zeros(n + 2, np.int8)
+        inside[1:-1] = table("word")[self.codes]
+        edges = np.flatnonzero(np.diff(inside))
+        self.start, self.end = edges[::2], edges[1::2]
+        self.up, down = powers(n)
+        self.sums = np.zeros(n + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(table("hash")[self.codes] * down[:n], out=self.sums[1:])
+        self.first = np.cumsum([0] + [len(t) + 1 for t in texts])  # of each text's characters
+        self.text = np.searchsorted(self.first, self.start, side="right") - 1
+        self.cuts = np.searchsorted(self.start, self.first[1:-1])
+        self.hash = self.hash_of(self.start, self.end)
+
+    def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash of each run of characters."""
+        with np.errstate(over="ignore"):
+            return mixed((self.sums[end] - self.sums[start]) * self.up[start] + (end - start).astype(np.uint64))
+
+
+def pieces(text: str, size: int = CHARACTERS) -> Iterator[str]:
+    """A text in parts of about size characters, cut where no word is."""
+    at = 0
+    while len(text) - at > size:
+        found = NOT_A_WORD.search(text, at + size)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """The hash of each word (run of letters, digits and underscores, in lower case) of whole texts, in order; null: none."""
+    out, some, size = [np.empty(0, np.uint64)] * len(texts), [], 0
+
+    def flush() -> None:
+        if some:
+            for (i, _), h in zip(some, np.split((w := Words([t for _, t in some])).hash, w.cuts)):
+                out[i] = h
+            some.clear()
+
+    for i, text in enumerate(texts):
+        if text:
+            text = text.lower()
+            if len(text) > CHARACTERS:
+                out[i] = np.concatenate([Words([p]).hash for p in pieces(text)])
+                continue
+            if size + len(text) > CHARACTERS:
+                flush()
+                size = 0
+            some.append((i, text))
+            size += len(text)
+    flush()
+    return out
 
 
 def shingle_hashes(hashes: np.ndarray, n: int = SHINGLE_WORDS) -> np.ndarray:
@@ -110,34 +239,34 @@ def shingle_hashes(hashes: np.ndarray, n: int = SHINGLE_WORDS) -> np.ndarray:
     n = min(n, len(hashes))
     if n == 0:
         return np.empty(0, np.uint64)
-    each, out = mixed(hashes), np.zeros(len(hashes) - n + 1, np.uint64)
+    out = np.zeros(len(hashes) - n + 1, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(n):
             out *= MULTIPLIER
-            out += each[i : len(hashes) - n + 1 + i]
+            out += hashes[i : len(hashes) - n + 1 + i]
     return mixed(out)
 
 
 def components(edges: DataFrame, path: str, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b), as (id, component): the least id that each reaches.
 
-    Each round does two star operations (every node's neighbours are linked to the least of them),
-    so that rounds grow with the logarithm of a component's diameter; each is a written table and
-    only a count of changed rows reaches the driver.  A node's neighbours are never collected: a
-    group contributes its minimum.  Nulls and self-loops are left out.  Raises if rounds run out.
+    Each round links both ends' labels to the lesser one and halves the ways between labels, so that
+    rounds grow with the logarithm of a component's diameter; each is a written table and only
+    whether any label moved reaches the driver.  A node's neighbours are never collected: a group
+    contributes its minimum, and joins on a group's label are salted.  Nulls and self-loops are left
+    out.  Raises if rounds run out.
     """
     edges = edges.where("a is not null and b is not null and a != b")
     links = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{path}/links")
     labels = links.select(F.col("a").alias("id")).union(links.select(F.col("b"))).distinct().select("id", F.col("id").alias("component"))
     labels = written(labels, f"{path}/labels-0")
     for i in range(rounds):
-        # the least label over each link's two ends, then over the old labels' own labels (pointer jumping)
-        ends = links.join(labels.select(F.col("id").alias("a"), F.col("component").alias("of_a")), "a").join(labels.select(F.col("id").alias("b"), F.col("component").alias("of_b")), "b")
-        least = ends.select("of_a", "of_b", F.least("of_a", "of_b").alias("to"))
-        moves = least.select(F.col("of_a").alias("component"), "to").union(least.select("of_b", "to")).groupBy("component").agg(F.min("to").alias("to")).where("to < component")
+        ends = salted_join(links, labels.select(F.col("id").alias("a"), F.col("component").alias("of_a")), "a").select("of_a", "b").distinct()
+        ends = salted_join(ends, labels.select(F.col("id").alias("b"), F.col("component").alias("of_b")), "b").select("of_a", "of_b").where("of_a != of_b")
+        moves = ends.select(F.greatest("of_a", "of_b").alias("component"), F.least("of_a", "of_b").alias("to")).groupBy("component").agg(F.min("to").alias("to"))
         moves = written(moves, f"{path}/moves-{i}")
-        jumped = moves.join(moves.select(F.col("component").alias("to"), F.col("to").alias("next")), "to", "left").select("component", F.coalesce("next", "to").alias("to"))
         if moves.isEmpty():
             return labels
-        labels = written(labels.join(jumped, "component", "left").select("id", F.coalesce("to", "component").alias("component")), f"{path}/labels-{i + 1}")
+        jumped = salted_join(moves, moves.select(F.col("component").alias("to"), F.col("to").alias("next")), "to", "left").select("component", F.coalesce("next", "to").alias("to"))
+        labels = written(salted_join(labels, jumped, "component", "left").select("id", F.coalesce("to", "component").alias("component")), f"{path}/labels-{i + 1}")
     raise RuntimeError("components did not settle")

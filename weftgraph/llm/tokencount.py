@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm.pretokens import loaded
-from weftgraph.llm.shared import small_batches
+from weftgraph.llm.shared import mapped, texts_of
 
 LIMIT = 2048
 
@@ -25,19 +25,18 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
 
     Null and empty texts have no bytes and no tokens.  Every row is counted by itself: ties,
     repeated rows and null ids pass through; an empty table gives an empty one; further columns
-    of docs are not read.  A long text is held whole, a batch holds 500 texts.
+    of docs are not read.  A long text is held whole, shorter ones 500 at a time.
     """
     path = path or vocabulary()
-    small_batches(docs.sparkSession)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         model = loaded(path, "counts")
-        for x in batches:
-            texts = [t if isinstance(t, str) else "" for t in x["text"]]
+        for b in batches:
+            texts = [t or "" for t in texts_of(b)]
             n = model.counts(texts)
-            yield pd.DataFrame({"doc_id": x["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [k > limit for k in n]})
+            yield {"doc_id": b.column("doc_id"), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [k > limit for k in n]}
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInPandas(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
