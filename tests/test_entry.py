@@ -30,7 +30,7 @@ def test_the_library_imports_alone(tmp_path):
     assert said.returncode == 0 and int(said.stdout) == len(registry.QUERIES), said.stderr
 
 
-@pytest.mark.parametrize("name", ["bgp_match", "translate", "khop_synonyms", "q_name_search", "agg_coverage"])
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_queries_match_their_sql(spark, sf_dir, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

@@ -48,6 +48,13 @@ def test_obo_stanzas(spark, tmp_path):
     assert {tuple(r) for r in o["is_a"].collect()} == {("DOID:1", "DOID:0"), ("DOID:1", "DOID:9")}
 
 
+def test_obo_with_other_line_ends(spark, tmp_path):
+    (tmp_path / "o.obo").write_bytes(b"format-version: 1.2\r\n\r\n[Term]\r\nid: A:1\r\nname: one\r\nis_a: A:0 ! zero\r\n\r\n[Typedef]\r\nid: p\r\nname: q\r\n\r\n[Term]\r\nid: A:2\r\nname: two\r\n")
+    o = t.read_obo(spark, str(tmp_path / "o.obo"))
+    assert {tuple(r) for r in o["terms"].collect()} == {("A:1", "one"), ("A:2", "two")}
+    assert [tuple(r) for r in o["is_a"].collect()] == [("A:1", "A:0")]
+
+
 def test_ragged_commented_rows(spark, tmp_path):
     (tmp_path / "x.tsv").write_text("# note\na\t1\tp|q\nb\n# more\nc\t3\n")
     rows = t.read_tsv(spark, str(tmp_path / "x.tsv"), "name string, n int, more string").collect()
@@ -133,6 +140,91 @@ def test_buckets_over_a_stream(spark):
     assert got == {1: 20.0, 2: 14.0, 9: 1.0} == {r["bucket"].day: r["value"] for r in measures.time_buckets(df, "day").collect()}
 
 
+def test_limits_are_of_each_entity(spark):
+    edges = spark.createDataFrame([(f"DIS:{i}", f"GENE:{g}", "p") for i in range(30) for g in range(3)], "source_id string, target_id string, predicate string")
+    genes = spark.createDataFrame([(f"GENE:{g}",) for g in range(3)], "id string")
+    got = domain.one_hop(edges, genes, "DIS", 20).groupBy("id").count().collect()
+    assert {r["id"]: r["count"] for r in got} == {f"GENE:{g}": 20 for g in range(3)}
+    assert domain.one_hop_of(edges, genes, "DIS", ["HGNC"]).count() == 0
+
+
+def test_names_are_found_inside_labels(spark):
+    """Names shorter and longer than the runs they meet by, with signs of patterns, against brute force."""
+    labels = ["Cardiac Arrhythmias", "Asthma", "asthma, allergic", "A.* odd (name)", "", None, "ab", "b", "Thyroid Neoplasms of the thyroid", "x" * 50]
+    names = ["asthma", "ASTHMA", "A.*", "thyroid neoplasms", "b", "", None, "zz", "xxxxxxxxxxxx", "(name)", "allergic asthma", "y" * 60]
+    got = patterns.containing(spark.createDataFrame(list(enumerate(labels)), "id int, label string"), spark.createDataFrame([(n,) for n in names], "name string"))
+    want = {(n, i) for n in names if n for i, x in enumerate(labels) if x and n.lower() in x.lower()}
+    assert {(r["name"], r["id"]) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_longest_registered_base(spark):
+    prefixes = spark.createDataFrame([("HP", "http://purl.obolibrary.org/obo/HP_"), ("OBO", "http://purl.obolibrary.org/obo/"), ("V", "http://x.org/voc#"), ("X", "http://x.org")], "curie string, iri string")
+    iris = ["http://purl.obolibrary.org/obo/HP_0002099", "http://purl.obolibrary.org/obo/DOID_1", "http://x.org/voc#asthma", "http://x.org/a/b/", "urn:none", None, ""]
+    df = spark.createDataFrame(list(enumerate(iris)), "i int, iri string")
+    assert {r["i"]: r["curie"] for r in c.to_curie(df, prefixes, "iri").collect()} == {0: "HP", 1: "OBO", 2: "V", 3: "X", 4: None, 5: None, 6: None}
+    assert [r["compact"] for r in c.iri_compact(df, prefixes, "iri").orderBy("i").collect()] == ["HP:0002099", "OBO:DOID_1", "V:asthma", "X:a/b", "urn:none", None, ""]
+
+
+def test_properties_of_synonyms_merge(spark):
+    rows = [("a", "tags", "set", ["y", "x"]), ("b", "tags", "set", ["x", "z"]), ("a", "refs", "list", ["1"]), ("b", "refs", "list", ["1", "2"]), ("a", "name", "scalar", ["n"]), ("b", "name", "scalar", ["m"]), ("a", "odd", "set", ["1"]), ("b", "odd", "list", ["1"]), ("q", "odd", "list", ["9"])]
+    good, bad = patterns.merge_properties(spark.createDataFrame(rows, "id string, key string, kind string, values array<string>"), spark.createDataFrame([("b", "a")], "a string, b string"))
+    assert {(r["representative"], r["key"]): r["values"] for r in good.collect()} == {("a", "tags"): ["x", "y", "z"], ("a", "refs"): ["1", "1", "2"], ("a", "name"): ["n", "m"], ("q", "odd"): ["9"]}
+    assert [(r["representative"], r["key"], r["kinds"]) for r in bad.collect()] == [("a", "odd", ["list", "set"])]
+
+
+def test_parallel_operations_keep_their_names(spark):
+    moves = spark.createDataFrame([("A", "B", "l", "one"), ("A", "B", "l", "two"), ("A", "B", "UNKNOWN", "three")], "src_type string, dst_type string, link string, op string")
+    found = typegraph.shortest_paths(moves, "A", spark.createDataFrame([("B",)], "t string"))
+    assert [(r["ops"], r["names"]) for r in typegraph.compile_program(found, moves).collect()] == [(["l"], ["l:one", "l:two"])]
+
+
+def test_chains_go_on_with_what_is_bound(spark):
+    q = spark.createDataFrame([("g", "A:1", "p", "B:1"), ("g", "A:1", "p", "B:2"), ("g", "B:2", "q", "C:2"), ("g", "B:3", "q", "C:3")], "g string, s string, p string, o string")
+    things = spark.createDataFrame([("A:1",)], "id string")
+    run = lambda b: {(r["kind"], r["id"], r["value"]) for r in typegraph.translate_chain(things, q, ["A", "B", "C"], 2, b).collect()}
+    assert run(None) == {("B", "A:1", "B:1"), ("B", "A:1", "B:2"), ("C", "B:2", "C:2")}
+    assert run({"B": spark.createDataFrame([("B:3",)], "id string")}) == {("B", "A:1", "B:1"), ("B", "A:1", "B:2"), ("C", "B:3", "C:3")}
+
+
+def test_synonyms_of_some_ids(spark):
+    m = spark.createDataFrame([("S:1", "P:1", "x"), ("P:1", "T:1", "y"), ("S:2", "T:2", "z"), ("T:2", "T:3", "z")], "from_curie string, to_curie string, source_prefix string")
+    ids = spark.createDataFrame([("S:1",), ("S:2",)], "id string")
+    assert {(r["query_id"], r["curie"], r["distance"]) for r in ontology.khop(m, 2, ids).collect()} == {("S:1", "P:1", 1), ("S:1", "T:1", 2), ("S:2", "T:2", 1), ("S:2", "T:3", 2)}
+    assert {(r["query_id"], r["curie"], r["distance"]) for r in ontology.khop_expanding(m, "T", 3, ids).collect()} == {("S:1", "T:1", 2), ("S:2", "T:2", 1)}
+
+
+def test_most_similar_in_blocks_is_that_of_all(spark):
+    e = spark.createDataFrame([(f"t{i:02}", [float(i % 7), 1.0, float(i % 3)]) for i in range(40)], "term string, vec array<float>")
+    terms = e.select("term").limit(5)
+    one = {tuple(r) for r in measures.most_similar(e, terms, 4).collect()}
+    assert one == {tuple(r) for r in measures.most_similar(e, terms, 4, block=7).collect()} and len(one) == 20
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from weftgraph import storage
+
+    class Context:
+        applicationId, master = "none", "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf: dict = {}
+
+    with pytest.raises(RuntimeError):
+        storage.shared_root(Session())
+
+
+def test_finished_folders_can_be_deleted(spark):
+    from weftgraph import storage
+
+    before = storage.made(spark)
+    storage.written(spark.range(3), scratch(spark))
+    assert storage.cleared(spark, before) == 1 and storage.made(spark) == before
+
+
 def test_domain_questions_have_no_cap_of_their_own(spark):
     edges = spark.createDataFrame([(f"DIS:{i}", "GENE:1", "p") for i in range(300)], "source_id string, target_id string, predicate string")
     assert domain.one_hop(edges, spark.createDataFrame([("GENE:1",)], "id string"), "DIS").count() == 300

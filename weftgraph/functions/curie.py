@@ -118,11 +118,28 @@ def valid_nodes(nodes: DataFrame, node_types: DataFrame) -> tuple[DataFrame, Dat
     return nodes.join(kinds, "node_type", "left_semi"), nodes.join(kinds, "node_type", "left_anti")
 
 
+#: Where an IRI's base may end and its local part begin: after each of these.
+CUTS = "[/#_=:]"
+
+
 def to_curie(df: DataFrame, prefixes: DataFrame, column: str) -> DataFrame:
-    """df and curie: the prefix registered for an IRI's part before its last segment, a final slash ignored; null if unknown."""
-    base = prefixes.select(unterminate(F.col("iri")).alias("_base"), "curie").groupBy("_base").agg(F.min("curie").alias("curie"))
-    iri = unterminate(F.col(column))
-    return df.withColumn("_base", F.regexp_replace(iri, "/[^/]*$", "")).join(base, "_base", "left").drop("_base")
+    """df and curie: the prefix registered (curie, iri) for the longest base of an IRI; null if unknown.
+
+    A base ends with /, #, _, = or :, or before it; a final slash of the IRI is ignored.
+    """
+    return longest_base(df, prefixes, column).drop("_local")
+
+
+def longest_base(df: DataFrame, prefixes: DataFrame, column: str) -> DataFrame:
+    """df, curie and _local, what follows the longest registered base."""
+    base = prefixes.select(F.regexp_replace("iri", f"{CUTS}$", "").alias("_base"), "curie").groupBy("_base").agg(F.min("curie").alias("curie"))
+    iris = df.select(F.col(column).alias("_iri")).where("_iri is not null").distinct()
+    whole = unterminate(F.col("_iri"))
+    ends = F.filter(F.sequence(F.lit(1), F.length(whole) - 1), lambda i: F.rlike(F.substring(whole, i, 1), F.lit(CUTS)))
+    tried = iris.where(F.length(whole) > 1).select("_iri", F.explode(ends).alias("_end")).select("_iri", "_end", F.substring(F.col("_iri"), F.lit(1), F.col("_end") - 1).alias("_base"))
+    best = tried.join(base, "_base").groupBy("_iri").agg(F.max_by(F.struct("curie", "_end"), F.col("_end")).alias("_b"))
+    best = best.select("_iri", F.col("_b.curie").alias("curie"), F.substring(whole, F.col("_b._end") + 1, F.length("_iri")).alias("_local"))
+    return df.join(best, df[column] == best["_iri"], "left").drop("_iri")
 
 
 def make_up_curie(df: DataFrame, prefixes: DataFrame, column: str) -> DataFrame:
@@ -146,7 +163,7 @@ def guess_type(df: DataFrame, prefixes: DataFrame, column: str, source: str) ->
 
 def iri_compact(df: DataFrame, prefixes: DataFrame, column: str) -> DataFrame:
     """df and compact: an IRI as CURIE, or itself where its base is unknown."""
-    return to_curie(df, prefixes, column).withColumn("compact", F.coalesce(F.concat("curie", F.lit(":"), path_last(unterminate(F.col(column)))), F.col(column))).drop("curie")
+    return longest_base(df, prefixes, column).withColumn("compact", F.coalesce(F.concat("curie", F.lit(":"), "_local"), F.col(column))).drop("curie", "_local")
 
 
 def abstract_type(df: DataFrame, concepts: DataFrame, column: str) -> DataFrame:

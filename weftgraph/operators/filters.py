@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 INLINE = 1000
@@ -56,10 +56,11 @@ def pmids(publications: Column) -> Column:
     return F.coalesce(F.transform(found, lambda p: p["id"]), F.array().cast("array<string>"))
 
 
-def patients_where(patients: DataFrame, as_of: str, age: int | None = None, sex: str | None = None, race: str | None = None) -> DataFrame:
-    """Patients by any of age in whole years at a date, sex and race."""
+def patients_where(patients: DataFrame, as_of: str, age: int | None = None, sex: str | None = None, race: str | None = None, lat_long: tuple[float, float] | None = None) -> DataFrame:
+    """Patients by any of age in whole years at a date, sex, race and place (geoCode)."""
     years = F.floor(F.months_between(F.lit(as_of).cast("date"), "birth_date") / 12)
-    tests = [(age, years), (sex, F.col("sex")), (race, F.col("race"))]
+    place = lat_long or (None, None)
+    tests = [(age, years), (sex, F.col("sex")), (race, F.col("race")), (place[0], F.col("geoCode.lat")), (place[1], F.col("geoCode.long"))]
     for value, column in tests:
         if value is not None:
             patients = patients.where(column == F.lit(value))
@@ -82,3 +83,24 @@ def within_radius(df: DataFrame, lat: float, lon: float, radius_km: float) -> Da
 def limit_rows(df: DataFrame, n: int) -> DataFrame:
     """The first n rows in the order of all columns."""
     return df.orderBy(*df.columns).limit(n)
+
+
+def limit_each(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The first n rows of each key, in the order of the other columns."""
+    w = Window.partitionBy(key).orderBy(*[c for c in df.columns if c != key])
+    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def equal_to(df: DataFrame, column: str, value) -> DataFrame:
+    """Rows whose column has a value."""
+    return df.where(F.col(column) == F.lit(value))
+
+
+def matching(df: DataFrame, column: str, pattern: str) -> DataFrame:
+    """Rows in whose column a pattern occurs."""
+    return df.where(F.rlike(column, F.lit(pattern)))
+
+
+def enabled(transitions: DataFrame) -> DataFrame:
+    """Transitions but those of the link UNKNOWN."""
+    return transitions.where("link != 'UNKNOWN'")

@@ -82,15 +82,18 @@ def similarity(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
     return rows.withColumn("similarity", F.round(F.coalesce(cosine(F.col("_va"), F.col("_vb")), F.lit(-1.0)), 6)).select("term_a", "term_b", "similarity")
 
 
-def most_similar(embeddings: DataFrame, terms: DataFrame, k: int = 10, parts: int = 16) -> DataFrame:
+def most_similar(embeddings: DataFrame, terms: DataFrame, k: int = 10, block: int = 5000) -> DataFrame:
     """(term, partner, similarity, rank): each given term's k nearest others by cosine, ties to the smaller term.
 
-    Terms meet the vectors in blocks: queries go to every one of `parts` blocks of the vectors, and
-    each block keeps its own k before the blocks are compared.
+    Terms meet the vectors in blocks of about `block`: queries go to every block, and each block
+    keeps its own k before the blocks are compared.
     """
+    parts = max(1, -(-embeddings.count() // block))
     unit = lambda v: F.transform(v, lambda x: F.try_divide(x.cast("double"), F.sqrt(dot(v, v))))
     stored = embeddings.select(F.col("term").alias("partner"), unit(F.col("vec")).alias("_v"), F.pmod(F.xxhash64("term"), F.lit(parts)).alias("_part"))
     asked = embeddings.join(terms.select("term").distinct(), "term").select("term", unit(F.col("vec")).alias("_q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_part"))
-    rows = asked.join(stored, "_part").where("term != partner").select("term", "partner", F.round(dot(F.col("_q"), F.col("_v")), 6).alias("similarity"))
+    rows = asked.join(stored, "_part").where("term != partner").select("term", "partner", "_part", F.round(dot(F.col("_q"), F.col("_v")), 6).alias("similarity"))
+    own = Window.partitionBy("term", "_part").orderBy(F.desc("similarity"), "partner")
+    rows = rows.withColumn("_own", F.row_number().over(own)).where(F.col("_own") <= k).drop("_own", "_part")
     w = Window.partitionBy("term").orderBy(F.desc("similarity"), "partner")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

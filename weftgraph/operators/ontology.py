@@ -7,6 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.joins import connected
 from weftgraph.storage import scratch, written
 
 
@@ -49,27 +50,34 @@ def property_path(up: DataFrame, edges: DataFrame) -> DataFrame:
     return up.join(edges.select(F.col("source_id").alias("ancestor"), F.col("target_id").alias("target")), "ancestor").select("id", "target").distinct()
 
 
-def khop(mappings: DataFrame, distance: int = 2) -> DataFrame:
-    """(query_id, curie, distance, source_prefixes): identifiers within a distance over mappings taken both ways.
+def khop(mappings: DataFrame, distance: int = 2, ids: DataFrame | None = None, until: str | None = None) -> DataFrame:
+    """(query_id, curie, distance, source_prefixes): identifiers within a distance of the ids (id; default: all) over mappings taken both ways.
 
     distance is the least; source_prefixes are those of the last mappings of the shortest ways.
+    until: a prefix; ids that have met an identifier of it go no further.
     """
     home = scratch(mappings.sparkSession)
     both = mappings.select("from_curie", "to_curie", "source_prefix").union(mappings.select("to_curie", "from_curie", "source_prefix")).where("from_curie != to_curie").distinct()
     both = written(both, f"{home}/edges")
     step = both.select(F.col("from_curie").alias("curie"), F.col("to_curie").alias("next"), "source_prefix")
     grouped = lambda df, k: df.groupBy("query_id", "curie").agg(F.array_sort(F.collect_set("source_prefix")).alias("source_prefixes")).withColumn("distance", F.lit(k))
-    found = frontier = written(grouped(both.select(F.col("from_curie").alias("query_id"), F.col("to_curie").alias("curie"), "source_prefix"), 1), f"{home}/1")
+    first = both.select(F.col("from_curie").alias("query_id"), F.col("to_curie").alias("curie"), "source_prefix")
+    if ids is not None:
+        first = first.join(ids.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_semi")
+    found = frontier = written(grouped(first, 1), f"{home}/1")
     for k in range(2, distance + 1):
-        more = frontier.select("query_id", "curie").join(step, "curie").where("query_id != next").select("query_id", F.col("next").alias("curie"), "source_prefix")
+        last = frontier.select("query_id", "curie")
+        if until is not None:
+            last = last.join(found.where(F.startswith("curie", F.lit(f"{until}:"))).select("query_id").distinct(), "query_id", "left_anti")
+        more = last.join(step, "curie").where("query_id != next").select("query_id", F.col("next").alias("curie"), "source_prefix")
         frontier = written(grouped(more.join(found, ["query_id", "curie"], "left_anti"), k), f"{home}/{k}")
         found = found.unionByName(frontier)
     return found
 
 
-def khop_expanding(mappings: DataFrame, prefix: str, most: int = 3) -> DataFrame:
+def khop_expanding(mappings: DataFrame, prefix: str, most: int = 3, ids: DataFrame | None = None) -> DataFrame:
     """khop's rows of a target prefix at the least distance from 1 to most that has any."""
-    rows = khop(mappings, most).where(F.startswith("curie", F.lit(f"{prefix}:")))
+    rows = khop(mappings, most, ids, prefix).where(F.startswith("curie", F.lit(f"{prefix}:")))
     return rows.withColumn("_least", F.min("distance").over(Window.partitionBy("query_id"))).where("distance = _least").drop("_least")
 
 
@@ -79,22 +87,9 @@ def valid_prefixes(sources: DataFrame) -> DataFrame:
     return sources.select(every.alias("prefix")).union(sources.sparkSession.range(1).select(F.lit("MESH"))).distinct()
 
 
-def reachable_min(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, representative): the least id connected to each id of the links (a, b); labels are halved each round and written."""
-    home = scratch(links.sparkSession)
-    edges = written(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{home}/links")
-    labels = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("representative", F.col("id"))
-    labels = written(labels, f"{home}/0")
-    for i in range(rounds):
-        ends = edges.join(labels.select(F.col("id").alias("a"), F.col("representative").alias("ra")), "a").join(labels.select(F.col("id").alias("b"), F.col("representative").alias("rb")), "b")
-        low = F.least("ra", "rb")
-        moves = ends.select(F.col("ra").alias("representative"), low.alias("to")).union(ends.select("rb", low)).groupBy("representative").agg(F.min("to").alias("to")).where("to < representative")
-        moves = written(moves, f"{home}/moves-{i}")
-        if moves.isEmpty():
-            return labels
-        jumped = moves.join(moves.select(F.col("representative").alias("to"), F.col("to").alias("further")), "to", "left").select("representative", F.coalesce("further", "to").alias("to"))
-        labels = written(labels.join(jumped, "representative", "left").select("id", F.coalesce("to", "representative").alias("representative")), f"{home}/{i + 1}")
-    raise RuntimeError("the links did not settle")
+def reachable_min(links: DataFrame) -> DataFrame:
+    """(id, representative): the least id connected to each id of the links (a, b)."""
+    return connected(links).withColumnRenamed("component", "representative")
 
 
 def name_search(names: DataFrame, terms: DataFrame, synonyms: DataFrame, substring: bool = False) -> DataFrame:

@@ -54,6 +54,37 @@ def bgp(quads: DataFrame, patterns: list[tuple[str, str, str]], select: list[str
     return limit_rows(out, limit) if limit else out
 
 
+def having(df: DataFrame, probe: DataFrame, key: str) -> DataFrame:
+    """df's rows whose key the probe has."""
+    return df.join(probe.select(key).distinct(), key, "left_semi")
+
+
+#: Letters of the runs by which names and labels meet.
+GRAM = 8
+
+
+def containing(labels: DataFrame, names: DataFrame, gram: int = GRAM) -> DataFrame:
+    """(name, id, label): for each of the names (name) the labels (id, label) that contain it, in any case.
+
+    Exact, and without a cross join: a name meets the labels that hold the rarest of its runs of
+    `gram` letters (a shorter name: the name itself), and is looked for in those.  Distinct texts
+    meet, so that a label of many ids is compared once.  Null and empty names match nothing; names are
+    texts, not patterns.
+    """
+    runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)))
+    asked = names.select("name").where("length(name) > 0").distinct().withColumn("_name", F.lower("name"))
+    asked = asked.withColumn("_n", F.least(F.length("_name"), F.lit(gram)))
+    known = labels.where("label is not null").select(F.lower("label").alias("_label")).distinct()
+    lengths = asked.select("_n").distinct()  # at most `gram` rows
+    sized = known.join(F.broadcast(lengths), F.length("_label") >= F.col("_n"))
+    held = sized.select("_label", "_n", F.explode(runs(F.col("_label"), F.col("_n"))).alias("_run"))
+    counts = held.groupBy("_n", "_run").agg(F.count("*").alias("_count"))
+    own = asked.select("name", "_name", "_n", F.explode(runs(F.col("_name"), F.col("_n"))).alias("_run"))
+    rarest = own.join(counts, ["_n", "_run"]).groupBy("name", "_name", "_n").agg(F.min_by("_run", F.struct("_count", "_run")).alias("_run"))
+    hits = rarest.join(held, ["_n", "_run"]).where(F.contains("_label", F.col("_name"))).select("name", "_label").distinct()
+    return labels.withColumn("_label", F.lower("label")).join(hits, "_label").select("name", "id", "label")
+
+
 def lookup(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     """df's rows with each of their key's values; keys without any are left out."""
     return df.join(dimension, key)
@@ -95,6 +126,28 @@ def same_as_min(synonyms: DataFrame) -> DataFrame:
 
 def merge_synonyms(nodes: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Nodes (id, label) merged over synonym links: representative, synonyms and labels, sorted."""
-    rep = same_as_min(synonyms)
-    named = nodes.join(rep, "id", "left").withColumn("representative", F.coalesce("representative", "id"))
+    named = represented(nodes, synonyms)
     return named.groupBy("representative").agg(F.array_sort(F.collect_set("id")).alias("synonyms"), F.array_sort(F.collect_set("label")).alias("labels"))
+
+
+def represented(nodes: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """Nodes (id and others) with the representative of their synonyms, themselves if they have none."""
+    rep = same_as_min(synonyms)
+    return nodes.join(rep, "id", "left").withColumn("representative", F.coalesce("representative", "id"))
+
+
+def merge_properties(properties: DataFrame, synonyms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Properties (id, key, kind, values) of nodes merged over synonym links, and those that cannot be.
+
+    kind is list, set or scalar.  Lists are joined in the order of ids, sets united, scalars become
+    all their values in the order of ids.  Merged: representative, key, kind, values (a set's sorted).
+    A key that has different kinds in one group is no property of it: representative, key, kinds.
+    """
+    rows = represented(properties, synonyms)
+    kinds = rows.groupBy("representative", "key").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    wrong = kinds.where(F.size("kinds") > 1)
+    good = rows.join(wrong, ["representative", "key"], "left_anti")
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("id", "values"))), lambda x: x["values"]))
+    merged = good.groupBy("representative", "key", "kind").agg(joined.alias("values"))
+    values = F.when(F.col("kind") == "set", F.array_sort(F.array_distinct("values"))).otherwise(F.col("values"))
+    return merged.withColumn("values", values), wrong

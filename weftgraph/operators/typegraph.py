@@ -5,17 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.curie import curie_prefix
+from weftgraph.operators.filters import enabled
 from weftgraph.storage import scratch, written
 
 
 def transitions_of(quads: DataFrame) -> DataFrame:
-    """(src_type, dst_type, link, op) that a graph's edges show between identifier types."""
+    """(src_type, dst_type, link, op) that a graph's edges show between identifier types: a few rows, written, as all that follows reads them again."""
     typed = quads.select(curie_prefix(F.col("s")).alias("src_type"), curie_prefix(F.col("o")).alias("dst_type"), F.col("p").alias("link"))
-    return typed.where("src_type is not null and dst_type is not null").distinct().withColumn("op", F.concat_ws("__", F.lower("src_type"), "link", F.lower("dst_type")))
+    moves = typed.where("src_type is not null and dst_type is not null").distinct().withColumn("op", F.concat_ws("__", F.lower("src_type"), "link", F.lower("dst_type")))
+    return written(moves.coalesce(1), scratch(quads.sparkSession))
 
 
 def both_ways(quads: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ def assign_is_a(types: DataFrame, concepts: DataFrame) -> DataFrame:
 
 def lift_to_concepts(transitions: DataFrame, is_a: DataFrame) -> DataFrame:
     """(src_concept, dst_concept): the concepts that enabled transitions other than synonyms connect."""
-    used = transitions.where("link != 'UNKNOWN' and lower(link) != 'synonym'")
+    used = enabled(transitions).where("lower(link) != 'synonym'")
     a = is_a.select(F.col("type").alias("src_type"), F.col("concept").alias("src_concept"))
     b = is_a.select(F.col("type").alias("dst_type"), F.col("concept").alias("dst_concept"))
     return used.join(a, "src_type").join(b, "dst_type").where("src_concept is not null and dst_concept is not null").select("src_concept", "dst_concept").distinct()
@@ -59,7 +61,7 @@ def shortest_paths(transitions: DataFrame, src: str, targets: DataFrame, max_hop
     it ends where a level is empty, or at max_hops, if given.
     """
     home = scratch(transitions.sparkSession)
-    used = transitions.where("link != 'UNKNOWN'").select("src_type", F.col("dst_type").alias("next"), "link").distinct()
+    used = enabled(transitions).select("src_type", F.col("dst_type").alias("next"), "link").distinct()
     start = used.where(F.col("src_type") == src).select(F.col("next").alias("dst_type"), F.array(F.lit(src), "next").alias("types"), F.array("link").alias("links")).where(F.col("dst_type") != src)
     frontier = written(start, f"{home}/1")
     seen = frontier.select("dst_type").union(transitions.sparkSession.range(1).select(F.lit(src))).distinct()
@@ -86,27 +88,46 @@ def paths(transitions: DataFrame, src: str, max_depth: int = 4) -> DataFrame:
     return out.select("dst_type", "links")
 
 
-def compile_program(found: DataFrame) -> DataFrame:
-    """(dst_type, level, node_type, ops): the levels of each target's shortest paths, parallel links as ops of one level."""
+def compile_program(found: DataFrame, transitions: DataFrame | None = None) -> DataFrame:
+    """(dst_type, level, node_type, ops[, names]): the levels of each target's shortest paths, parallel links as ops of one level.
+
+    With transitions, names has every operation of the level's links, parallel ones of one link too, as link:op.
+    """
     rows = found.select("dst_type", "types", F.posexplode("links").alias("level", "link"))
     rows = rows.select("dst_type", "level", F.element_at("types", F.col("level") + 1).alias("node_type"), "link")
-    return rows.groupBy("dst_type", "level", "node_type").agg(F.array_sort(F.collect_set("link")).alias("ops"))
+    ops = F.array_sort(F.collect_set("link")).alias("ops")
+    if transitions is None:
+        return rows.groupBy("dst_type", "level", "node_type").agg(ops)
+    rows = found.select("dst_type", "types", F.posexplode("links").alias("level", "link")).select("dst_type", "level", F.element_at("types", F.col("level") + 1).alias("node_type"), F.element_at("types", F.col("level") + 2).alias("_next"), "link")
+    named = rows.join(enabled(transitions).select(F.col("src_type").alias("node_type"), F.col("dst_type").alias("_next"), "link", "op").distinct(), ["node_type", "_next", "link"])
+    return named.groupBy("dst_type", "level", "node_type").agg(ops, F.array_sort(F.collect_set(F.concat_ws(":", "link", "op"))).alias("names"))
+
+
+def level_steps(program: DataFrame) -> list[tuple[int, list[tuple[str, str]]]]:
+    """A program's levels in order, each with its (type, predicate) steps: as few as the type graph has links."""
+    levels: dict[int, set[tuple[str, str]]] = {}
+    for r in program.select("level", "node_type", F.explode("ops").alias("p")).distinct().collect():
+        levels.setdefault(r["level"], set()).add((r["node_type"], r["p"]))
+    return [(level, sorted(levels[level])) for level in sorted(levels)]
+
+
+def allowed(c: Column, step: list[tuple[str, str]]) -> Column:
+    """Whether an identifier's type takes the predicate p in a level's steps."""
+    return F.concat(curie_prefix(c), F.lit("|"), F.col("p")).isin([f"{kind}|{p}" for kind, p in step])
 
 
 def execute_program(program: DataFrame, frontier: DataFrame, edges: DataFrame, checked: bool = True) -> DataFrame:
     """(level, source_id, predicate, target_id[, type_ok]): every edge that a program's levels give from the frontier (id).
 
     program: level, node_type, ops of one target.  Each level is one join of the whole frontier with
-    the edges (s, p, o) of the level's types and ops; the next frontier are its distinct targets.
-    The levels, a few rows, are read by the driver, as they number the joins.
+    the edges (s, p, o) of the level's ops; the next frontier are its distinct targets.  The steps, a
+    few rows, are read by the driver: they number the joins and keep other predicates from being read.
+    type_ok: whether the target has a type of the next level; the last level's may have any.
     """
     home = scratch(edges.sparkSession)
-    levels = sorted({r["level"] for r in program.select("level").distinct().collect()})
-    steps = program.select("level", "node_type", F.explode("ops").alias("p")).withColumn("next", F.lead("node_type").over(Window.partitionBy("level").orderBy("level"))).drop("next")
     out, now = None, frontier.select("id").distinct()
-    for level in levels:
-        step = steps.where(F.col("level") == level).select(F.col("node_type").alias("_type"), "p").distinct()
-        reached = now.join(edges, now["id"] == edges["s"]).withColumn("_type", curie_prefix(F.col("id"))).join(F.broadcast(step), ["_type", "p"], "left_semi")
+    for level, step in level_steps(program):
+        reached = now.join(edges.where(F.col("p").isin(sorted({p for _, p in step}))), F.col("id") == F.col("s")).where(allowed(F.col("id"), step))
         rows = written(reached.select(F.lit(level).alias("level"), F.col("id").alias("source_id"), F.col("p").alias("predicate"), F.col("o").alias("target_id")).distinct(), f"{home}/{level}")
         out = rows if out is None else out.unionByName(rows)
         now = rows.select(F.col("target_id").alias("id")).distinct()
@@ -160,28 +181,41 @@ def route(requests: DataFrame, router: DataFrame, equivalence: DataFrame) -> Dat
     return requests.join(best, ["type_a", "type_b"], "left")
 
 
-def translate(things: DataFrame, quads: DataFrame, src_type: str, dst_type: str, max_hops: int | None = None) -> DataFrame:
-    """(id, value): what the things (id) of one type reach in another by all shortest ways of the type graph."""
-    moves = transitions_of(quads)
+def translate(things: DataFrame, quads: DataFrame, src_type: str, dst_type: str, max_hops: int | None = None, moves: DataFrame | None = None) -> DataFrame:
+    """(id, value): what the things (id) of one type reach in another by all shortest ways of the type graph (moves; default: of the quads)."""
+    moves = transitions_of(quads) if moves is None else moves
     target = things.sparkSession.createDataFrame([(dst_type,)], "type string")
     program = compile_program(shortest_paths(moves, src_type, target, max_hops)).drop("dst_type")
-    levels = sorted(r["level"] for r in program.select("level").distinct().collect())
     home = scratch(quads.sparkSession)
     now = things.select("id", F.col("id").alias("at")).distinct()
-    for level in levels:
-        step = program.where(F.col("level") == level).select(F.col("node_type").alias("_type"), F.explode("ops").alias("p"))
-        now = now.withColumn("_type", curie_prefix(F.col("at"))).join(F.broadcast(step), "_type").join(quads.select(F.col("s").alias("at"), "p", "o"), ["at", "p"]).select("id", F.col("o").alias("at")).distinct()
+    for level, step in level_steps(program):
+        edges = quads.where(F.col("p").isin(sorted({p for _, p in step}))).select(F.col("s").alias("at"), "p", "o")
+        now = now.join(edges, "at").where(allowed(F.col("at"), step)).select("id", F.col("o").alias("at")).distinct()
         now = written(now, f"{home}/{level}")
     return now.where(F.startswith("at", F.lit(f"{dst_type}:"))).select("id", F.col("at").alias("value"))
 
 
-def translate_chain(things: DataFrame, quads: DataFrame, kinds: list[str], breadth: int = 2) -> DataFrame:
-    """(kind, id, value): consecutive translations along kinds; of each thing's values the least `breadth` go on."""
+def translate_chain(things: DataFrame, quads: DataFrame, kinds: list[str], breadth: int = 2, bindings: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(kind, id, value): consecutive translations along kinds; of each thing's values the least `breadth` go on.
+
+    bindings: for a kind, the things (id) asked for, which go on in place of what was reached.
+    """
+    moves, bindings = transitions_of(quads), bindings or {}
     now, out = things.select("id"), None
     for a, b in zip(kinds, kinds[1:]):
-        rows = translate(now, quads, a, b)
+        rows = translate(bindings[a].select("id") if a in bindings else now, quads, a, b, moves=moves)
         first = F.row_number().over(Window.partitionBy("id").orderBy("value"))
         rows = rows.withColumn("_n", first).where(F.col("_n") <= breadth).drop("_n").withColumn("kind", F.lit(b))
         out = rows if out is None else out.unionByName(rows)
         now = rows.select(F.col("value").alias("id")).distinct()
     return out.select("kind", "id", "value")
+
+
+def translate_all(bindings: dict[str, DataFrame], quads: DataFrame, kinds: list[str]) -> DataFrame:
+    """(src_kind, dst_kind, id, value): the things (id) bound to each kind, translated to every other kind."""
+    moves, out = transitions_of(quads), None
+    for a in [k for k in kinds if k in bindings]:
+        for b in [k for k in kinds if k != a]:
+            rows = translate(bindings[a], quads, a, b, moves=moves).select(F.lit(a).alias("src_kind"), F.lit(b).alias("dst_kind"), "id", "value")
+            out = rows if out is None else out.unionByName(rows)
+    return out

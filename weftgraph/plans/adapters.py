@@ -11,19 +11,19 @@ from weftgraph.sources.tables import curie, table
 def chem_quads(spark: SparkSession, d: str) -> DataFrame:
     """Line items as chemical-gene interactions, customers as diseases, parts as compounds and drugs, suppliers as genes, nations as pathways."""
     li, orders, part, supp, nation, customer = (table(spark, d, x) for x in ("lineitem", "orders", "part", "supplier", "nation", "customer"))
+    # only what lines say can be said twice
     ixn = F.concat_ws(".", F.lit("IXN:"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    assoc = li.where("l_linenumber = 1").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     rows = [
-        li.select(ixn, F.lit("ctd:cid"), curie("CHEM", "l_partkey")),
-        li.select(ixn, F.lit("ctd:gene"), curie("GENE", "l_suppkey")),
-        li.select(ixn, F.lit("ctd:types"), F.concat_ws("|", "l_returnflag", "l_linestatus")),
-        assoc.select(curie("DA", "o_orderkey"), F.lit("ctd:disease"), curie("DIS", "o_custkey")),
-        assoc.select(curie("DA", "o_orderkey"), F.lit("ctd:cid"), curie("CHEM", "l_partkey")),
-        assoc.select(curie("DA", "o_orderkey"), F.lit("ctd:pmids"), F.concat_ws("|", "o_orderstatus", "o_orderpriority")),
+        li.select(ixn, F.lit("ctd:cid"), curie("CHEM", "l_partkey")).distinct(),
+        li.select(ixn, F.lit("ctd:gene"), curie("GENE", "l_suppkey")).distinct(),
+        li.select(ixn, F.lit("ctd:types"), F.concat_ws("|", "l_returnflag", "l_linestatus")).distinct(),
+        orders.select(curie("DA", "o_orderkey"), F.lit("ctd:disease"), curie("DIS", "o_custkey")),
+        li.select(curie("DA", "l_orderkey"), F.lit("ctd:cid"), curie("CHEM", "l_partkey")).distinct(),
+        orders.select(curie("DA", "o_orderkey"), F.lit("ctd:pmids"), F.concat_ws("|", "o_orderstatus", "o_orderpriority")),
         part.select(curie("DRUG", "p_partkey"), F.lit("drugbank:cid"), curie("CHEM", "p_partkey")),
         part.select(curie("DRUG", "p_partkey"), F.lit("drugbank:name"), F.col("p_name")),
         part.select(curie("CHEM", "p_partkey"), F.lit("label"), F.col("p_name")),
-        li.where("l_linenumber = 1").select(curie("DRUG", "l_partkey"), F.lit("drugbank:target"), curie("GENE", "l_suppkey")).distinct(),
+        li.select(curie("DRUG", "l_partkey"), F.lit("drugbank:target"), curie("GENE", "l_suppkey")).distinct(),
         supp.select(curie("GENE", "s_suppkey"), F.lit("pharmgkb:uniprot"), curie("UNI", "s_suppkey")),
         supp.select(curie("UNI", "s_suppkey"), F.lit("kegg:path"), curie("PATH", "s_nationkey")),
         supp.select(curie("UNI", "s_suppkey"), F.lit("owl:sameAs"), F.concat(F.lit("HGNC:x:"), F.col("s_suppkey"))),

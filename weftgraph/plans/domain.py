@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.curie import curie_prefix, path_last, rewrite_prefix, split_multi, un_curie
-from weftgraph.operators.filters import iregex, limit_rows, pick, pmids
+from weftgraph.operators.filters import limit_each, pick, pmids
 from weftgraph.operators.ontology import closure, having_ancestor, property_path
-from weftgraph.operators.patterns import bgp, lookup_fallback, neighbors
+from weftgraph.operators.patterns import bgp, containing, lookup_fallback, neighbors
 
 #: Patterns of chemical, gene, pathway and disease records, put together by the questions below.
 IXN = [("?ixn", "ctd:cid", "?compound"), ("?ixn", "ctd:gene", "?gene")]
@@ -43,21 +43,27 @@ def drugs_by_disease(quads: DataFrame, conditions: DataFrame) -> DataFrame:
 
 
 def genes_pathways_by_disease(quads: DataFrame, diseases: DataFrame, limit: int | None = None) -> DataFrame:
-    """Diseases to drugs, their target genes and the genes' pathways."""
-    return bgp(quads, DISEASE + DRUG + [("?drug", "drugbank:target", "?gene")] + PATHWAY, ["disease", "drug", "gene", "path", "path_name"], {"disease": diseases}, distinct=True, limit=limit)
+    """Diseases to drugs, their target genes and the genes' pathways; limit: rows of each disease."""
+    out = bgp(quads, DISEASE + DRUG + [("?drug", "drugbank:target", "?gene")] + PATHWAY, ["disease", "drug", "gene", "path", "path_name"], {"disease": diseases}, distinct=True)
+    return limit_each(out, "disease", limit) if limit else out
 
 
 def genes_by_disease_graph(quads: DataFrame, diseases: DataFrame, limit: int | None = None) -> DataFrame:
-    """genes_pathways_by_disease as edges to UNIPROT genes."""
+    """genes_pathways_by_disease as edges to UNIPROT genes; limit: edges of each disease."""
     rows = genes_pathways_by_disease(quads, diseases)
     out = rows.select(F.col("disease").alias("source_id"), F.concat(F.lit("UNIPROT:"), un_curie(F.col("gene"))).alias("target_id"), F.col("path").alias("kegg_path")).distinct()
-    return limit_rows(out, limit) if limit else out
+    return limit_each(out, "source_id", limit) if limit else out
 
 
-def drug_gene_disease(quads: DataFrame, drug_pattern: str, disease_pattern: str) -> DataFrame:
-    """Genes and diseases of compounds whose drug and disease names match, in any case."""
-    out = bgp(quads, DRUG + IXN + DISEASE + [("?disease", "label", "?disease_name")], ["drug_name", "gene", "disease", "disease_name"], distinct=True)
-    return out.where(iregex(F.col("drug_name"), drug_pattern) & iregex(F.col("disease_name"), disease_pattern))
+def named(quads: DataFrame, predicate: str, names: DataFrame) -> DataFrame:
+    """(name, id, label): the subjects of a predicate whose object contains one of the names (name), in any case."""
+    return containing(quads.where(F.col("p") == predicate).select(F.col("s").alias("id"), F.col("o").alias("label")), names)
+
+
+def drug_gene_disease(quads: DataFrame, drugs: DataFrame, diseases: DataFrame) -> DataFrame:
+    """Genes and diseases of compounds whose drug and disease names contain one of the names (name) of each kind."""
+    asked = named(quads, "drugbank:name", drugs).select("id"), named(quads, "label", diseases).select("id")
+    return bgp(quads, DRUG + IXN + DISEASE + [("?disease", "label", "?disease_name")], ["drug_name", "gene", "disease", "disease_name"], {"drug": asked[0], "disease": asked[1]}, distinct=True)
 
 
 def compound_genes(quads: DataFrame, compounds: DataFrame) -> DataFrame:
@@ -66,27 +72,32 @@ def compound_genes(quads: DataFrame, compounds: DataFrame) -> DataFrame:
     return out.withColumn("types", split_multi(F.col("types")))
 
 
-def drug_name_to_gene(quads: DataFrame, pattern: str) -> DataFrame:
-    """Drugs whose name matches, to genes."""
-    names = quads.where((F.col("p") != "drugbank:name") | iregex(F.col("o"), pattern))
-    return bgp(names, DRUG + IXN, ["drug", "drug_name", "gene"], distinct=True)
+def drug_name_to_gene(quads: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, drug, drug_name, gene): the names' drugs, to genes."""
+    found = named(quads, "drugbank:name", names).withColumnsRenamed({"id": "drug", "label": "drug_name"})
+    return found.join(bgp(quads, DRUG[:1] + IXN, ["drug", "gene"], {"drug": found.select("drug")}, distinct=True), "drug").select("name", "drug", "drug_name", "gene").distinct()
+
 
+def drug_name_to_compound(quads: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, compound, drug_name): the names' drugs, to compounds."""
+    found = named(quads, "drugbank:name", names).withColumnsRenamed({"id": "drug", "label": "drug_name"})
+    return found.join(bgp(quads, DRUG[:1], ["drug", "compound"]), "drug").select("name", "compound", "drug_name").distinct()
 
-def drug_name_to_compound(quads: DataFrame, pattern: str) -> DataFrame:
-    """Drugs whose name matches, to compounds."""
-    names = quads.where((F.col("p") != "drugbank:name") | iregex(F.col("o"), pattern))
-    return bgp(names, DRUG, ["compound", "drug_name"], distinct=True)
 
+def drug_name_to_id(quads: DataFrame, names: DataFrame, prefix: str) -> DataFrame:
+    """(name, drug_name, target_id): the names' drugs, as identifiers of another vocabulary."""
+    return named(quads, "drugbank:name", names).select("name", F.col("label").alias("drug_name"), F.concat(F.lit(f"{prefix}:"), un_curie(F.col("id"))).alias("target_id")).distinct()
 
-def drug_name_to_id(quads: DataFrame, pattern: str, prefix: str) -> DataFrame:
-    """Drugs whose name matches, as identifiers of another vocabulary."""
-    names = quads.where((F.col("p") != "drugbank:name") | iregex(F.col("o"), pattern))
-    return bgp(names, DRUG[1:], ["drug", "drug_name"], distinct=True).select("drug_name", F.concat(F.lit(f"{prefix}:"), un_curie(F.col("drug"))).alias("target_id"))
+
+def drug_name_to_provider_id(ligands: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, id, label): a provider's ligands (id, name) whose name contains one of the names."""
+    return containing(ligands.select("id", F.col("name").alias("label")), names).distinct()
 
 
 def pathways_by_gene(quads: DataFrame, genes: DataFrame, limit: int | None = None) -> DataFrame:
-    """Genes to pathways."""
-    return bgp(quads, PATHWAY, ["gene", "path", "path_name"], {"gene": genes}, distinct=True, limit=limit)
+    """Genes to pathways; limit: rows of each gene."""
+    out = bgp(quads, PATHWAY, ["gene", "path", "path_name"], {"gene": genes}, distinct=True)
+    return limit_each(out, "gene", limit) if limit else out
 
 
 def same_as(quads: DataFrame, predicate: str, prefix: str) -> DataFrame:
@@ -105,12 +116,12 @@ def disease_to_gene(quads: DataFrame, diseases: DataFrame) -> DataFrame:
     return bgp(quads, DISEASE + IXN, ["disease", "gene"], {"disease": diseases}, distinct=True)
 
 
-def disease_name_to_gene(quads: DataFrame, pattern: str, limit: int | None = None) -> DataFrame:
-    """Diseases whose name matches, to genes; diseases without an association are left out first."""
-    named = quads.where((F.col("p") == "label") & iregex(F.col("o"), pattern)).select(F.col("s").alias("disease"))
-    known = named.join(quads.where("p = 'ctd:disease'").select(F.col("o").alias("disease")), "disease", "left_semi")
-    out = disease_to_gene(quads, known)
-    return limit_rows(out, limit) if limit else out
+def disease_name_to_gene(quads: DataFrame, names: DataFrame, limit: int | None = None) -> DataFrame:
+    """(name, disease, gene): the names' diseases, to genes; diseases without an association are left out first; limit: rows of each name."""
+    found = named(quads, "label", names).select("name", F.col("id").alias("disease"))
+    known = found.join(quads.where("p = 'ctd:disease'").select(F.col("o").alias("disease")), "disease", "left_semi")
+    out = known.join(disease_to_gene(quads, known.select("disease")), "disease").select("name", "disease", "gene").distinct()
+    return limit_each(out, "name", limit) if limit else out
 
 
 def exposure_disease(quads: DataFrame, stressors: DataFrame, object_pattern: str) -> DataFrame:
@@ -119,15 +130,17 @@ def exposure_disease(quads: DataFrame, stressors: DataFrame, object_pattern: str
     return out.where(F.rlike("disease", F.lit(object_pattern)))
 
 
-def disease_drug_pathway(quads: DataFrame, name_pattern: str) -> DataFrame:
+def disease_drug_pathway(quads: DataFrame, names: DataFrame) -> DataFrame:
     """Diseases by name to drugs, genes and pathways, in the order of names."""
-    out = bgp(quads, DISEASE + [("?disease", "label", "?disease_name")] + DRUG + [("?drug", "drugbank:target", "?gene")] + PATHWAY, ["disease_name", "drug_name", "path_name"], distinct=True)
-    return out.where(iregex(F.col("disease_name"), name_pattern)).orderBy("disease_name", "drug_name", "path_name")
+    asked = named(quads, "label", names).select("id")
+    out = bgp(quads, DISEASE + [("?disease", "label", "?disease_name")] + DRUG + [("?drug", "drugbank:target", "?gene")] + PATHWAY, ["disease_name", "drug_name", "path_name"], {"disease": asked}, distinct=True)
+    return out.orderBy("disease_name", "drug_name", "path_name")
 
 
-def broader_category(broader: DataFrame, pattern: str) -> DataFrame:
-    """(category, category_name) of the items (label, category, category_name) whose label matches, by name."""
-    return broader.where(iregex(F.col("label"), pattern)).select("category", "category_name").distinct().orderBy("category_name")
+def broader_category(broader: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, category, category_name) of the items (label, category, category_name) whose label contains one of the names, by name."""
+    items = broader.select(F.struct("category", "category_name").alias("id"), "label")
+    return containing(items, names).select("name", "id.category", "id.category_name").distinct().orderBy("name", "category_name")
 
 
 def parts_of(quads: DataFrame, up: DataFrame, predicate: str, root: DataFrame) -> DataFrame:
@@ -145,9 +158,14 @@ def superclass_targets(quads: DataFrame, is_a: DataFrame, predicate: str) -> Dat
 
 
 def one_hop(edges: DataFrame, nodes: DataFrame, label: str, limit: int | None = None) -> DataFrame:
-    """(id, neighbor): undirected neighbours of a type, limited for each query by the order of rows."""
+    """(id, neighbor): undirected neighbours of a type; limit: the least of each node."""
     out = neighbors(edges, nodes).where(curie_prefix(F.col("neighbor")) == label).select("id", "neighbor").distinct()
-    return limit_rows(out, limit) if limit else out
+    return limit_each(out, "id", limit) if limit else out
+
+
+def one_hop_of(edges: DataFrame, nodes: DataFrame, label: str, prefixes: list[str], limit: int | None = None) -> DataFrame:
+    """one_hop of the nodes of some vocabularies alone."""
+    return one_hop(edges, nodes.where(curie_prefix(F.col("id")).isin(prefixes)), label, limit)
 
 
 def name_to_ids(concepts: DataFrame, names: DataFrame, prefix: str) -> DataFrame:
@@ -245,9 +263,13 @@ def split_ids(rows: DataFrame, column: str) -> DataFrame:
     return rows.select("key", F.explode(split_multi(F.col(column), ",")).alias("id")).select("key", F.upper("id").alias("id")).distinct()
 
 
-def clinical_outcome_pathway(quads: DataFrame, drugs: DataFrame, diseases: DataFrame) -> DataFrame:
-    """(source_id, predicate, target_id): diseases to genes, drugs to genes and genes to pathways, as one table of edges."""
-    a = disease_to_gene(quads, diseases).select(F.col("disease").alias("source_id"), F.lit("disease_gene").alias("predicate"), F.col("gene").alias("target_id"))
-    b = drug_to_gene(quads, drugs).select(F.col("drug").alias("source_id"), F.lit("drug_gene").alias("predicate"), F.col("gene").alias("target_id"))
-    c = pathways_by_gene(quads, a.unionByName(b).select("target_id").distinct(), None).select(F.col("gene").alias("source_id"), F.lit("gene_pathway").alias("predicate"), F.col("path").alias("target_id"))
-    return a.unionByName(b).unionByName(c).distinct()
+def clinical_outcome_pathway(quads: DataFrame, drugs: DataFrame, diseases: DataFrame, conditions: DataFrame | None = None) -> DataFrame:
+    """(source_id, predicate, target_id): diseases to genes, drugs to genes, genes to pathways and, if conditions (id, target_id) are given, diseases to genetic conditions, as one table of edges."""
+    edges = lambda df, s, p, o: df.select(F.col(s).alias("source_id"), F.lit(p).alias("predicate"), F.col(o).alias("target_id"))
+    a = edges(disease_to_gene(quads, diseases), "disease", "disease_gene", "gene")
+    b = edges(drug_to_gene(quads, drugs), "drug", "drug_gene", "gene")
+    c = edges(pathways_by_gene(quads, a.unionByName(b).select("target_id").distinct()), "gene", "gene_pathway", "path")
+    out = a.unionByName(b).unionByName(c)
+    if conditions is not None:
+        out = out.unionByName(edges(conditions.join(diseases.select("id").distinct(), "id", "left_semi"), "id", "disease_genetic_condition", "target_id"))
+    return out.distinct()

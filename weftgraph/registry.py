@@ -40,12 +40,12 @@ IS_A = """is_a AS (
 CLOSURE = f"""WITH RECURSIVE {IS_A}, up AS (
   SELECT child AS id, parent AS ancestor, 1 AS depth FROM is_a
   UNION SELECT up.id, is_a.parent, up.depth + 1 FROM up JOIN is_a ON up.ancestor = is_a.child)"""
-MAPPINGS = """m AS (SELECT DISTINCT 'PART:' || l_partkey AS a, 'SUPP:' || l_suppkey AS b, l_returnflag AS f FROM lineitem WHERE l_linenumber = 1),
+MAPPINGS = """m AS (SELECT DISTINCT 'PART:' || l_partkey AS a, 'SUPP:' || l_suppkey AS b, l_returnflag AS f FROM lineitem),
  e AS (SELECT a, b, f FROM m UNION SELECT b, a, f FROM m)"""
 IXN = """ixn AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS l, l_partkey AS p, l_suppkey AS s FROM lineitem),
  typed AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s, l_returnflag || '|' || l_linestatus AS types FROM lineitem),
- assoc AS (SELECT DISTINCT o_orderkey AS o, o_custkey AS c, l_partkey AS p, o_orderstatus || '|' || o_orderpriority AS pmids FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1),
- target AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_linenumber = 1),
+ assoc AS (SELECT DISTINCT o_orderkey AS o, o_custkey AS c, l_partkey AS p, o_orderstatus || '|' || o_orderpriority AS pmids FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ target AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),
  pathway AS (SELECT s_suppkey AS s, n_nationkey AS n, CASE WHEN n_regionkey = 1 THEN n_name || ' (human)' ELSE n_name END AS path_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 
@@ -54,7 +54,12 @@ def T(spark, d, name):
 
 
 def chem(spark, d):
-    return adapters.chem_quads(spark, d).distinct()
+    return adapters.chem_quads(spark, d)
+
+
+def names_of(spark, d, name, column):
+    """Every name of a table, as those that are asked for."""
+    return T(spark, d, name).select(F.col(column).alias("name")).distinct()
 
 
 def ids(spark, d, name, prefix, column):
@@ -125,7 +130,7 @@ def flatten_registry(spark, d):
 
 @query("SELECT 't' || vec_id AS term, len(embedding) AS n FROM embeddings")
 def scan_embeddings(spark, d):
-    return T(spark, d, "embeddings").select(F.concat(F.lit("t"), F.col("vec_id")).alias("term"), F.size("embedding").cast("long").alias("n"))
+    return t.vectors(T(spark, d, "embeddings"), F.concat(F.lit("T"), F.col("vec_id")), "embedding").select("term", "n")
 
 
 @query("SELECT p_brand, string_agg(p_name, ';' ORDER BY p_name) AS names FROM (SELECT DISTINCT p_brand, p_name FROM part) GROUP BY p_brand")
@@ -142,14 +147,31 @@ def sink_graph_json(spark, d):
     return j.select("id", F.get_json_object("json", "$.label").alias("label"), F.get_json_object("json", "$.node_type").alias("node_type"))
 
 
+@query("SELECT 'SUPP:' || s_suppkey AS source_id, 'NAT:' || s_nationkey AS target_id, 'in_nation' AS type, s_name AS name FROM supplier")
+def sink_edges_json(spark, d):
+    path = scratch(spark)
+    edges = T(spark, d, "supplier").select(t.curie("SUPP", "s_suppkey").alias("source_id"), t.curie("NAT", "s_nationkey").alias("target_id"), F.lit("in_nation").alias("predicate"), F.lit("given").alias("source"), F.create_map(F.lit("name"), F.col("s_name")).alias("properties"))
+    t.edges_json(edges).select("json").write.text(path)
+    return t.read_json(spark, path, "source_id string, target_id string, type string, name string")
+
+
+@query("SELECT 'SUPP:' || s_suppkey AS id, '...' AS name FROM supplier")
+def sink_graph_export(spark, d):
+    nodes = T(spark, d, "supplier").select(t.curie("SUPP", "s_suppkey").alias("id"), F.lit("Gene").alias("node_type"), F.col("s_name").alias("label"), F.create_map(F.lit("name"), F.col("s_name")).alias("properties"))
+    return t.graph_json(t.for_export(nodes)).select("id", F.get_json_object("json", "$.name").alias("name"))
+
+
 @query("SELECT c_custkey AS id FROM customer UNION SELECT o_custkey FROM orders")
 def upsert_type_graph(spark, d):
     return t.upsert(T(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct(), T(spark, d, "customer").select(F.col("c_custkey").alias("id")), ["id"])
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT l_partkey AS part, l_suppkey AS supplier FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_partkey = l.l_partkey AND r.l_suppkey = l.l_suppkey AND r.l_returnflag = 'R')")
 def anti_existing(spark, d):
-    return T(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(T(spark, d, "orders").select(F.col("o_custkey").alias("id")), "id", "left_anti")
+    """Pairs that no returned line has."""
+    pairs = T(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), "l_returnflag")
+    returned = filters.equal_to(pairs, "l_returnflag", "R").select("part", "supplier").distinct()
+    return t.missing(returned, pairs.select("part", "supplier").distinct(), ["part", "supplier"])
 
 
 # projections, filters
@@ -186,12 +208,12 @@ def filter_prefix(spark, d):
 
 @query("SELECT o_orderkey FROM orders WHERE regexp_matches(o_orderpriority, '^[12]-')")
 def filter_pattern(spark, d):
-    return T(spark, d, "orders").where(F.rlike("o_orderpriority", F.lit("^[12]-"))).select("o_orderkey")
+    return filters.matching(T(spark, d, "orders"), "o_orderpriority", "^[12]-").select("o_orderkey")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'")
 def filter_equals(spark, d):
-    return T(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber")
+    return filters.equal_to(T(spark, d, "lineitem"), "l_returnflag", "R").select("l_orderkey", "l_linenumber")
 
 
 @query("SELECT 'ORD:' || l_orderkey AS id, 'SUPP:' || l_suppkey AS refid FROM lineitem WHERE l_returnflag = 'R'")
@@ -215,6 +237,12 @@ def filter_optional(spark, d):
     return filters.patients_where(t.patients(spark, d), "2024-06-01", sex="F", race="B").select("patient_id")
 
 
+@query("SELECT DISTINCT user_id || '' AS patient_id FROM events WHERE user_id = 4")
+def filter_optional_place(spark, d):
+    """The patients at one place; each place has one."""
+    return filters.patients_where(t.patients(spark, d), "2024-06-01", sex="F", lat_long=(35 + 4 / 1000.0, -79 - 4 / 1000.0)).select("patient_id")
+
+
 @query("SELECT event_id, value FROM events WHERE event_type = 'click' AND CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-10'")
 def filter_exposures(spark, d):
     e = t.table(spark, d, "events").select("event_id", F.col("event_type").alias("exposure_type"), "ts", "value")
@@ -254,8 +282,14 @@ def lookup_fallback(spark, d):
 
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def join_exists(spark, d):
-    probe = T(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
-    return T(spark, d, "customer").join(probe, "c_custkey", "left_semi").select("c_custkey", "c_name")
+    probe = filters.equal_to(T(spark, d, "orders"), "o_orderstatus", "F").select(F.col("o_custkey").alias("c_custkey"))
+    return patterns.having(T(spark, d, "customer"), probe, "c_custkey").select("c_custkey", "c_name")
+
+
+@query("SELECT 'ORD:' || o_orderkey AS order_id, 'CUST:' || o_custkey AS customer FROM orders JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) ON l_orderkey = o_orderkey")
+def join_existence_pattern(spark, d):
+    """A pattern that shares one variable and gives no column: rows keep its multiplicity."""
+    return patterns.bgp(t.quads(spark, d), [("?order_id", "ordered_by", "?customer"), ("?order_id", "has_part", "?any")], ["order_id", "customer"])
 
 
 @query("SELECT DISTINCT 'NAT:' || c_nationkey AS id, 'CUST:' || c_custkey AS neighbor FROM customer UNION SELECT 'NAT:' || s_nationkey, 'SUPP:' || s_suppkey FROM supplier UNION SELECT 'NAT:' || n_nationkey, 'REG:' || n_regionkey FROM nation")
@@ -312,9 +346,9 @@ def q_drugs_by_disease(spark, d):
     return domain.drugs_by_disease(chem(spark, d), ids(spark, d, "customer", "DIS", "c_custkey"))
 
 
-@query(f"WITH {IXN} SELECT DISTINCT 'DIS:' || c AS disease, 'DRUG:' || p AS drug, 'GENE:' || s AS gene, 'PATH:' || n AS path, path_name FROM assoc JOIN part ON p = p_partkey JOIN target USING (p) JOIN pathway USING (s) ORDER BY 1, 2, 3, 4, 5 LIMIT 2000")
+@query(f"WITH {IXN} SELECT DISTINCT 'DIS:' || c AS disease, 'DRUG:' || p AS drug, 'GENE:' || s AS gene, 'PATH:' || n AS path, path_name FROM assoc JOIN part ON p = p_partkey JOIN target USING (p) JOIN pathway USING (s)")
 def q_genes_pathways_by_disease(spark, d):
-    return domain.genes_pathways_by_disease(chem(spark, d), ids(spark, d, "customer", "DIS", "c_custkey"), 2000)
+    return domain.genes_pathways_by_disease(chem(spark, d), ids(spark, d, "customer", "DIS", "c_custkey"))
 
 
 @query(f"WITH {IXN} SELECT DISTINCT 'DIS:' || c AS disease, 'DRUG:' || p AS drug, 'GENE:' || s AS gene, 'PATH:' || n AS path, path_name FROM assoc JOIN part ON p = p_partkey JOIN target USING (p) JOIN pathway USING (s)")
@@ -327,9 +361,9 @@ def q_genes_by_disease_graph(spark, d):
     return domain.genes_by_disease_graph(chem(spark, d), ids(spark, d, "customer", "DIS", "c_custkey"), None)
 
 
-@query(f"WITH {IXN} SELECT DISTINCT p_name AS drug_name, 'GENE:' || ixn.s AS gene, 'DIS:' || c AS disease, c_name AS disease_name FROM assoc JOIN part ON p = p_partkey JOIN ixn USING (p) JOIN customer ON c = c_custkey WHERE regexp_matches(p_name, '(?i)^A') AND regexp_matches(c_name, '(?i)9$')")
+@query(f"WITH {IXN} SELECT DISTINCT p_name AS drug_name, 'GENE:' || ixn.s AS gene, 'DIS:' || c AS disease, c_name AS disease_name FROM assoc JOIN part ON p = p_partkey JOIN ixn USING (p) JOIN customer ON c = c_custkey ")
 def q_drug_gene_disease(spark, d):
-    return domain.drug_gene_disease(chem(spark, d), "^A", "9$")
+    return domain.drug_gene_disease(chem(spark, d), names_of(spark, d, "part", "p_name"), names_of(spark, d, "customer", "c_name"))
 
 
 @query(f"WITH {IXN} SELECT DISTINCT 'CHEM:' || p AS compound, 'GENE:' || s AS gene, replace(types, '|', ';') AS types FROM typed")
@@ -337,19 +371,29 @@ def q_compound_genes(spark, d):
     return domain.compound_genes(chem(spark, d), ids(spark, d, "part", "CHEM", "p_partkey")).withColumn("types", F.array_join("types", ";"))
 
 
-@query(f"WITH {IXN} SELECT DISTINCT 'DRUG:' || p AS drug, p_name AS drug_name, 'GENE:' || s AS gene FROM ixn JOIN part ON p = p_partkey WHERE regexp_matches(p_name, '(?i)E$')")
+@query(f"WITH {IXN} SELECT DISTINCT name, 'DRUG:' || p AS drug, p_name AS drug_name, 'GENE:' || s AS gene FROM ixn JOIN part ON p = p_partkey JOIN (SELECT DISTINCT p_name AS name FROM part) ON contains(lower(p_name), lower(name))")
 def q_drug_name_to_gene(spark, d):
-    return domain.drug_name_to_gene(chem(spark, d), "E$")
+    return domain.drug_name_to_gene(chem(spark, d), names_of(spark, d, "part", "p_name"))
 
 
-@query("SELECT DISTINCT 'CHEM:' || p_partkey AS compound, p_name AS drug_name FROM part WHERE regexp_matches(p_name, '(?i)E$')")
+@query("SELECT DISTINCT word AS name, 'CHEM:' || p_partkey AS compound, p_name AS drug_name FROM part JOIN (SELECT DISTINCT split_part(p_name, ' ', 2) AS word FROM part) ON contains(lower(p_name), lower(word))")
 def q_drug_name_to_compound(spark, d):
-    return domain.drug_name_to_compound(chem(spark, d), "E$")
+    """Names are the second words of all names."""
+    words = T(spark, d, "part").select(F.substring_index("p_name", " ", -1).alias("name")).distinct()
+    return domain.drug_name_to_compound(chem(spark, d), words)
 
 
-@query("SELECT DISTINCT p_name AS drug_name, 'DRUGBANK:' || p_partkey AS target_id FROM part WHERE regexp_matches(p_name, '(?i)E$')")
+@query("SELECT DISTINCT name, p_name AS drug_name, 'DRUGBANK:' || p_partkey AS target_id FROM part JOIN (SELECT DISTINCT upper(p_name) AS name FROM part) ON contains(lower(p_name), lower(name))")
 def q_drug_name_to_drugbank(spark, d):
-    return domain.drug_name_to_id(chem(spark, d), "E$", "DRUGBANK")
+    return domain.drug_name_to_id(chem(spark, d), names_of(spark, d, "part", "p_name").select(F.upper("name").alias("name")), "DRUGBANK")
+
+
+@query("SELECT DISTINCT name, 'SUPP:' || s_suppkey AS id, s_name || ' of ' || n_name AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN (SELECT n_name AS name FROM nation) ON contains(lower(s_name || ' of ' || n_name), lower(name))")
+def q_drug_name_to_provider_id(spark, d):
+    """Suppliers as a provider's ligands, named with their nation, found by every nation's name."""
+    nation = T(spark, d, "nation")
+    ligands = T(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(t.curie("SUPP", "s_suppkey").alias("id"), F.concat("s_name", F.lit(" of "), "n_name").alias("name"))
+    return domain.drug_name_to_provider_id(ligands, nation.select(F.col("n_name").alias("name")))
 
 
 @query(f"WITH {IXN} SELECT DISTINCT 'GENE:' || s AS gene, 'PATH:' || n AS path, path_name FROM pathway")
@@ -357,9 +401,9 @@ def q_pathways_by_gene(spark, d):
     return domain.pathways_by_gene(chem(spark, d), ids(spark, d, "supplier", "GENE", "s_suppkey"), None)
 
 
-@query(f"WITH {IXN} SELECT DISTINCT 'GENE:' || s AS gene, 'PATH:' || n AS path, path_name FROM pathway ORDER BY 1, 2, 3 LIMIT 500")
+@query(f"WITH {IXN} SELECT DISTINCT 'GENE:' || s AS gene, 'PATH:' || n AS path, path_name FROM pathway")
 def q_gene_to_pathway_by_symbol(spark, d):
-    return domain.pathways_by_gene(chem(spark, d), ids(spark, d, "supplier", "GENE", "s_suppkey"), 500)
+    return domain.pathways_by_gene(chem(spark, d), ids(spark, d, "supplier", "GENE", "s_suppkey"))
 
 
 @query("SELECT 'UNI:' || s_suppkey AS source_id, 'HGNC:' || s_suppkey AS target_id FROM supplier")
@@ -377,30 +421,31 @@ def q_disease_to_gene(spark, d):
     return domain.disease_to_gene(chem(spark, d), ids(spark, d, "customer", "DIS", "c_custkey"))
 
 
-@query(f"WITH {IXN} SELECT DISTINCT 'DIS:' || c AS disease, 'GENE:' || ixn.s AS gene FROM assoc JOIN ixn USING (p) JOIN customer ON c = c_custkey WHERE regexp_matches(c_name, '(?i)7$') ORDER BY 1, 2 LIMIT 500")
+@query(f"WITH {IXN} SELECT DISTINCT c_name AS name, 'DIS:' || c AS disease, 'GENE:' || ixn.s AS gene FROM assoc JOIN ixn USING (p) JOIN customer ON c = c_custkey")
 def q_disease_name_to_gene(spark, d):
-    return domain.disease_name_to_gene(chem(spark, d), "7$", 500)
+    return domain.disease_name_to_gene(chem(spark, d), names_of(spark, d, "customer", "c_name"))
 
 
-@query(f"WITH {IXN} SELECT DISTINCT 'DIS:' || c AS disease, 'GENE:' || ixn.s AS gene FROM assoc JOIN ixn USING (p) JOIN customer ON c = c_custkey")
+@query(f"WITH {IXN} SELECT DISTINCT 'Customer' AS name, 'DIS:' || c AS disease, 'GENE:' || ixn.s AS gene FROM assoc JOIN ixn USING (p) JOIN customer ON c = c_custkey")
 def q_disease_name_to_gene_all(spark, d):
-    return domain.disease_name_to_gene(chem(spark, d), "")
+    """One name that every label contains."""
+    return domain.disease_name_to_gene(chem(spark, d), names_of(spark, d, "customer", "c_name").select(F.substring_index("name", "#", 1).alias("name")))
 
 
-@query(f"WITH {IXN} SELECT DISTINCT 'CHEM:' || p AS compound, 'DIS:' || c AS disease, p_name AS stressor_name FROM assoc JOIN part ON p = p_partkey WHERE regexp_matches('DIS:' || c, '^DIS:1')")
+@query(f"WITH {IXN} SELECT DISTINCT 'CHEM:' || p AS compound, 'DIS:' || c AS disease, p_name AS stressor_name FROM assoc JOIN part ON p = p_partkey")
 def q_exposure_disease(spark, d):
-    return domain.exposure_disease(chem(spark, d), ids(spark, d, "part", "CHEM", "p_partkey"), "^DIS:1")
+    return domain.exposure_disease(chem(spark, d), ids(spark, d, "part", "CHEM", "p_partkey"), "^DIS:")
 
 
-@query(f"WITH {IXN} SELECT DISTINCT c_name AS disease_name, p_name AS drug_name, path_name FROM assoc JOIN part ON p = p_partkey JOIN target USING (p) JOIN pathway USING (s) JOIN customer ON c = c_custkey WHERE regexp_matches(c_name, '(?i)1$|2$')")
+@query(f"WITH {IXN} SELECT DISTINCT c_name AS disease_name, p_name AS drug_name, path_name FROM assoc JOIN part ON p = p_partkey JOIN target USING (p) JOIN pathway USING (s) JOIN customer ON c = c_custkey")
 def q_disease_drug_pathway(spark, d):
-    return domain.disease_drug_pathway(chem(spark, d), "1$|2$")
+    return domain.disease_drug_pathway(chem(spark, d), names_of(spark, d, "customer", "c_name"))
 
 
-@query("SELECT DISTINCT 'PTYPE:' || p_type AS category, p_type AS category_name FROM part WHERE regexp_matches(p_name, '(?i)^B')")
+@query("SELECT DISTINCT name, 'PTYPE:' || p_type AS category, p_type AS category_name FROM part JOIN (SELECT DISTINCT p_name AS name FROM part) ON contains(lower(p_name), lower(name))")
 def q_broader_category(spark, d):
     broader = T(spark, d, "part").select(F.col("p_name").alias("label"), t.curie("PTYPE", "p_type").alias("category"), F.col("p_type").alias("category_name"))
-    return domain.broader_category(broader, "^B")
+    return domain.broader_category(broader, names_of(spark, d, "part", "p_name"))
 
 
 @query("SELECT 'PART:' || p_partkey AS id, p_name AS name FROM part")
@@ -451,10 +496,10 @@ def q_ctd_name_to_chemical(spark, d):
     return domain.ctd_name_to_chemical(chemicals, names)
 
 
-@query("SELECT 'PART:' || l_partkey AS chemical, 'SUPP:' || l_suppkey AS gene_id, l_returnflag || ';' || l_linestatus AS actions FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT 'PART:' || l_partkey AS chemical, 'SUPP:' || l_suppkey AS gene_id, l_returnflag || ';' || l_linestatus AS actions FROM lineitem WHERE l_linestatus = 'F'")
 def q_ctd_chemical_to_gene(spark, d):
-    li = T(spark, d, "lineitem").select(t.curie("PART", "l_partkey").alias("chemical"), t.curie("SUPP", "l_suppkey").alias("gene_id"), F.col("l_linenumber").cast("string").alias("organism_id"), F.concat_ws("|", "l_returnflag", "l_linestatus").alias("actions"), F.lit("1|2").alias("pmids"))
-    out = domain.ctd_chemical_to_gene(li, li.select("chemical"), "1")
+    li = T(spark, d, "lineitem").select(t.curie("PART", "l_partkey").alias("chemical"), t.curie("SUPP", "l_suppkey").alias("gene_id"), F.when(F.col("l_linestatus") == "F", "9606").otherwise("10090").alias("organism_id"), F.concat_ws("|", "l_returnflag", "l_linestatus").alias("actions"), F.lit("1|2").alias("pmids"))
+    out = domain.ctd_chemical_to_gene(li, li.select("chemical"), "9606")
     return out.select("chemical", "gene_id", F.array_join("actions", ";").alias("actions"))
 
 
@@ -464,6 +509,15 @@ def q_drug_gene(spark, d):
     return domain.linked_targets(adapters.records(spark, d), symbols)
 
 
+@query("SELECT DISTINCT 'ORD:' || o_orderkey AS id, c_name AS symbol FROM orders JOIN customer ON o_custkey = c_custkey")
+def q_disease_gene(spark, d):
+    """Orders as a provider's disease records with a link to their customer as target."""
+    link = F.struct(F.lit("Target").alias("kind"), t.curie("CUST", "o_custkey").alias("refid"))
+    records = T(spark, d, "orders").select(t.curie("ORD", "o_orderkey").alias("id"), F.array(link).alias("links"))
+    symbols = T(spark, d, "customer").select(t.curie("CUST", "c_custkey").alias("refid"), F.col("c_name").alias("symbol"))
+    return domain.linked_targets(records, symbols)
+
+
 @query("SELECT DISTINCT 'ORD:' || l_orderkey AS id, l_returnflag AS term FROM lineitem")
 def q_target_disease(spark, d):
     return domain.target_terms(adapters.records(spark, d), "IDG Disease")
@@ -487,6 +541,21 @@ def q_gene_function(spark, d):
     return domain.associations_below(edges, ontology.closure(t.is_a(spark, d)), root, "PART", "GO").select("id", "target_id")
 
 
+@query("SELECT 'ORD:' || l_orderkey AS id, 'PART:' || l_partkey AS target_id, 'disease_to_phenotype' AS predicate, CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END AS n_pmids FROM lineitem")
+def q_disease_phenotype(spark, d):
+    """Associations with the number of their PMID publications; null publications are none."""
+    out = domain.associations(adapters.association_records(spark, d), "disease_to_phenotype")
+    return out.select("id", "target_id", "predicate", F.size("pmids").alias("n_pmids"))
+
+
+@query("SELECT 'ORD:' || l_orderkey AS id, 'GO:' || l_partkey AS target_id FROM lineitem JOIN part ON l_partkey = p_partkey")
+def q_gene_go(spark, d):
+    """Associations below the root of all parts."""
+    edges = domain.associations(adapters.association_records(spark, d), "has_part").select("id", "target_id")
+    root = spark.range(1).select(F.lit("ROOT:PART").alias("id"))
+    return domain.associations_below(edges, ontology.closure(t.is_a(spark, d)), root, "PART", "GO").select("id", "target_id")
+
+
 TYPED_PARTS = "SELECT p_partkey AS k, t FROM part JOIN (SELECT p_brand, arg_min(p_type, p_partkey) AS t FROM part GROUP BY p_brand) b USING (p_brand)"
 
 
@@ -522,24 +591,45 @@ def q_go_annotation_cells(spark, d):
 
 @query("SELECT 'PART:' || p_partkey AS id, 'MESH:' || p_partkey AS target_id FROM part")
 def q_doid_to_mesh(spark, d):
-    """Also q_mesh_to_phenotype: cross-references of one vocabulary, its prefix rewritten."""
     xrefs = T(spark, d, "part").select(t.curie("PART", "p_partkey").alias("id"), t.curie("MSH", "p_partkey").alias("xref"))
     rows = patterns.lookup(ids(spark, d, "part", "PART", "p_partkey"), xrefs.where(filters.with_prefix(F.col("xref"), "MSH")), "id")
     return rows.select("id", c.rewrite_prefix(F.col("xref"), "MSH", "MESH").alias("target_id"))
 
 
-@query("SELECT 'ORD:' || o_orderkey AS id, 'NAT:' || c_nationkey AS target, n_name AS label FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+@query("SELECT 'MESH:' || p_partkey AS id, 'PART:' || p_partkey AS target_id FROM part")
+def q_mesh_to_phenotype(spark, d):
+    """The other way: terms that cross-reference an identifier under the vocabulary's own prefix."""
+    xrefs = T(spark, d, "part").select(t.curie("MSH", "p_partkey").alias("key"), t.curie("PART", "p_partkey").alias("target_id"))
+    asked = T(spark, d, "part").select(t.curie("MESH", "p_partkey").alias("id")).withColumn("key", c.rewrite_prefix(F.col("id"), "MESH", "MSH"))
+    return patterns.lookup(asked, xrefs, "key").select("id", "target_id")
+
+
+@query("SELECT 'ORD:' || o_orderkey AS id, 'NAT:' || c_nationkey AS target, n_name AS label FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'CUST:' || c_custkey, 'NAT:' || c_nationkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def q_phenotype_to_anatomy(spark, d):
     below = T(spark, d, "orders").select(t.curie("ORD", "o_orderkey").alias("child"), t.curie("CUST", "o_custkey").alias("parent"))
     q, root = t.quads(spark, d), spark.range(1).select(F.lit("ROOT:PART").alias("id"))
-    return domain.phenotype_to_anatomy(q, below, "has_nation", "in_region", root).where("id like 'ORD:%'")
+    return domain.phenotype_to_anatomy(q, below, "has_nation", "in_region", root)
 
 
-@query("SELECT 'NAT:' || c_nationkey AS id, 'CUST:' || c_custkey AS neighbor FROM customer WHERE c_mktsegment = 'BUILDING'")
+def place_edges(spark, d):
+    return t.quads(spark, d).where(F.col("p").isin("has_nation", "in_nation", "in_region")).select(F.col("s").alias("source_id"), F.col("o").alias("target_id"), F.col("p").alias("predicate"))
+
+
+@query("SELECT 'NAT:' || c_nationkey AS id, 'CUST:' || c_custkey AS neighbor FROM customer")
 def q_disease_symptom(spark, d):
-    """Also q_gene_cell_component and q_gene_disease_hetio: neighbours of one type, over the edges of one source."""
-    e = T(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(t.curie("CUST", "c_custkey").alias("source_id"), t.curie("NAT", "c_nationkey").alias("target_id"), F.lit("has_nation").alias("predicate"))
-    return domain.one_hop(e, ids(spark, d, "nation", "NAT", "n_nationkey"), "CUST", None)
+    return domain.one_hop(place_edges(spark, d), ids(spark, d, "nation", "NAT", "n_nationkey"), "CUST")
+
+
+@query("SELECT 'SUPP:' || s_suppkey AS id, 'NAT:' || s_nationkey AS neighbor FROM supplier")
+def q_gene_cell_component(spark, d):
+    return domain.one_hop(place_edges(spark, d), ids(spark, d, "supplier", "SUPP", "s_suppkey"), "NAT", 200)
+
+
+@query("SELECT 'SUPP:' || s_suppkey AS id, 'NAT:' || s_nationkey AS neighbor FROM supplier")
+def q_gene_disease_hetio(spark, d):
+    """Customers and suppliers are asked, suppliers alone are of an admitted vocabulary."""
+    nodes = ids(spark, d, "supplier", "SUPP", "s_suppkey").unionByName(ids(spark, d, "customer", "CUST", "c_custkey"))
+    return domain.one_hop_of(place_edges(spark, d), nodes, "NAT", ["SUPP", "HGNC"])
 
 
 @query("SELECT 'rejected' AS state, 'SUPP' AS src_type, 'NAT' AS dst_type UNION ALL SELECT 'rejected', 'PART', 'SUPP' UNION ALL SELECT 'usable', * FROM (VALUES ('CUST', 'NAT'), ('ORD', 'CUST'), ('ORD', 'PART'), ('NAT', 'REG')) v")
@@ -614,11 +704,12 @@ def property_path(spark, d):
     return ontology.property_path(ontology.closure(t.is_a(spark, d), reflexive=True), e)
 
 
-@query(f"""WITH {MAPPINGS}, one AS (SELECT a AS q, b AS c, string_agg(DISTINCT f, ';' ORDER BY f) AS s FROM e GROUP BY ALL),
+@query(f"""WITH {MAPPINGS}, one AS (SELECT a AS q, b AS c, string_agg(DISTINCT f, ';' ORDER BY f) AS s FROM e WHERE a LIKE 'SUPP:%' GROUP BY ALL),
  two AS (SELECT x.q, e.b AS c, string_agg(DISTINCT e.f, ';' ORDER BY e.f) AS s FROM one x JOIN e ON x.c = e.a WHERE x.q <> e.b AND NOT EXISTS (SELECT 1 FROM one WHERE one.q = x.q AND one.c = e.b) GROUP BY ALL)
 SELECT q AS query_id, c AS curie, 1 AS distance, s AS source_prefixes FROM one UNION ALL SELECT q, c, 2, s FROM two""")
 def khop_synonyms(spark, d):
-    return ontology.khop(t.mappings(spark, d), 2).withColumn("source_prefixes", F.array_join("source_prefixes", ";"))
+    """What every supplier is a synonym of: its parts, and the suppliers of those."""
+    return ontology.khop(t.mappings(spark, d), 2, ids(spark, d, "supplier", "SUPP", "s_suppkey")).withColumn("source_prefixes", F.array_join("source_prefixes", ";"))
 
 
 @query(f"""WITH {MAPPINGS}, one AS (SELECT DISTINCT a AS q, b AS c FROM e), two AS (SELECT DISTINCT x.q, y.c FROM one x JOIN one y ON x.c = y.q WHERE x.q <> y.c EXCEPT SELECT q, c FROM one),
@@ -634,6 +725,13 @@ def valid_prefixes(spark, d):
     return ontology.valid_prefixes(sources)
 
 
+@query("SELECT 'usable' AS state, 'CUST' AS src_type, 'has_nation' AS link UNION ALL SELECT 'usable', 'ORD', 'ordered_by' UNION ALL SELECT 'usable', 'ORD', 'has_part' UNION ALL SELECT 'usable', 'PART', 'supplied_by' UNION ALL SELECT 'usable', 'NAT', 'in_region'")
+def filter_enabled_edges(spark, d):
+    """The graph's transitions, of which that of suppliers is switched off."""
+    moves = typegraph.transitions_of(t.quads(spark, d)).withColumn("link", F.when(F.col("src_type") == "SUPP", "UNKNOWN").otherwise(F.col("link")))
+    return filters.enabled(moves).select(F.lit("usable").alias("state"), "src_type", "link")
+
+
 MOVES = "moves AS (SELECT * FROM (VALUES ('CUST','NAT','has_nation'),('ORD','CUST','ordered_by'),('ORD','PART','has_part'),('PART','SUPP','supplied_by'),('SUPP','NAT','in_nation'),('NAT','REG','in_region')) v(a, b, l))"
 
 
@@ -660,6 +758,15 @@ def compile_program(spark, d):
     return typegraph.compile_program(found).withColumn("ops", F.array_join("ops", ";"))
 
 
+@query("SELECT * FROM (VALUES ('REG', 0, 'ORD', 'ordered_by', 'ordered_by:bought;ordered_by:ord__ordered_by__cust'), ('REG', 1, 'CUST', 'has_nation', 'has_nation:bought;has_nation:cust__has_nation__nat'), ('REG', 2, 'NAT', 'in_region', 'in_region:bought;in_region:nat__in_region__reg')) v(dst_type, level, node_type, ops, names)")
+def compile_program_names(spark, d):
+    """Two operations of each link: both are named."""
+    moves = typegraph.transitions_of(t.quads(spark, d))
+    moves = moves.unionByName(moves.withColumn("op", F.lit("bought")))
+    found = typegraph.shortest_paths(moves, "ORD", moves.where("dst_type = 'REG'").select("dst_type"))
+    return typegraph.compile_program(found, moves).withColumns({"ops": F.array_join("ops", ";"), "names": F.array_join("names", ";")})
+
+
 EXECUTED = """SELECT 0 AS level, 'ORD:' || o_orderkey AS source_id, 'ordered_by' AS predicate, 'CUST:' || o_custkey AS target_id, true AS type_ok FROM orders
 UNION SELECT 1, 'CUST:' || c_custkey, 'has_nation', 'NAT:' || c_nationkey, true FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)
 UNION SELECT 2, 'NAT:' || n_nationkey, 'in_region', 'REG:' || n_regionkey, true FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))"""
@@ -673,11 +780,19 @@ def execute_program(spark, d):
     return typegraph.execute_program(typegraph.compile_program(found), ids(spark, d, "orders", "ORD", "o_orderkey"), q)
 
 
+@query("SELECT DISTINCT CAST(0 AS INTEGER) AS level, 'ORD:' || l_orderkey AS source_id, 'has_part' AS predicate, 'PART:' || l_partkey AS target_id, false AS type_ok FROM lineitem UNION SELECT 0, 'ORD:' || o_orderkey, 'ordered_by', 'CUST:' || o_custkey, true FROM orders UNION SELECT 1, 'CUST:' || c_custkey, 'has_nation', 'NAT:' || c_nationkey, true FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def type_check_targets(spark, d):
+    """A program whose first level also follows an edge to another type than its next one has."""
+    program = spark.createDataFrame([(0, "ORD", ["has_part", "ordered_by"]), (1, "CUST", ["has_nation"])], "level int, node_type string, ops array<string>")
+    return typegraph.execute_program(program, ids(spark, d, "orders", "ORD", "o_orderkey"), t.quads(spark, d))
+
+
 @query(f"""WITH {IXN}, a AS (SELECT DISTINCT 'DIS:' || c AS source_id, 'disease_gene' AS predicate, 'GENE:' || ixn.s AS target_id FROM assoc JOIN ixn USING (p)),
  b AS (SELECT DISTINCT 'DRUG:' || p, 'drug_gene', 'GENE:' || s FROM ixn JOIN part ON p = p_partkey)
-SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT DISTINCT 'GENE:' || s, 'gene_pathway', 'PATH:' || n FROM pathway WHERE s IN (SELECT s FROM ixn)""")
+SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT DISTINCT 'GENE:' || s, 'gene_pathway', 'PATH:' || n FROM pathway WHERE s IN (SELECT s FROM ixn) UNION ALL SELECT 'DIS:' || c_custkey, 'disease_genetic_condition', 'ORPHANET:' || c_nationkey FROM customer""")
 def clinical_outcome_pathway(spark, d):
-    return domain.clinical_outcome_pathway(chem(spark, d), ids(spark, d, "part", "DRUG", "p_partkey"), ids(spark, d, "customer", "DIS", "c_custkey"))
+    conditions = T(spark, d, "customer").select(t.curie("DIS", "c_custkey").alias("id"), t.curie("ORPHANET", "c_nationkey").alias("target_id"))
+    return domain.clinical_outcome_pathway(chem(spark, d), ids(spark, d, "part", "DRUG", "p_partkey"), ids(spark, d, "customer", "DIS", "c_custkey"), conditions)
 
 
 @query("SELECT DISTINCT prefix AS type, CASE WHEN prefix IN ('NAT', 'REG') THEN 'Place' WHEN prefix IN ('CUST', 'SUPP') THEN 'Party' ELSE 'Thing' END AS concept FROM (VALUES ('CUST'), ('ORD'), ('PART'), ('SUPP'), ('NAT'), ('REG')) v(prefix)")
@@ -732,6 +847,30 @@ def translate_chain(spark, d):
     return typegraph.translate_chain(ids(spark, d, "orders", "ORD", "o_orderkey"), t.quads(spark, d), ["ORD", "PART", "SUPP"], 2)
 
 
+@query("""WITH a AS (SELECT DISTINCT 'SUPP:' || s_suppkey AS id, 'NAT:' || s_nationkey AS nat, 'REG:' || n_regionkey AS reg FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT 'SUPP' AS src_kind, 'NAT' AS dst_kind, id, nat AS value FROM a UNION ALL SELECT 'SUPP', 'REG', id, reg FROM a UNION ALL SELECT 'NAT', 'REG', 'NAT:' || n_nationkey, 'REG:' || n_regionkey FROM nation""")
+def translate_all(spark, d):
+    bound = {"SUPP": ids(spark, d, "supplier", "SUPP", "s_suppkey"), "NAT": ids(spark, d, "nation", "NAT", "n_nationkey")}
+    return typegraph.translate_all(bound, t.quads(spark, d), ["SUPP", "NAT", "REG"])
+
+
+@query("""WITH r AS (SELECT 'CUST:' || c_custkey AS id, 'NAT:' || c_nationkey AS nat, c_mktsegment AS m, c_name AS n FROM customer), k AS (SELECT *, min(id) OVER (PARTITION BY nat) AS representative FROM r)
+SELECT representative, 'segments' AS key, 'set' AS kind, string_agg(DISTINCT m, ';' ORDER BY m) AS values FROM k GROUP BY representative
+UNION ALL SELECT representative, 'names', 'list', string_agg(n, ';' ORDER BY id) FROM k GROUP BY representative""")
+def merge_properties(spark, d):
+    """Customers of one nation as synonyms: sets unite, lists follow the ids, and a key of mixed kinds is left out."""
+    customer = T(spark, d, "customer").select(t.curie("CUST", "c_custkey").alias("id"), t.curie("NAT", "c_nationkey").alias("nat"), "c_mktsegment", "c_name", "c_custkey")
+    kinds = [("segments", F.lit("set"), "c_mktsegment"), ("names", F.lit("list"), "c_name"), ("mixed", F.when(F.col("id") == F.col("first"), "list").otherwise("scalar"), "c_name")]
+    low = customer.groupBy("nat").agg(F.min("id").alias("first"))
+    rows = customer.join(low, "nat")
+    properties = None
+    for key, kind, column in kinds:
+        one = rows.select("id", F.lit(key).alias("key"), kind.alias("kind"), F.array(column).alias("values"))
+        properties = one if properties is None else properties.unionByName(one)
+    good, _ = patterns.merge_properties(properties, rows.select(F.col("id").alias("a"), F.col("first").alias("b")))
+    return good.where("key != 'mixed'").withColumn("values", F.array_join("values", ";"))
+
+
 @query(f"""WITH RECURSIVE {IS_A}, n AS (SELECT 'CUST:' || c_custkey AS id, c_name AS label, 'NAT:' || c_nationkey AS rep FROM customer)
 SELECT least(rep, min(id)) AS representative, count(*) AS n_labels FROM n GROUP BY rep""")
 def merge_synonyms(spark, d):
@@ -819,6 +958,12 @@ def limit_rows(spark, d):
     return filters.limit_rows(T(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct(), 200)
 
 
+@query("SELECT l_suppkey, l_partkey FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) <= 20")
+def limit_each(spark, d):
+    """The reference's limit for each question, asked of every supplier."""
+    return filters.limit_each(T(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct(), "l_suppkey", 20)
+
+
 VECTORS = "v AS (SELECT 't' || vec_id AS term, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
 
 

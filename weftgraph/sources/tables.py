@@ -38,7 +38,8 @@ def write_quads(quads: DataFrame, path: str) -> None:
 
 def read_obo(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """terms(id, name), synonyms(id, synonym), xrefs(id, xref), is_a(child, parent) of an OBO text file, a stanza a row."""
-    stanzas = spark.read.text(path, lineSep="\n\n").where(F.col("value").rlike(r"(?s)^\s*\[Term\]"))
+    # a stanza begins with a bracket at the start of a line, whatever ends lines
+    stanzas = spark.read.text(path, lineSep="\n[").where(F.col("value").rlike(r"(?s)^\s*\[?Term\]"))
     lines = stanzas.select(F.regexp_extract("value", r"(?m)^id:\s*(\S+)", 1).alias("id"), F.explode(F.split("value", "\r?\n")).alias("line"))
     tagged = lines.where("id != ''").select("id", F.regexp_extract("line", r"^([a-z_]+):", 1).alias("tag"), F.trim(F.regexp_replace("line", r"^[a-z_]+:\s*", "")).alias("value"))
     bare = F.trim(F.regexp_replace(F.regexp_replace("value", r"\s+!.*$", ""), r"\s*\{.*\}\s*$", ""))
@@ -58,10 +59,26 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def graph_json(nodes: DataFrame) -> DataFrame:
     """A JSON text for each node (id, node_type, label, properties): fixed fields with the properties laid over them."""
-    fixed = F.map_filter(F.create_map(F.lit("id"), F.col("id"), F.lit("node_type"), F.col("node_type"), F.lit("label"), F.col("label")), lambda k, v: v.isNotNull())
-    over = F.coalesce(F.col("properties"), F.expr("cast(map() as map<string,string>)"))
-    kept = F.map_filter(fixed, lambda k, v: ~F.map_contains_key(over, k))
-    return nodes.select("id", F.to_json(F.map_concat(kept, over)).alias("json"))
+    return nodes.select("id", overlaid({"id": "id", "node_type": "node_type", "label": "label"}, F.col("properties")).alias("json"))
+
+
+def edges_json(edges: DataFrame) -> DataFrame:
+    """A JSON text for each edge (source_id, target_id, predicate, source, properties): fixed fields with the properties laid over them."""
+    fixed = {"source_id": "source_id", "target_id": "target_id", "type": "predicate", "edge_source": "source"}
+    return edges.select("source_id", "target_id", overlaid(fixed, F.col("properties")).alias("json"))
+
+
+def for_export(df: DataFrame, marker: str = "...") -> DataFrame:
+    """Nodes or edges whose property values are replaced by a marker."""
+    return df.withColumn("properties", F.transform_values("properties", lambda k, v: F.lit(marker)))
+
+
+def overlaid(fixed: dict[str, str], properties: Column) -> Column:
+    """The JSON of fixed fields (name to column; nulls are left out), properties (a map) laid over them."""
+    pairs = [x for name, column in fixed.items() for x in (F.lit(name), F.col(column).cast("string"))]
+    over = F.coalesce(properties, F.expr("cast(map() as map<string,string>)"))
+    kept = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull() & ~F.map_contains_key(over, k))
+    return F.to_json(F.map_concat(kept, over))
 
 
 def merge_prefixes(*sources: DataFrame) -> DataFrame:
@@ -78,6 +95,16 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFra
     return existing.unionByName(incoming.dropDuplicates(keys).join(existing, keys, "left_anti"))
 
 
+def missing(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """incoming rows whose keys existing lacks."""
+    return incoming.join(existing, keys, "left_anti")
+
+
+def vectors(df: DataFrame, term: Column, vec: str) -> DataFrame:
+    """(term, vec, n): embeddings under lower-case terms, with their lengths; null vectors are left out."""
+    return df.where(F.col(vec).isNotNull()).select(F.lower(term).alias("term"), F.col(vec).alias("vec"), F.size(vec).cast("long").alias("n"))
+
+
 def flatten_registry(nested: DataFrame, semantics: DataFrame) -> DataFrame:
     """api -> in_type -> out_type -> template maps as rows, with the predicate that semantics(in_type, out_type, predicate) gives."""
     rows = nested.select("api", F.explode("types").alias("in_type", "outs")).select("api", "in_type", F.explode("outs").alias("out_type", "template"))
@@ -93,7 +120,7 @@ def curie(prefix: str, c: str | Column) -> Column:
 
 
 def quads(spark: SparkSession, d: str) -> DataFrame:
-    """(g, s, p, o): the star schema's keys as edges, names as literals."""
+    """(g, s, p, o): the star schema's keys as edges, names as literals; a filter on p leaves the tables of that predicate."""
     t = {x: table(spark, d, x) for x in ("customer", "orders", "lineitem", "supplier", "nation", "region", "part")}
 
     def of(name: str, s: Column, p: str, o: Column) -> DataFrame:
@@ -102,8 +129,8 @@ def quads(spark: SparkSession, d: str) -> DataFrame:
     parts = [
         of("customer", curie("CUST", "c_custkey"), "has_nation", curie("NAT", "c_nationkey")),
         of("orders", curie("ORD", "o_orderkey"), "ordered_by", curie("CUST", "o_custkey")),
-        of("lineitem", curie("ORD", "l_orderkey"), "has_part", curie("PART", "l_partkey")),
-        of("lineitem", curie("PART", "l_partkey"), "supplied_by", curie("SUPP", "l_suppkey")),
+        of("lineitem", curie("ORD", "l_orderkey"), "has_part", curie("PART", "l_partkey")).distinct(),
+        of("lineitem", curie("PART", "l_partkey"), "supplied_by", curie("SUPP", "l_suppkey")).distinct(),
         of("supplier", curie("SUPP", "s_suppkey"), "in_nation", curie("NAT", "s_nationkey")),
         of("nation", curie("NAT", "n_nationkey"), "in_region", curie("REG", "n_regionkey")),
         of("nation", curie("NAT", "n_nationkey"), "label", F.col("n_name")),
@@ -115,7 +142,7 @@ def quads(spark: SparkSession, d: str) -> DataFrame:
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out.distinct()
+    return out
 
 
 def is_a(spark: SparkSession, d: str) -> DataFrame:
@@ -137,9 +164,8 @@ def is_a(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mappings(spark: SparkSession, d: str) -> DataFrame:
-    """(from_curie, to_curie, source_prefix): parts and suppliers of each order's first line, by return flag."""
-    rows = table(spark, d, "lineitem").where("l_linenumber = 1")
-    return rows.select(curie("PART", "l_partkey").alias("from_curie"), curie("SUPP", "l_suppkey").alias("to_curie"), F.col("l_returnflag").alias("source_prefix")).distinct()
+    """(from_curie, to_curie, source_prefix): parts and suppliers of all lines, by return flag."""
+    return table(spark, d, "lineitem").select(curie("PART", "l_partkey").alias("from_curie"), curie("SUPP", "l_suppkey").alias("to_curie"), F.col("l_returnflag").alias("source_prefix")).distinct()
 
 
 def mentions(spark: SparkSession, d: str) -> DataFrame:
