@@ -53,8 +53,8 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 4 <<
                 yield s
 
 
-def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
-    """df through a function of small Arrow slices to dicts of columns, Arrow or lists in schema's order.
+def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str, rows: int = 500) -> DataFrame:
+    """df through a function of small Arrow slices, of so many rows at most, to dicts of columns, Arrow or lists in schema's order.
 
     Values never pass through pandas: nullable 64-bit ids stay exact.
     """
@@ -64,7 +64,7 @@ def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterato
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in function(sliced(batches)):
+        for columns in function(sliced(batches, rows)):
             yield pa.RecordBatch.from_arrays([_as(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
