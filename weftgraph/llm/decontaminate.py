@@ -1,27 +1,34 @@
 """Benchmark passages in documents: SimHash windows, multi-index Hamming blocks, exact weighted-shingle similarity.
 
 Items are compared with windows of their own number of words.  A window with too few shingles of
-any item cannot be similar to one, so only the other windows are fingerprinted.  The
-fingerprints within RADIUS of an item's are found through BLOCKS blocks of their bits: one block at
-least differs in no more than RADIUS // BLOCKS bits, and all values so near are indexed.
+the items of its length cannot be similar to one, so only the other windows are fingerprinted.  Fingerprints are
+of the shingles that similarity counts: at a similarity, the share of differing bits does not depend
+on where or how often a word was changed.  The fingerprints within RADIUS of an item's are found
+through BLOCKS blocks of their bits: one block at least differs in no more than RADIUS // BLOCKS
+bits, some of which are turned in the index and the others in the search.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import SHINGLE_WORDS, SIMILARITY, WordHashes, mixed, shingle_hashes, small_batches, word_hashes
+from weftgraph.llm.shared import SHINGLE_WORDS, SIMILARITY, mapped, mixed, shingle_hashes, texts_of, word_hashes
 
-BITS, BLOCKS, RADIUS = 64, 4, 19
-#: Items that one pass over the documents compares: the bound of what a task holds of the benchmark.
-ITEMS_A_PASS = 2000
+BITS, BLOCKS = 64, 4
+#: At similarity 0.8 two weighted shingle sets have cosine 0.89, 9.7 of 64 bits differ and more than 23 in 6 of a million pairs.
+RADIUS = 23
+#: Items, and bytes of their texts, that one pass over the documents compares: the bound of what a task holds of the benchmark.
+ITEMS_A_PASS, BYTES_A_PASS = 10_000, 16 << 20
+#: Numbers in the arrays that windows are verified in.
+CELLS = 1 << 20
 
 
 def signs(hashes: np.ndarray) -> np.ndarray:
@@ -35,157 +42,196 @@ def fingerprints(totals: np.ndarray) -> np.ndarray:
     return np.packbits(totals > 0, axis=1).view(np.uint64).reshape(-1)
 
 
-def simhash(words: np.ndarray) -> int:
-    """The SimHash of a bag of word hashes: words count as often as they stand."""
-    return int(fingerprints(signs(words).sum(axis=0, keepdims=True))[0])
+def simhash(hashes: np.ndarray) -> int:
+    """The SimHash of a bag of hashes: each counts as often as it stands."""
+    return int(fingerprints(signs(hashes).sum(axis=0, keepdims=True))[0])
 
 
-def popcount(x: np.ndarray) -> np.ndarray:
-    """The number of bits set in each number."""
-    return np.bitwise_count(x)
+def turned(width: int, most: int) -> np.ndarray:
+    """Every number of at most `most` set bits among width."""
+    return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in combinations(range(width), k)], np.uint64)
 
 
 class Items:
     """Benchmark items with an index of their fingerprints' blocks, for the lengths that occur."""
 
-    def __init__(self, rows: list[tuple[int, str | None]], words: int) -> None:
-        known = WordHashes()
-        kept = [(i, word_hashes(t, known)) for i, t in rows]
-        kept = [(i, h) for i, h in kept if len(h)]
+    def __init__(self, texts: list[str | None], words: int) -> None:
+        hashes = word_hashes(texts)
         self.words = words
-        self.ids = np.array([i for i, _ in kept], np.int64)
-        self.length = np.array([len(h) for _, h in kept], np.int64)
-        self.shingles = [np.unique(shingle_hashes(h, words), return_counts=True) for _, h in kept]
-        self.print = np.array([simhash(h) for _, h in kept], np.uint64)
-        self.any = np.unique(np.concatenate([s for s, _ in self.shingles])) if kept else np.empty(0, np.uint64)
+        self.places = np.array([i for i, h in enumerate(hashes) if len(h)], np.int64)  # in texts
+        kept = [hashes[i] for i in self.places]
+        self.length = np.array([len(h) for h in kept], np.int64)
+        own = [shingle_hashes(h, words) for h in kept]
+        self.shingles = [np.unique(s, return_counts=True) for s in own]
+        self.print = np.array([simhash(s) for s in own], np.uint64)
+        self.any = np.unique(np.concatenate(own)) if kept else np.empty(0, np.uint64)
         self.small = np.zeros(1 << 20, bool)
         self.small[(self.any >> np.uint64(44)).astype(np.int64)] = True
+        self.lengths, of = np.unique(self.length, return_inverse=True)
+        self.items = [np.flatnonzero(of == i) for i in range(len(self.lengths))]
+        # the lengths of the items that hold each shingle
+        pair = np.unique(np.concatenate([np.searchsorted(self.any, s) * len(self.lengths) + i for s, i in zip(own, of.tolist())])) if kept else np.empty(0, np.int64)
+        self.held = pair % max(1, len(self.lengths))
+        self.held_at = np.searchsorted(pair, np.arange(len(self.any) + 1) * len(self.lengths))
+        width, most = BITS // BLOCKS, RADIUS // BLOCKS
+        self.search, index = turned(width, most - most // 2), turned(width, most // 2)
+        keys = [self.keys(self.print, of, b)[:, None] ^ index.astype(np.int64)[None, :] for b in range(BLOCKS)]
+        keys = np.concatenate([k.reshape(-1) for k in keys])
+        order = np.argsort(keys, kind="stable")
+        self.index = keys[order]
+        self.indexed = (order // len(index) % max(1, len(self.print))).astype(np.int32)
+
+    def keys(self, prints: np.ndarray, of: np.ndarray | int, block: int) -> np.ndarray:
+        """A block of fingerprints, with its number and the place of the length."""
         width = BITS // BLOCKS
-        near = np.array([sum(1 << b for b in c) for k in range(RADIUS // BLOCKS + 1) for c in combinations(range(width), k)], np.uint64)
-        self.index = []
+        return ((prints >> np.uint64(block * width)) & np.uint64((1 << width) - 1)).astype(np.int64) | (np.int64(block) * len(self.lengths) + of) << width
+
+    def within_radius(self, prints: np.ndarray, of: int) -> tuple[np.ndarray, np.ndarray]:
+        """All (place in prints, item of a length, given by its place) whose fingerprints differ in RADIUS bits or fewer."""
+        found, n, turns = [np.empty(0, np.int64)], len(self.search), self.search.astype(np.int64)
         for b in range(BLOCKS):
-            value = (self.print >> np.uint64(b * width)) & np.uint64((1 << width) - 1)
-            all_ = (value[:, None] ^ near[None, :]).reshape(-1).astype(np.int64)
-            order = np.argsort(all_, kind="stable").astype(np.int32)
-            self.index.append((order // len(near), np.searchsorted(all_[order], np.arange((1 << width) + 1))))
-        self.by_length = {int(n): np.flatnonzero(self.length == n) for n in np.unique(self.length)}
-
-    def within_radius(self, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """All (place in prints, item of this length) whose fingerprints differ in RADIUS bits or fewer."""
-        width, found = BITS // BLOCKS, []
-        for b, (items, first) in enumerate(self.index):
-            value = ((prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)).astype(np.int64)
-            many = first[value + 1] - first[value]
-            place = np.repeat(np.arange(len(prints)), many)
-            item = items[np.repeat(first[value] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())]
-            good = self.length[item] == length
-            place, item = place[good], item[good]
-            good = popcount(prints[place] ^ self.print[item]) <= RADIUS
-            found.append(place[good] * len(self.ids) + item[good])
+            key = (self.keys(prints, of, b)[:, None] ^ turns[None, :]).reshape(-1)
+            low, high = np.searchsorted(self.index, key, "left"), np.searchsorted(self.index, key, "right")
+            some = np.flatnonzero(high > low)
+            many = (high - low)[some]
+            item = self.indexed[np.repeat(low[some] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())].astype(np.int64)
+            place = np.repeat(some // n, many)
+            good = np.bitwise_count(prints[place] ^ self.print[item]) <= RADIUS
+            found.append(place[good] * len(self.print) + item[good])
         both = np.unique(np.concatenate(found))
-        return both // len(self.ids), both % len(self.ids)
-
-    def hits(self, words: np.ndarray) -> np.ndarray:
-        """The places of a text's shingles that any item holds, for items of `words` words or more."""
-        s = shingle_hashes(words, self.words) if len(words) >= self.words else np.empty(0, np.uint64)
-        at = np.flatnonzero(self.small[(s >> np.uint64(44)).astype(np.int64)])
-        return at[self.known(s[at])] if len(at) else at
-
-    def known(self, shingles: np.ndarray) -> np.ndarray:
-        """Which shingles any item holds."""
-        if not len(self.any):
-            return np.zeros(len(shingles), bool)
-        return self.any[np.minimum(np.searchsorted(self.any, shingles), len(self.any) - 1)] == shingles
-
-    def matches(self, words: np.ndarray, similarity: float) -> list[tuple[int, float, int, int]]:
-        """(item, similarity, first word, number of words) of each item's best window in a text, the first of equal ones."""
+        return both // len(self.print), both % len(self.print)
+
+    def hits(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the shingles that any item holds, and which of any they are."""
+        at = np.flatnonzero(self.small[(shingles >> np.uint64(44)).astype(np.int64)])
+        if not len(at) or not len(self.any):
+            return at[:0], at[:0]
+        which = np.minimum(np.searchsorted(self.any, shingles[at]), len(self.any) - 1)
+        good = self.any[which] == shingles[at]
+        return at[good], which[good]
+
+    def matches(self, hashes: np.ndarray, shingles: np.ndarray, hits: np.ndarray, which: np.ndarray, similarity: float) -> list[tuple[int, float, int, int]]:
+        """(place of item, similarity, first word, number of words) of each item's best window in a text, the first of equal ones.
+
+        hits, which: the places of the text's shingles that any item holds, and which they are.
+        """
         best: dict[int, tuple] = {}
-        hits = self.hits(words)
-        before = np.zeros(len(words) + 2, np.int32)
-        if len(hits):
-            before[1:] = np.cumsum(np.bincount(hits, minlength=len(words) + 1))
-        for length in self.by_length:
-            if len(words) < length:
-                # the whole text is the one window: of m and k shingles, l of them shared, similarity is l / (m + k - l)
-                if min(len(words), length) >= self.words and len(hits) >= math.ceil((length + len(words) - 2 * self.words + 2) * similarity / (1 + similarity) - 1e-9):
-                    for item in self.by_length[length].tolist():
-                        score = self.weighted(words, item)
-                        if score >= similarity:
-                            best[item] = (int(self.ids[item]), score, 0, len(words))
+        many = self.held_at[which + 1] - self.held_at[which]
+        at = np.repeat(hits, many)
+        of = self.held[np.repeat(self.held_at[which] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())]
+        for i in np.unique(of).tolist():
+            length, own = int(self.lengths[i]), at[of == i]
+            n = min(length, len(hashes))  # a text shorter than an item is one window
+            # a window of k shingles and an item of m, l of them shared, have similarity l / (k + m - l)
+            m, k = length - self.words + 1, n - self.words + 1
+            need = max(1, math.ceil((m + k) * similarity / (1 + similarity) - 1e-9))
+            if length < self.words or k < need or len(own) < need:
                 continue
-            if length >= self.words:
-                # a window and an item of m shingles each, l of them shared, have similarity l / (2m - l)
-                m = length - self.words + 1
-                need = max(1, math.ceil(m * 2 * similarity / (1 + similarity) - 1e-9))
-                if len(hits) < need:
-                    continue
-                first = max(0, int(hits[0]) - m)
-                count = before[first + m : len(words) - length + 1 + m] - before[first : len(words) - length + 1]
-                starts = first + np.flatnonzero(count >= need)
-            else:
-                starts = np.flatnonzero(self.known(shingle_hashes(words, length)))
-            for run in np.split(starts, np.flatnonzero(np.diff(starts) > length) + 1) if len(starts) else []:
-                for part in np.array_split(run, -(-len(run) // 4096)):
-                    base = int(part[0])
-                    some = words[base : int(part[-1]) + length]
-                    totals = np.zeros((len(some) + 1, BITS), np.int32)
-                    np.cumsum(signs(some), axis=0, out=totals[1:])
-                    prints = fingerprints(totals[part - base + length] - totals[part - base])
-                    for place, item in zip(*(v.tolist() for v in self.within_radius(prints, length))):
-                        start = int(part[place])
-                        score = self.weighted(words[start : start + length], item)
-                        if score >= similarity and (item not in best or score > best[item][1]):
-                            best[item] = (int(self.ids[item]), score, start, length)
+            before = np.zeros(len(shingles) + 1, np.int32)
+            before[1:] = np.cumsum(np.bincount(own, minlength=len(shingles)))
+            first = max(0, int(own[0]) - k)
+            count = before[first + k :] - before[first : len(before) - k]
+            self.search_in(best, shingles, first + np.flatnonzero(count >= need), k, n, i, similarity)
+        return list(best.values())
+
+    def tiny(self, hashes: np.ndarray, similarity: float) -> list[tuple[int, float, int, int]]:
+        """matches of the items of fewer words than a shingle: their equals."""
+        best: dict[int, tuple] = {}
+        for i in np.flatnonzero(self.lengths < self.words).tolist():
+            length = int(self.lengths[i])
+            if len(hashes) >= length:
+                own = shingle_hashes(hashes, length)
+                self.score(best, own, self.hits(own)[0], 1, length, self.items[i].tolist(), similarity)
         return list(best.values())
 
-    def weighted(self, window: np.ndarray, item: int) -> float:
-        """Weighted Jaccard similarity of shingles, a shingle's weight being how often it stands."""
-        a, n = np.unique(shingle_hashes(window, self.words), return_counts=True)
-        b, m = self.shingles[item]
-        _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-        least = int(np.minimum(n[i], m[j]).sum())
-        return least / (int(n.sum() + m.sum()) - least)
+    def search_in(self, best: dict, shingles: np.ndarray, starts: np.ndarray, k: int, n: int, of: int, similarity: float) -> None:
+        """The windows of n words and k shingles at starts that resemble items of a length."""
+        for run in np.split(starts, np.flatnonzero(np.diff(starts) > k) + 1) if len(starts) else []:
+            for part in np.array_split(run, -(-len(run) // 512)):
+                base = int(part[0])
+                some = shingles[base : int(part[-1]) + k]
+                totals = np.zeros((len(some) + 1, BITS), np.int32)
+                np.cumsum(signs(some), axis=0, out=totals[1:])
+                place, item = self.within_radius(fingerprints(totals[part - base + k] - totals[part - base]), of)
+                for i in np.unique(item).tolist():
+                    self.score(best, shingles, part[place[item == i]], k, n, [i], similarity)
+
+    def score(self, best: dict, shingles: np.ndarray, starts: np.ndarray, k: int, n: int, items: list[int], similarity: float) -> None:
+        """Weighted Jaccard similarity, a shingle's weight being how often it stands, of the windows of k shingles at starts and the items."""
+        for i in items:
+            own, times = self.shingles[i]
+            for part in np.array_split(starts, max(1, -(-len(starts) * max(k, len(own)) // CELLS))):
+                if not len(part):
+                    continue
+                rows = shingles[part[:, None] + np.arange(k)]
+                at = np.minimum(np.searchsorted(own, rows), len(own) - 1)
+                cell = (np.arange(len(part))[:, None] * len(own) + at)[own[at] == rows]
+                least = np.minimum(np.bincount(cell, minlength=len(part) * len(own)).reshape(len(part), -1), times).sum(axis=1)
+                score = least / (k + int(times.sum()) - least)
+                j = int(np.argmax(score))
+                start, top = int(part[j]), float(score[j])
+                if top >= similarity and (i not in best or (-top, start) < (-best[i][1], best[i][2])):
+                    best[i] = (int(self.places[i]), top, start, n)
+
+
+_ITEMS: dict[str, Items] = {}
+
+
+def items_of(key: str, texts: list, words: int) -> Items:
+    """One index for a pass in each Python worker."""
+    if key not in _ITEMS:
+        _ITEMS.clear()
+        _ITEMS[key] = Items(texts, words)
+    return _ITEMS[key]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
     """doc_id, item_id, similarity, first_word and n_words of each item's best window in each row of docs.
 
     Windows have the item's number of words and any first word; a text shorter than an item is one
-    window, compared exactly with every item that its shingles allow.  Benchmark items reach the tasks in
-    parts of items_a_pass, one pass over docs each, so what a task holds does not grow with them.
-    Null and empty texts and items without words match nothing; items of fewer words than a shingle
-    are one shingle.  Null ids pass through; repeated rows match each by
-    itself; of equally similar windows the first counts; empty tables give none; further columns are
-    not read.
+    window.  Benchmark items reach the tasks in parts of items_a_pass and BYTES_A_PASS, one pass over
+    docs each, so what a task holds does not grow with them.  Null and empty texts and items without
+    words match nothing; items of fewer words than a shingle are one shingle and match their equals.
+    Null ids pass through; repeated rows match each by itself; of equally similar windows the first
+    counts; texts of any length are read whole; empty tables give none; further columns are not read.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     numbered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    count = numbered.count()
-    parts = max(1, -(-count // items_a_pass))
+    count, size = numbered.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, -(-count // items_a_pass), -(-size // BYTES_A_PASS))
     found = None
     for k in range(parts):
         part = numbered.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else numbered
-        found = _one_pass(docs, part, words, similarity) if found is None else found.unionByName(_one_pass(docs, part, words, similarity))
+        one = _one_pass(docs, part, words, similarity)
+        found = one if found is None else found.unionByName(one)
     return found
 
 
 def _one_pass(docs: DataFrame, benchmark: DataFrame, words: int, similarity: float) -> DataFrame:
-    rows = [(r["item_id"], r["text"]) for r in benchmark.orderBy("item_id", "text").collect()]
-    ids = {i: r[0] for i, r in enumerate(rows)}  # ids may be null or repeated
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items, known = Items([(i, t) for i, (_, t) in enumerate(rows)], words), WordHashes()
-        for x in batches:
-            out = []
-            for doc, text in zip(x["doc_id"].tolist(), x["text"]):
-                if isinstance(text, str) and text:
-                    out += [(doc, ids[i], *rest) for i, *rest in items.matches(word_hashes(text, known), similarity)]
-            frame = pd.DataFrame(out, columns=["doc_id", "item_id", "similarity", "first_word", "n_words"])
-            yield frame.astype({"doc_id": "float64" if frame["doc_id"].isna().any() else "int64"} if len(frame) else {})
+    rows = benchmark.orderBy("item_id", "text").collect()
+    shared = docs.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))  # bounded by items_a_pass and BYTES_A_PASS
+    key = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        ids, texts = shared.value
+        items = items_of(key, texts, words)
+        tiny = bool(len(items.lengths)) and int(items.lengths[0]) < words
+        for b in batches:
+            hashes = word_hashes(texts_of(b))
+            lists = [shingle_hashes(h, words) if len(h) >= words else h[:0] for h in hashes]
+            at, which = items.hits(np.concatenate(lists)) if lists else (np.empty(0, np.int64),) * 2
+            out, low, begin = [], 0, 0
+            for i, (h, s) in enumerate(zip(hashes, lists)):
+                high = int(np.searchsorted(at, begin + len(s)))
+                if high > low:
+                    out += [(i, *m) for m in items.matches(h, s, at[low:high] - begin, which[low:high], similarity)]
+                if tiny:
+                    out += [(i, *m) for m in items.tiny(h, similarity)]
+                low, begin = high, begin + len(s)
+            place, item, score, first, n = zip(*out) if out else ((), (), (), (), ())
+            yield {"doc_id": b.column("doc_id").take(pa.array(place, pa.int64())), "item_id": [ids[i] for i in item], "similarity": list(score), "first_word": list(first), "n_words": list(n)}
 
     schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)
 
 
 def op6_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
