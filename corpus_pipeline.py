@@ -16,6 +16,7 @@ from weftgraph.llm.packing import pack
 from weftgraph.llm.repeats import remove_repeats
 from weftgraph.llm.resampling import resample
 from weftgraph.llm.shared import shared_dir, written
+from weftgraph.storage import cleared, made
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -28,11 +29,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each near-duplicate class.
 
-    Texts without words and rows of null doc_id stay; of repeated rows of one doc_id one stays.
+    Texts without words and rows of null doc_id stay; of equal rows one stays; a doc_id of several
+    texts stays if one of them is its class's.
     """
-    classes = join_near(docs).where("doc_id is not null and doc_id != class_id").select("doc_id").distinct()
-    kept = docs.join(classes, "doc_id", "left_anti").select(COLUMNS)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    rows = join_near(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class_id")).alias("stays"), (F.count("*") > 1).alias("again"))
+    marked = docs.join(rows.where("not stays or again"), "doc_id", "left").where("stays is null or stays")
+    return marked.where("again is null or not again").select(COLUMNS).unionByName(marked.where("again").select(COLUMNS).dropDuplicates())
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,11 +76,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir; what a stage wrote on its way is deleted when it has ended."""
     home = shared_dir(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
+        before = made(spark)
         docs = written(stage(spark, docs, sf_dir), f"{home}/{i}-{name}")
+        cleared(spark, before)
     return docs
 
 
