@@ -2,16 +2,18 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from weftgraph.llm import decontaminate, jaccard, maxproduct, repeats, resampling, sharding
-from weftgraph.llm.shared import WordHashes, components, shared_dir, word_hashes
+from weftgraph.llm import decontaminate, jaccard, maxproduct, repeats, resampling, sharding, tokencount
+from weftgraph.llm.shared import CHARACTERS, components, salted_join, shared_dir, shingle_hashes, word_hashes
 
 
 @pytest.fixture(scope="module")
@@ -79,10 +81,79 @@ def test_near_duplicates_match_all_pairs(spark, documents):
     assert jaccard.join_near(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_words_are_those_of_the_pattern():
+    texts = ["", None, "İ_x ΣΑΣ 12½", "a" * (CHARACTERS + 7) + " b c", "x y2 " * CHARACTERS, "\ud800 q", "q b c"]
+    known = {}
+    for text, hashes in zip(texts, word_hashes(texts)):
+        found = word_list(text)
+        assert len(found) == len(hashes)
+        for w, h in zip(found[:1000], hashes.tolist()):
+            assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+
+
 def test_prefixes_shorten_until_the_recall():
-    assert jaccard.prefix_length(1.0) == jaccard.LONGEST
-    k = jaccard.prefix_length(0.8)
-    assert 1 - (1 - 0.8**k) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** jaccard.TREES
+    few = [0] * jaccard.BINS
+    k = jaccard.prefix_length(few, jaccard.LONGEST, 0.8)  # one pair at the threshold
+    assert jaccard.chance(0.8, k) >= jaccard.RECALL > jaccard.chance(0.8, k + 1)
+    high = [0] * (jaccard.BINS - 1) + [10**6]
+    assert jaccard.prefix_length(high, jaccard.LONGEST, 0.8) == jaccard.LONGEST
+    low = [10**6] + [0] * (jaccard.BINS - 1)
+    assert jaccard.prefix_length(low, jaccard.LONGEST, 0.8) == k
+    assert jaccard.prefix_length(low, 3, 0.8) == 3
+
+
+def test_tries_link_all_nodes_of_a_prefix(spark):
+    """Runs of one prefix, in one batch or many, make one component."""
+    rng = np.random.default_rng(12)
+    labels = [[int(x) << 56 | int(y) for x, y in zip(rng.integers(0, 3, 2), rng.integers(0, 9, 2))] for _ in range(300)]
+    nodes = spark.createDataFrame([(i, v) for i, v in enumerate(labels)], "node long, labels array<long>")
+    leaves = kept_table(spark, jaccard.tries(nodes))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        links = jaccard.linked(leaves, 1, shared_dir(spark)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    for tree in range(2):
+        assert {(labels[r["a"]][0] >> 56, labels[r["a"]][1] >> 56) for r in links}
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links), shared_dir(spark)).collect()}
+    parent = {i: i for i in range(300)}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for tree in range(2):
+        first = {}
+        for i, v in enumerate(labels):
+            j = first.setdefault(v[tree] >> 56, i)
+            p, q = sorted((find(i), find(j)))
+            parent[q] = p
+    assert got == {i: find(i) for i in range(300)}
+
+
+def test_near_duplicates_of_long_texts_sizes_and_repeated_ids(spark):
+    """Blocks by size class, a long text, one doc_id with two texts, repeated rows: as by all pairs."""
+    rng = np.random.default_rng(13)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+    rows = [(i, " ".join(base[: 395 - 5 * i])) for i in range(60)]  # a chain of growing differences
+    long = [f"v{x}" for x in rng.integers(0, 10**6, 60_000)]
+    rows += [(500, " ".join(long)), (501, " ".join(long[:-3000])), (502, " ".join(long[:-20000]))]
+    df = spark.createDataFrame(rows + [(0, rows[0][1])] * 50 + [(7, "another text of the same id")], "doc_id long, text string")
+    want = brute_classes(rows)
+    got = [r for r in jaccard.join_near(df, block=9).collect() if (r["doc_id"], r["n_links"]) != (7, 0)]
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == want and len(got) == len(rows) + 50
+    assert want[501] == (500, 1) and want[502][0] == 502 and want[59][0] == 0
+    assert {r["n_copies"] for r in got if r["doc_id"] == 0} == {51}
+
+
+def test_salted_joins_are_joins(spark):
+    rows = spark.createDataFrame([(i % 7, i) for i in range(500)], "k long, v long")
+    facts = spark.createDataFrame([(i, i * i) for i in range(2, 7)], "k long, f long")
+    for how in ("inner", "left"):
+        got = salted_join(rows, facts, "k", how).select("k", "v", "f").collect()
+        assert Counter(map(tuple, got)) == Counter(map(tuple, rows.join(facts, "k", how).select("k", "v", "f").collect()))
 
 
 def test_components(spark):
@@ -149,7 +220,7 @@ def test_hot_minimizers_are_sent_string_by_string():
     texts = ["".join(rng.choice(list("abcdefgh"), 45)) + gram + "".join(rng.choice(list("abcdefgh"), 45)) for _ in range(40)]
     texts += texts[:5]
     raw = [t.encode() for t in texts]
-    x = repeats.Segments(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(t) for t in raw]), np.arange(len(raw)) + 1)
+    x = repeats.Segments(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(t) for t in raw]), np.arange(len(raw)) + 1, np.ones(len(raw), bool))
     h, s, d, line = x.sent()
     assert len(np.unique(h)) <= len(h) <= len(x.entry_at) and (np.diff(h.astype(object)) >= 0).all()
     table = pa.table({"block": [1], "bucket": [0], "payload": [repeats.told_of(h, s, d)]})
@@ -226,17 +297,46 @@ def test_texts_shorter_than_an_item_leak(spark):
 
 def test_all_fingerprints_within_the_radius_are_found():
     rng = np.random.default_rng(3)
-    items = decontaminate.Items([(i, " ".join(f"v{x}" for x in rng.integers(0, 500, 20))) for i in range(50)], 5)
-    known = WordHashes()
-    prints = np.array([decontaminate.simhash(word_hashes(" ".join(f"v{x}" for x in rng.integers(0, 500, 20)), known)) for _ in range(300)], np.uint64)
-    for flips in range(0, 24, 3):  # near ones too
+    items = decontaminate.Items([" ".join(f"v{x}" for x in rng.integers(0, 500, 20)) for _ in range(50)], 5)
+    others = word_hashes([" ".join(f"v{x}" for x in rng.integers(0, 500, 20)) for _ in range(300)])
+    prints = np.array([decontaminate.simhash(shingle_hashes(h)) for h in others], np.uint64)
+    for flips in range(0, 28, 3):  # near ones too
         bits = np.array([sum(1 << int(b) for b in rng.choice(64, flips, replace=False)) for _ in range(50)], np.uint64)
         prints = np.r_[prints, items.print ^ bits]
-    place, item = items.within_radius(prints, 20)
+    place, item = items.within_radius(prints, 0)
     want = {(p, i) for p in range(len(prints)) for i in range(50) if int(prints[p] ^ items.print[i]).bit_count() <= decontaminate.RADIUS}
     assert set(zip(place.tolist(), item.tolist())) == want
 
 
+def test_edits_at_the_threshold_are_found(spark):
+    """Windows edited at an edge or inside as much as 0.8 allows, by one repeated word or by many: those of brute force."""
+    rng = np.random.default_rng(14)
+    items = [(i, " ".join(f"v{x}" for x in rng.integers(0, 10**5, n))) for i, n in enumerate(rng.integers(15, 60, 40))]
+    docs = []
+    for i, t in items:
+        for k, word in enumerate(("same", None, "same", None)):
+            w = t.split()
+            for n in range(1, 8):  # as many words as keep 0.8
+                v = list(w)
+                at = range(n) if k < 2 else [len(w) // 2] * (n > 0) + list(range(len(w) - n + 1, len(w)))
+                for j in at:
+                    v[j] = word or f"new{rng.integers(10**9)}"
+                s = shingles(t), shingles(" ".join(v))
+                if sum((s[0] & s[1]).values()) / sum((s[0] | s[1]).values()) >= 0.8:
+                    docs.append((1000 * i + 10 * k + n, "before it " + " ".join(v) + " after it"))
+    want = brute_leaks(docs, items)
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in got}
+    assert len(want) > 300 and found <= set(want) and len(found) >= 0.998 * len(want)
+
+
+def test_long_documents_are_searched_to_their_end(spark):
+    item = " ".join(f"item{i}" for i in range(30))
+    long = "filler words go on " * 200_000 + item
+    got = decontaminate.contaminated(spark.createDataFrame([(1, long)], "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["similarity"], r["first_word"]) for r in got] == [(1, 9, 1.0, 800_000)]
+
+
 def made_corpus(n=3000):
     rng = np.random.default_rng(4)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -281,6 +381,59 @@ def test_resampling_adds_up_markers_spread_over_rare_words(spark):
     assert np.mean([i in kept for i in held_out if i % 10 == 1]) < 0.02 < 0.98 < np.mean([i in kept for i in held_out if i % 10 != 1])
 
 
+def brute_ngrams(text):
+    """The n-grams of a text, named."""
+    words = word_list(text)
+    marks = [m for m in re.findall(r"[^\w\s]+", (text or "").lower())]
+    out = {("word", w) for w in words} | {("pair", *p) for p in zip(words, words[1:])} | {("mark", m[-3:]) for m in marks}
+    for k in resampling.STARTS:
+        starts = Counter(w[:k] for w in words if len(w) >= k)
+        out |= {("start", s, t) for s, n in starts.items() for t in resampling.TIMES if n >= t}
+    total = len(words) + len(marks)
+    counts = {"marks": len(marks), "capitals": len(re.findall(r"[A-Z]{2,}", text or "")), "repeats": sum(a == b for a, b in zip(words, words[1:])), "distinct": len(set(words))}
+    return out | ({(k, round(6 * (v / (total + 20)) ** 0.5)) for k, v in counts.items()} if total else set())
+
+
+def test_weights_and_sample_match_brute_force(spark):
+    """Log weights by dictionaries of named n-grams, and the k largest of their keys."""
+    rows, labels = made_corpus(900)
+    rows += [(5000, ""), (5001, None), (5002, "vile ### AWFUL awfully awfulness vile")]
+    good = {i for i, q, t in labels if q and not t}
+    raw, target = Counter(), Counter()
+    for i, text in rows:
+        raw.update(brute_ngrams(text))
+        if i in good:
+            target.update(brute_ngrams(text))
+    c, share, ratio = resampling.CHANCE, len(good) / len(rows), {}
+    for g, n in raw.items():
+        expected, middle, spread = n * share, target[g] + c * c / 2, c * (target[g] + c * c / 4) ** 0.5
+        ratio[g] = np.log((middle + spread) / expected) if expected > middle + spread else np.log((middle - spread) / expected) if expected < middle - spread else 0.0
+    want = {}
+    for i, text in rows:
+        every = [x for x in brute_every(text)]
+        want[i] = sum(max(0, ratio[g]) for g in every) / max(1, len(every)) + sum(min(0, ratio[g]) for g in set(every))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = resampling.resample(docs, marks, ["doc_id"], k=len(rows)).toPandas().set_index("doc_id")
+    # n-grams that share a bucket of 2**20 are rare here
+    assert np.mean([abs(got["log_weight"][i] - w) < 1e-3 for i, w in want.items()]) > 0.97
+    some = resampling.resample(docs, marks, ["doc_id"], k=100).toPandas()
+    assert set(some["doc_id"]) == set(got["key"].nlargest(100).index)
+
+
+def brute_every(text):
+    """brute_ngrams with repeated words, pairs and marks as often as they stand."""
+    words = word_list(text)
+    named = brute_ngrams(text)
+    out = [("word", w) for w in words] + [("pair", *p) for p in zip(words, words[1:])] + [("mark", m[-3:]) for m in re.findall(r"[^\w\s]+", (text or "").lower())]
+    for g in named:
+        if g[0] == "start":
+            n = sum(len(w) >= len(g[1]) and w.startswith(g[1]) for w in words)
+            out += [g] * (n - g[2] + 1)
+        elif g[0] not in ("word", "pair", "mark"):
+            out.append(g)
+    return out
+
+
 def test_chance_does_not_depend_on_the_corpus_size(spark):
     rows = [(0, 36, 0), (1, 29, 0), (2, 1000, 240)]
     marked = []
@@ -345,6 +498,12 @@ def test_a_store_keeps_every_row_through_compactions(spark):
     assert Counter(map(tuple, store.read().collect())) == Counter(rows) == Counter(map(tuple, store.read(before).collect()))
     with pytest.raises(sharding.Conflict):
         store.commit(before, None, [])
+    # a writer that died after its claim: others wait, then take the claim over
+    now = store.version()
+    store._fs.create(store._path(f"{store.root}/manifests/v{now + 1:08d}.claim"), False).close()
+    with pytest.raises(sharding.Conflict):
+        store.commit(now, store.manifest()["schema"], store.manifest()["runs"])
+    assert store.commit(now, store.manifest()["schema"], store.manifest()["runs"], patience=0) == now + 1
     assert store.vacuum() == 4
     assert Counter(map(tuple, store.read().collect())) == Counter(rows)
     assert sharding.sharded(df.limit(0)).count() == 0
@@ -360,13 +519,24 @@ def test_pipeline_stages(spark, documents, sf_dir):
     """Each stage against brute force on what the stage before kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     odd = spark.createDataFrame([(10_000, "", None, None, 0), (10_001, None, "en", "s", None), (None, "no id at all", "en", "s", 12), (10_002, documents["text"][3], "en", "s", 1)], docs.schema)
-    docs = docs.unionByName(odd)
+    passages = pd.read_parquet(f"{sf_dir}/benchmark.parquet")["text"].head(6)
+    leaky = spark.createDataFrame([(20_000 + i, f"{documents['text'][150 + i]} {t}", "en", "s", 1) for i, t in enumerate(passages)], docs.schema)
+    docs = docs.unionByName(odd).unionByName(leaky)
     for name, stage in corpus_pipeline.STAGES:
-        before = docs.toPandas()
+        before, docs_before = docs.toPandas(), docs
         docs = kept_table(spark, stage(spark, docs, sf_dir))
         after = docs.toPandas()
         pairs = [(None if pd.isna(r.doc_id) else int(r.doc_id), r.text) for r in before.itertuples()]
-        if name == "near_duplicates":
+        if name == "quality":
+            marks = spark.read.parquet(f"{sf_dir}/labels.parquet")
+            rows = resampling.resample(docs_before, marks, ["doc_id"], k=before.shape[0]).toPandas()
+            some = marks.toPandas().drop_duplicates("doc_id")
+            good = dict(zip(some["doc_id"], (some["quality"] == 1) & (some["toxic"] == 0)))
+            own = rows[rows["doc_id"].isin(list(good))]
+            cut = resampling.cut_of(own["log_weight"].to_numpy(), own["doc_id"].map(good).to_numpy(bool))
+            least = np.sort(rows["key"])[-int((rows["log_weight"] >= cut).sum())]
+            assert Counter(after["doc_id"].fillna(-1)) == Counter(rows.loc[rows["key"] >= least, "doc_id"].fillna(-1))
+        elif name == "near_duplicates":
             classes = brute_classes([p for p in pairs if p[0] is not None])
             assert set(after["doc_id"].dropna()) == {i for i, (c, _) in classes.items() if i == c}
             assert after["doc_id"].isna().sum() == before["doc_id"].isna().sum()
@@ -382,7 +552,16 @@ def test_pipeline_stages(spark, documents, sf_dir):
         if name != "packed_sequences":
             assert list(after.columns) == corpus_pipeline.COLUMNS
         else:
-            assert set(after["doc_id"].dropna()) == {i for i, _ in pairs if i is not None}
+            library = Tokenizer.from_file(tokencount.vocabulary())
+            want = Counter()
+            for i, t in pairs:
+                ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+                want.update((i, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(np.array(ids[k : k + 4096], "<u4").tobytes())) for k in range(0, len(ids), 4096))
+            assert Counter((None if pd.isna(r.doc_id) else int(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in after.itertuples()) == want
+            filled = after.groupby("sequence_id")["length"].sum()
+            assert filled.max() <= 4096 and len(filled) <= -(-int(filled.sum()) // 4096) * 1.02 + 1
+            for _, x in after.sort_values("offset").groupby("sequence_id"):
+                assert (x["offset"].to_numpy() == np.r_[0, x["length"].cumsum()[:-1]]).all()
 
 
 def kept_table(spark, df):

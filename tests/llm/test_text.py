@@ -8,7 +8,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from weftgraph.llm import htmltext, packing, pretokens, tokencount, warc
+from weftgraph.llm.shared import shared_dir
 
 ODD = ["", None, "I'M İstanbul ΣΑΣ don't 12½", "x<|endoftext|>y <|ENDOFTEXT|>", "é́ aaaaaaaaaaaaaaa", "日本語 テキスト", "ﬁ ŉ Ǆ \x1c\x85 a", "a" * 3000, "  \n\t "]
 
@@ -32,6 +35,14 @@ def test_merging_gives_the_librarys_ids(library):
     assert pretokens.ArrayBpe(tokencount.vocabulary()).counts(ODD) == [len(x) for x in want]
 
 
+def test_given_documents_are_counted_as_by_the_library(spark, library, sf_dir):
+    docs = pd.read_parquet(f"{sf_dir}/documents.parquet")
+    got = tokencount.op5_token_counts(spark, sf_dir).toPandas().set_index("doc_id")
+    want = [len(e.ids) for e in library.encode_batch(docs["text"].fillna("").tolist(), add_special_tokens=False)]
+    assert got.loc[docs["doc_id"], "n_tokens"].tolist() == want
+    assert got.loc[docs["doc_id"], "over_limit"].tolist() == [n > 2048 for n in want]
+
+
 def test_token_counts_of_odd_rows(spark, library):
     rows = [(i, t, "x") for i, t in enumerate(ODD)] + [(None, "one two", "x"), (2, ODD[2], "x")]
     got = tokencount.token_counts(table(spark, rows, "doc_id long, text string, n_tokens string")).toPandas()
@@ -71,6 +82,16 @@ def test_a_plan_places_every_piece_once(seed):
     assert packing.packed({}).sequences == 0
 
 
+def test_given_documents_are_packed_whole(spark, library, sf_dir):
+    docs = pd.read_parquet(f"{sf_dir}/documents.parquet")
+    got = packing.op10_pack(spark, sf_dir).toPandas()
+    want = set()
+    for i, t in zip(docs["doc_id"], docs["text"]):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        want |= {(i, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(np.array(ids[k : k + 4096], "<u4").tobytes())) for k in range(0, len(ids), 4096)}
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got.itertuples()} == want and len(got) == len(want)
+
+
 def test_packed_documents(spark, library):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "one two"), (3, ODD[3]), (90, "word " * 9000)]
     got = packing.pack(table(spark, [(*r, 1) for r in rows], "doc_id long, text string, offset int")).toPandas()
@@ -99,6 +120,49 @@ def test_main_text_of_pages(spark):
     assert htmltext.extract(table(spark, [], "page_id long, url string, html string")).count() == 0
 
 
+def test_names_mark_by_whole_words(spark):
+    nodes = htmltext.trained(spark)
+    text = lambda h: htmltext.main_text(h, lambda f: htmltext.keeps(nodes, f))
+    assert text("<body class='no-sidebar'><article><p>All of it.</p></article></body>") == "All of it."
+    assert text("<article><div class='overflow-hidden'>In.</div><p class='share-price'>Nine.</p></article>") == "In. Nine."
+    assert text("<div class='page-with-sidebar'><article><h1 class='entry-header'>Title</h1><p>Text.</p></article></div>") == "Title Text."
+    assert text("<article><p>Kept.</p><div hidden>not seen</div><div class='comment-list'><p>I read it.</p></div><div class='sidebar left'>no</div></article>") == "Kept."
+
+
+def test_neighbours_decide_without_a_marked_article(spark):
+    nodes = htmltext.trained(spark)
+    used = {htmltext.FEATURES[n[0]] for n in nodes if len(n) > 1}
+    assert {"words", "link_density", "previous_words", "previous_link_density", "next_words", "next_link_density"} <= used
+    text = lambda h: htmltext.main_text(h, lambda f: htmltext.keeps(nodes, f))
+    long, links = "<p>" + "word " * 45 + "</p>", "<ul>" + "<li><a href=x>one two three</a></li>" * 3 + "</ul>"
+    assert text(f"{long}<p>a short line</p>{long}").count("a short line") == 1
+    assert "a short line" not in text(f"{long}<p>a short line</p>{links}")
+    assert "Seen too" not in text(f"{long}<h2>Seen too</h2>{links}") and "Next part" in text(f"{long}<h2>Next part</h2>{long}")
+
+
+def test_given_pages_hold_their_articles(spark, sf_dir):
+    """Against another way of reading: the article element alone, by regular expressions."""
+    import html
+    import re
+
+    pages = pd.read_parquet(f"{sf_dir}/pages.parquet")
+    got = htmltext.op1_extract(spark, sf_dir).toPandas().set_index("page_id")["text"]
+    seen = 0
+    for r in pages.itertuples():
+        inside = re.search(r"<article>(.*?)</article>", r.html or "", re.S)
+        if inside:
+            seen += 1
+            plain = re.sub(r"</?[bi]>", "", re.sub(r"<!--.*?-->", "", inside[1], flags=re.S))
+            assert got[r.page_id] == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", plain)).split())
+    assert seen > 0.9 * len(pages)
+
+
+def test_very_long_pages(spark):
+    body = "<p>" + "word &amp; " * 300_000 + "</p>"
+    got = htmltext.extract(table(spark, [(1, "u", f"<nav>x</nav><article>{body}</article>")], "page_id long, url string, html string")).first()
+    assert got["n_chars"] == len("word & " * 300_000) - 1 and got["text"].endswith("word &")
+
+
 def test_the_tree_fits_its_table(spark):
     nodes = htmltext.trained(spark)
     assert all(htmltext.keeps(nodes, r[:-1]) == bool(r[-1]) for r in htmltext.labelled_rows())
@@ -119,6 +183,27 @@ def test_archives_round_trip(spark):
     assert warc.archived(table(spark, [], "page_id long, url string, html string")).count() == 0
 
 
+def test_record_headers(spark):
+    """Every record has its own identifier; a revisit names its response's, its address and date."""
+    pages = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (2, "http://a/2", "same"), (None, "http://a/0", "same"), (3, "http://a/3", "other")]
+    path = shared_dir(spark)
+    warc.write_archives(warc.resolved(table(spark, pages, "page_id long, url string, html string")), path)
+    found = [h for f in spark.read.format("binaryFile").load(path).collect() for h, _ in warc.records_of(bytes(f["content"]))]
+    ids = {h["warc-record-id"]: h for h in found}
+    assert len(ids) == len(pages) and all(x.startswith("<urn:uuid:") and len(x) == 47 for x in ids)
+    revisits = [h for h in found if h["warc-type"] == "revisit"]
+    assert len(revisits) == 2
+    for h in revisits:
+        to = ids[h["warc-refers-to"]]
+        assert (to["warc-type"], to["warc-target-uri"], to["warc-date"]) == ("response", h["warc-refers-to-target-uri"], h["warc-refers-to-date"])
+
+
+def test_files_are_bounded_by_bytes(spark):
+    many = spark.range(1000).select("id", F.lit("u").alias("url"), F.repeat(F.lit("x"), 100_000).alias("html"))
+    assert warc.records_a_file(many) * 100_000 < warc.FILE_BYTES < warc.records_a_file(many) * 400_000
+    assert warc.records_a_file(many.limit(0)) == warc.RECORDS_A_FILE
+
+
 def test_small_payloads_are_never_revisited(spark):
     got = warc.archived(table(spark, [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string"), least_bytes=3)
     assert {(r.page_id, r.record_type) for r in got.collect()} == {(1, "response"), (2, "response"), (3, "revisit"), (4, "response")}
