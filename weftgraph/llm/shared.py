@@ -1,4 +1,4 @@
-"""What the operators share: word and shingle hashing, exact Arrow batches, salted groups, components."""
+"""What the operators share: word and shingle hashing, exact Arrow batches, facts of salted groups."""
 
 from __future__ import annotations
 
@@ -8,14 +8,17 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import storage
+from weftgraph.operators.joins import connected as components
+from weftgraph.operators.joins import salt_of, salted_join
+
+__all__ = ["components", "salt_of", "salted_join"]  # of the graph library, for the operators here
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -94,11 +97,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def salt_of(*cols: str) -> Column:
-    """A salt from 0 to SALTS - 1 that depends only on the columns' values."""
-    return F.pmod(F.xxhash64(F.lit(7), *cols), F.lit(SALTS)).cast("int")
-
-
 def group_facts(df: DataFrame, key: str, aggregates: dict[str, tuple]) -> DataFrame:
     """Facts of each key's whole group, one row for each (key, salt) that occurs in df.
 
@@ -117,16 +115,6 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def salted_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """rows joined to facts, which has one row for each key, although one key may hold a third of rows.
-
-    Each fact goes to the salts at which its key occurs, SALTS at most; rows meet it there.
-    """
-    salted = rows.withColumn("_salt", salt_of(*rows.columns))
-    spread = salted.select(key, "_salt").distinct().join(facts, key)
-    return salted.join(spread, [key, "_salt"], how).drop("_salt")
-
-
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD1342543DE82EF95
 #: Characters that are hashed at once: the bound of the arrays that a text needs beside its words.
@@ -245,28 +233,3 @@ def shingle_hashes(hashes: np.ndarray, n: int = SHINGLE_WORDS) -> np.ndarray:
             out *= MULTIPLIER
             out += hashes[i : len(hashes) - n + 1 + i]
     return mixed(out)
-
-
-def components(edges: DataFrame, path: str, rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b), as (id, component): the least id that each reaches.
-
-    Each round links both ends' labels to the lesser one and halves the ways between labels, so that
-    rounds grow with the logarithm of a component's diameter; each is a written table and only
-    whether any label moved reaches the driver.  A node's neighbours are never collected: a group
-    contributes its minimum, and joins on a group's label are salted.  Nulls and self-loops are left
-    out.  Raises if rounds run out.
-    """
-    edges = edges.where("a is not null and b is not null and a != b")
-    links = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{path}/links")
-    labels = links.select(F.col("a").alias("id")).union(links.select(F.col("b"))).distinct().select("id", F.col("id").alias("component"))
-    labels = written(labels, f"{path}/labels-0")
-    for i in range(rounds):
-        ends = salted_join(links, labels.select(F.col("id").alias("a"), F.col("component").alias("of_a")), "a").select("of_a", "b").distinct()
-        ends = salted_join(ends, labels.select(F.col("id").alias("b"), F.col("component").alias("of_b")), "b").select("of_a", "of_b").where("of_a != of_b")
-        moves = ends.select(F.greatest("of_a", "of_b").alias("component"), F.least("of_a", "of_b").alias("to")).groupBy("component").agg(F.min("to").alias("to"))
-        moves = written(moves, f"{path}/moves-{i}")
-        if moves.isEmpty():
-            return labels
-        jumped = salted_join(moves, moves.select(F.col("component").alias("to"), F.col("to").alias("next")), "to", "left").select("component", F.coalesce("next", "to").alias("to"))
-        labels = written(salted_join(labels, jumped, "component", "left").select("id", F.coalesce("to", "component").alias("component")), f"{path}/labels-{i + 1}")
-    raise RuntimeError("components did not settle")
