@@ -31,16 +31,17 @@ def connected(edges: DataFrame, path: str | None = None, rounds: int = 60) -> Da
     Each round links both ends' labels to the lesser one and halves the ways between labels, so that
     rounds grow with the logarithm of a component's diameter; each is a written table and only
     whether any label moved reaches the driver.  A node's neighbours are never collected: a group
-    contributes its minimum, and joins on a group's label are salted.  Nulls and self-loops are left
+    contributes its minimum, and joins on a group's label or least node are salted.  Nulls and self-loops are left
     out.  Raises if rounds run out.
     """
     path = path or scratch(edges.sparkSession)
     edges = edges.where("a is not null and b is not null and a != b")
     links = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{path}/links")
-    labels = links.select(F.col("a").alias("id")).union(links.select(F.col("b"))).distinct().select("id", F.col("id").alias("component"))
+    # the first label is the least neighbour, so that a star has ended before the first round
+    labels = links.select(F.col("a").alias("id"), F.col("b").alias("component")).union(links.select("b", "b")).groupBy("id").agg(F.min("component").alias("component"))
     labels = written(labels, f"{path}/labels-0")
     for i in range(rounds):
-        ends = salted_join(links, labels.select(F.col("id").alias("a"), F.col("component").alias("of_a")), "a").select("of_a", "b").distinct()
+        ends = links.join(labels.select(F.col("id").alias("a"), F.col("component").alias("of_a")), "a").select("of_a", "b").distinct()
         ends = salted_join(ends, labels.select(F.col("id").alias("b"), F.col("component").alias("of_b")), "b").select("of_a", "of_b").where("of_a != of_b")
         moves = ends.select(F.greatest("of_a", "of_b").alias("component"), F.least("of_a", "of_b").alias("to")).groupBy("component").agg(F.min("to").alias("to"))
         moves = written(moves, f"{path}/moves-{i}")
