@@ -28,25 +28,35 @@ def salted_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner")
 def connected(edges: DataFrame, path: str | None = None, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b), as (id, component): the least id that each reaches.
 
-    Each round links both ends' labels to the lesser one and halves the ways between labels, so that
-    rounds grow with the logarithm of a component's diameter; each is a written table and only
-    whether any label moved reaches the driver.  A node's neighbours are never collected: a group
-    contributes its minimum, and joins on a group's label or least node are salted.  Nulls and self-loops are left
-    out.  Raises if rounds run out.
+    A node's first label is its least neighbour, so that a star has ended before the first round.
+    Then only links between different labels go on; in each round a label moves to the least that it
+    is linked to, ways are halved, and the links are those of the labels that remain, so that they
+    shrink and rounds grow with the logarithm of a component's diameter.  Rounds are written tables;
+    only whether links remain reaches the driver.  A node's neighbours are never collected: a group
+    contributes its minimum, and joins are salted.  Nulls and self-loops are left out.  Raises if
+    rounds run out.
     """
     path = path or scratch(edges.sparkSession)
     edges = edges.where("a is not null and b is not null and a != b")
     links = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{path}/links")
-    # the first label is the least neighbour, so that a star has ended before the first round
     labels = links.select(F.col("a").alias("id"), F.col("b").alias("component")).union(links.select("b", "b")).groupBy("id").agg(F.min("component").alias("component"))
     labels = written(labels, f"{path}/labels-0")
+    ends = salted_join(links, labels.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").select("x", "b").distinct()
+    ends = salted_join(ends, labels.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
+    graph = written(between(ends), f"{path}/graph-0")
     for i in range(rounds):
-        ends = links.join(labels.select(F.col("id").alias("a"), F.col("component").alias("of_a")), "a").select("of_a", "b").distinct()
-        ends = salted_join(ends, labels.select(F.col("id").alias("b"), F.col("component").alias("of_b")), "b").select("of_a", "of_b").where("of_a != of_b")
-        moves = ends.select(F.greatest("of_a", "of_b").alias("component"), F.least("of_a", "of_b").alias("to")).groupBy("component").agg(F.min("to").alias("to"))
-        moves = written(moves, f"{path}/moves-{i}")
-        if moves.isEmpty():
+        if graph.isEmpty():
             return labels
-        jumped = salted_join(moves, moves.select(F.col("component").alias("to"), F.col("to").alias("next")), "to", "left").select("component", F.coalesce("next", "to").alias("to"))
-        labels = written(salted_join(labels, jumped, "component", "left").select("id", F.coalesce("to", "component").alias("component")), f"{path}/labels-{i + 1}")
+        moves = graph.groupBy("x").agg(F.min("y").alias("to"))
+        jumped = salted_join(moves, moves.select(F.col("x").alias("to"), F.col("to").alias("next")), "to", "left").select("x", F.coalesce("next", "to").alias("to"))
+        jumped = written(jumped, f"{path}/moves-{i}")
+        labels = written(salted_join(labels, jumped.withColumnRenamed("x", "component"), "component", "left").select("id", F.coalesce("to", "component").alias("component")), f"{path}/labels-{i + 1}")
+        ends = salted_join(graph, jumped, "x").select(F.col("to").alias("x"), "y").distinct()
+        ends = salted_join(ends, jumped.select(F.col("x").alias("y"), "to"), "y", "left").select("x", F.coalesce("to", "y").alias("y"))
+        graph = written(between(ends), f"{path}/graph-{i + 1}")
     raise RuntimeError("components did not settle")
+
+
+def between(ends: DataFrame) -> DataFrame:
+    """(x, y): the different labels that links connect, the greater first."""
+    return ends.where("x != y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
