@@ -26,7 +26,7 @@ TREES = 28
 #: Symbols of a label, 8 bits each: a label is a 64-bit number.
 LONGEST = 8
 RECALL = 0.9998
-BLOCK = 512
+BLOCK = 256
 #: Classes of similarity in which linked pairs are counted.
 BINS = 20
 
@@ -132,7 +132,7 @@ def trie_links(leaves: DataFrame, length: int) -> DataFrame:
 
 def linked(leaves: DataFrame, length: int, path: str) -> DataFrame:
     """trie_links' links with those between batches, as a written table (a, b)."""
-    found = written(trie_links(leaves, length), f"{path}/found")
+    found = written(trie_links(leaves, length), f"{path}/found", 1 << 16)
     far = found.where("b is null").groupBy("tree", "prefix").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low != high").select("tree", "prefix", "low")
     more = found.where("b is null").select("a", "tree", "prefix").join(far, ["tree", "prefix"]).where("a != low").select("a", F.col("low").alias("b"))
     return written(found.where("b is not null").select("a", "b").unionByName(more).distinct(), f"{path}/links")

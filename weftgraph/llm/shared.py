@@ -19,6 +19,7 @@ __all__ = ["components", "salt_of", "salted_join"]  # of the graph library, for
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,24 +27,29 @@ def shared_dir(spark: SparkSession) -> str:
     return storage.scratch(spark, "weft")
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """df as a Parquet table at path: cuts lineage and survives lost executors."""
-    return storage.written(df, path, "zstd")
+def written(df: DataFrame, path: str, rows: int = 1000) -> DataFrame:
+    """df as a Parquet table at path: cuts lineage and survives lost executors.
+
+    While it is written, Arrow batches hold so many rows at most: what lies between Spark and its workers.
+    """
+    spark = df.sparkSession
+    own = int(spark.conf.get(BATCH))  # 0 or less: no bound
+    with batches_of(spark, min(rows, own) if own > 0 else rows):
+        return storage.written(df, path, "zstd")
 
 
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of so many rows while tables are written inside; the session's setting returns."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(BATCH, before)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of bounded rows and bytes (a row at least), so that long texts do not add up in a worker."""
     for b in batches:
         rest = [b.slice(i, rows) for i in range(0, b.num_rows, rows)][::-1]
