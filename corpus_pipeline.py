@@ -15,10 +15,12 @@ from weftgraph.llm.jaccard import join_near
 from weftgraph.llm.packing import pack
 from weftgraph.llm.repeats import remove_repeats
 from weftgraph.llm.resampling import resample
-from weftgraph.llm.shared import shared_dir, written
+from weftgraph.llm.shared import shared_dir, small, written
 from weftgraph.storage import cleared, made
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Ids that are broadcast at most; more of them meet the documents by a shuffle.
+IDS = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +35,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     texts stays if one of them is its class's.
     """
     rows = join_near(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class_id")).alias("stays"), (F.count("*") > 1).alias("again"))
-    marked = docs.join(rows.where("not stays or again"), "doc_id", "left").where("stays is null or stays")
-    return marked.where("again is null or not again").select(COLUMNS).unionByName(marked.where("again").select(COLUMNS).dropDuplicates())
+    marked = written(rows.where("not stays or again"), shared_dir(spark))
+    once = docs.join(small(marked.select("doc_id"), IDS), "doc_id", "left_anti").select(COLUMNS)
+    again = docs.join(small(marked.where("stays").select("doc_id"), IDS), "doc_id", "left_semi").select(COLUMNS)
+    return once.unionByName(again.dropDuplicates())
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +59,7 @@ def whole_characters(raw: pd.Series) -> pd.Series:
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+    return docs.join(small(written(found, shared_dir(spark)), IDS), "doc_id", "left_anti").select(COLUMNS)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
