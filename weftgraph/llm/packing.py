@@ -183,6 +183,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                     rows.append((doc, i // 4 // capacity, i // 4, len(some) // 4, zlib.crc32(some)))
             doc, *rest = zip(*rows)
             yield {"doc_id": b.column("doc_id").take(pa.array(doc))} | dict(zip(("piece", "start", "length", "ids_crc32"), map(list, rest)))
+        model.forget()
 
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

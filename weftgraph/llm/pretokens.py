@@ -143,6 +143,11 @@ class ArrayBpe:
         ids, place, owner = (np.concatenate(x) for x in (done_ids, done_place, done_owner))
         return ids[np.argsort(place)], np.bincount(owner, minlength=len(found))
 
+    def forget(self) -> None:
+        """Drops what a task has learnt: a worker lives on, also for tasks that need its memory."""
+        self.known.clear()
+        self.remembered = 0
+
     def learn(self, lists: list[list], packed: bool) -> dict:
         """What each pre-token of the lists becomes: its ids as bytes (packed) or their number."""
         if len(self.known) > self.KEPT or self.remembered > self.KEPT_CHARACTERS:

@@ -40,7 +40,7 @@ BUCKET_BYTES = 4 << 20
 #: Segments of one minimizer in a block, and in a bucket, beyond which it is hot.
 HOT_BLOCK, HOT_BUCKET = 8, 4096
 #: Windows that one suffix array holds.
-ARRAY_WINDOWS = 150_000
+ARRAY_WINDOWS = 100_000
 ALONE, COVERED, COMPARE, SPREAD = 0, 1, 2, 3
 TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -387,7 +387,7 @@ def compare_segments(table: pa.Table) -> pa.Table:
         many = windows[some]
         inside = np.arange(many.sum()) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many)
         at, left = np.repeat(start[some], many) + inside, np.repeat(size[some], many) - inside
-        rows = padded[at[:, None] + np.arange(widest)]
+        rows = np.lib.stride_tricks.sliding_window_view(padded, widest)[at]
         rows[np.arange(widest) >= left[:, None]] = 0
         found = longest_previous_factors(np.ascontiguousarray(rows).view(f"S{widest}").reshape(-1), left, np.repeat(doc[some], many))
         verdict[np.repeat(out_at[some], many) + inside] = found >= LEAST

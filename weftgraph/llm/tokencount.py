@@ -35,6 +35,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
             texts = [t or "" for t in texts_of(b)]
             n = model.counts(texts)
             yield {"doc_id": b.column("doc_id"), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [k > limit for k in n]}
+        model.forget()
 
     return mapped(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
