@@ -35,7 +35,7 @@ from weftgraph.llm.shared import batches_of, longs_of, mixed, powers, shared_dir
 
 LEAST = 50
 GRAM = 20
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 BUCKET_BYTES = 4 << 20
 #: Segments of one minimizer in a block, and in a bucket, beyond which it is hot.
 HOT_BLOCK, HOT_BUCKET = 8, 4096
