@@ -29,48 +29,71 @@ QUERIES_A_BLOCK = 1024
 COORDINATE_FROM, COORDINATES = 0.5, 3
 #: Sums of products below this are exact in 64-bit floats.
 EXACT = 2.0**53
+#: The largest component: what scaling takes beyond it counts as it.
+LARGEST = 1e308
+
+
+def norms(v: np.ndarray) -> np.ndarray:
+    """Lengths of the rows, also where squares overflow."""
+    most = np.abs(v).max(axis=1, initial=0)
+    unit = v / np.where(most > 0, most, 1)[:, None]
+    with np.errstate(over="ignore"):
+        return np.minimum(most * np.sqrt((unit * unit).sum(axis=1)), LARGEST)
+
+
+def by_length(lists: pa.ListArray, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The wanted lists of numbers as matrices, one for each length but 0, with their places; nulls inside are no numbers."""
+    starts = lists.offsets.to_numpy().astype(np.int64)
+    lengths, values = np.diff(starts), lists.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths[wanted]).tolist():
+        some = np.flatnonzero(wanted & (lengths == n))
+        if n:
+            yield some, values[starts[some][:, None] + np.arange(n)]
 
 
 def whole_vectors(vectors: DataFrame, scale: float) -> DataFrame:
-    """vec_id, dims, norm, bucket, vec (64-bit floats of whole numbers) of the rows that take part."""
+    """row (a number of its own, once written), vec_id, label, anchor, dims, norm, bucket, vec (64-bit floats of whole numbers) of the rows that take part.
+
+    vectors may have label (rows of null labels take no part) and anchor.
+    """
+    given = {"label": "long", "anchor": "boolean"}
+    own = [F.col(c).cast(t).alias(c) if c in vectors.columns else F.lit(0).cast(t).alias(c) for c, t in given.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            rows = []
-            for i, v in zip(b.column("vec_id").to_pylist(), b.column("embedding")):
-                if i is None or not v.is_valid or not len(v.values):
-                    continue
-                w = v.values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null component is no number
-                if np.isfinite(w).all():
-                    w = np.floor(scale * w)
-                    norm = math.sqrt(float(w @ w)) if np.abs(w).max() < 1e150 else math.inf
-                    if norm < math.inf:
-                        rows.append((i, len(w), norm, -1 if norm < 1 else int(math.log(norm) / math.log(RATIO)), w.tobytes()))
-            yield dict(zip(("vec_id", "dims", "norm", "bucket", "vec"), map(list, zip(*rows)) if rows else ([],) * 5))
+            there = np.logical_and.reduce([b.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("vec_id", "label", "embedding")])
+            for some, w in by_length(b.column("embedding"), there):
+                with np.errstate(over="ignore", invalid="ignore"):
+                    fit = np.isfinite(w).all(axis=1)
+                    w = np.clip(np.floor(scale * w[fit]), -LARGEST, LARGEST)
+                rows, norm = pa.array(some[fit]), norms(w)
+                bucket = np.where(norm < 1, -1, (np.log(np.maximum(norm, 1)) / math.log(RATIO)).astype(np.int64))
+                yield {c: b.column(c).take(rows) for c in ("row", "vec_id", "label", "anchor")} | {"dims": [w.shape[1]] * len(w), "norm": pa.array(norm), "bucket": pa.array(bucket), "vec": [v.tobytes() for v in w]}
 
-    return mapped(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), run, "vec_id long, dims int, norm double, bucket int, vec binary")
+    numbered = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), *own, "embedding")
+    return mapped(numbered, run, "row long, vec_id long, label long, anchor boolean, dims int, norm double, bucket int, vec binary")
 
 
 def blocked(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of about size vectors of one dims and bucket: dims, bucket, shard, parts, most (norm), ids, vecs.
+    """Blocks of about size vectors of one dims and bucket: dims, bucket, shard, parts, most (norm), ids, rows, vecs.
 
     The numbers of parts have a row for each dims and bucket, norms of finite vectors fall into
     fewer than 15,000 buckets: they are broadcast where their number is as small as that.
     """
     counts = rows.groupBy("dims", "bucket").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("parts"))
-    numbered = rows.join(small(counts, FACTS), ["dims", "bucket"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    numbered = rows.join(small(counts, FACTS), ["dims", "bucket"]).withColumn("shard", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
 
     def gather(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["norm", "vec_id"], ascending=[False, True])
+        x = x.sort_values(["norm", "vec_id", "row"], ascending=[False, True, True])
         first = x.iloc[0]
-        return pd.DataFrame([(first["dims"], first["bucket"], first["shard"], first["parts"], first["norm"], x["vec_id"].to_numpy(np.int64).tobytes(), b"".join(x["vec"]))], columns=["dims", "bucket", "shard", "parts", "most", "ids", "vecs"])
+        return pd.DataFrame([(first["dims"], first["bucket"], first["shard"], first["parts"], first["norm"], *(x[c].to_numpy(np.int64).tobytes() for c in ("vec_id", "row")), b"".join(x["vec"]))], columns=["dims", "bucket", "shard", "parts", "most", "ids", "rows", "vecs"])
 
-    return numbered.groupBy("dims", "bucket", "shard").applyInPandas(gather, "dims int, bucket int, shard int, parts int, most double, ids binary, vecs binary")
+    return numbered.groupBy("dims", "bucket", "shard").applyInPandas(gather, "dims int, bucket int, shard int, parts int, most double, ids binary, rows binary, vecs binary")
 
 
 def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Exact inner products of the rows, as whole numbers cut to 64 bits."""
-    bound = np.abs(q).max(initial=0) * np.abs(p).max(initial=0) * q.shape[1]
+    bound = float(np.abs(q).max(initial=0)) * float(np.abs(p).max(initial=0)) * q.shape[1]
     if bound < EXACT:
         return (q @ p.T).astype(np.int64)
     exact = np.array([[int(c) for c in r] for r in q], object).dot(np.array([[int(c) for c in r] for r in p], object).T)
@@ -87,12 +110,12 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))[:k]]
 
 
-def block_top(q_ids: np.ndarray, q: np.ndarray, need: np.ndarray, ids: np.ndarray, p: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, vector, score) of each query's k best in a block of vectors by descending norm; need: scores below are not wanted."""
+def block_top(q_rows: np.ndarray, q: np.ndarray, need: np.ndarray, ids: np.ndarray, rows: np.ndarray, p: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
+    """(query's place, vector, its row, score) of each query's k best in a block of vectors by descending norm; need: scores below are not wanted."""
     out = []
-    p_norm, q_norm = np.sqrt((p * p).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
+    p_norm, q_norm = norms(p), norms(q)
     most = p_norm.max(initial=0)
-    with np.errstate(divide="ignore", invalid="ignore"):
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         cosine = np.where(q_norm * most > 0, need / (q_norm * most), np.where(need > 0, 2.0, -1.0))
     slack = 1e-9
     wanted = np.flatnonzero(cosine <= 1 + slack)  # length pruning of the whole block
@@ -108,10 +131,10 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, need: np.ndarray, ids: np.ndarra
             low = u[c] * t - room if u[c] > -t else -1.0
             high = u[c] * t + room if u[c] < t else 1.0
             keep &= (unit[:, c] >= low - slack) & (unit[:, c] <= high + slack)
-        some = np.flatnonzero(keep & (ids != q_ids[i]))
+        some = np.flatnonzero(keep & (rows != q_rows[i]))
         if len(some):
             scores = products(q[i : i + 1], p[some])[0]
-            out += [(int(q_ids[i]), int(ids[some[j]]), int(scores[j])) for j in best(scores, ids[some], k)]
+            out += [(i, int(ids[some[j]]), int(rows[some[j]]), int(scores[j])) for j in best(scores, ids[some], k)]
     for start in range(0, len(by_length), 128):
         part = by_length[start : start + 128]
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -119,8 +142,8 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, need: np.ndarray, ids: np.ndarra
         n = int(np.searchsorted(-p_norm, -least * (1 - slack), side="right"))  # vectors too short for every query of the part
         scores = products(q[part], p[:n])
         for r, i in enumerate(part.tolist()):
-            some = np.flatnonzero(ids[:n] != q_ids[i])
-            out += [(int(q_ids[i]), int(ids[some[j]]), int(scores[r, some[j]])) for j in best(scores[r, some], ids[some], k)]
+            some = np.flatnonzero(rows[:n] != q_rows[i])
+            out += [(i, int(ids[some[j]]), int(rows[some[j]]), int(scores[r, some[j]])) for j in best(scores[r, some], ids[some], k)]
     return out
 
 
@@ -133,47 +156,48 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
     """query_id, rank, vec_id, score: each query's k highest inner products of floor(scale * x), exactly.
 
     Queries are the rows of vectors (vec_id, embedding) for which is_query holds; candidates are all
-    rows of another vec_id and as many components.  Ties go to the smaller vec_id.  Null vectors,
-    empty ones, null ids, and vectors with null or non-finite components take no part; repeated rows
-    are one; of a vec_id's different vectors, the one of the greatest bytes counts.  Fewer than k candidates: all.  An empty table gives none.  Other columns are not read.
+    other rows of as many components.  Rows count one by one: a repeated row, or another vector of the
+    same vec_id, is a candidate of its own, and a repeated query is asked again.  Ties go to the smaller vec_id.  Null vectors,
+    empty ones, null ids, and vectors with null or non-finite components take no part; what scaling
+    takes beyond 1e308 counts as that, and scores are cut to 64 bits.  Fewer than k candidates: all.  An empty table gives none.  Other columns are not read.
     """
     spark, home = vectors.sparkSession, shared_dir(vectors.sparkSession)
-    every = whole_vectors(vectors.select("vec_id", "embedding"), scale)
-    one = every.groupBy("vec_id").agg(F.max(F.struct("vec", "dims", "norm", "bucket")).alias("v"))
-    rows = written(one.select("vec_id", "v.dims", "v.norm", "v.bucket", "v.vec"), f"{home}/vectors")
+    every = whole_vectors(vectors.select("vec_id", "embedding", is_query.alias("anchor")), scale)
+    rows = written(every.drop("label"), f"{home}/vectors")
     candidates = written(blocked(rows, BLOCK), f"{home}/blocks")
-    queries = blocked(rows.where(is_query), QUERIES_A_BLOCK).select("dims", F.struct("bucket", "shard").alias("of"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
-    seeds = candidates.groupBy("dims").agg(F.max_by(F.struct("ids", "vecs"), F.struct(F.least(F.octet_length("ids"), F.lit(8 * BLOCK // 4)), F.col("most"))).alias("seed"))
+    queries = blocked(rows.where("anchor"), QUERIES_A_BLOCK).select("dims", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("vecs").alias("q_vecs"))
+    seeds = candidates.groupBy("dims").agg(F.max_by(F.struct("rows", "vecs"), F.struct(F.least(F.octet_length("ids"), F.lit(8 * BLOCK // 4)), F.col("most"))).alias("seed"))
 
     def bounds(x: pd.DataFrame) -> pd.DataFrame:
         need, least = [], []
-        for q_ids, q_vecs, seed in zip(x["q_ids"], x["q_vecs"], x["seed"]):
-            (i, q), (ids, p) = unpacked(q_ids, q_vecs), unpacked(seed["ids"], seed["vecs"])
-            ids, first = np.unique(ids, return_index=True)
-            scores = np.where(ids[None, :] == i[:, None], -(2**63), products(q, p[first]))
+        for q_rows, q_vecs, seed in zip(x["q_rows"], x["q_vecs"], x["seed"]):
+            (i, q), (rows, p) = unpacked(q_rows, q_vecs), unpacked(seed["rows"], seed["vecs"])
+            scores = np.where(rows[None, :] == i[:, None], -(2**63), products(q, p))
             n = scores.shape[1]
             own = (np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(i), -(2**62))).astype(np.float64)
-            norm = np.sqrt((q * q).sum(axis=1))
+            norm = norms(q)
             # a vector shorter than this has no product that any query of the block needs
             least.append(float(np.where(norm > 0, own / np.maximum(norm, 1e-300), -np.inf).min()))
             need.append(own.tobytes())
         return x.drop(columns="seed").assign(need=need, least=least)
 
-    bounded = queries.join(small(seeds, SEEDS), "dims").mapInPandas(lambda it: map(bounds, it), "dims int, of struct<bucket: int, shard: int>, q_ids binary, q_vecs binary, need binary, least double")
+    bounded = queries.join(small(seeds, SEEDS), "dims").mapInPandas(lambda it: map(bounds, it), "dims int, q_ids binary, q_rows binary, q_vecs binary, need binary, least double")
     bounded = written(bounded, f"{home}/queries")
     buckets = candidates.groupBy("dims", "bucket").agg(F.first("parts").alias("parts"), F.max("most").alias("most"))
     # buckets too short for a block of queries are left out before anything is copied
     pairs = bounded.join(small(buckets, FACTS), "dims").where(F.col("most") * (1 + 1e-9) >= F.col("least"))
-    pairs = pairs.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "of", "most", "least")
+    pairs = pairs.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "most", "least")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for r in x.itertuples():
-                (i, q), (ids, p) = unpacked(r.q_ids, r.q_vecs), unpacked(r.ids, r.vecs)
-                yield pd.DataFrame(block_top(i, q, np.frombuffer(r.need, np.float64), ids, p, k), columns=["query_id", "vec_id", "score"])
+                (i, q), (ids, p) = unpacked(r.q_rows, r.q_vecs), unpacked(r.ids, r.vecs)
+                found = pd.DataFrame(block_top(i, q, np.frombuffer(r.need, np.float64), ids, np.frombuffer(r.rows, np.int64), p, k), columns=["q", "vec_id", "row", "score"])
+                at = found.pop("q").to_numpy(np.int64)
+                yield found.assign(q_row=i[at], query_id=np.frombuffer(r.q_ids, np.int64)[at])
 
-    found = pairs.join(candidates.drop("parts", "most"), ["dims", "bucket", "shard"]).select("q_ids", "q_vecs", "need", "ids", "vecs").mapInPandas(search, "query_id long, vec_id long, score long").distinct()
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.join(candidates.drop("parts", "most"), ["dims", "bucket", "shard"]).select("q_ids", "q_rows", "q_vecs", "need", "ids", "rows", "vecs").mapInPandas(search, "vec_id long, row long, score long, q_row long, query_id long")
+    order = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -185,13 +209,13 @@ def op8_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0
 ), s AS (
-  SELECT q.vec_id AS query_id, p.vec_id AS vec_id,
+  SELECT q.n AS q_row, p.n AS n, q.vec_id AS query_id, p.vec_id AS vec_id,
          CAST(list_sum(list_transform(range(1, len(q.w) + 1), lambda i: q.w[i] * p.w[i])) AS BIGINT) AS score
-  FROM v q JOIN v p ON q.vec_id <> p.vec_id AND q.vec_id % 50 = 0
-), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  FROM v q JOIN v p ON q.n <> p.n AND len(q.w) = len(p.w) AND q.vec_id % 50 = 0
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_row ORDER BY score DESC, vec_id, n) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
