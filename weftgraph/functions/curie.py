@@ -177,3 +177,14 @@ def expand_keys(df: DataFrame, context: DataFrame, record: str) -> DataFrame:
     terms = context.groupBy("term").agg(F.min("iri").alias("_iri"))
     rows = df.select(*[c for c in df.columns if c != record], F.explode(record).alias("key", "value"))
     return rows.join(terms, F.col("key") == F.col("term"), "left").withColumns({"key": F.coalesce("_iri", "key"), "value": F.col("value").cast("string")}).drop("term", "_iri")
+
+
+def expand_context(df: DataFrame, context: DataFrame, record: str, keys: list[str]) -> DataFrame:
+    """df (rows told apart by keys) with its map column put together again: keys as IRIs, values as texts.
+
+    Of several keys that expand to one IRI the greatest value counts.  Null and empty records stay as they are.
+    """
+    rows = expand_keys(df.select(*keys, record), context, record).groupBy(*keys, "key").agg(F.max("value").alias("value"))
+    whole = rows.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("_whole"))
+    kept = F.coalesce("_whole", F.transform_values(record, lambda k, v: v.cast("string")))
+    return df.join(whole, keys, "left").withColumn(record, kept).drop("_whole")

@@ -5,53 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.filters import limit_rows
+from weftgraph.operators.bgp import bgp
 
-
-def bgp(quads: DataFrame, patterns: list[tuple[str, str, str]], select: list[str], values: dict[str, DataFrame] | None = None, distinct: bool = False, limit: int | None = None) -> DataFrame:
-    """A basic graph pattern over quads (g, s, p, o): terms that begin with ? are variables.
-
-    values gives a variable's admitted ids as a one-column table.  Patterns are joined on their
-    shared variables in an order that never joins without one; a pattern that shares none raises.
-    Rows keep their multiplicity unless distinct; limits are by the order of all columns.
-    """
-    left, out = list(patterns), None
-    values = dict(values or {})
-
-    def scan(pattern: tuple[str, str, str]) -> DataFrame:
-        df, columns = quads, []
-        for place, term in zip("spo", pattern):
-            if not term.startswith("?"):
-                df = df.where(F.col(place) == term)
-            elif term[1:] in [c for _, c in columns]:
-                first = next(p for p, c in columns if c == term[1:])
-                df = df.where(F.col(place) == F.col(first))
-            else:
-                columns.append((place, term[1:]))
-        return df.select(*[F.col(p).alias(c) for p, c in columns])
-
-    def restricted(df: DataFrame) -> DataFrame:
-        for v in [v for v in values if v in df.columns]:
-            ids = values.pop(v)
-            df = df.join(ids.select(F.col(ids.columns[0]).alias(v)).distinct(), v, "left_semi")
-        return df
-
-    while left:
-        known = set(out.columns) if out is not None else set()
-        best = max(left, key=lambda p: (bool(known & {t[1:] for t in p}) or out is None, sum(t[1:] in values for t in p if t[0] == "?")))
-        left.remove(best)
-        part = restricted(scan(best))
-        if out is None:
-            out = part
-        else:
-            shared = [c for c in part.columns if c in known]
-            if not shared:
-                raise ValueError(f"{best} shares no variable with the patterns before it")
-            out = out.join(part, shared)
-    out = out.select(*select)
-    if distinct:
-        out = out.distinct()
-    return limit_rows(out, limit) if limit else out
+__all__ = ["bgp"]
 
 
 def having(df: DataFrame, probe: DataFrame, key: str) -> DataFrame:

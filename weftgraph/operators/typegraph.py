@@ -76,14 +76,17 @@ def shortest_paths(transitions: DataFrame, src: str, targets: DataFrame, max_hop
     return found.join(targets.select(F.col(targets.columns[0]).alias("dst_type")).distinct(), "dst_type", "left_semi").select("dst_type", "hops", "types", "links")
 
 
-def paths(transitions: DataFrame, src: str, max_depth: int = 4) -> DataFrame:
-    """(dst_type, links): every operation path from a type that enters no type twice, up to a depth."""
+def paths(transitions: DataFrame, src: str, max_depth: int | None = None) -> DataFrame:
+    """(dst_type, links): every operation path from a type that enters no type twice; it ends where no path goes on, or at max_depth, if given.  Levels are written tables."""
+    home = scratch(transitions.sparkSession)
     used = transitions.select("src_type", F.col("dst_type").alias("next"), "link").distinct()
     frontier = used.where((F.col("src_type") == src) & (F.col("next") != src)).select(F.col("next").alias("dst_type"), F.array(F.lit(src), "next").alias("types"), F.array("link").alias("links"))
-    out = frontier
-    for _ in range(max_depth - 1):
+    out = frontier = written(frontier, f"{home}/1")
+    for depth in count(2) if max_depth is None else range(2, max_depth + 1):
         more = frontier.join(used, frontier["dst_type"] == used["src_type"]).where(~F.array_contains("types", F.col("next")))
-        frontier = more.select(F.col("next").alias("dst_type"), F.array_append("types", F.col("next")).alias("types"), F.array_append("links", F.col("link")).alias("links"))
+        frontier = written(more.select(F.col("next").alias("dst_type"), F.array_append("types", F.col("next")).alias("types"), F.array_append("links", F.col("link")).alias("links")), f"{home}/{depth}")
+        if frontier.isEmpty():
+            break
         out = out.unionByName(frontier)
     return out.select("dst_type", "links")
 
@@ -137,6 +140,31 @@ def execute_program(program: DataFrame, frontier: DataFrame, edges: DataFrame, c
     return out
 
 
+def execute_programs(programs: dict[str, tuple[DataFrame, DataFrame]], edges: DataFrame, checked: bool = True) -> DataFrame:
+    """(program, level, source_id, predicate, target_id[, type_ok]): execute_program's edges for several programs, each with its frontier (id), by name.
+
+    Programs of one frontier (the same DataFrame) that begin with the same levels execute those once: the levels form a
+    tree, each of whose branches is one join of what its parent has reached with the edges of its steps.
+    """
+    home, out = scratch(edges.sparkSession), None
+    levels = {name: [tuple(step) for _, step in level_steps(program)] for name, (program, _) in programs.items()}
+    done: dict[tuple, DataFrame] = {}
+    for name, (_, frontier) in programs.items():
+        now, steps = frontier.select("id").distinct(), levels[name]
+        for level, step in enumerate(steps):
+            key = (id(frontier), *steps[: level + 1])
+            if key not in done:
+                reached = now.join(edges.where(F.col("p").isin(sorted({p for _, p in step}))), F.col("id") == F.col("s")).where(allowed(F.col("id"), list(step)))
+                done[key] = written(reached.select(F.col("id").alias("source_id"), F.col("p").alias("predicate"), F.col("o").alias("target_id")).distinct(), f"{home}/{len(done)}")
+            rows = done[key].select(F.lit(name).alias("program"), F.lit(level).alias("level"), "source_id", "predicate", "target_id")
+            if checked:
+                after = sorted({kind for kind, _ in steps[level + 1]}) if level + 1 < len(steps) else None
+                rows = rows.withColumn("type_ok", F.coalesce(curie_prefix(F.col("target_id")).isin(after), F.lit(False)) if after else F.lit(True))
+            out = rows if out is None else out.unionByName(rows)
+            now = done[key].select(F.col("target_id").alias("id")).distinct()
+    return out
+
+
 class Registry:
     """Named operations: each maps a table of nodes (id) to edges (source_id, predicate, target_id)."""
 

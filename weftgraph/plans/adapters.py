@@ -11,12 +11,15 @@ from weftgraph.sources.tables import curie, table
 def chem_quads(spark: SparkSession, d: str) -> DataFrame:
     """Line items as chemical-gene interactions, customers as diseases, parts as compounds and drugs, suppliers as genes, nations as pathways."""
     li, orders, part, supp, nation, customer = (table(spark, d, x) for x in ("lineitem", "orders", "part", "supplier", "nation", "customer"))
-    # only what lines say can be said twice
+    # a line says its own interaction once; what several lines say of one pair is said twice
     ixn = F.concat_ws(".", F.lit("IXN:"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     rows = [
-        li.select(ixn, F.lit("ctd:cid"), curie("CHEM", "l_partkey")).distinct(),
-        li.select(ixn, F.lit("ctd:gene"), curie("GENE", "l_suppkey")).distinct(),
-        li.select(ixn, F.lit("ctd:types"), F.concat_ws("|", "l_returnflag", "l_linestatus")).distinct(),
+        li.select(ixn, F.lit("ctd:cid"), curie("CHEM", "l_partkey")),
+        li.select(ixn, F.lit("ctd:gene"), curie("GENE", "l_suppkey")),
+        li.select(ixn, F.lit("ctd:types"), F.concat_ws("|", "l_returnflag", "l_linestatus")),
+        li.select(ixn, F.lit("ctd:chemicalid"), curie("MESH", "l_partkey")),
+        li.select(ixn, F.lit("ctd:interaction"), F.concat(F.lit("affects in "), F.col("l_linenumber").cast("string"))),
+        li.select(ixn, F.lit("ctd:pubmedids"), F.concat_ws("|", F.concat(F.lit("Y"), F.year("l_shipdate")), F.concat(F.lit("F"), "l_linestatus"))),
         orders.select(curie("DA", "o_orderkey"), F.lit("ctd:disease"), curie("DIS", "o_custkey")),
         li.select(curie("DA", "l_orderkey"), F.lit("ctd:cid"), curie("CHEM", "l_partkey")).distinct(),
         orders.select(curie("DA", "o_orderkey"), F.lit("ctd:pmids"), F.concat_ws("|", "o_orderstatus", "o_orderpriority")),
@@ -36,6 +39,47 @@ def chem_quads(spark: SparkSession, d: str) -> DataFrame:
     return out.toDF("s", "p", "o").select(F.lit("chem").alias("g"), "s", "p", "o")
 
 
+def gene_quads(spark: SparkSession, d: str) -> DataFrame:
+    """chem_quads with gene records: suppliers, and customers as genes that no chemical is known to act on.
+
+    A drug target's record has a GeneBank id if a line of its pair was returned.
+    """
+    supp, nation, customer, part, li = (table(spark, d, x) for x in ("supplier", "nation", "customer", "part", "lineitem"))
+    genes = supp.select(F.col("s_suppkey").cast("string").alias("k"), F.col("s_nationkey").alias("n")).union(customer.select(F.concat(F.lit("C"), F.col("c_custkey")), "c_nationkey"))
+    pairs = li.groupBy("l_partkey", "l_suppkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("banked"))
+    targets = pairs.select(F.concat_ws(".", F.lit("DBI:"), "l_partkey", "l_suppkey").alias("t"), F.col("l_suppkey").cast("string").alias("k"), "banked").union(customer.select(F.concat(F.lit("DBI:C"), F.col("c_custkey")), F.concat(F.lit("C"), F.col("c_custkey")), F.lit(False)))
+    rows = [
+        genes.select(curie("PG", "k").alias("s"), F.lit("pharmgkb:Symbol").alias("p"), curie("GENE", "k").alias("o")),
+        genes.select(curie("PG", "k"), F.lit("pharmgkb:UniProt_Id"), curie("UNI", "k")),
+        genes.select(curie("PATH", "n"), F.lit("kegg:protein"), curie("UNI", "k")),
+        part.select(curie("KI", "p_partkey"), F.lit("kegg:cid"), curie("CHEM", "p_partkey")),
+        targets.select("t", F.lit("drugbank:gene"), curie("GENE", "k")),
+        targets.select("t", F.lit("drugbank:SwissProt_ID"), curie("UNI", "k")),
+        targets.where("banked").select("t", F.lit("drugbank:GeneBank_ID"), F.concat(F.lit("GB:"), "k")),
+    ]
+    out = chem_quads(spark, d)
+    for x in rows:
+        out = out.unionByName(x.toDF("s", "p", "o").withColumn("g", F.lit("gene")))
+    return out
+
+
+def outcome_quads(spark: SparkSession, d: str) -> DataFrame:
+    """chem_quads both ways, with names of diseases and drugs as nodes and the nations' conditions of diseases."""
+    customer, nation, part = (table(spark, d, x) for x in ("customer", "nation", "part"))
+    rows = [
+        customer.select(curie("NAME.DISEASE", "c_name").alias("s"), F.lit("names").alias("p"), curie("DIS", "c_custkey").alias("o")),
+        part.select(curie("NAME.DRUG", "p_name"), F.lit("names"), curie("DRUG", "p_partkey")),
+        customer.select(curie("DIS", "c_custkey"), F.lit("xref"), curie("DOID", "c_nationkey")),
+        nation.select(curie("DOID", "n_nationkey"), F.lit("is_condition"), curie("ORPHANET", "n_regionkey")),
+    ]
+    known = chem_quads(spark, d).where(F.col("p").isin("ctd:disease", "ctd:cid", "ctd:gene", "drugbank:target", "pharmgkb:uniprot", "kegg:path"))
+    back = known.where(F.col("p").isin("ctd:disease", "ctd:cid")).select("g", F.col("o").alias("s"), F.concat(F.lit("inv_"), "p").alias("p"), F.col("s").alias("o"))
+    out = known.unionByName(back)
+    for x in rows:
+        out = out.unionByName(x.toDF("s", "p", "o").withColumn("g", F.lit("outcome")))
+    return out
+
+
 def concepts(spark: SparkSession, d: str) -> DataFrame:
     """(name, aliases): parts of one name and their identifiers in two vocabularies."""
     rows = table(spark, d, "part").select(F.col("p_name").alias("name"), F.explode(F.array(curie("PART", "p_partkey"), F.concat(F.lit("DOID:"), F.col("p_size")))).alias("a"))

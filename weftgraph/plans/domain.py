@@ -13,6 +13,7 @@ from weftgraph.functions.curie import curie_prefix, path_last, rewrite_prefix, s
 from weftgraph.operators.filters import limit_each, pick, pmids
 from weftgraph.operators.ontology import closure, having_ancestor, property_path
 from weftgraph.operators.patterns import bgp, containing, lookup_fallback, neighbors
+from weftgraph.operators.typegraph import compile_program, execute_programs, shortest_paths, transitions_of
 
 #: Patterns of chemical, gene, pathway and disease records, put together by the questions below.
 IXN = [("?ixn", "ctd:cid", "?compound"), ("?ixn", "ctd:gene", "?gene")]
@@ -50,8 +51,8 @@ def genes_pathways_by_disease(quads: DataFrame, diseases: DataFrame, limit: int
 
 def genes_by_disease_graph(quads: DataFrame, diseases: DataFrame, limit: int | None = None) -> DataFrame:
     """genes_pathways_by_disease as edges to UNIPROT genes; limit: edges of each disease."""
-    rows = genes_pathways_by_disease(quads, diseases)
-    out = rows.select(F.col("disease").alias("source_id"), F.concat(F.lit("UNIPROT:"), un_curie(F.col("gene"))).alias("target_id"), F.col("path").alias("kegg_path")).distinct()
+    rows = bgp(quads, DISEASE + DRUG[:1] + [("?drug", "drugbank:target", "?gene")] + PATHWAY[:2], ["disease", "gene", "path"], {"disease": diseases}, distinct=True)
+    out = rows.select(F.col("disease").alias("source_id"), F.concat(F.lit("UNIPROT:"), un_curie(F.col("gene"))).alias("target_id"), F.col("path").alias("kegg_path"))
     return limit_each(out, "source_id", limit) if limit else out
 
 
@@ -67,15 +68,17 @@ def drug_gene_disease(quads: DataFrame, drugs: DataFrame, diseases: DataFrame) -
 
 
 def compound_genes(quads: DataFrame, compounds: DataFrame) -> DataFrame:
-    """Compounds to genes with the interaction's types as an array."""
-    out = bgp(quads, IXN + [("?ixn", "ctd:types", "?types")], ["compound", "gene", "types"], {"compound": compounds}, distinct=True)
-    return out.withColumn("types", split_multi(F.col("types")))
+    """Compounds to genes with the interaction, the chemical's MeSH id, and types and publications as arrays."""
+    evidence = [("?ixn", "ctd:chemicalid", "?mesh"), ("?ixn", "ctd:interaction", "?interaction"), ("?ixn", "ctd:types", "?types"), ("?ixn", "ctd:pubmedids", "?pmids")]
+    out = bgp(quads, IXN + evidence, ["compound", "gene", "mesh", "interaction", "types", "pmids"], {"compound": compounds}, distinct=True)
+    return out.withColumns({c: split_multi(F.col(c)) for c in ("types", "pmids")})
 
 
 def drug_name_to_gene(quads: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, drug, drug_name, gene): the names' drugs, to genes."""
+    """(name, drug, drug_name, gene, pmids): the names' drugs, to genes, with the publications of the interaction."""
     found = named(quads, "drugbank:name", names).withColumnsRenamed({"id": "drug", "label": "drug_name"})
-    return found.join(bgp(quads, DRUG[:1] + IXN, ["drug", "gene"], {"drug": found.select("drug")}, distinct=True), "drug").select("name", "drug", "drug_name", "gene").distinct()
+    genes = bgp(quads, [*DRUG[:1], *IXN, ("?ixn", "ctd:pubmedids", "?pmids")], ["drug", "gene", "pmids"], {"drug": found.select("drug")}, distinct=True)
+    return found.join(genes, "drug").select("name", "drug", "drug_name", "gene", "pmids").distinct()
 
 
 def drug_name_to_compound(quads: DataFrame, names: DataFrame) -> DataFrame:
@@ -95,8 +98,20 @@ def drug_name_to_provider_id(ligands: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def pathways_by_gene(quads: DataFrame, genes: DataFrame, limit: int | None = None) -> DataFrame:
-    """Genes to pathways; limit: rows of each gene."""
-    out = bgp(quads, PATHWAY, ["gene", "path", "path_name"], {"gene": genes}, distinct=True)
+    """Genes to pathways over the protein that both name; limit: rows of each gene.
+
+    A gene counts if a drug target's record of it has a GeneBank id; and only if any compound has a pathway interaction, a drug with a name and a disease.
+    """
+    tests = [("?target", "drugbank:GeneBank_ID", "?bank"), ("?inter", "kegg:cid", "?compound"), *DRUG, *DISEASE]
+    target = [("?target", "drugbank:gene", "?gene"), ("?target", "drugbank:SwissProt_ID", "?protein")]
+    out = bgp(quads, [("?path", "kegg:protein", "?protein"), PATHWAY[2], *target, *tests], ["gene", "path", "path_name"], {"gene": genes}, distinct=True)
+    return limit_each(out, "gene", limit) if limit else out
+
+
+def pathways_by_symbol(quads: DataFrame, symbols: DataFrame, limit: int | None = None) -> DataFrame:
+    """(gene, protein, path, path_name): gene symbols that a chemical interaction names, over their records to pathways; limit: rows of each gene."""
+    record = [("?record", "pharmgkb:Symbol", "?gene"), ("?record", "pharmgkb:UniProt_Id", "?protein")]
+    out = bgp(quads, [("?path", "kegg:protein", "?protein"), PATHWAY[2], *record, ("?ixn", "ctd:gene", "?gene")], ["gene", "protein", "path", "path_name"], {"gene": symbols}, distinct=True)
     return limit_each(out, "gene", limit) if limit else out
 
 
@@ -117,10 +132,17 @@ def disease_to_gene(quads: DataFrame, diseases: DataFrame) -> DataFrame:
 
 
 def disease_name_to_gene(quads: DataFrame, names: DataFrame, limit: int | None = None) -> DataFrame:
-    """(name, disease, gene): the names' diseases, to genes; diseases without an association are left out first; limit: rows of each name."""
+    """(name, disease, gene, pmids): the names' diseases, to genes; diseases without an association are left out first; limit: rows of each name.
+
+    pmids: the publications of all associations and interactions that lead from the one to the other, sorted and joined by a pipe.
+    """
     found = named(quads, "label", names).select("name", F.col("id").alias("disease"))
     known = found.join(quads.where("p = 'ctd:disease'").select(F.col("o").alias("disease")), "disease", "left_semi")
-    out = known.join(disease_to_gene(quads, known.select("disease")), "disease").select("name", "disease", "gene").distinct()
+    evidence = [("?assoc", "ctd:pmids", "?own"), ("?ixn", "ctd:pubmedids", "?other")]
+    ways = bgp(quads, DISEASE + IXN + evidence, ["disease", "gene", "own", "other"], {"disease": known.select("disease")}, distinct=True)
+    ids = F.explode(F.concat(split_multi(F.col("own")), split_multi(F.col("other")))).alias("id")
+    genes = ways.select("disease", "gene", ids).groupBy("disease", "gene").agg(F.array_join(F.array_sort(F.collect_set("id")), "|").alias("pmids"))
+    out = known.join(genes, "disease").select("name", "disease", "gene", "pmids").distinct()
     return limit_each(out, "name", limit) if limit else out
 
 
@@ -150,9 +172,10 @@ def parts_of(quads: DataFrame, up: DataFrame, predicate: str, root: DataFrame) -
     return having_ancestor(edges, up, root, "part").join(labels, "part").select("id", "part", "label").distinct()
 
 
-def superclass_targets(quads: DataFrame, is_a: DataFrame, predicate: str) -> DataFrame:
-    """(id, target, label): terms, by any of their superclasses or themselves, to a predicate's objects and their labels."""
-    edges = quads.where(F.col("p") == predicate).select(F.col("s").alias("source_id"), F.col("o").alias("target_id"))
+def superclass_targets(quads: DataFrame, is_a: DataFrame, predicate: str, graph: str | None = None) -> DataFrame:
+    """(id, target, label): terms, by any of their superclasses or themselves, to a predicate's objects (in one named graph, if given) and their labels."""
+    given = quads if graph is None else quads.where(F.col("g") == graph)
+    edges = given.where(F.col("p") == predicate).select(F.col("s").alias("source_id"), F.col("o").alias("target_id"))
     labels = quads.where("p = 'label'").select(F.col("s").alias("target"), F.col("o").alias("label"))
     return property_path(closure(is_a, reflexive=True), edges).join(labels, "target").select("id", "target", "label")
 
@@ -245,9 +268,9 @@ def annotation_cells(annotations: DataFrame, db: str, taxon: str) -> DataFrame:
     return rows.where(F.col("x.db") == db).select("id", F.concat_ws(":", "x.db", "x.id").alias("target_id")).distinct()
 
 
-def phenotype_to_anatomy(quads: DataFrame, is_a: DataFrame, predicate: str, part_predicate: str, root: DataFrame) -> DataFrame:
-    """(id, target, label): superclass_targets and, besides, those targets' parts below the root."""
-    own = superclass_targets(quads, is_a, predicate)
+def phenotype_to_anatomy(quads: DataFrame, is_a: DataFrame, predicate: str, part_predicate: str, root: DataFrame, graph: str | None = None) -> DataFrame:
+    """(id, target, label): superclass_targets, the predicate being that of one named graph if one is given, and, besides, those targets' parts below the root."""
+    own = superclass_targets(quads, is_a, predicate, graph)
     parts = parts_of(quads, closure(is_a), part_predicate, root).select(F.col("id").alias("target"), F.col("part"), F.col("label").alias("part_label"))
     return own.unionByName(own.select("id", "target").join(parts, "target").select("id", F.col("part").alias("target"), F.col("part_label").alias("label"))).distinct()
 
@@ -263,13 +286,13 @@ def split_ids(rows: DataFrame, column: str) -> DataFrame:
     return rows.select("key", F.explode(split_multi(F.col(column), ",")).alias("id")).select("key", F.upper("id").alias("id")).distinct()
 
 
-def clinical_outcome_pathway(quads: DataFrame, drugs: DataFrame, diseases: DataFrame, conditions: DataFrame | None = None) -> DataFrame:
-    """(source_id, predicate, target_id): diseases to genes, drugs to genes, genes to pathways and, if conditions (id, target_id) are given, diseases to genetic conditions, as one table of edges."""
-    edges = lambda df, s, p, o: df.select(F.col(s).alias("source_id"), F.lit(p).alias("predicate"), F.col(o).alias("target_id"))
-    a = edges(disease_to_gene(quads, diseases), "disease", "disease_gene", "gene")
-    b = edges(drug_to_gene(quads, drugs), "drug", "drug_gene", "gene")
-    c = edges(pathways_by_gene(quads, a.unionByName(b).select("target_id").distinct()), "gene", "gene_pathway", "path")
-    out = a.unionByName(b).unionByName(c)
-    if conditions is not None:
-        out = out.unionByName(edges(conditions.join(diseases.select("id").distinct(), "id", "left_semi"), "id", "disease_genetic_condition", "target_id"))
-    return out.distinct()
+def clinical_outcome_pathway(quads: DataFrame, drugs: DataFrame, diseases: DataFrame, moves: DataFrame | None = None) -> DataFrame:
+    """(program, level, source_id, predicate, target_id, type_ok): by all shortest ways of the type graph, disease names to genetic conditions and to genes, and drug names to pathways.
+
+    drugs and diseases (id) are NAME.DRUG and NAME.DISEASE nodes.  The programs are compiled from the
+    graph's own transitions (moves; default: of the quads); levels that two programs have in common are executed once.
+    """
+    moves = transitions_of(quads) if moves is None else moves
+    asked = [("disease_condition", "NAME.DISEASE", "ORPHANET", diseases), ("disease_gene", "NAME.DISEASE", "GENE", diseases), ("drug_pathway", "NAME.DRUG", "PATH", drugs)]
+    programs = {name: (compile_program(shortest_paths(moves, src, moves.where(F.col("dst_type") == dst).select("dst_type"))), things) for name, src, dst, things in asked}
+    return execute_programs(programs, quads)

@@ -42,7 +42,7 @@ CLOSURE = f"""WITH RECURSIVE {IS_A}, up AS (
   UNION SELECT up.id, is_a.parent, up.depth + 1 FROM up JOIN is_a ON up.ancestor = is_a.child)"""
 MAPPINGS = """m AS (SELECT DISTINCT 'PART:' || l_partkey AS a, 'SUPP:' || l_suppkey AS b, l_returnflag AS f FROM lineitem),
  e AS (SELECT a, b, f FROM m UNION SELECT b, a, f FROM m)"""
-IXN = """ixn AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS l, l_partkey AS p, l_suppkey AS s FROM lineitem),
+IXN = """ixn AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS l, l_partkey AS p, l_suppkey AS s, 'Y' || year(l_shipdate) || '|F' || l_linestatus AS other FROM lineitem),
  typed AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s, l_returnflag || '|' || l_linestatus AS types FROM lineitem),
  assoc AS (SELECT DISTINCT o_orderkey AS o, o_custkey AS c, l_partkey AS p, o_orderstatus || '|' || o_orderpriority AS pmids FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
  target AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),
@@ -366,12 +366,12 @@ def q_drug_gene_disease(spark, d):
     return domain.drug_gene_disease(chem(spark, d), names_of(spark, d, "part", "p_name"), names_of(spark, d, "customer", "c_name"))
 
 
-@query(f"WITH {IXN} SELECT DISTINCT 'CHEM:' || p AS compound, 'GENE:' || s AS gene, replace(types, '|', ';') AS types FROM typed")
+@query("SELECT DISTINCT 'CHEM:' || l_partkey AS compound, 'GENE:' || l_suppkey AS gene, 'MESH:' || l_partkey AS mesh, 'affects in ' || l_linenumber AS interaction, l_returnflag || ';' || l_linestatus AS types, 'Y' || year(l_shipdate) || ';F' || l_linestatus AS pmids FROM lineitem")
 def q_compound_genes(spark, d):
-    return domain.compound_genes(chem(spark, d), ids(spark, d, "part", "CHEM", "p_partkey")).withColumn("types", F.array_join("types", ";"))
+    return domain.compound_genes(chem(spark, d), ids(spark, d, "part", "CHEM", "p_partkey")).withColumns({c: F.array_join(c, ";") for c in ("types", "pmids")})
 
 
-@query(f"WITH {IXN} SELECT DISTINCT name, 'DRUG:' || p AS drug, p_name AS drug_name, 'GENE:' || s AS gene FROM ixn JOIN part ON p = p_partkey JOIN (SELECT DISTINCT p_name AS name FROM part) ON contains(lower(p_name), lower(name))")
+@query(f"WITH {IXN} SELECT DISTINCT name, 'DRUG:' || p AS drug, p_name AS drug_name, 'GENE:' || s AS gene, other AS pmids FROM ixn JOIN part ON p = p_partkey JOIN (SELECT DISTINCT p_name AS name FROM part) ON contains(lower(p_name), lower(name))")
 def q_drug_name_to_gene(spark, d):
     return domain.drug_name_to_gene(chem(spark, d), names_of(spark, d, "part", "p_name"))
 
@@ -396,14 +396,21 @@ def q_drug_name_to_provider_id(spark, d):
     return domain.drug_name_to_provider_id(ligands, nation.select(F.col("n_name").alias("name")))
 
 
-@query(f"WITH {IXN} SELECT DISTINCT 'GENE:' || s AS gene, 'PATH:' || n AS path, path_name FROM pathway")
+def every_gene(spark, d):
+    """Suppliers, and customers, which no chemical interaction names."""
+    return ids(spark, d, "supplier", "GENE", "s_suppkey").union(ids(spark, d, "customer", "GENE:C", "c_custkey").select(F.replace("id", F.lit("GENE:C:"), F.lit("GENE:C"))))
+
+
+@query(f"WITH {IXN} SELECT DISTINCT 'GENE:' || s AS gene, 'PATH:' || n AS path, path_name FROM pathway WHERE s IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R') AND EXISTS (SELECT 1 FROM assoc JOIN part ON p = p_partkey)")
 def q_pathways_by_gene(spark, d):
-    return domain.pathways_by_gene(chem(spark, d), ids(spark, d, "supplier", "GENE", "s_suppkey"), None)
+    """Genes whose drug target has a GeneBank id: the customers' have none."""
+    return domain.pathways_by_gene(adapters.gene_quads(spark, d), every_gene(spark, d))
 
 
-@query(f"WITH {IXN} SELECT DISTINCT 'GENE:' || s AS gene, 'PATH:' || n AS path, path_name FROM pathway")
+@query(f"WITH {IXN} SELECT DISTINCT 'GENE:' || s AS gene, 'UNI:' || s AS protein, 'PATH:' || n AS path, path_name FROM pathway WHERE s IN (SELECT s FROM ixn)")
 def q_gene_to_pathway_by_symbol(spark, d):
-    return domain.pathways_by_gene(chem(spark, d), ids(spark, d, "supplier", "GENE", "s_suppkey"))
+    """Gene symbols that an interaction names: no customer's."""
+    return domain.pathways_by_symbol(adapters.gene_quads(spark, d), every_gene(spark, d))
 
 
 @query("SELECT 'UNI:' || s_suppkey AS source_id, 'HGNC:' || s_suppkey AS target_id FROM supplier")
@@ -421,12 +428,16 @@ def q_disease_to_gene(spark, d):
     return domain.disease_to_gene(chem(spark, d), ids(spark, d, "customer", "DIS", "c_custkey"))
 
 
-@query(f"WITH {IXN} SELECT DISTINCT c_name AS name, 'DIS:' || c AS disease, 'GENE:' || ixn.s AS gene FROM assoc JOIN ixn USING (p) JOIN customer ON c = c_custkey")
+DISEASE_GENES = f"""WITH {IXN}, a AS (SELECT DISTINCT c, p, pmids FROM assoc), g AS (SELECT DISTINCT p, s, other FROM ixn), w AS (SELECT DISTINCT c, s, pmids, other FROM a JOIN g USING (p)),
+ e AS (SELECT DISTINCT c, s, unnest(string_split(pmids || '|' || other, '|')) AS id FROM w), t AS (SELECT c, s, string_agg(id, '|' ORDER BY id) AS pmids FROM e GROUP BY ALL)"""
+
+
+@query(f"{DISEASE_GENES} SELECT c_name AS name, 'DIS:' || c AS disease, 'GENE:' || s AS gene, pmids FROM t JOIN customer ON c = c_custkey")
 def q_disease_name_to_gene(spark, d):
     return domain.disease_name_to_gene(chem(spark, d), names_of(spark, d, "customer", "c_name"))
 
 
-@query(f"WITH {IXN} SELECT DISTINCT 'Customer' AS name, 'DIS:' || c AS disease, 'GENE:' || ixn.s AS gene FROM assoc JOIN ixn USING (p) JOIN customer ON c = c_custkey")
+@query(f"{DISEASE_GENES} SELECT 'Customer' AS name, 'DIS:' || c AS disease, 'GENE:' || s AS gene, pmids FROM t")
 def q_disease_name_to_gene_all(spark, d):
     """One name that every label contains."""
     return domain.disease_name_to_gene(chem(spark, d), names_of(spark, d, "customer", "c_name").select(F.substring_index("name", "#", 1).alias("name")))
@@ -604,11 +615,14 @@ def q_mesh_to_phenotype(spark, d):
     return patterns.lookup(asked, xrefs, "key").select("id", "target_id")
 
 
-@query("SELECT 'ORD:' || o_orderkey AS id, 'NAT:' || c_nationkey AS target, n_name AS label FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'CUST:' || c_custkey, 'NAT:' || c_nationkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+@query("""WITH own AS (SELECT 'ORD:' || o_orderkey AS id, c_nationkey AS n FROM orders JOIN customer ON o_custkey = c_custkey UNION SELECT 'CUST:' || c_custkey, c_nationkey FROM customer)
+SELECT id, 'NAT:' || n AS target, n_name AS label FROM own JOIN nation ON n = n_nationkey UNION SELECT id, 'REG:' || n_regionkey, r_name FROM own JOIN nation ON n = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def q_phenotype_to_anatomy(spark, d):
+    """Orders under customers; nations have their regions as parts; what another graph says of customers does not count."""
     below = T(spark, d, "orders").select(t.curie("ORD", "o_orderkey").alias("child"), t.curie("CUST", "o_custkey").alias("parent"))
-    q, root = t.quads(spark, d), spark.range(1).select(F.lit("ROOT:PART").alias("id"))
-    return domain.phenotype_to_anatomy(q, below, "has_nation", "in_region", root)
+    q, root = t.quads(spark, d), spark.range(1).select(F.lit("ROOT:PLACE").alias("id"))
+    other = q.where("p = 'has_nation'").select(F.lit("redundant").alias("g"), "s", "p", F.lit("NAT:0").alias("o"))
+    return domain.phenotype_to_anatomy(q.unionByName(other), below.union(t.is_a(spark, d)), "has_nation", "in_region", root, "customer")
 
 
 def place_edges(spark, d):
@@ -745,9 +759,9 @@ def shortest_paths_all(spark, d):
 
 
 @query(f"""WITH RECURSIVE {MOVES}, p AS (SELECT b AS dst, 1 AS hops, l AS links FROM moves WHERE a = 'ORD'
- UNION ALL SELECT b, hops + 1, links || '>' || l FROM p JOIN moves ON dst = a WHERE hops < 4) SELECT dst AS dst_type, links FROM p""")
+ UNION ALL SELECT b, hops + 1, links || '>' || l FROM p JOIN moves ON dst = a WHERE hops < 100) SELECT dst AS dst_type, links FROM p""")
 def path_enumerate(spark, d):
-    out = typegraph.paths(typegraph.transitions_of(t.quads(spark, d)), "ORD", 4)
+    out = typegraph.paths(typegraph.transitions_of(t.quads(spark, d)), "ORD")
     return out.select("dst_type", F.array_join("links", ">").alias("links"))
 
 
@@ -787,12 +801,24 @@ def type_check_targets(spark, d):
     return typegraph.execute_program(program, ids(spark, d, "orders", "ORD", "o_orderkey"), t.quads(spark, d))
 
 
-@query(f"""WITH {IXN}, a AS (SELECT DISTINCT 'DIS:' || c AS source_id, 'disease_gene' AS predicate, 'GENE:' || ixn.s AS target_id FROM assoc JOIN ixn USING (p)),
- b AS (SELECT DISTINCT 'DRUG:' || p, 'drug_gene', 'GENE:' || s FROM ixn JOIN part ON p = p_partkey)
-SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT DISTINCT 'GENE:' || s, 'gene_pathway', 'PATH:' || n FROM pathway WHERE s IN (SELECT s FROM ixn) UNION ALL SELECT 'DIS:' || c_custkey, 'disease_genetic_condition', 'ORPHANET:' || c_nationkey FROM customer""")
+@query("""WITH da AS (SELECT 'DA:' || o_orderkey AS da, 'DIS:' || o_custkey AS dis FROM orders), dc AS (SELECT DISTINCT 'DA:' || l_orderkey AS da, 'CHEM:' || l_partkey AS chem FROM lineitem),
+ xc AS (SELECT 'IXN:.' || l_orderkey || '.' || l_linenumber || '.' || l_partkey || '.' || l_suppkey AS ixn, 'CHEM:' || l_partkey AS chem, 'GENE:' || l_suppkey AS gene FROM lineitem),
+ n AS (SELECT 'NAME.DISEASE:' || c_name AS source_id, 'names' AS predicate, 'DIS:' || c_custkey AS target_id FROM customer), chems AS (SELECT DISTINCT chem FROM dc JOIN da USING (da)),
+ r AS (SELECT 'disease_condition' AS program, 0 AS level, * FROM n
+ UNION SELECT 'disease_condition', 1, 'DIS:' || c_custkey, 'xref', 'DOID:' || c_nationkey FROM customer UNION SELECT 'disease_condition', 2, 'DOID:' || n_nationkey, 'is_condition', 'ORPHANET:' || n_regionkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)
+ UNION SELECT 'disease_gene', 0, * FROM n UNION SELECT 'disease_gene', 1, dis, 'inv_ctd:disease', da FROM da WHERE dis IN (SELECT target_id FROM n)
+ UNION SELECT 'disease_gene', 2, da, 'ctd:cid', chem FROM dc JOIN da USING (da)
+ UNION SELECT 'disease_gene', 3, chem, 'inv_ctd:cid', ixn FROM xc WHERE chem IN (SELECT chem FROM chems) UNION SELECT 'disease_gene', 3, chem, 'inv_ctd:cid', da FROM dc WHERE chem IN (SELECT chem FROM chems)
+ UNION SELECT 'disease_gene', 4, ixn, 'ctd:gene', gene FROM xc WHERE chem IN (SELECT chem FROM chems)
+ UNION SELECT 'drug_pathway', 0, 'NAME.DRUG:' || p_name, 'names', 'DRUG:' || p_partkey FROM part UNION SELECT 'drug_pathway', 1, 'DRUG:' || l_partkey, 'drugbank:target', 'GENE:' || l_suppkey FROM lineitem
+ UNION SELECT 'drug_pathway', 2, 'GENE:' || s_suppkey, 'pharmgkb:uniprot', 'UNI:' || s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)
+ UNION SELECT 'drug_pathway', 3, 'UNI:' || s_suppkey, 'kegg:path', 'PATH:' || s_nationkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem))
+SELECT program, CAST(level AS INTEGER) AS level, source_id, predicate, target_id, NOT (program = 'disease_gene' AND level = 3 AND target_id LIKE 'DA:%') AS type_ok FROM r""")
 def clinical_outcome_pathway(spark, d):
-    conditions = T(spark, d, "customer").select(t.curie("DIS", "c_custkey").alias("id"), t.curie("ORPHANET", "c_nationkey").alias("target_id"))
-    return domain.clinical_outcome_pathway(chem(spark, d), ids(spark, d, "part", "DRUG", "p_partkey"), ids(spark, d, "customer", "DIS", "c_custkey"), conditions)
+    """From all names; the two programs of diseases share their first level."""
+    q = adapters.outcome_quads(spark, d)
+    drugs, diseases = (names_of(spark, d, n, column).select(t.curie(kind, "name").alias("id")) for n, column, kind in (("part", "p_name", "NAME.DRUG"), ("customer", "c_name", "NAME.DISEASE")))
+    return domain.clinical_outcome_pathway(q, drugs, diseases)
 
 
 @query("SELECT DISTINCT prefix AS type, CASE WHEN prefix IN ('NAT', 'REG') THEN 'Place' WHEN prefix IN ('CUST', 'SUPP') THEN 'Party' ELSE 'Thing' END AS concept FROM (VALUES ('CUST'), ('ORD'), ('PART'), ('SUPP'), ('NAT'), ('REG')) v(prefix)")
@@ -1034,11 +1060,13 @@ def iri_conversions(spark, d):
     return out.select("c_custkey", "curie", "compact", "iri", "type_iri")
 
 
-@query("SELECT event_id, 'http://x.org/k' AS key, props->>'$.k' AS value FROM events WHERE props->>'$.k' IS NOT NULL")
+@query("SELECT event_id, '{\"http://x.org/k\":\"' || (props->>'$.k') || '\",\"kind\":\"' || event_type || '\"}' AS record FROM events")
 def expand_context(spark, d):
-    rows = T(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("record"))
+    """Records of two keys, of which the context knows one, put together again."""
+    record = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("kind"), F.col("event_type")))
+    rows = T(spark, d, "events").select("event_id", record.alias("record"))
     context = T(spark, d, "region").select(F.lit("k").alias("term"), F.lit("http://x.org/k").alias("iri")).distinct()
-    return c.expand_keys(rows, context, "record").where("key = 'http://x.org/k'")
+    return c.expand_context(rows, context, "record", ["event_id"]).withColumn("record", F.to_json("record"))
 
 
 @query("SELECT event_id, CASE WHEN props->>'$.k' LIKE '1%' THEN props->>'$.k' END AS value FROM events")
