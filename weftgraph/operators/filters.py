@@ -80,6 +80,51 @@ def within_radius(df: DataFrame, lat: float, lon: float, radius_km: float) -> Da
     return df.where(F.col("lat").between(lat - band, lat + band)).withColumn("distance_km", 2 * 6371.0 * F.asin(F.sqrt(F.least(F.lit(1.0), a)))).where(F.col("distance_km") <= radius_km)
 
 
+EARTH = 6371.0
+
+
+def distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Kilometres between two points, by the haversine formula."""
+    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    return 2 * EARTH * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+
+
+def cells_of_band(band: Column, height: float) -> Column:
+    """How many cells a band of latitude has: about as wide as high at its widest, one at least."""
+    low, high = band * height - 90, (band + 1) * height - 90
+    widest = F.when((low <= 0) & (high >= 0), F.lit(0.0)).otherwise(F.least(F.abs(low), F.abs(high)))
+    return F.greatest(F.lit(1), F.floor(360 / height * F.cos(F.radians(F.least(widest, F.lit(90.0)))))).cast("long")
+
+
+def within_radius_of(points: DataFrame, places: DataFrame) -> DataFrame:
+    """points (lat, lon and others) beside each of the places (place, lat, lon, radius_km) within whose radius they lie, with distance_km.
+
+    The earth is cut into bands of latitude and these into cells, sized by the largest radius; a place
+    goes to the cells that its circle meets, a point to the one that it lies in, and the two meet there.
+    Longitudes wrap round at 180 degrees, and a circle round a pole meets whole bands.  Rows with a
+    null, and negative radii, meet nothing; a place's circle must be smaller than the half of the earth.
+    """
+    radius = places.agg(F.max("radius_km")).first()[0] or 0.0
+    height = min(90.0, max(math.degrees(float(radius) / EARTH), 1e-4) * 1.0000001)
+    band = lambda lat: F.floor((lat + 90) / height).cast("long")
+    place = places.where("radius_km >= 0 and lat is not null and lon is not null").select(F.col("place"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("radius_km").alias("_km"))
+    angle = F.col("_km") / EARTH + 1e-12
+    reach = F.degrees(angle)
+    bands = F.sequence(band(F.greatest(F.col("_lat") - reach, F.lit(-90.0))), band(F.least(F.col("_lat") + reach, F.lit(90.0))))
+    place = place.withColumn("_band", F.explode(bands)).withColumn("_cells", cells_of_band(F.col("_band"), height))
+    polar = F.abs("_lat") + reach >= 90
+    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(angle) / F.cos(F.radians("_lat"))))) + 1e-9
+    cell = lambda lon: F.floor(lon / (360 / F.col("_cells"))).cast("long")
+    first, last = cell(F.col("_lon") - wide), cell(F.col("_lon") + wide)
+    every = F.when(polar | (last - first + 1 >= F.col("_cells")), F.sequence(F.lit(0).cast("long"), F.col("_cells") - 1))
+    some = F.transform(F.sequence(F.least(first, last), last), lambda i: F.pmod(i, F.col("_cells")))
+    place = place.withColumn("_cell", F.explode(F.coalesce(every, some))).drop("_cells")
+    own = points.withColumn("_band", band(F.col("lat"))).withColumn("_cells", cells_of_band(F.col("_band"), height))
+    own = own.withColumn("_cell", F.pmod(cell(F.col("lon")), F.col("_cells"))).drop("_cells")
+    near = own.join(place, ["_band", "_cell"]).withColumn("distance_km", distance(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")))
+    return near.where(F.col("distance_km") <= F.col("_km")).select(*points.columns, "place", "distance_km")
+
+
 def limit_rows(df: DataFrame, n: int) -> DataFrame:
     """The first n rows in the order of all columns."""
     return df.orderBy(*df.columns).limit(n)

@@ -25,6 +25,23 @@ def salted_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner")
     return salted.join(spread, [key, "_salt"], how).drop("_salt")
 
 
+def split_join(rows: DataFrame, facts: DataFrame, key: str, heavy: int = 100_000, size: int = 50_000) -> DataFrame:
+    """rows joined to facts where a key may have many of both: heavy keys, by the measured number of their facts, are split.
+
+    A key of more than `heavy` facts has its facts dealt out over as many salts as give each about
+    `size`, and its rows go to all of those; other keys meet as they are.
+    """
+    counts = facts.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > heavy)
+    parts = written(counts.select(key, F.ceil(F.col("_n") / size).cast("int").alias("_parts")), scratch(facts.sparkSession))
+    if parts.isEmpty():
+        return rows.join(facts, key)
+    # joined the other way round: the few heavy keys are the small side; a key is heavy or light for all of its rows
+    n = lambda df: df.join(parts, key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    dealt = n(facts).withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.col("_parts")).cast("int")).drop("_parts")
+    copied = n(rows).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return copied.join(dealt, [key, "_salt"]).drop("_salt")
+
+
 def connected(edges: DataFrame, path: str | None = None, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b), as (id, component): the least id that each reaches.
 

@@ -46,6 +46,25 @@ def time_buckets(exposures: DataFrame, resolution: str, aggregation: str = "avg"
     return exposures.groupBy("exposure_type", w.alias("w")).agg(f("value").alias("value")).select("exposure_type", F.col("w.start").alias("bucket"), "value")
 
 
+def partials(exposures: DataFrame) -> DataFrame:
+    """(exposure_type, hour, total, n, most): mergeable partial aggregates by hour; also for streams."""
+    w = F.window("ts", RESOLUTIONS["hour"])
+    return exposures.groupBy("exposure_type", w.alias("w")).agg(F.sum("value").alias("total"), F.count("value").alias("n"), F.max("value").alias("most")).select("exposure_type", F.col("w.start").alias("hour"), "total", "n", "most")
+
+
+def rolled_up(hours: DataFrame) -> DataFrame:
+    """(exposure_type, resolution, bucket, avg, max) of all resolutions, from partials: exposures are read once, and what is rolled up are hours.
+
+    Buckets are time_buckets' own, aligned to the epoch; every resolution is a whole number of hours.
+    """
+    length = {name: int(text.split()[0]) * (3600 if "hour" in text else 86_400) for name, text in RESOLUTIONS.items()}
+    at = F.unix_seconds(F.col("hour").cast("timestamp"))
+    starts = [F.struct(F.lit(name).alias("resolution"), F.timestamp_seconds(at - F.pmod(at, F.lit(n))).alias("bucket")) for name, n in length.items()]
+    each = hours.select("exposure_type", "total", "n", "most", F.explode(F.array(*starts)).alias("_b"))
+    out = each.groupBy("exposure_type", "_b.resolution", "_b.bucket").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("most").alias("max"))
+    return out.select("exposure_type", "resolution", "bucket", F.try_divide("total", "n").alias("avg"), "max")
+
+
 def flatten_patients(patients: DataFrame) -> DataFrame:
     """Patients with diag as an array of (diagnosis, date, type), the first visit each, medList as (medication, date), and lat and long."""
     visits = F.transform(F.map_entries("diag"), lambda e: F.struct(e["key"].alias("diagnosis"), F.try_element_at(F.map_entries(e["value"]), F.lit(1))["key"].alias("date"), F.try_element_at(F.map_entries(e["value"]), F.lit(1))["value"].alias("type")))

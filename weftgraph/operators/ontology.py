@@ -7,26 +7,31 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators.joins import connected
+from weftgraph.operators.joins import connected, salted_join, split_join
 from weftgraph.storage import scratch, written
 
 
 def closure(is_a: DataFrame, reflexive: bool = False, max_depth: int | None = None) -> DataFrame:
     """(id, ancestor, depth): all ancestors of every child, by least depth; reflexive: the terms themselves at 0.
 
-    Each round joins the frontier to the edges and keeps pairs not met before, so cycles end; rounds
-    are written tables, until a frontier is empty or max_depth, if given.  A term reached again from itself is not its own ancestor.
+    Paths double: a pair whose least way has more than m and at most 2m steps is a pair of exactly m
+    steps and one of at most m, so that rounds grow with the logarithm of the depth.  Pairs met before
+    are left out, so cycles end.  Rounds are written tables, until one is empty or max_depth, if given, is reached.  A term reached again from itself is not its own ancestor.
     """
     home = scratch(is_a.sparkSession)
     edges = written(is_a.where("child is not null and parent is not null and child != parent").select("child", "parent").distinct(), f"{home}/edges")
-    step = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
-    found = frontier = written(edges.select(F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), f"{home}/1")
-    for depth in count(2) if max_depth is None else range(2, max_depth + 1):
-        more = frontier.join(step, "ancestor").where("id != next").select("id", F.col("next").alias("ancestor")).distinct()
-        frontier = written(more.join(found, ["id", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), f"{home}/{depth}")
-        if frontier.isEmpty():
+    found = last = written(edges.select(F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), f"{home}/1")
+    m = 1
+    while max_depth is None or m < max_depth:
+        step = found.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), (F.col("depth") + m).alias("depth"))
+        more = last.where(F.col("depth") == m).select("id", "ancestor").join(step, "ancestor").where("id != next")
+        least = more.groupBy("id", F.col("next").alias("ancestor")).agg(F.min("depth").alias("depth"))
+        last = written(least.join(found, ["id", "ancestor"], "left_anti"), f"{home}/{2 * m}")
+        if last.isEmpty():
             break
-        found = found.unionByName(frontier)
+        found, m = found.unionByName(last), 2 * m
+    if max_depth is not None:
+        found = found.where(F.col("depth") <= max_depth)
     if reflexive:
         terms = edges.select(F.col("child").alias("id")).union(edges.select("parent")).distinct()
         found = found.unionByName(terms.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")))
@@ -45,6 +50,41 @@ def having_ancestor(df: DataFrame, up: DataFrame, roots: DataFrame, column: str
     return df.join(below, column, "left_semi")
 
 
+def below(is_a: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id): the terms that have any of the roots (id) above them, without a closure.
+
+    Where every child has one parent, each term keeps one pointer, whose length doubles, and whether it has passed a
+    root: rounds grow with the logarithm of the depth, and rows stay those of the terms.  Else
+    levels below the roots are walked, each term once.  Rounds are written tables.
+    """
+    home = scratch(is_a.sparkSession)
+    edges = written(is_a.where("child is not null and parent is not null and child != parent").select("child", "parent").distinct(), f"{home}/edges")
+    top = written(roots.select(F.col(roots.columns[0]).alias("parent")).where("parent is not null").distinct(), f"{home}/roots")
+    if edges.groupBy("child").count().where("count > 1").isEmpty():
+        met = top.withColumn("met", F.lit(True))
+        now = written(edges.join(met, "parent", "left").select(F.col("child").alias("id"), F.col("parent").alias("to"), F.coalesce("met", F.lit(False)).alias("met")), f"{home}/0")
+        terms = now.count()
+        for k in count(1):
+            ahead = now.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("met").alias("_met"))
+            jumped = salted_join(now.where("to is not null and not met"), ahead, "to", "left")
+            moved = jumped.select("id", F.col("_to").alias("to"), F.coalesce("_met", F.lit(False)).alias("met"))
+            now = written(now.where("to is null or met").unionByName(moved), f"{home}/{k}")
+            if 1 << k > terms or now.where("to is not null and not met").isEmpty():  # a pointer of more steps than terms goes round a cycle
+                return now.where("met").select("id")
+    found = frontier = written(edges.join(top, "parent", "left_semi").select(F.col("child").alias("id")).distinct(), f"{home}/0")
+    for k in count(1):
+        more = edges.join(frontier.withColumnRenamed("id", "parent"), "parent", "left_semi").select(F.col("child").alias("id")).distinct()
+        frontier = written(more.join(found, "id", "left_anti"), f"{home}/{k}")
+        if frontier.isEmpty():
+            return found
+        found = found.unionByName(frontier)
+
+
+def having_root(df: DataFrame, is_a: DataFrame, roots: DataFrame, column: str = "id") -> DataFrame:
+    """df's rows whose term has one of the roots (id) above it, by below: no closure is made."""
+    return df.join(below(is_a, roots).withColumnRenamed("id", column), column, "left_semi")
+
+
 def property_path(up: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, target): p* followed by q, up being the reflexive closure of p and edges (source_id, target_id) q."""
     return up.join(edges.select(F.col("source_id").alias("ancestor"), F.col("target_id").alias("target")), "ancestor").select("id", "target").distinct()
@@ -69,7 +109,7 @@ def khop(mappings: DataFrame, distance: int = 2, ids: DataFrame | None = None, u
         last = frontier.select("query_id", "curie")
         if until is not None:
             last = last.join(found.where(F.startswith("curie", F.lit(f"{until}:"))).select("query_id").distinct(), "query_id", "left_anti")
-        more = last.join(step, "curie").where("query_id != next").select("query_id", F.col("next").alias("curie"), "source_prefix")
+        more = split_join(last, step, "curie").where("query_id != next").select("query_id", F.col("next").alias("curie"), "source_prefix")
         frontier = written(grouped(more.join(found, ["query_id", "curie"], "left_anti"), k), f"{home}/{k}")
         found = found.unionByName(frontier)
     return found

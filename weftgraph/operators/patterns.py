@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.bgp import bgp
+from weftgraph.operators.grams import GRAM, runs_of, with_lengths
+from weftgraph.operators.joins import connected, salted_join, split_join
+from weftgraph.storage import scratch, written
 
 __all__ = ["bgp"]
 
@@ -15,10 +18,6 @@ def having(df: DataFrame, probe: DataFrame, key: str) -> DataFrame:
     return df.join(probe.select(key).distinct(), key, "left_semi")
 
 
-#: Letters of the runs by which names and labels meet.
-GRAM = 8
-
-
 def containing(labels: DataFrame, names: DataFrame, gram: int = GRAM) -> DataFrame:
     """(name, id, label): for each of the names (name) the labels (id, label) that contain it, in any case.
 
@@ -27,15 +26,14 @@ def containing(labels: DataFrame, names: DataFrame, gram: int = GRAM) -> DataFra
     meet, so that a label of many ids is compared once.  Null and empty names match nothing; names are
     texts, not patterns.
     """
-    runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)))
     asked = names.select("name").where("length(name) > 0").distinct().withColumn("_name", F.lower("name"))
     asked = asked.withColumn("_n", F.least(F.length("_name"), F.lit(gram)))
     known = labels.where("label is not null").select(F.lower("label").alias("_label")).distinct()
-    lengths = asked.select("_n").distinct()  # at most `gram` rows
-    sized = known.join(F.broadcast(lengths), F.length("_label") >= F.col("_n"))
-    held = sized.select("_label", "_n", F.explode(runs(F.col("_label"), F.col("_n"))).alias("_run"))
+    sized = with_lengths(known, "_label", asked)
+    held = sized.select("_label", "_n", F.explode(runs_of(F.col("_label"), F.col("_n"))).alias("_run"))
+    own = asked.select("name", "_name", "_n", F.explode(runs_of(F.col("_name"), F.col("_n"))).alias("_run"))
+    held = held.join(own.select("_n", "_run").distinct(), ["_n", "_run"], "left_semi")  # runs that no name has go before they are counted
     counts = held.groupBy("_n", "_run").agg(F.count("*").alias("_count"))
-    own = asked.select("name", "_name", "_n", F.explode(runs(F.col("_name"), F.col("_n"))).alias("_run"))
     rarest = own.join(counts, ["_n", "_run"]).groupBy("name", "_name", "_n").agg(F.min_by("_run", F.struct("_count", "_run")).alias("_run"))
     hits = rarest.join(held, ["_n", "_run"]).where(F.contains("_label", F.col("_name"))).select("name", "_label").distinct()
     return labels.withColumn("_label", F.lower("label")).join(hits, "_label").select("name", "id", "label")
@@ -64,7 +62,7 @@ def cooccurring(mentions: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, partner, n): for the given terms, other terms of the same articles and in how many."""
     given = mentions.join(terms.select("term").distinct(), "term")
     others = mentions.select(F.col("term").alias("partner"), "article_id")
-    return given.join(others, "article_id").where("term != partner").groupBy("term", "partner").agg(F.count("*").alias("n"))
+    return split_join(given, others, "article_id").where("term != partner").groupBy("term", "partner").agg(F.count("*").alias("n"))
 
 
 def with_category(pairs: DataFrame, categories: DataFrame, wanted: str) -> DataFrame:
@@ -80,6 +78,33 @@ def same_as_min(synonyms: DataFrame) -> DataFrame:
     return reachable_min(synonyms)
 
 
+def extended(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(moves, added): what new links (a, b) change in stored labels (id, representative), which stay unread but for the links' ends.
+
+    moves: representative and to, of the representatives that links bring together; added: id and
+    representative of ids that had none.  Both grow with the links alone; renamed puts them to use.
+    """
+    home = scratch(links.sparkSession)
+    links = written(links.where("a is not null and b is not null and a != b").select("a", "b").distinct(), f"{home}/links")
+    ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    known = written(ends.join(labels.select("id", "representative"), "id", "left").select("id", F.coalesce("representative", "id").alias("rep"), F.col("representative").isNull().alias("new")), f"{home}/ends")
+    a = known.select(F.col("id").alias("a"), F.col("rep").alias("_a"))
+    b = known.select(F.col("id").alias("b"), F.col("rep").alias("_b"))
+    between = salted_join(salted_join(links, a, "a"), b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    least = written(connected(between, f"{home}/between"), f"{home}/least")
+    moves = least.where("id != component").select(F.col("id").alias("representative"), F.col("component").alias("to"))
+    added = known.where("new").select("id", F.col("rep").alias("component")).join(moves.withColumnRenamed("representative", "component"), "component", "left")
+    return moves, added.select("id", F.coalesce("to", "component").alias("representative"))
+
+
+def renamed(labels: DataFrame, versions: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Stored labels (id, representative) after versions of extended's moves and added ids, in order."""
+    for moves, added in versions:
+        moved = salted_join(labels, moves.where("representative is not null"), "representative", "left")
+        labels = moved.select("id", F.coalesce("to", "representative").alias("representative")).unionByName(added)
+    return labels
+
+
 def merge_synonyms(nodes: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Nodes (id, label) merged over synonym links: representative, synonyms and labels, sorted."""
     named = represented(nodes, synonyms)

@@ -54,26 +54,86 @@ def type_pairs(is_a: DataFrame, a: str, b: str) -> DataFrame:
     return both.select(F.explode("a").alias("type_a"), "b").select("type_a", F.explode("b").alias("type_b"))
 
 
-def shortest_paths(transitions: DataFrame, src: str, targets: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """(dst_type, hops, types, links): all shortest paths from a type to each of the target types, without UNKNOWN links.
+def predecessors(transitions: DataFrame, src: str, max_hops: int | None = None) -> DataFrame:
+    """(node, level, predecessor, link): the graph of all shortest paths from a type, without UNKNOWN links: as many rows as it has links, however many paths they make.
 
-    Levels are breadth-first: types met on an earlier level are not entered again, ties of one level are all kept;
+    Levels are breadth-first written tables: types met on an earlier level are not entered again, ties of one level are all kept;
     it ends where a level is empty, or at max_hops, if given.
     """
     home = scratch(transitions.sparkSession)
-    used = enabled(transitions).select("src_type", F.col("dst_type").alias("next"), "link").distinct()
-    start = used.where(F.col("src_type") == src).select(F.col("next").alias("dst_type"), F.array(F.lit(src), "next").alias("types"), F.array("link").alias("links")).where(F.col("dst_type") != src)
-    frontier = written(start, f"{home}/1")
-    seen = frontier.select("dst_type").union(transitions.sparkSession.range(1).select(F.lit(src))).distinct()
-    found = frontier.withColumn("hops", F.lit(1))
-    for hops in count(2) if max_hops is None else range(2, max_hops + 1):
-        more = frontier.join(used, frontier["dst_type"] == used["src_type"]).join(seen.withColumnRenamed("dst_type", "next"), "next", "left_anti")
-        frontier = written(more.select(F.col("next").alias("dst_type"), F.array_append("types", F.col("next")).alias("types"), F.array_append("links", F.col("link")).alias("links")), f"{home}/{hops}")
-        if frontier.isEmpty():
+    used = enabled(transitions).select(F.col("src_type").alias("predecessor"), F.col("dst_type").alias("node"), "link").where("predecessor != node").distinct()
+    start = transitions.sparkSession.range(1).select(F.lit(src).alias("node"))
+    seen, now, out = start, start, None
+    for level in count(1) if max_hops is None else range(1, max_hops + 1):
+        more = used.join(now.select(F.col("node").alias("predecessor")), "predecessor", "left_semi").join(seen, "node", "left_anti")
+        rows = written(more.select("node", F.lit(level).alias("level"), "predecessor", "link"), f"{home}/{level}")
+        if out is not None and rows.isEmpty():
             break
-        found = found.unionByName(frontier.withColumn("hops", F.lit(hops)))
-        seen = seen.union(frontier.select("dst_type")).distinct()
-    return found.join(targets.select(F.col(targets.columns[0]).alias("dst_type")).distinct(), "dst_type", "left_semi").select("dst_type", "hops", "types", "links")
+        out = rows if out is None else out.unionByName(rows)
+        now = rows.select("node").distinct()
+        seen = seen.union(now)
+    return out
+
+
+def path_counts(found: DataFrame, src: str) -> DataFrame:
+    """(node, level, paths): how many shortest paths lead from src to each type of predecessors, exactly up to 38 digits; no path is made."""
+    home, spark = scratch(found.sparkSession), found.sparkSession
+    now = out = spark.range(1).select(F.lit(src).alias("node"), F.lit(0).alias("level"), F.lit(1).cast("decimal(38,0)").alias("paths"))
+    for level in range(1, (found.agg(F.max("level")).first()[0] or 0) + 1):
+        steps = found.where(F.col("level") == level).select("node", "predecessor")
+        ways = steps.join(now.select(F.col("node").alias("predecessor"), "paths"), "predecessor")
+        now = written(ways.groupBy("node").agg(F.sum("paths").cast("decimal(38,0)").alias("paths")).select("node", F.lit(level).alias("level"), "paths"), f"{home}/{level}")
+        out = out.unionByName(now)
+    return out
+
+
+def leading(found: DataFrame, targets: DataFrame) -> DataFrame:
+    """(dst_type, level, node_type, next_type, link): the links of predecessors that lie on a shortest path to each of the targets; level counts from 0."""
+    home = scratch(found.sparkSession)
+    first = targets.select(F.col(targets.columns[0]).alias("dst_type")).distinct()
+    levels = found.select("node", "level").distinct()
+    ends = first.join(levels, F.col("dst_type") == F.col("node")).select("dst_type", "node", "level")
+    now, out = None, None
+    for level in range(ends.agg(F.max("level")).first()[0] or 0, 0, -1):
+        own = ends.where(F.col("level") == level).select("dst_type", "node")
+        now = own if now is None else now.unionByName(own)
+        rows = written(now.join(found.where(F.col("level") == level).drop("level"), "node").select("dst_type", F.lit(level - 1).alias("level"), F.col("predecessor").alias("node_type"), F.col("node").alias("next_type"), "link"), f"{home}/{level}")
+        out = rows if out is None else out.unionByName(rows)
+        now = rows.select("dst_type", F.col("node_type").alias("node")).distinct()
+    return out if out is not None else found.where("false").select(F.col("node").alias("dst_type"), "level", F.col("predecessor").alias("node_type"), F.col("node").alias("next_type"), "link")
+
+
+def shortest_paths(transitions: DataFrame, src: str, targets: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(dst_type, hops, types, links): all shortest paths from a type to each of the target types, without UNKNOWN links.
+
+    The paths are unrolled from the graph of predecessors, of the targets' own links alone; where only programs or
+    counts are asked for, program_of and path_counts make none.
+    """
+    hops = leading(predecessors(transitions, src, max_hops), targets)
+    now = out = None
+    for level in range((hops.agg(F.max("level")).first()[0] or 0) + 1):
+        step = hops.where(F.col("level") == level)
+        if now is None:
+            now = step.select("dst_type", F.array("node_type", "next_type").alias("types"), F.array("link").alias("links"))
+        else:
+            at = now.withColumn("node_type", F.element_at("types", -1))
+            now = at.join(step.drop("level"), ["dst_type", "node_type"]).select("dst_type", F.array_append("types", F.col("next_type")).alias("types"), F.array_append("links", F.col("link")).alias("links"))
+        ended = now.where(F.element_at("types", -1) == F.col("dst_type")).withColumn("hops", F.lit(level + 1))
+        out = ended if out is None else out.unionByName(ended)
+    return out.select("dst_type", "hops", "types", "links")
+
+
+def program_of(transitions: DataFrame, src: str, targets: DataFrame, named: bool = False, max_hops: int | None = None) -> DataFrame:
+    """compile_program's result for all shortest paths from a type to each target, from the graph of predecessors: paths are never made.
+
+    named: with all operations of the links, as compile_program has them with transitions.
+    """
+    links = leading(predecessors(transitions, src, max_hops), targets)
+    ops = F.array_sort(F.collect_set("link")).alias("ops")
+    if not named:
+        return links.groupBy("dst_type", "level", "node_type").agg(ops)
+    known = enabled(transitions).select(F.col("src_type").alias("node_type"), F.col("dst_type").alias("next_type"), "link", "op").distinct()
+    return links.join(known, ["node_type", "next_type", "link"]).groupBy("dst_type", "level", "node_type").agg(ops, F.array_sort(F.collect_set(F.concat_ws(":", "link", "op"))).alias("names"))
 
 
 def paths(transitions: DataFrame, src: str, max_depth: int | None = None) -> DataFrame:
@@ -213,7 +273,7 @@ def translate(things: DataFrame, quads: DataFrame, src_type: str, dst_type: str,
     """(id, value): what the things (id) of one type reach in another by all shortest ways of the type graph (moves; default: of the quads)."""
     moves = transitions_of(quads) if moves is None else moves
     target = things.sparkSession.createDataFrame([(dst_type,)], "type string")
-    program = compile_program(shortest_paths(moves, src_type, target, max_hops)).drop("dst_type")
+    program = program_of(moves, src_type, target, max_hops=max_hops).drop("dst_type")
     home = scratch(quads.sparkSession)
     now = things.select("id", F.col("id").alias("at")).distinct()
     for level, step in level_steps(program):

@@ -13,7 +13,7 @@ from weftgraph.functions.curie import curie_prefix, path_last, rewrite_prefix, s
 from weftgraph.operators.filters import limit_each, pick, pmids
 from weftgraph.operators.ontology import closure, having_ancestor, property_path
 from weftgraph.operators.patterns import bgp, containing, lookup_fallback, neighbors
-from weftgraph.operators.typegraph import compile_program, execute_programs, shortest_paths, transitions_of
+from weftgraph.operators.typegraph import execute_programs, program_of, transitions_of
 
 #: Patterns of chemical, gene, pathway and disease records, put together by the questions below.
 IXN = [("?ixn", "ctd:cid", "?compound"), ("?ixn", "ctd:gene", "?gene")]
@@ -294,5 +294,5 @@ def clinical_outcome_pathway(quads: DataFrame, drugs: DataFrame, diseases: DataF
     """
     moves = transitions_of(quads) if moves is None else moves
     asked = [("disease_condition", "NAME.DISEASE", "ORPHANET", diseases), ("disease_gene", "NAME.DISEASE", "GENE", diseases), ("drug_pathway", "NAME.DRUG", "PATH", drugs)]
-    programs = {name: (compile_program(shortest_paths(moves, src, moves.where(F.col("dst_type") == dst).select("dst_type"))), things) for name, src, dst, things in asked}
+    programs = {name: (program_of(moves, src, moves.where(F.col("dst_type") == dst).select("dst_type")), things) for name, src, dst, things in asked}
     return execute_programs(programs, quads)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import curie as c
-from weftgraph.operators import filters, measures, ontology, patterns, typegraph
+from weftgraph.operators import filters, measures, ontology, patterns, patterntable, typegraph
 from weftgraph.plans import adapters, domain
 from weftgraph.sources import tables as t
 from weftgraph.storage import scratch
@@ -200,6 +200,16 @@ def filter_iregex(spark, d):
     return T(spark, d, "part").select("p_partkey", "p_name").where(filters.iregex(F.col("p_name"), "B[aeiou]"))
 
 
+@query("""WITH p AS (SELECT DISTINCT 'omer#0*' || c_custkey || '$' AS pattern FROM customer UNION SELECT DISTINCT '^cust.*' || c_nationkey || '[02468]$' FROM customer UNION SELECT c_mktsegment || '|r#0+7$' FROM customer UNION SELECT '(.)0' || n_regionkey || '?1$' FROM nation)
+SELECT pattern, 'CUST:' || c_custkey AS id, c_name AS label FROM customer JOIN p ON regexp_matches(c_name, '(?i)' || pattern)""")
+def filter_iregex_table(spark, d):
+    """As many patterns as customers and more, from the tables."""
+    customer, nation = T(spark, d, "customer"), T(spark, d, "nation")
+    asked = customer.select(F.concat(F.lit("omer#0*"), "c_custkey", F.lit("$")).alias("pattern"))
+    asked = asked.union(customer.select(F.concat(F.lit("^cust.*"), "c_nationkey", F.lit("[02468]$")))).union(customer.select(F.concat("c_mktsegment", F.lit("|r#0+7$")))).union(nation.select(F.concat(F.lit("(.)0"), "n_regionkey", F.lit("?1$"))))
+    return patterntable.matching_table(customer.select(t.curie("CUST", "c_custkey").alias("id"), F.col("c_name").alias("label")), asked)
+
+
 @query("SELECT 'CUST:' || c_custkey AS s FROM customer UNION ALL SELECT 'CUST:' || c_custkey FROM customer")
 def filter_prefix(spark, d):
     q = t.quads(spark, d)
@@ -257,6 +267,16 @@ def within_radius(spark, d):
     return filters.within_radius(places, 35.05, -79.05, 5).withColumn("distance_km", F.round("distance_km", 6))
 
 
+@query("""WITH p AS (SELECT DISTINCT 35 + user_id / 1000.0 AS lat, -79 - user_id / 1000.0 AS lon FROM events), s AS (SELECT 'SUPP:' || s_suppkey AS place, 35 + s_nationkey / 300.0 AS la, -79 - s_suppkey / 7000.0 AS lo, 1 + s_suppkey % 9 AS r FROM supplier), x AS (
+ SELECT *, 2 * 6371.0 * asin(sqrt(least(1.0, power(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * power(sin(radians(lon - lo) / 2), 2)))) AS km FROM p, s)
+SELECT lat, lon, place, round(km, 6) AS distance_km FROM x WHERE km <= r""")
+def within_radius_of_places(spark, d):
+    """All places of exposures that lie round each supplier."""
+    points = t.exposures(spark, d).select("lat", "lon").distinct()
+    places = T(spark, d, "supplier").select(t.curie("SUPP", "s_suppkey").alias("place"), (35 + F.col("s_nationkey") / 300.0).alias("lat"), (-79 - F.col("s_suppkey") / 7000.0).alias("lon"), (1 + F.col("s_suppkey") % 9).cast("double").alias("radius_km"))
+    return filters.within_radius_of(points, places).withColumn("distance_km", F.round("distance_km", 6))
+
+
 # joins and patterns
 
 
@@ -320,7 +340,7 @@ def join_category(spark, d):
 def join_ancestor_semi(spark, d):
     root = T(spark, d, "part").agg(t.curie("PTYPE", F.max("p_type")).alias("id"))
     counts = T(spark, d, "lineitem").groupBy(t.curie("PART", "l_partkey").alias("id")).agg(F.count("*").alias("n"))
-    return ontology.having_ancestor(counts, ontology.closure(t.is_a(spark, d)), root)
+    return ontology.having_root(counts, t.is_a(spark, d), root)
 
 
 # the domain questions
@@ -765,11 +785,17 @@ def path_enumerate(spark, d):
     return out.select("dst_type", F.array_join("links", ">").alias("links"))
 
 
+@query(f"""WITH RECURSIVE {MOVES}, p AS (SELECT b AS dst, 1 AS hops FROM moves WHERE a = 'ORD' UNION ALL SELECT b, hops + 1 FROM p JOIN moves ON dst = a WHERE hops < 8), s AS (SELECT *, min(hops) OVER (PARTITION BY dst) AS least FROM p)
+SELECT 'ORD' AS node, 0 AS level, 1 AS paths UNION ALL SELECT dst, CAST(hops AS INTEGER), count(*) FROM s WHERE hops = least GROUP BY ALL""")
+def shortest_path_counts(spark, d):
+    moves = typegraph.transitions_of(t.quads(spark, d))
+    return typegraph.path_counts(typegraph.predecessors(moves, "ORD"), "ORD").withColumn("paths", F.col("paths").cast("long"))
+
+
 @query("SELECT * FROM (VALUES ('REG', 0, 'ORD', 'ordered_by'), ('REG', 1, 'CUST', 'has_nation'), ('REG', 2, 'NAT', 'in_region')) v(dst_type, level, node_type, ops)")
 def compile_program(spark, d):
     moves = typegraph.transitions_of(t.quads(spark, d))
-    found = typegraph.shortest_paths(moves, "ORD", moves.where("dst_type = 'REG'").select("dst_type"))
-    return typegraph.compile_program(found).withColumn("ops", F.array_join("ops", ";"))
+    return typegraph.program_of(moves, "ORD", moves.where("dst_type = 'REG'").select("dst_type")).withColumn("ops", F.array_join("ops", ";"))
 
 
 @query("SELECT * FROM (VALUES ('REG', 0, 'ORD', 'ordered_by', 'ordered_by:bought;ordered_by:ord__ordered_by__cust'), ('REG', 1, 'CUST', 'has_nation', 'has_nation:bought;has_nation:cust__has_nation__nat'), ('REG', 2, 'NAT', 'in_region', 'in_region:bought;in_region:nat__in_region__reg')) v(dst_type, level, node_type, ops, names)")
@@ -777,8 +803,8 @@ def compile_program_names(spark, d):
     """Two operations of each link: both are named."""
     moves = typegraph.transitions_of(t.quads(spark, d))
     moves = moves.unionByName(moves.withColumn("op", F.lit("bought")))
-    found = typegraph.shortest_paths(moves, "ORD", moves.where("dst_type = 'REG'").select("dst_type"))
-    return typegraph.compile_program(found, moves).withColumns({"ops": F.array_join("ops", ";"), "names": F.array_join("names", ";")})
+    program = typegraph.program_of(moves, "ORD", moves.where("dst_type = 'REG'").select("dst_type"), named=True)
+    return program.withColumns({"ops": F.array_join("ops", ";"), "names": F.array_join("names", ";")})
 
 
 EXECUTED = """SELECT 0 AS level, 'ORD:' || o_orderkey AS source_id, 'ordered_by' AS predicate, 'CUST:' || o_custkey AS target_id, true AS type_ok FROM orders
@@ -790,8 +816,8 @@ UNION SELECT 2, 'NAT:' || n_nationkey, 'in_region', 'REG:' || n_regionkey, true
 def execute_program(spark, d):
     q = t.quads(spark, d)
     moves = typegraph.transitions_of(q)
-    found = typegraph.shortest_paths(moves, "ORD", moves.where("dst_type = 'REG'").select("dst_type"))
-    return typegraph.execute_program(typegraph.compile_program(found), ids(spark, d, "orders", "ORD", "o_orderkey"), q)
+    program = typegraph.program_of(moves, "ORD", moves.where("dst_type = 'REG'").select("dst_type"))
+    return typegraph.execute_program(program, ids(spark, d, "orders", "ORD", "o_orderkey"), q)
 
 
 @query("SELECT DISTINCT CAST(0 AS INTEGER) AS level, 'ORD:' || l_orderkey AS source_id, 'has_part' AS predicate, 'PART:' || l_partkey AS target_id, false AS type_ok FROM lineitem UNION SELECT 0, 'ORD:' || o_orderkey, 'ordered_by', 'CUST:' || o_custkey, true FROM orders UNION SELECT 1, 'CUST:' || c_custkey, 'has_nation', 'NAT:' || c_nationkey, true FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -905,6 +931,15 @@ def merge_synonyms(spark, d):
     return patterns.merge_synonyms(nodes, links).select("representative", F.size("labels").cast("long").alias("n_labels"))
 
 
+@query("SELECT 'CUST:' || c_custkey AS id, 'CUST:' || min(c_custkey || '') OVER (PARTITION BY n_regionkey) AS representative FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def merge_synonyms_incremental(spark, d):
+    """Customers linked by nation, and by a later version with their nations' regions."""
+    customer, nation = T(spark, d, "customer"), T(spark, d, "nation")
+    labels = ontology.reachable_min(customer.select(t.curie("CUST", "c_custkey").alias("a"), t.curie("NAT", "c_nationkey").alias("b")))
+    version = patterns.extended(labels, nation.select(t.curie("NAT", "n_nationkey").alias("a"), t.curie("REG", "n_regionkey").alias("b")))
+    return patterns.renamed(labels, [version]).where(filters.with_prefix(F.col("id"), "CUST"))
+
+
 @query("SELECT 'SUPP:' || s_suppkey AS source_id, 'in_nation' AS predicate, 'NAT:' || s_nationkey AS target_id FROM supplier")
 def op_registry(spark, d):
     q, r = t.quads(spark, d), typegraph.Registry()
@@ -954,6 +989,12 @@ def bucketed(spark, d, resolution, aggregation):
     return measures.time_buckets(t.exposures(spark, d), resolution, aggregation).withColumn("value", F.round("value", 6))
 
 
+@query(" UNION ALL ".join(f"SELECT event_type AS exposure_type, '{name}' AS resolution, time_bucket(INTERVAL '{interval}', ts, TIMESTAMP '1970-01-01') AS bucket, round(avg(value), 6) AS avg, max(value) AS max FROM events GROUP BY ALL" for name, interval in (("hour", "1 hour"), ("day", "1 day"), ("7day", "7 days"), ("14day", "14 days"))))
+def agg_time_bucket_all(spark, d):
+    """All resolutions and both aggregations from one reading of the events."""
+    return measures.rolled_up(measures.partials(t.exposures(spark, d))).withColumn("avg", F.round("avg", 6))
+
+
 @query(bucket_sql("1 hour", "max"))
 def agg_time_bucket_hour_max(spark, d):
     return bucketed(spark, d, "hour", "max")
