@@ -504,12 +504,42 @@ def test_a_store_keeps_every_row_through_compactions(spark):
     with pytest.raises(sharding.Conflict):
         store.commit(now, store.manifest()["schema"], store.manifest()["runs"])
     assert store.commit(now, store.manifest()["schema"], store.manifest()["runs"], patience=0) == now + 1
-    assert store.vacuum() == 4
+    assert store.vacuum() == 0  # readers of older versions have time to end
+    assert store.vacuum(grace=0) == 4
     assert Counter(map(tuple, store.read().collect())) == Counter(rows)
     assert sharding.sharded(df.limit(0)).count() == 0
     assert Counter(map(tuple, sharding.sharded(df).collect())) == Counter(rows)
 
 
+def test_vacuum_beside_writers_and_readers(spark):
+    """A run that is written and not yet committed, a dead writer's, and versions that readers have open."""
+    root = shared_dir(spark)
+    store, other = sharding.ShardStore(spark, root, fan=2), sharding.ShardStore(spark, root, fan=2)
+    one, two = spark.createDataFrame([(i, "a") for i in range(5)], "i int, t string"), spark.createDataFrame([(9, "b")], "i int, t string")
+    store.append(one)
+    with other._run() as path:
+        two.write.parquet(path)
+        assert store.vacuum(grace=0) == 0
+        other._added(two, [{"path": path, "bytes": other._bytes(path)}])
+        assert store.vacuum(grace=0) == 0
+    assert store.read().count() == 6
+    old = store.read(1)
+    store.compact()
+    assert store.vacuum() == 0 and old.count() == 5 and store.read(2).count() == 6
+    assert store.vacuum(keep=2, grace=0) == 0 and store.read(2).count() == 6
+    with other._run() as path:
+        two.write.parquet(path)
+        assert store.vacuum(grace=0, abandoned=-1.0) == 3  # both merged runs, and the one of a writer that counts as dead
+    assert store.read().count() == 6
+
+
+def test_a_folder_that_cannot_be_written_raises(spark):
+    store = sharding.ShardStore(spark, shared_dir(spark))
+    store._fs.create(store._path(f"{store.root}/file"), False).close()
+    with pytest.raises(Exception, match="file"):
+        store._claimed(store._path(f"{store.root}/file/v1.claim"), 300)
+
+
 def test_shards_are_those_of_the_table(spark, documents, sf_dir):
     got = {r["doc_id"]: r["text_sha256"] for r in sharding.op4_shards(spark, sf_dir).collect()}
     assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in zip(documents["doc_id"], documents["text"])}

@@ -13,6 +13,10 @@ import math
 import time
 import uuid
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,10 @@ LEAST_RUN_BYTES = 1 << 20
 ARRIVALS = 16
 #: Seconds after which a claim without a manifest counts as left behind: renaming a finished manifest takes less than one.
 PATIENCE = 300.0
+#: Seconds for which vacuum leaves what a version listed that was the newest one then: readers may have it open.
+GRACE = 24 * 3600.0
+#: Seconds after which a writer that registered a run and neither committed nor gave it up counts as dead.
+ABANDONED = 7 * 24 * 3600.0
 #: How often a commit is tried anew on the newest version.
 TRIES = 20
 
@@ -81,13 +89,15 @@ class ShardStore:
 
     def _claimed(self, claim, patience: float) -> bool:
         """Whether this writer holds the claim, made now or taken over from a writer that died."""
-        for again in (False, True):
+        for left in (2, 1, 0):
             try:
                 self._fs.create(claim, False).close()
                 return True
-            except Exception:
-                if again or not self._fs.exists(claim):
-                    return False
+            except Py4JJavaError:
+                if not self._fs.exists(claim):  # taken over just now, or a folder that cannot be written
+                    if not left:
+                        raise
+                    continue
             age = time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000
             if age < patience or not self._fs.delete(claim, False):
                 return False
@@ -98,11 +108,22 @@ class ShardStore:
 
     # data
 
+    @contextmanager
+    def _run(self) -> Iterator[str]:
+        """A path for a new run, registered before anything is written there and until it is committed or given up: vacuum spares it."""
+        name = uuid.uuid4().hex
+        mark = self._path(f"{self.root}/writing/{name}")
+        self._fs.create(mark, False).close()
+        try:
+            yield f"{self.root}/runs/{name}"
+        finally:
+            self._fs.delete(mark, False)
+
     def append(self, df: DataFrame) -> int:
         """One arrival as one run; returns the new version."""
-        path = f"{self.root}/runs/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self._added(df, [{"path": path, "bytes": self._bytes(path)}])
+        with self._run() as path:
+            df.write.option("compression", "zstd").parquet(path)
+            return self._added(df, [{"path": path, "bytes": self._bytes(path)}])
 
     def _added(self, df: DataFrame, runs: list[dict]) -> int:
         """The version with more runs: of writers that meet, each in turn adds to the newest version."""
@@ -116,10 +137,11 @@ class ShardStore:
 
     def append_all(self, df: DataFrame, arrival: Column) -> int:
         """Many arrivals written by one job, each a run; they are committed together."""
-        path, name = f"{self.root}/runs/{uuid.uuid4().hex}", "arrival_" + uuid.uuid4().hex[:8]
-        df.withColumn(name, arrival).write.option("compression", "zstd").partitionBy(name).parquet(path)
-        runs = [{"path": str(s.getPath().toString()), "bytes": self._bytes(str(s.getPath().toString()))} for s in self._fs.listStatus(self._path(path)) if s.isDirectory()]
-        return self._added(df, sorted(runs, key=lambda r: r["path"]))
+        name = "arrival_" + uuid.uuid4().hex[:8]
+        with self._run() as path:
+            df.withColumn(name, arrival).write.option("compression", "zstd").partitionBy(name).parquet(path)
+            runs = [{"path": str(s.getPath().toString()), "bytes": self._bytes(str(s.getPath().toString()))} for s in self._fs.listStatus(self._path(path)) if s.isDirectory()]
+            return self._added(df, sorted(runs, key=lambda r: r["path"]))
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version (default: the newest)."""
@@ -150,9 +172,9 @@ class ShardStore:
             if not full:
                 return base
             merged = tiers[full[0]]
-            path = f"{self.root}/runs/{uuid.uuid4().hex}"
-            self._merge(now, merged, path)
-            self._replaced({r["path"] for r in merged}, {"path": path, "bytes": self._bytes(path)})
+            with self._run() as path:
+                self._merge(now, merged, path)
+                self._replaced({r["path"] for r in merged}, {"path": path, "bytes": self._bytes(path)})
 
     def _replaced(self, gone: set[str], run: dict) -> int:
         """The version with a merged run in place of those it holds; if another writer has merged one of them, the run is dropped."""
@@ -181,19 +203,41 @@ class ShardStore:
                 else:
                     self.spark.conf.set(k, v)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes runs that none of the newest `keep` versions lists; returns how many paths went."""
-        newest = self.version()
-        used = {r["path"] for v in range(max(1, newest - keep + 1), newest + 1) for r in self.manifest(v)["runs"]}
-        gone = 0
+    def vacuum(self, keep: int = 1, grace: float = GRACE, abandoned: float = ABANDONED) -> int:
+        """Deletes runs that nobody can need; returns how many paths went.
+
+        Kept are the runs of the newest `keep` versions, those of versions that were the newest one
+        at any time in the last `grace` seconds, and those that a writer has registered and not yet committed, unless it did so
+        more than `abandoned` seconds ago.  Registrations are read before manifests, so that a run
+        that is committed meanwhile is seen in one of both.
+        """
+        now = time.time()
+        age = lambda s: now - s.getModificationTime() / 1000
+        marks = self._path(f"{self.root}/writing")
+        writing = {s.getPath().getName(): age(s) for s in (self._fs.listStatus(marks) if self._fs.exists(marks) else [])}
         runs = self._path(f"{self.root}/runs")
-        for top in self._fs.listStatus(runs) if self._fs.exists(runs) else []:
+        there = list(self._fs.listStatus(runs)) if self._fs.exists(runs) else []  # what comes later is not looked at
+        newest, used = self.version(), set()
+        for v in range(newest, 0, -1):
+            after = age(self._fs.getFileStatus(self._path(f"{self.root}/manifests/v{v + 1:08d}.json"))) if v < newest else 0.0
+            if v <= newest - keep and after > grace:
+                break  # the versions before it ended earlier still
+            used |= {self._local(r["path"]) for r in self.manifest(v)["runs"]}
+        gone = 0
+        for top in there:
+            if writing.get(top.getPath().getName(), math.inf) <= abandoned:
+                continue
             inner = [s.getPath().toString() for s in self._fs.listStatus(top.getPath()) if s.isDirectory()]
             for p in inner or [top.getPath().toString()]:
-                if not any(u.rstrip("/").endswith(p.split(self.root.split(":")[-1])[-1]) for u in used):
+                if self._local(p) not in used:
                     gone += bool(self._fs.delete(self._path(p), True))
         return gone
 
+    @staticmethod
+    def _local(path: str) -> str:
+        """A run's path below the store's folder, however the file system writes the rest."""
+        return path.rstrip("/").rpartition("/runs/")[2]
+
 
 def sharded(df: DataFrame, root: str | None = None, arrivals: int = ARRIVALS, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """df's rows through a store: appended as arrivals, compacted, and read back from the newest manifest.
