@@ -207,3 +207,33 @@ def test_files_are_bounded_by_bytes(spark):
 def test_small_payloads_are_never_revisited(spark):
     got = warc.archived(table(spark, [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string"), least_bytes=3)
     assert {(r.page_id, r.record_type) for r in got.collect()} == {(1, "response"), (2, "response"), (3, "revisit"), (4, "response")}
+
+
+TEXT = "This paragraph of the article has a good number of words and says what there is to say about it."
+NAMES = [
+    "<article><p>{0}</p><section id='discussion'><h2>Discussion</h2><p>{0}</p></section></article>",
+    "<article><p>{0}</p><div class='ad-hoc-networks'><h2>Discussion</h2><p>{0}</p></div></article>",
+    "<article><p>{0}</p><h2>Discussion</h2><p class='social'>{0}</p></article>",
+    "<main class='search'><p>{0}</p><h2>Discussion</h2><p>{0}</p></main>",
+    "<article><p>{0}</p><section id='related-work'><h2>Discussion</h2><p>{0}</p></section></article>",
+    "<article><p>{0}</p><h2 id='search'>Discussion</h2><p>{0}</p></article>",
+    "<div id='newsletter-42'><article><p>{0}</p><h2>Discussion</h2><p>{0}</p></article></div>",
+    "<form><div><article><p>{0}</p><h2>Discussion</h2><p>{0}</p></article></div></form>",
+]
+
+
+def test_names_do_not_decide_inside_an_article(spark):
+    tree = htmltext.trained(spark)
+    for page in NAMES:
+        assert htmltext.main_text(page.format(TEXT), lambda f: htmltext.keeps(tree, f)) == f"{TEXT} Discussion {TEXT}", page
+    for page in ("<article><p>{0}</p></article><section id='comments'><article><p>{0}</p></article></section>", "<article><p>{0}</p><section id='comments'><p>{0}</p></section></article>", "<article><p>{0}</p></article><div class='related'><article><p>{0}</p></article></div>", "<nav><article>{0}</article></nav><article><p>{0}</p></article>", "<article><p>{0}</p><div class='search'>{0}</div></article>"):
+        assert htmltext.main_text(page.format(TEXT), lambda f: htmltext.keeps(tree, f)) == TEXT, page
+
+
+@pytest.mark.parametrize("junk", ["<a " * 350_000, "<div></i></section>" * 50_000, "<b></i>" * 150_000, "<b>" * 100_000 + "<li></li>" * 70_000, "<script>" + "</script " * 110_000, "<h1>" * 50_000 + "<li></li>" * 50_000, '<a ="' * 200_000, "<!" * 500_000, "<p><button>" + "<b>" * 100_000 + "<li></li>" * 70_000, "<!--" * 250_000, "&" * 1_000_000, "<a" + " " * 1_000_000])
+def test_junk_takes_time_that_grows_with_it_alone(junk):
+    import time
+
+    began = time.thread_time()
+    htmltext.blocks_of(junk)
+    assert time.thread_time() - began < 4

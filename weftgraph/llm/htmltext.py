@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html import unescape
 from itertools import product
@@ -35,31 +36,39 @@ AROUND_NAMES = frozenset(
 )
 #: Those of the names that begin other words too (share-price, header-image): alone they mark, as part of a name they hint.
 AMBIGUOUS = frozenset("banner discussion header masthead menu notice notices pager reply replies respond search share skip social toolbar widget".split())
+#: Elements that an article is made of, and beginnings of names that only look like those above.
+TEXTUAL = HEADINGS | {"p", "section", "blockquote", "figure"}
+PHRASES = frozenset((("ad", "hoc"), ("related", "work"), ("related", "works")))
 #: Opening one of these ends an open one of the others in its set.
 ENDS = [frozenset(("li",)), frozenset(("td", "th", "tr")), frozenset(("dt", "dd")), frozenset(("option",))]
 FEATURES = ("words", "link_density", "previous_words", "previous_link_density", "next_words", "next_link_density", "heading", "in_main", "page_has_main", "around")
 
 
-def around_level(name: str, attributes: str) -> int:
-    """How much an element looks like a menu, header, footer, sidebar, notice, advert, form or comment: 2 by its kind or a whole name, 1 by a part of a name.
+def around_level(name: str, attributes: str, inside: bool = False) -> int:
+    """How much an element looks like a menu, header, footer, sidebar, notice, advert, form or comment: 3 by its kind, 2 by a whole name, 1 by a part of a name.
 
-    A name's first part counts as the whole, but for ambiguous ones.  What holds the whole page is never one.
+    A name's first part counts as the whole, but for ambiguous ones.  On headings, paragraphs and
+    sections inside an article, and on the article itself, an ambiguous name is a hint at most.  What
+    holds the whole page is never one; a form may hold it and counts as a name.
     """
     if name in ("html", "body"):
         return 0
     if name in AROUND:
-        return 2
+        return 2 if name == "form" else 3
     if not attributes.strip():
         return 0
     if UNSEEN.search(attributes) or HIDDEN.search(QUOTED.sub("=", attributes)):
-        return 2
-    level = 0
+        return 3
+    level, own = 0, name in MAIN or (inside and name in TEXTUAL)
     for found in NAMED.findall(attributes):
         for token in "".join(found).split():
             parts = [x.lower() for x in NAME_PART.findall(token)]
-            if token.lower() in AROUND_NAMES or (parts and parts[0] in AROUND_NAMES and parts[0] not in AMBIGUOUS):
+            if tuple(parts[:2]) in PHRASES:
+                continue
+            unsure = token.lower() in AMBIGUOUS
+            if (token.lower() in AROUND_NAMES and not (own and unsure)) or (parts and parts[0] in AROUND_NAMES and parts[0] not in AMBIGUOUS):
                 return 2
-            if any(x in AROUND_NAMES for x in parts):
+            if any(x in AROUND_NAMES for x in parts) and name not in MAIN:
                 level = 1
     return level
 
@@ -69,23 +78,37 @@ def blocks_of(html: str) -> list[tuple[str, tuple]]:
 
     A block ends where a block-level element begins or ends; <br> is white space.  Open elements
     are followed by a stack, in which unclosed paragraphs and list items end as browsers end them.
+    Time grows with the page alone: an end tag looks for its element only if one is open, and markup is
+    looked for only while there is an end of any left.
     """
     out: list[list] = []
     stack: list[tuple[str, int, bool]] = []  # (name, around, main)
     parts: list[str] = []
     linked, heading, in_link, at, has_main = 0, 0, 0, 0, 0
     around, main = 0, False
+    open_: Counter[str] = Counter()
+    bounds: list[int] = []  # places in the stack of what is neither inline nor a heading: paragraphs end there at the latest
+    last = html.rfind(">")
+
+    def cut(i: int) -> None:
+        nonlocal in_link
+        for x, _, _ in stack[i:]:
+            open_[x] -= 1
+            in_link -= x == "a"
+        del stack[i:]
+        while bounds and bounds[-1] >= i:
+            bounds.pop()
 
     def end() -> None:
         nonlocal linked, heading
         text = " ".join(unescape("".join(parts)).split()) if parts else ""
         if text:
             n = text.count(" ") + 1
-            out.append([text, n, min(1.0, linked / n), heading, int(main), around])
+            out.append([text, n, min(1.0, linked / n), heading, int(main), min(around, 2)])
         parts.clear()
         linked = heading = 0
 
-    while m := MARKUP.search(html, at):
+    while at <= last and (m := MARKUP.search(html, at)):
         if m.start() > at:
             parts.append(some := html[at : m.start()])
             if in_link:
@@ -96,24 +119,17 @@ def blocks_of(html: str) -> list[tuple[str, tuple]]:
             continue
         name = name.lower()
         if m[1]:
-            if name in INLINE:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name or stack[i][0] not in INLINE:
-                        break
-                else:
-                    continue
-                if stack[i][0] != name:
-                    continue
-            else:
+            if name not in INLINE:
                 end()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        break
-                else:
-                    continue
-            in_link -= sum(x[0] == "a" for x in stack[i:])
+            if not open_[name]:
+                continue
+            i = len(stack) - 1
+            while stack[i][0] != name and (name not in INLINE or stack[i][0] in INLINE):
+                i -= 1
+            if stack[i][0] != name:
+                continue
             before = around
-            del stack[i:]
+            cut(i)
             around, main = (stack[-1][1], stack[-1][2]) if stack else (0, False)
             if before != around and name in INLINE:
                 around, after = before, around
@@ -121,7 +137,7 @@ def blocks_of(html: str) -> list[tuple[str, tuple]]:
                 around = after
             continue
         if name in RAW and not m[3].endswith("/"):
-            at = RAW[name].search(html, at).end()
+            at = RAW[name].search(html, at).end() if at <= last else len(html)
             continue
         if name == "br":
             parts.append(" ")
@@ -130,23 +146,21 @@ def blocks_of(html: str) -> list[tuple[str, tuple]]:
             if name not in INLINE:
                 end()
             continue
-        own = around_level(name, m[3])
+        own = around_level(name, m[3], main)
         if name not in INLINE:
             end()
             closed = next((x for x in ENDS if name in x), ())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or stack[i][0] in closed:
-                    in_link -= sum(x[0] == "a" for x in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE and stack[i][0] not in HEADINGS:
-                    break
+            if bounds and (stack[bounds[-1]][0] == "p" or stack[bounds[-1]][0] in closed):
+                cut(bounds[-1])
             around, main = (stack[-1][1], stack[-1][2]) if stack else (0, False)
         elif own > around:
             end()
-        # a hint about what holds an article says nothing of the article
-        now = max(own, 0 if name in MAIN and around == 1 else around)
+        # what the names of its container say is nothing of a page's article; those below an article may be comments or teasers
+        now = max(own, 0 if name in MAIN and (around == 1 or (around == 2 and not has_main)) else around)
         stack.append((name, now, main or name in MAIN))
+        open_[name] += 1
+        if name not in INLINE and name not in HEADINGS:
+            bounds.append(len(stack) - 1)
         around, main = now, stack[-1][2]
         if name in MAIN and around < 2:
             has_main = 1
@@ -155,7 +169,10 @@ def blocks_of(html: str) -> list[tuple[str, tuple]]:
         elif name in HEADINGS:
             heading = 1
     if at < len(html):
-        parts.append(html[at:])
+        rest, comment, _ = html[at:].partition("<!--")  # what opens a comment here is never closed
+        parts.append(rest)
+        if comment and in_link:
+            linked += len(rest.split())
     end()
     near = [(0, 0.0), *((b[1], b[2]) for b in out), (0, 0.0)]
     return [(b[0], (b[1], b[2], *near[i], *near[i + 2], b[3], b[4], has_main, b[5])) for i, b in enumerate(out)]
