@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import filters, joins, measures, ontology, patterns, patterntable, typegraph
+from weftgraph.operators import filters, joins, measures, nearest, ontology, patterns, patterntable, typegraph
 
 
 # patterns
@@ -191,3 +191,29 @@ def test_roll_ups_are_the_buckets(spark):
     assert got.keys() == want.keys()
     for k, (a, m) in want.items():
         assert got[k][1] == m and (got[k][0] is None) == (a is None) and (a is None or got[k][0] == pytest.approx(a))
+
+
+def test_given_vectors_are_found_by_probes(spark, sf_dir):
+    from weftgraph import registry
+
+    exact = {(r["term"], r["partner"]) for r in registry.topk_similar(spark, sf_dir).collect()}
+    got = {(r["term"], r["partner"]) for r in registry.topk_similar_probed(spark, sf_dir).collect()}
+    assert len(got & exact) >= 0.9 * len(exact) and exact
+
+
+def test_probes_reach_the_recall(spark):
+    """Clustered vectors: most exact neighbours from a few of the buckets; verified similarities are exact."""
+    r = random.Random(7)
+    centres = [[r.gauss(0, 1) for _ in range(12)] for _ in range(30)]
+    rows = [(f"t{i:03}", [x + r.gauss(0, 0.2) for x in centres[i % 30]]) for i in range(600)] + [("zero", [0.0] * 12), ("short", [1.0]), ("none", None)]
+    df = spark.createDataFrame(rows, "term string, vec array<double>")
+    terms = df.select("term").where("term < 't200'")
+    exact = {(x["term"], x["partner"]): x["similarity"] for x in measures.most_similar(df.where("size(vec) = 12 and term != 'zero'"), terms, 10).collect()}
+    got, recall, share = nearest.most_similar_probed(df, terms, 10)
+    rows = {(x["term"], x["partner"]): x["similarity"] for x in got.collect()}
+    hits = rows.keys() & exact.keys()
+    assert recall >= 0.95 and len(hits) >= 0.9 * len(exact) and share < 0.35
+    assert all(rows[p] == pytest.approx(exact[p], abs=2e-6) for p in hits) and max(Counter(t for t, _ in rows).values()) == 10
+    whole, recall, share = nearest.most_similar_probed(df, terms, 10, recall=1.0, sample=10**6)
+    assert {(x["term"], x["partner"]) for x in whole.collect()} == exact.keys() and recall == 1.0
+    assert nearest.most_similar_probed(df.limit(0), terms)[0].count() == 0

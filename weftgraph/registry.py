@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import curie as c
-from weftgraph.operators import filters, measures, ontology, patterns, patterntable, typegraph
+from weftgraph.operators import filters, measures, nearest, ontology, patterns, patterntable, typegraph
 from weftgraph.plans import adapters, domain
 from weftgraph.sources import tables as t
 from weftgraph.storage import scratch
@@ -1051,6 +1051,14 @@ def topk_similar(spark, d):
     return measures.most_similar(terms_of(spark, d), terms, 10).select("term", "partner", F.col("rank").cast("int").alias("rank"))
 
 
+@query(None)
+def topk_similar_probed(spark, d):
+    """topk_similar by hyperplane buckets to a measured recall of 0.95: approximate, so that tests hold it against the exact one."""
+    terms = T(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.concat(F.lit("t"), F.col("vec_id")).alias("term"))
+    rows, _, _ = nearest.most_similar_probed(terms_of(spark, d), terms, 10)
+    return rows.select("term", "partner", F.col("rank").cast("int").alias("rank"), "similarity")
+
+
 # set operations
 
 
