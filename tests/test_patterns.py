@@ -120,6 +120,21 @@ def test_programs_share_their_first_levels(spark):
     assert {(r["program"], r["level"], r["source_id"], r["target_id"], r["type_ok"]) for r in got.collect()} == {("one", 0, "N:1", "D:1", True), ("one", 1, "D:1", "E:1", True), ("one", 1, "D:1", "F:2", False), ("two", 0, "N:1", "D:1", True), ("two", 1, "D:1", "F:1", True)}
 
 
+def test_a_registry_executes_programs(spark):
+    """Two operations of one link, one of which gives another type; functions run, and not tables alone."""
+    edges = lambda rows: spark.createDataFrame(rows, "source_id string, predicate string, target_id string")
+    r = typegraph.Registry()
+    r.register("one", "A", "B", "l", lambda nodes: nodes.select(F.col("id").alias("source_id"), F.lit("own").alias("predicate"), F.regexp_replace("id", "A:", "B:").alias("target_id")))
+    r.register("two", "A", "B", "l", lambda nodes: nodes.join(edges([("A:1", "x", "C:9")]), F.col("id") == F.col("source_id")).drop("id"))
+    r.register("three", "B", "D", "m", lambda nodes: nodes.select(F.col("id").alias("source_id"), F.lit("own").alias("predicate"), F.lit("D:0").alias("target_id")))
+    moves = spark.createDataFrame([("A", "B", "l", "one"), ("A", "B", "l", "two"), ("B", "D", "m", "three")], "src_type string, dst_type string, link string, op string")
+    program = typegraph.program_of(moves, "A", spark.createDataFrame([("D",)], "t string"), named=True)
+    got = {tuple(x) for x in r.execute(program, spark.createDataFrame([("A:1",), ("A:2",), ("Z:1",)], "id string")).collect()}
+    assert got == {(0, "one", "A:1", "l", "B:1", True), (0, "one", "A:2", "l", "B:2", True), (0, "two", "A:1", "l", "C:9", False), (1, "three", "B:1", "m", "D:0", True), (1, "three", "B:2", "m", "D:0", True)}
+    with pytest.raises(KeyError):
+        typegraph.Registry().execute(program, spark.createDataFrame([("A:1",)], "id string"))
+
+
 def test_paths_go_on_to_their_end(spark):
     moves = spark.createDataFrame([(f"T{i}", f"T{i + 1}", "l") for i in range(7)] + [("T7", "T0", "l"), ("T3", "T1", "m")], "src_type string, dst_type string, link string")
     got = sorted((r["dst_type"], len(r["links"])) for r in typegraph.paths(moves, "T0").collect())

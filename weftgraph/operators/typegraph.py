@@ -243,6 +243,31 @@ class Registry:
             part = edges.where((F.col("p") == r["link"]) & F.startswith("s", F.lit(f"{r['src_type']}:")) & F.startswith("o", F.lit(f"{r['dst_type']}:")))
             self.register(r["op"], r["src_type"], r["dst_type"], r["link"], lambda nodes, part=part: nodes.select(F.col("id").alias("s")).distinct().join(part, "s").select(F.col("s").alias("source_id"), F.col("p").alias("predicate"), F.col("o").alias("target_id")).distinct())
 
+    def execute(self, program: DataFrame, frontier: DataFrame) -> DataFrame:
+        """(level, op, source_id, predicate, target_id, type_ok): what a program's registered operations give from the frontier (id), level by level.
+
+        program: level, node_type, ops and names (link:op) of one target, as program_of(named=True) has them: a few
+        rows, read by the driver.  An operation gets the nodes of its type alone; its edges take the
+        program's link as predicate.  Names that are not registered raise.
+        """
+        levels: dict[int, set[tuple[str, str, str]]] = {}
+        for r in program.select("level", "node_type", F.explode("names").alias("name")).distinct().collect():
+            link, _, op = r["name"].partition(":")
+            levels.setdefault(r["level"], set()).add((r["node_type"], link, op))
+        home, now, out = scratch(frontier.sparkSession), frontier.select("id").distinct(), None
+        for level in sorted(levels):
+            after = sorted({kind for kind, _, _ in levels.get(level + 1, ())})
+            rows = None
+            for kind, link, op in sorted(levels[level]):
+                edges = self[op](now.where(curie_prefix(F.col("id")) == kind))
+                part = edges.select(F.lit(level).alias("level"), F.lit(op).alias("op"), "source_id", F.lit(link).alias("predicate"), "target_id")
+                rows = part if rows is None else rows.unionByName(part)
+            rows = written(rows.distinct(), f"{home}/{level}")
+            checked = rows.withColumn("type_ok", F.coalesce(curie_prefix(F.col("target_id")).isin(after), F.lit(False)) if after else F.lit(True))
+            out = checked if out is None else out.unionByName(checked)
+            now = rows.select(F.col("target_id").alias("id")).distinct()
+        return out
+
     def __getitem__(self, name: str) -> Callable[[DataFrame], DataFrame]:
         return self.ops[name][3]
 

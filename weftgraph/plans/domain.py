@@ -13,6 +13,7 @@ from weftgraph.functions.curie import curie_prefix, path_last, rewrite_prefix, s
 from weftgraph.operators.filters import limit_each, pick, pmids
 from weftgraph.operators.ontology import closure, having_ancestor, property_path
 from weftgraph.operators.patterns import bgp, containing, lookup_fallback, neighbors
+from weftgraph.operators.patterntable import matching_table
 from weftgraph.operators.typegraph import execute_programs, program_of, transitions_of
 
 #: Patterns of chemical, gene, pathway and disease records, put together by the questions below.
@@ -56,14 +57,15 @@ def genes_by_disease_graph(quads: DataFrame, diseases: DataFrame, limit: int | N
     return limit_each(out, "source_id", limit) if limit else out
 
 
-def named(quads: DataFrame, predicate: str, names: DataFrame) -> DataFrame:
-    """(name, id, label): the subjects of a predicate whose object contains one of the names (name), in any case."""
-    return containing(quads.where(F.col("p") == predicate).select(F.col("s").alias("id"), F.col("o").alias("label")), names)
+def named(quads: DataFrame, predicate: str, names: DataFrame, patterns: bool = False) -> DataFrame:
+    """(name, id, label): the subjects of a predicate whose object contains one of the names (name), in any case; patterns: names are regular expressions."""
+    labels = quads.where(F.col("p") == predicate).select(F.col("s").alias("id"), F.col("o").alias("label"))
+    return matching_table(labels, names.withColumnRenamed("name", "pattern")).withColumnRenamed("pattern", "name") if patterns else containing(labels, names)
 
 
-def drug_gene_disease(quads: DataFrame, drugs: DataFrame, diseases: DataFrame) -> DataFrame:
+def drug_gene_disease(quads: DataFrame, drugs: DataFrame, diseases: DataFrame, patterns: bool = False) -> DataFrame:
     """Genes and diseases of compounds whose drug and disease names contain one of the names (name) of each kind."""
-    asked = named(quads, "drugbank:name", drugs).select("id"), named(quads, "label", diseases).select("id")
+    asked = named(quads, "drugbank:name", drugs, patterns).select("id"), named(quads, "label", diseases, patterns).select("id")
     return bgp(quads, DRUG + IXN + DISEASE + [("?disease", "label", "?disease_name")], ["drug_name", "gene", "disease", "disease_name"], {"drug": asked[0], "disease": asked[1]}, distinct=True)
 
 
@@ -74,16 +76,16 @@ def compound_genes(quads: DataFrame, compounds: DataFrame) -> DataFrame:
     return out.withColumns({c: split_multi(F.col(c)) for c in ("types", "pmids")})
 
 
-def drug_name_to_gene(quads: DataFrame, names: DataFrame) -> DataFrame:
+def drug_name_to_gene(quads: DataFrame, names: DataFrame, patterns: bool = False) -> DataFrame:
     """(name, drug, drug_name, gene, pmids): the names' drugs, to genes, with the publications of the interaction."""
-    found = named(quads, "drugbank:name", names).withColumnsRenamed({"id": "drug", "label": "drug_name"})
+    found = named(quads, "drugbank:name", names, patterns).withColumnsRenamed({"id": "drug", "label": "drug_name"})
     genes = bgp(quads, [*DRUG[:1], *IXN, ("?ixn", "ctd:pubmedids", "?pmids")], ["drug", "gene", "pmids"], {"drug": found.select("drug")}, distinct=True)
     return found.join(genes, "drug").select("name", "drug", "drug_name", "gene", "pmids").distinct()
 
 
-def drug_name_to_compound(quads: DataFrame, names: DataFrame) -> DataFrame:
+def drug_name_to_compound(quads: DataFrame, names: DataFrame, patterns: bool = False) -> DataFrame:
     """(name, compound, drug_name): the names' drugs, to compounds."""
-    found = named(quads, "drugbank:name", names).withColumnsRenamed({"id": "drug", "label": "drug_name"})
+    found = named(quads, "drugbank:name", names, patterns).withColumnsRenamed({"id": "drug", "label": "drug_name"})
     return found.join(bgp(quads, DRUG[:1], ["drug", "compound"]), "drug").select("name", "compound", "drug_name").distinct()
 
 
@@ -131,12 +133,12 @@ def disease_to_gene(quads: DataFrame, diseases: DataFrame) -> DataFrame:
     return bgp(quads, DISEASE + IXN, ["disease", "gene"], {"disease": diseases}, distinct=True)
 
 
-def disease_name_to_gene(quads: DataFrame, names: DataFrame, limit: int | None = None) -> DataFrame:
+def disease_name_to_gene(quads: DataFrame, names: DataFrame, limit: int | None = None, patterns: bool = False) -> DataFrame:
     """(name, disease, gene, pmids): the names' diseases, to genes; diseases without an association are left out first; limit: rows of each name.
 
     pmids: the publications of all associations and interactions that lead from the one to the other, sorted and joined by a pipe.
     """
-    found = named(quads, "label", names).select("name", F.col("id").alias("disease"))
+    found = named(quads, "label", names, patterns).select("name", F.col("id").alias("disease"))
     known = found.join(quads.where("p = 'ctd:disease'").select(F.col("o").alias("disease")), "disease", "left_semi")
     evidence = [("?assoc", "ctd:pmids", "?own"), ("?ixn", "ctd:pubmedids", "?other")]
     ways = bgp(quads, DISEASE + IXN + evidence, ["disease", "gene", "own", "other"], {"disease": known.select("disease")}, distinct=True)
@@ -152,9 +154,9 @@ def exposure_disease(quads: DataFrame, stressors: DataFrame, object_pattern: str
     return out.where(F.rlike("disease", F.lit(object_pattern)))
 
 
-def disease_drug_pathway(quads: DataFrame, names: DataFrame) -> DataFrame:
+def disease_drug_pathway(quads: DataFrame, names: DataFrame, patterns: bool = False) -> DataFrame:
     """Diseases by name to drugs, genes and pathways, in the order of names."""
-    asked = named(quads, "label", names).select("id")
+    asked = named(quads, "label", names, patterns).select("id")
     out = bgp(quads, DISEASE + [("?disease", "label", "?disease_name")] + DRUG + [("?drug", "drugbank:target", "?gene")] + PATHWAY, ["disease_name", "drug_name", "path_name"], {"disease": asked}, distinct=True)
     return out.orderBy("disease_name", "drug_name", "path_name")
 

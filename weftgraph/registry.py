@@ -403,6 +403,13 @@ def q_drug_name_to_compound(spark, d):
     return domain.drug_name_to_compound(chem(spark, d), words)
 
 
+@query("SELECT DISTINCT name, 'CHEM:' || p_partkey AS compound, p_name AS drug_name FROM part JOIN (SELECT DISTINCT '^' || substr(p_name, 1, 3) || '.* ' || split_part(p_name, ' ', 2) || 's?$' AS name FROM part) ON regexp_matches(p_name, '(?i)' || name)")
+def q_drug_name_pattern_to_compound(spark, d):
+    """Names are patterns, from the beginnings and second words of all names."""
+    asked = T(spark, d, "part").select(F.concat(F.lit("^"), F.substring("p_name", 1, 3), F.lit(".* "), F.substring_index("p_name", " ", -1), F.lit("s?$")).alias("name")).distinct()
+    return domain.drug_name_to_compound(chem(spark, d), asked, patterns=True)
+
+
 @query("SELECT DISTINCT name, p_name AS drug_name, 'DRUGBANK:' || p_partkey AS target_id FROM part JOIN (SELECT DISTINCT upper(p_name) AS name FROM part) ON contains(lower(p_name), lower(name))")
 def q_drug_name_to_drugbank(spark, d):
     return domain.drug_name_to_id(chem(spark, d), names_of(spark, d, "part", "p_name").select(F.upper("name").alias("name")), "DRUGBANK")
@@ -947,6 +954,17 @@ def op_registry(spark, d):
     return r["supp__in_nation__nat"](ids(spark, d, "supplier", "SUPP", "s_suppkey"))
 
 
+@query("""SELECT 0 AS level, 'ord__ordered_by__cust' AS op, 'ORD:' || o_orderkey AS source_id, 'ordered_by' AS predicate, 'CUST:' || o_custkey AS target_id, true AS type_ok FROM orders
+UNION SELECT 1, 'cust__has_nation__nat', 'CUST:' || c_custkey, 'has_nation', 'NAT:' || c_nationkey, true FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)
+UNION SELECT 2, 'nat__in_region__reg', 'NAT:' || n_nationkey, 'in_region', 'REG:' || n_regionkey, true FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))""")
+def execute_registered(spark, d):
+    """The program from orders to regions by the functions that a registry holds."""
+    q, r = t.quads(spark, d), typegraph.Registry()
+    moves = typegraph.transitions_of(q)
+    r.register_table(moves, q)
+    return r.execute(typegraph.program_of(moves, "ORD", moves.where("dst_type = 'REG'").select("dst_type"), named=True), ids(spark, d, "orders", "ORD", "o_orderkey"))
+
+
 # aggregates, limits, similarity
 
 
