@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import batches_of, longs_of, mixed, powers, shared_dir, written
+from weftgraph.llm.shared import batches_of, freeing, longs_of, mixed, powers, shared_dir, written
 
 LEAST = 50
 GRAM = 20
@@ -183,7 +183,7 @@ def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
         if held:
             yield block()
 
-    return docs.mapInArrow(build, BLOCK_SCHEMA)
+    return docs.mapInArrow(freeing(build), BLOCK_SCHEMA)
 
 
 def messages(rows: list[tuple]) -> pa.RecordBatch:
@@ -457,17 +457,17 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes
     table = written(blocks(source, block_bytes), f"{home}/blocks")
     total = table.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4, math.ceil(3 * total / bucket_bytes))  # text is stored compressed to about a third
-    told = table.mapInArrow(tell_segments(buckets), MESSAGE_SCHEMA)
+    told = table.mapInArrow(freeing(tell_segments(buckets)), MESSAGE_SCHEMA)
     judged = told.groupBy("bucket").applyInArrow(judge_segments, "block long, bucket long, payload binary")
     answer = judged.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("replies"))
     with batches_of(spark, 1):  # a row is a block or a message
-        second = written(table.join(answer, "block", "left").mapInArrow(send_segments(buckets), MESSAGE_SCHEMA), f"{home}/second")
+        second = written(table.join(answer, "block", "left").mapInArrow(freeing(send_segments(buckets)), MESSAGE_SCHEMA), f"{home}/second")
     state = second.where("kind = 1").select("block", F.col("payload").alias("state"))
     compared = second.where("kind = 2").groupBy("bucket").applyInArrow(compare_segments, "block long, bucket long, payload binary")
     verdicts = compared.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("replies"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*others).schema)
     both = table.join(state, "block").join(verdicts, "block", "left")
-    return both.mapInArrow(finish(others), f"{fields}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return both.mapInArrow(freeing(finish(others)), f"{fields}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
