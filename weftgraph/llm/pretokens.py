@@ -8,7 +8,7 @@ from itertools import chain
 
 import numpy as np
 
-from weftgraph.llm.shared import MULTIPLIER
+from weftgraph.llm.shared import FORGET, MULTIPLIER
 
 
 #: Fixed values of the vocabulary's own splitting rule, for texts of the characters in PLAIN.
@@ -184,6 +184,15 @@ class ArrayBpe:
 _LOADED: dict[str, ArrayBpe] = {}
 
 
+def forget() -> None:
+    """Drops the pre-tokens that models remember, not the models."""
+    for model in _LOADED.values():
+        model.forget()
+
+
+FORGET.append(forget)
+
+
 def loaded(path: str, use: str) -> ArrayBpe:
     """One ArrayBpe for each file and use in a Python worker."""
     if (path, use) not in _LOADED:

@@ -92,8 +92,16 @@ def freeing(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], It
     return run
 
 
+#: What tasks remember for their own time alone: called when one ends.
+FORGET: list[Callable[[], None]] = []
+
+
 def released() -> None:
-    """Gives freed memory back to the system."""
+    """Drops what is quickly made anew and gives freed memory back to the system."""
+    _POWERS.clear()
+    _TABLES.pop("hash", None)
+    for forget in FORGET:
+        forget()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
     if trim is not None:
