@@ -51,20 +51,22 @@ def scan(quads: DataFrame, pattern: tuple[str, str, str]) -> DataFrame:
 def join_tree(sets: list[set[str]], wanted: set[str]) -> list[tuple[int, int]] | None:
     """(ear, parent) in the order in which ears can be joined to their parents; None for cyclic patterns.
 
-    An ear's variables occur in no other set, or in its parent's.  Ears that only test come first.
+    An ear's variables occur in no other set, or in its parent's.  Ears that only test come first,
+    then those that hold the fewest patterns: what two hubs' sides share is joined when both are whole.
     """
-    left, out = {i: set(s) for i, s in enumerate(sets)}, []
+    left, out, held = {i: set(s) for i, s in enumerate(sets)}, [], [1] * len(sets)
     while len(left) > 1:
         ears = []
         for i, own in left.items():
             shared = own & set().union(*[s for j, s in left.items() if j != i])
             parents = [j for j, s in left.items() if j != i and shared <= s]
             if shared and parents:
-                ears.append((bool(own & wanted - shared), i, parents[0]))
+                ears.append((bool(own & wanted - shared), held[i], i, min(parents, key=held.__getitem__)))
         if not ears:
             return None
-        _, i, j = min(ears)
+        *_, i, j = min(ears)
         left[j] |= left.pop(i) & wanted
+        held[j] += held[i]
         out.append((i, j))
     return out
 
