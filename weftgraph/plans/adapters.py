@@ -11,15 +11,15 @@ from weftgraph.sources.tables import curie, table
 def chem_quads(spark: SparkSession, d: str) -> DataFrame:
     """Line items as chemical-gene interactions, customers as diseases, parts as compounds and drugs, suppliers as genes, nations as pathways."""
     li, orders, part, supp, nation, customer = (table(spark, d, x) for x in ("lineitem", "orders", "part", "supplier", "nation", "customer"))
-    # a line says its own interaction once; what several lines say of one pair is said twice
+    # only what lines say can be said twice
     ixn = F.concat_ws(".", F.lit("IXN:"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     rows = [
-        li.select(ixn, F.lit("ctd:cid"), curie("CHEM", "l_partkey")),
-        li.select(ixn, F.lit("ctd:gene"), curie("GENE", "l_suppkey")),
-        li.select(ixn, F.lit("ctd:types"), F.concat_ws("|", "l_returnflag", "l_linestatus")),
-        li.select(ixn, F.lit("ctd:chemicalid"), curie("MESH", "l_partkey")),
-        li.select(ixn, F.lit("ctd:interaction"), F.concat(F.lit("affects in "), F.col("l_linenumber").cast("string"))),
-        li.select(ixn, F.lit("ctd:pubmedids"), F.concat_ws("|", F.concat(F.lit("Y"), F.year("l_shipdate")), F.concat(F.lit("F"), "l_linestatus"))),
+        li.select(ixn, F.lit("ctd:cid"), curie("CHEM", "l_partkey")).distinct(),
+        li.select(ixn, F.lit("ctd:gene"), curie("GENE", "l_suppkey")).distinct(),
+        li.select(ixn, F.lit("ctd:types"), F.concat_ws("|", "l_returnflag", "l_linestatus")).distinct(),
+        li.select(ixn, F.lit("ctd:chemicalid"), curie("MESH", "l_partkey")).distinct(),
+        li.select(ixn, F.lit("ctd:interaction"), F.concat(F.lit("affects in "), F.col("l_linenumber").cast("string"))).distinct(),
+        li.select(ixn, F.lit("ctd:pubmedids"), F.concat_ws("|", F.concat(F.lit("Y"), F.year("l_shipdate")), F.concat(F.lit("F"), "l_linestatus"))).distinct(),
         orders.select(curie("DA", "o_orderkey"), F.lit("ctd:disease"), curie("DIS", "o_custkey")),
         li.select(curie("DA", "l_orderkey"), F.lit("ctd:cid"), curie("CHEM", "l_partkey")).distinct(),
         orders.select(curie("DA", "o_orderkey"), F.lit("ctd:pmids"), F.concat_ws("|", "o_orderstatus", "o_orderpriority")),

@@ -42,7 +42,8 @@ CLOSURE = f"""WITH RECURSIVE {IS_A}, up AS (
   UNION SELECT up.id, is_a.parent, up.depth + 1 FROM up JOIN is_a ON up.ancestor = is_a.child)"""
 MAPPINGS = """m AS (SELECT DISTINCT 'PART:' || l_partkey AS a, 'SUPP:' || l_suppkey AS b, l_returnflag AS f FROM lineitem),
  e AS (SELECT a, b, f FROM m UNION SELECT b, a, f FROM m)"""
-IXN = """ixn AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS l, l_partkey AS p, l_suppkey AS s, 'Y' || year(l_shipdate) || '|F' || l_linestatus AS other FROM lineitem),
+IXN = """ixn AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS l, l_partkey AS p, l_suppkey AS s FROM lineitem),
+ said AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s, 'Y' || year(l_shipdate) || '|F' || l_linestatus AS other FROM lineitem),
  typed AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s, l_returnflag || '|' || l_linestatus AS types FROM lineitem),
  assoc AS (SELECT DISTINCT o_orderkey AS o, o_custkey AS c, l_partkey AS p, o_orderstatus || '|' || o_orderpriority AS pmids FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
  target AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),
@@ -386,12 +387,14 @@ def q_drug_gene_disease(spark, d):
     return domain.drug_gene_disease(chem(spark, d), names_of(spark, d, "part", "p_name"), names_of(spark, d, "customer", "c_name"))
 
 
-@query("SELECT DISTINCT 'CHEM:' || l_partkey AS compound, 'GENE:' || l_suppkey AS gene, 'MESH:' || l_partkey AS mesh, 'affects in ' || l_linenumber AS interaction, l_returnflag || ';' || l_linestatus AS types, 'Y' || year(l_shipdate) || ';F' || l_linestatus AS pmids FROM lineitem")
+@query("""WITH l AS (SELECT *, l_returnflag || ';' || l_linestatus AS types, 'Y' || year(l_shipdate) || ';F' || l_linestatus AS pmids FROM lineitem)
+SELECT DISTINCT 'CHEM:' || l_partkey AS compound, 'GENE:' || l_suppkey AS gene, 'MESH:' || l_partkey AS mesh, 'affects in ' || l_linenumber AS interaction, l.types, m.pmids
+FROM l JOIN l m USING (l_orderkey, l_linenumber, l_partkey, l_suppkey)""")
 def q_compound_genes(spark, d):
     return domain.compound_genes(chem(spark, d), ids(spark, d, "part", "CHEM", "p_partkey")).withColumns({c: F.array_join(c, ";") for c in ("types", "pmids")})
 
 
-@query(f"WITH {IXN} SELECT DISTINCT name, 'DRUG:' || p AS drug, p_name AS drug_name, 'GENE:' || s AS gene, other AS pmids FROM ixn JOIN part ON p = p_partkey JOIN (SELECT DISTINCT p_name AS name FROM part) ON contains(lower(p_name), lower(name))")
+@query(f"WITH {IXN} SELECT DISTINCT name, 'DRUG:' || p AS drug, p_name AS drug_name, 'GENE:' || s AS gene, other AS pmids FROM said JOIN part ON p = p_partkey JOIN (SELECT DISTINCT p_name AS name FROM part) ON contains(lower(p_name), lower(name))")
 def q_drug_name_to_gene(spark, d):
     return domain.drug_name_to_gene(chem(spark, d), names_of(spark, d, "part", "p_name"))
 
@@ -455,7 +458,7 @@ def q_disease_to_gene(spark, d):
     return domain.disease_to_gene(chem(spark, d), ids(spark, d, "customer", "DIS", "c_custkey"))
 
 
-DISEASE_GENES = f"""WITH {IXN}, a AS (SELECT DISTINCT c, p, pmids FROM assoc), g AS (SELECT DISTINCT p, s, other FROM ixn), w AS (SELECT DISTINCT c, s, pmids, other FROM a JOIN g USING (p)),
+DISEASE_GENES = f"""WITH {IXN}, a AS (SELECT DISTINCT c, p, pmids FROM assoc), g AS (SELECT DISTINCT p, s, other FROM said), w AS (SELECT DISTINCT c, s, pmids, other FROM a JOIN g USING (p)),
  e AS (SELECT DISTINCT c, s, unnest(string_split(pmids || '|' || other, '|')) AS id FROM w), t AS (SELECT c, s, string_agg(id, '|' ORDER BY id) AS pmids FROM e GROUP BY ALL)"""
 
 
