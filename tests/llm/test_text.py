@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -35,6 +36,34 @@ def test_merging_gives_the_librarys_ids(library):
     assert pretokens.ArrayBpe(tokencount.vocabulary()).counts(ODD) == [len(x) for x in want]
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "日本語人大学中国", "ab", "aéñ"])
+def test_long_runs_of_letters_merge_as_in_the_library(library, letters):
+    rng = np.random.default_rng(len(letters))
+    texts = ["".join(rng.choice(list(letters), n)) for n in (127, 128, 129, 500, 20_000)]
+    texts += [f"{texts[3]} a word {texts[2]}, {texts[3][::-1]}", " ".join(x[:200] for x in texts)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    got = pretokens.ArrayBpe(tokencount.vocabulary()).ids(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_both_orders_of_merging_agree(library, seed):
+    rng = np.random.default_rng(seed)
+    texts = ["".join(rng.choice(list("aab eé日\n1x"), rng.integers(0, 60))) for _ in range(300)]
+    by_rank = pretokens.ArrayBpe(tokencount.vocabulary())
+    by_rank.LONG = 0
+    assert by_rank.ids(texts) == pretokens.ArrayBpe(tokencount.vocabulary()).ids(texts)
+    assert by_rank.counts([]) == [] and by_rank.ids(["", None]) == [b"", b""]
+
+
+def test_one_text_of_200_000_letters(library):
+    text = "".join(np.random.default_rng(9).choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000))
+    began = time.process_time()
+    (n,) = pretokens.ArrayBpe(tokencount.vocabulary()).counts([text])
+    assert n == len(library.encode(text, add_special_tokens=False).ids)
+    assert time.process_time() - began < 20  # quadratic: minutes
+
+
 def test_given_documents_are_counted_as_by_the_library(spark, library, sf_dir):
     docs = pd.read_parquet(f"{sf_dir}/documents.parquet")
     got = tokencount.op5_token_counts(spark, sf_dir).toPandas().set_index("doc_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from itertools import chain
@@ -95,12 +96,11 @@ class ArrayBpe:
         pre = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(self.of_char[c] for c in x).decode("utf-8") for x, _ in pre]
 
-    def symbols(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The surviving symbols of each pre-token, flat, and the number of each.
+    #: Pre-tokens of more bytes merge rank by rank over all of them, so that a round's work is that of its merges.
+    LONG = 128
 
-        Every round finds each sequence's lowest-rank pair and merges all its occurrences; a
-        sequence without a mergeable pair has ended.
-        """
+    def symbols(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The surviving symbols of each pre-token, flat, and the number of each."""
         raw = [x.encode("utf-8", "surrogatepass") for x in found]
         size = np.array([len(x) for x in raw], np.int64)
         flat = np.frombuffer(b"".join(raw), np.uint8)
@@ -108,9 +108,21 @@ class ArrayBpe:
         ends = np.cumsum(size) - 1
         ids[ends[size > 0]] = self.last[flat[ends[size > 0]]]
         owner = np.repeat(np.arange(len(found)), size)
+        long = np.repeat(size > self.LONG, size)
         place = np.arange(len(ids))
-        done_ids, done_place, done_owner = [], [], []
-        none = len(self.merged)
+        done = [merge(ids[some], owner[some], place[some]) for merge, some in ((self.by_sequence, ~long), (self.by_rank, long)) if some.any()]
+        if not done:
+            return np.empty(0, np.int64), np.zeros(len(found), np.int64)
+        ids, owner, place = (np.concatenate(x) for x in zip(*done))
+        return ids[np.argsort(place)], np.bincount(owner, minlength=len(found))
+
+    def by_sequence(self, ids: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What is left of many short sequences.
+
+        Every round finds each sequence's lowest-rank pair and merges all its occurrences; a
+        sequence without a mergeable pair has ended.
+        """
+        done, none = [], len(self.merged)
         while len(ids):
             pair = np.full(len(ids), none, np.int64)
             if len(ids) > 1:
@@ -122,26 +134,71 @@ class ArrayBpe:
             best = np.repeat(best, count)
             alive = best < none
             if not alive.all():
-                done_ids.append(ids[~alive])
-                done_place.append(place[~alive])
-                done_owner.append(owner[~alive])
+                done.append((ids[~alive], owner[~alive], place[~alive]))
                 ids, owner, place, pair, best = ids[alive], owner[alive], place[alive], pair[alive], best[alive]
                 if not len(ids):
                     break
-            hit = pair == best
-            # of overlapping occurrences (a run of one symbol) every second merges, from the left
-            where = np.flatnonzero(hit)
-            run = np.flatnonzero(np.r_[True, np.diff(where) != 1])
-            since = np.arange(len(where)) - np.repeat(run, np.diff(np.r_[run, len(where)]))
-            where = where[since % 2 == 0]
+            where = np.flatnonzero(pair == best)
+            where = self.every_second(where, np.diff(where) == 1)
             ids[where] = self.merged[best[where]]
             keep = np.ones(len(ids), bool)
             keep[where + 1] = False
             ids, owner, place = ids[keep], owner[keep], place[keep]
-        if not done_ids:
-            return np.empty(0, np.int64), np.zeros(len(found), np.int64)
-        ids, place, owner = (np.concatenate(x) for x in (done_ids, done_place, done_owner))
-        return ids[np.argsort(place)], np.bincount(owner, minlength=len(found))
+        return tuple(np.concatenate(x) for x in zip(*done))
+
+    def by_rank(self, ids: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What is left of long sequences, which do not wait for each other's rounds.
+
+        Each round takes the lowest rank that any sequence has left and merges its occurrences in
+        all of them; symbols are linked to their neighbours, and only the pairs beside a merge are
+        looked up anew.
+        """
+        n, none = len(ids), len(self.merged)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive, rank = np.ones(n, bool), np.full(n, none, np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def look_up(at: np.ndarray) -> None:
+            to = after[at]
+            paired = to < n
+            paired[paired] = owner[at[paired]] == owner[to[paired]]
+            rank[at[~paired]] = none
+            at, to = at[paired], to[paired]
+            found = rank[at] = self.rank_of(ids[at] << 20 | ids[to])
+            at, found = at[found < none], found[found < none]
+            order = np.argsort(found, kind="stable")
+            found, at = found[order], at[order]
+            cuts = [0, *(np.flatnonzero(np.diff(found)) + 1).tolist(), len(at)]
+            for low, high in zip(cuts, cuts[1:]):
+                if high > low:
+                    r = int(found[low])
+                    if r not in waiting:
+                        waiting[r] = []
+                        heapq.heappush(ranks, r)
+                    waiting[r].append(at[low:high])
+
+        look_up(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            where = np.unique(np.concatenate(waiting.pop(r)))
+            where = where[rank[where] == r]
+            where = self.every_second(where, after[where[:-1]] == where[1:])
+            right = after[where]
+            alive[right], rank[right] = False, none
+            ids[where] = self.merged[r]
+            after[where] = to = after[right]
+            before[to[to < n]] = where[to < n]
+            left = before[where]
+            look_up(np.unique(np.concatenate([left[left >= 0], where])))
+        return ids[alive], owner[alive], place[alive]
+
+    @staticmethod
+    def every_second(where: np.ndarray, overlaps: np.ndarray) -> np.ndarray:
+        """Of overlapping occurrences (a run of one symbol) every second, from the left; overlaps tells of each but the first whether it shares a symbol with the one before."""
+        run = np.flatnonzero(np.r_[True, ~overlaps])[: len(where)]
+        since = np.arange(len(where)) - np.repeat(run, np.diff(np.r_[run, len(where)]))
+        return where[since % 2 == 0]
 
     def forget(self) -> None:
         """Drops what a task has learnt: a worker lives on, also for tasks that need its memory."""
