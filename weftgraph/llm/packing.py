@@ -197,7 +197,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gro
     """
     spark, path = docs.sparkSession, path or vocabulary()
     home, parts = shared_dir(spark), partitions(docs.sparkSession)
-    pieces = written(token_pieces(docs, path, capacity), f"{home}/pieces").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
+    pieces = written(token_pieces(docs, path, capacity), f"{home}/pieces").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
     counts = written(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), f"{home}/counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = packed(histogram, capacity, groups, large_share)
