@@ -192,10 +192,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = SHINGLE_WOR
     window.  Benchmark items reach the tasks in parts of items_a_pass and BYTES_A_PASS, one pass over
     docs each, so what a task holds does not grow with them.  Null and empty texts and items without
     words match nothing; items of fewer words than a shingle are one shingle and match their equals.
+    Equal benchmark rows are one item, so that they count once and no part is larger than the others.
     Null ids pass through; repeated rows match each by itself; of equally similar windows the first
     counts; texts of any length are read whole; empty tables give none; further columns are not read.
     """
-    numbered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    numbered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     count, size = numbered.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = max(1, -(-count // items_a_pass), -(-size // BYTES_A_PASS))
     found = None
