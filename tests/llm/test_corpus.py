@@ -276,6 +276,15 @@ def test_leaks_match_brute_force(spark, documents, sf_dir):
     assert decontaminate.contaminated(left.limit(0), right).count() == 0
 
 
+def test_equal_benchmark_rows_are_one_item(spark):
+    item = " ".join(f"word{i}" for i in range(12))
+    items = spark.createDataFrame([(7, item)] * 40 + [(8, item), (None, None), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {item} after"), (1, f"before {item} after"), (2, "other words")], "doc_id long, text string")
+    for a_pass in (2000, 3):
+        got = decontaminate.contaminated(docs, items, items_a_pass=a_pass).collect()
+        assert sorted((r["doc_id"], r["item_id"], r["similarity"], r["first_word"]) for r in got) == [(1, 7, 1.0, 1)] * 2 + [(1, 8, 1.0, 1)] * 2
+
+
 def test_texts_shorter_than_an_item_leak(spark):
     """A text that is an item without some of its words is compared as a whole."""
     rng = np.random.default_rng(9)
