@@ -217,3 +217,12 @@ def test_probes_reach_the_recall(spark):
     whole, recall, share = nearest.most_similar_probed(df, terms, 10, recall=1.0, sample=10**6)
     assert {(x["term"], x["partner"]) for x in whole.collect()} == exact.keys() and recall == 1.0
     assert nearest.most_similar_probed(df.limit(0), terms)[0].count() == 0
+
+
+def test_runs_are_never_broadcast(spark):
+    """Runs are many more than a plan estimates: no join on them collects a side on the driver."""
+    labels = spark.createDataFrame([("a", "Asthma"), ("b", "Blue")], "id string, label string")
+    names = spark.createDataFrame([("asth",), ("lu",)], "name string")
+    for found in (patterns.containing(labels, names), patterntable.matching_table(labels, names.withColumnRenamed("name", "pattern"))):
+        assert sorted(r["id"] for r in found.collect()) == ["a", "b"]
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
