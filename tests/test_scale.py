@@ -226,3 +226,17 @@ def test_runs_are_never_broadcast(spark):
     for found in (patterns.containing(labels, names), patterntable.matching_table(labels, names.withColumnRenamed("name", "pattern"))):
         assert sorted(r["id"] for r in found.collect()) == ["a", "b"]
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distinct_joins_that_keep_their_key_are_not_made_distinct_again(spark):
+    rows = [("g", f"a{i % 9}", "one", f"c{i % 4}") for i in range(80)] + [("g", f"c{i % 4}", "two", f"b{i % 7}") for i in range(60)]
+    quads = spark.createDataFrame(rows, "g string, s string, p string, o string")
+    want = {(s, o, b) for _, s, p, o in rows if p == "one" for _, c, q, b in rows if q == "two" and c == o}
+    ask = [("?a", "one", "?c"), ("?c", "two", "?b")]
+    whole = patterns.bgp(quads, ask, ["a", "c", "b"], distinct=True)
+    assert not whole._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+    assert sorted(map(tuple, whole.collect())) == sorted(want)
+    assert sorted(map(tuple, patterns.bgp(quads, ask, ["a", "b"], distinct=True).collect())) == sorted({(a, b) for a, _, b in want})
+    assert sorted(r[0] for r in patterns.bgp(quads, ask[:1], ["c"], distinct=True).collect()) == sorted({o for _, _, p, o in rows if p == "one"})
+    none = [("?x", "one", "?y"), ("?y", "none", "?z")]  # a test that nothing passes
+    assert patterns.bgp(quads, ask + none, ["a", "b"], distinct=True).isEmpty()
