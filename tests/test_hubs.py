@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from weftgraph.operators import joins, ontology
+from weftgraph.operators import joins, measures, ontology
 from weftgraph.operators.bgp import bgp
 
 
@@ -80,3 +82,19 @@ def test_neighbourhoods_of_a_hub_are_shuffled_once_found(spark):
     ids = spark.createDataFrame([(f"S:{s}",) for s in range(250)], "id string")
     n, found = shuffled_rows(spark, lambda: ontology.khop(mappings, 2, ids).collect())
     assert len(found) == 10_000 + 250 * 249 and n < 200_000
+
+
+@pytest.mark.parametrize("block", [7, 5000])
+def test_similar_vectors_leave_a_block_by_k(spark, block):
+    """Copies, ties, null and zero vectors: the same rows as pair by pair, of which a block's k a term are shuffled."""
+    r = random.Random(3)
+    vecs = [[r.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)] for _ in range(60)] + [[1.0, 2.0, 0.0, 1.0]] * 30 + [[0.0] * 4, [1.0, None, 0.0, 0.0]]
+    table = spark.createDataFrame([(f"t{i}", v) for i, v in enumerate(vecs)], "term string, vec array<double>")
+    for k in (3, 91):
+        got = measures.most_similar(table, table, k, block).select("term", "partner", "similarity", "rank").collect()
+        pairs = table.crossJoin(table.select(F.col("term").alias("partner"), F.col("vec").alias("other"))).where("term != partner")
+        pairs = pairs.select("term", "partner", F.round(measures.dot(measures.unit(F.col("vec")), measures.unit(F.col("other"))), 6).alias("similarity"))
+        want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("similarity"), "partner"))).where(F.col("rank") <= k).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want)))
+    n, _ = shuffled_rows(spark, lambda: measures.most_similar(table, table, 3, 5000).collect())
+    assert n < 92 * 91 / 4
