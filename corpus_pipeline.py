@@ -6,7 +6,6 @@ Parquet in the cluster's shared folder and reads it back for the next.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,14 +45,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Where a cut falls inside a character, what is left of the character goes too.
     """
-    out = remove_repeats(docs.select(COLUMNS))
-    text = F.pandas_udf(whole_characters, "string")
-    return out.select("doc_id", text("kept").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
-
-
-def whole_characters(raw: pd.Series) -> pd.Series:
-    """A binary column's whole UTF-8 characters."""
-    return raw.map(lambda b: b.decode("utf-8", "ignore") if b is not None else None)
+    out = remove_repeats(docs.select(COLUMNS), characters=True)
+    return out.select("doc_id", F.col("kept").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

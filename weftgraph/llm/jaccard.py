@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import SHINGLE_WORDS, SIMILARITY, batches_of, components, mapped, mixed, salt_of, salted_join, shared_dir, shingle_hashes, texts_of, word_hashes, written
+from weftgraph.llm.shared import SHINGLE_WORDS, SIMILARITY, batches_of, components, freed, mapped, mixed, salt_of, salted_join, shared_dir, shingle_hashes, texts_of, word_hashes, written
 
 TREES = 28
 #: Symbols of a label, 8 bits each: a label is a 64-bit number.
 LONGEST = 8
 RECALL = 0.9998
 BLOCK = 256
+#: Bytes of shingles from which a group's task gives its memory back at once.
+LARGE = 1 << 20
 #: Classes of similarity in which linked pairs are counted.
 BINS = 20
 
@@ -188,6 +190,11 @@ def pair_links(similarity: float):
     return run
 
 
+def checked(similarity: float):
+    """pair_links that gives memory back after pairs of blocks with many shingles."""
+    return freed(pair_links(similarity), lambda x: x["shingles"].map(len).sum() > LARGE)
+
+
 def placed(grouped: DataFrame, nodes: DataFrame, similarity: float, block: int, path: str) -> DataFrame:
     """node, doc_id, set_id, component, own and others (blocks) of each node of a group (grouped: id, component).
 
@@ -227,7 +234,7 @@ def verified(docs: DataFrame, nodes: DataFrame, grouped: DataFrame, words: int,
 
     sets = mapped(texts.select("doc_id", "node", "set_id", "component", "own", "others", "text"), cut, "node long, component long, own long, others array<long>, shingles binary")
     pairs = sets.withColumn("other", F.explode("others")).select("component", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "node", (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") != F.col("other")).alias("cross"), "shingles")
-    check = pair_links(similarity)
+    check = checked(similarity)
     run = lambda key, x: check(x).assign(component=key[0])[["component", "node", "links", "root"]]
     return pairs.groupBy("component", "one", "two").applyInPandas(lambda k, x: run(k, x), "component long, node long, links array<long>, root long")
 
