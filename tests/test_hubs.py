@@ -98,3 +98,19 @@ def test_similar_vectors_leave_a_block_by_k(spark, block):
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want)))
     n, _ = shuffled_rows(spark, lambda: measures.most_similar(table, table, 3, 5000).collect())
     assert n < 92 * 91 / 4
+
+
+def test_last_pairs_are_not_shuffled_again(spark):
+    """800 suppliers, some in two spellings, 400 of them to each of 20 parts: 600,000 pairs, which nobody shuffles once they are found."""
+    name = lambda s: f"SUPPLIER:{s:04d}" if s % 50 == 0 else f"SUPPLIER:{s}"
+    edges = [(f"PART:{p}", name(s), "ANR"[s % 3]) for p in range(20) for s in random.Random(p).sample(range(800), 400)]
+    mappings = spark.createDataFrame(edges, "from_curie string, to_curie string, source_prefix string")
+    by = {}
+    for p, s, _ in edges:
+        by.setdefault(p, set()).add(s)
+    want = {(s, p, 1) for p, s, _ in edges} | {(b, c, 2) for s in by.values() for b in s for c in s if b != c}
+    ids = mappings.select(F.col("to_curie").alias("id")).distinct()
+    for find in (lambda: ontology.khop(mappings, 2, ids), lambda: ontology.khop_expanding(mappings, "PART", 2, ids), lambda: ontology.khop_expanding(mappings.where("from_curie != 'PART:0'"), "SUPPLIER", 2, ids)):
+        n, found = shuffled_rows(spark, lambda find=find: {(x["query_id"], x["curie"], x["distance"]) for x in find().collect()})
+        assert n < 200_000
+        assert found == want or found == {x for x in want if x[2] == 1} or found == {(b, c, 2) for p, s in by.items() if p != "PART:0" for b in s for c in s if b != c}
